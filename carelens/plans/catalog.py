@@ -64,3 +64,122 @@ def los_by_provider_top10(src: Source) -> DataFrame:
     """O2: the ten providers with most stays."""
     return summary.top_n(summary.los_by_provider(src.discharges, src.providers), 10,
                          [F.desc("row_cnt"), F.asc_nulls_first("providername")])
+
+
+# ---- recommender features (T1-T4, M1-M3) -------------------------------------------------
+from carelens.operators import candidates, evaluate  # noqa: E402
+from carelens.plans import inputs  # noqa: E402
+
+
+def longs(df: DataFrame) -> DataFrame:
+    """Integer columns as bigint, so both engines report the same column types."""
+    return df.select(*[F.col(f.name).cast("bigint").alias(f.name)
+                       if f.dataType.typeName() in ("integer", "short", "byte") else F.col(f.name)
+                       for f in df.schema.fields])
+
+
+@query
+def condition_claims(src: Source) -> DataFrame:
+    """Claim lines grouped to condition categories and chronic classes."""
+    return src.claims.select(
+        "member_id", "providerid", "diagnosis", "condition_name", "chronic_flag", "setting",
+        F.date_format("service_date", "yyyy-MM-dd").alias("service_date"), "service_type",
+        "drug", "avoidable", "paid")
+
+
+@query
+def condition_credibility(src: Source) -> DataFrame:
+    """Decayed, setting-weighted credibility per member and condition (tuning cut)."""
+    return inputs.tune_features(src)
+
+
+@query
+def demographic_features(src: Source) -> DataFrame:
+    """Demographics in long form with constant confidence."""
+    return inputs.demographics(src)
+
+
+@query
+def holdout_responses(src: Source) -> DataFrame:
+    """T4: conditions coded in the two months after the cut."""
+    return inputs.responses(src)
+
+
+@query
+def feature_all(src: Source) -> DataFrame:
+    """M1: condition and demographic features stacked by name."""
+    return inputs.feature_all(src)
+
+
+@query
+def user_ids(src: Source) -> DataFrame:
+    """M2: members numbered 1..n in key order."""
+    return longs(inputs.user_map(src))
+
+
+@query
+def product_ids(src: Source) -> DataFrame:
+    """M2: products (feature name, value, class) numbered 1..n in key order."""
+    return longs(inputs.product_map(src))
+
+
+@query
+def rating_matrix(src: Source) -> DataFrame:
+    """M3: (user, product, confidence) coordinates for the factorization."""
+    return longs(inputs.ratings(src))
+
+
+# ---- popularity baseline and evaluation (M7-M9, M13, M20, T6, T8, W1, W2) -----------------
+@query
+def gender_labels(src: Source) -> DataFrame:
+    """M7: gender-specific condition labels."""
+    return inputs.gender_labels(src).select(
+        "condition_name", F.round("avg_males", 6).alias("avg_males"),
+        F.round("avg_females", 6).alias("avg_females"), "gender_specific")
+
+
+@query
+def new_conditions(src: Source) -> DataFrame:
+    """M8: hold-out conditions not coded in the tuning period (three keys)."""
+    return inputs.new_conditions(src)
+
+
+@query
+def popular_conditions(src: Source) -> DataFrame:
+    """The 30 most frequent conditions per class."""
+    return longs(inputs.popular(src))
+
+
+@query
+def member_popular(src: Source) -> DataFrame:
+    """M9: per member and class, the popular conditions not yet coded, first 15."""
+    return longs(candidates.member_popular(src.members, inputs.tune_features(src),
+                                           inputs.popular(src), 15))
+
+
+@query
+def popular_by_segment(src: Source) -> DataFrame:
+    """Popularity within the member's age band x gender x eligibility segment."""
+    seg = ["age_band", "gender", "eligibility_status"]
+    from carelens.operators.features import age_band
+    members = src.members.withColumn("age_band", age_band())
+    return longs(candidates.member_popular_by_segment(members, inputs.tune_features(src), seg))
+
+
+@query
+def popular_curve(src: Source) -> DataFrame:
+    """M13 for the popularity model: hit share and recall@k per class and rank."""
+    return longs(evaluate.recall_curve(inputs.popular_scored(src), "popular"))
+
+
+@query
+def popular_recall_at_10(src: Source) -> DataFrame:
+    """T6 for the popularity model."""
+    return longs(evaluate.recall_at_k(inputs.popular_scored(src), "popular", 10))
+
+
+@query
+def eval_chart(src: Source) -> DataFrame:
+    """Chart-ready curve with display labels."""
+    return longs(evaluate.chart_table(evaluate.recall_curve(inputs.popular_scored(src),
+                                                            "popular")))

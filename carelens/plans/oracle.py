@@ -99,3 +99,142 @@ register("los_by_provider_top10", """
     FROM v_discharge d LEFT JOIN v_provider p ON d.providerid = p.providerid
     GROUP BY p.providername
     ORDER BY row_cnt DESC, p.providername NULLS FIRST LIMIT 10""", "v_discharge", "v_provider")
+
+
+# ---- recommender features ------------------------------------------------------------------
+_AGE_BAND = ("CAST(CAST(floor(age / 10) * 10 AS INT) AS VARCHAR) || '-' || "
+             "CAST(CAST(floor(age / 10) * 10 AS INT) + 9 AS VARCHAR)")
+VIEWS["v_demog"] = (("v_member",), f"""
+        SELECT member_id, feature_name, feature_value, 1.0E0 AS confidence FROM (
+          SELECT member_id, 'age_band' AS feature_name, {_AGE_BAND} AS feature_value FROM v_member
+          UNION ALL SELECT member_id, 'gender', gender FROM v_member
+          UNION ALL SELECT member_id, 'eligibility_status', eligibility_status FROM v_member)
+        WHERE feature_value IS NOT NULL""")
+VIEWS["v_feature_all"] = (("v_feat", "v_demog"), """
+        SELECT member_id, condition_name AS feature_value,
+               CAST(sqrt_adjusted_credibility AS DOUBLE) AS confidence, chronic_flag,
+               'condition_name' AS feature_name
+        FROM v_feat WHERE chronic_flag IS NOT NULL
+        UNION ALL
+        SELECT member_id, feature_value, CAST(CAST(confidence AS FLOAT) AS DOUBLE) * 2.0E0, '',
+               feature_name
+        FROM v_demog""")
+VIEWS["v_user_map"] = (("v_feature_all",), """
+        SELECT member_id, row_number() OVER (ORDER BY member_id) AS user_id
+        FROM (SELECT DISTINCT member_id FROM v_feature_all)""")
+VIEWS["v_prod_map"] = (("v_feature_all",), """
+        SELECT feature_name, feature_value, chronic_flag,
+               row_number() OVER (ORDER BY feature_name, feature_value, chronic_flag) AS product_id
+        FROM (SELECT DISTINCT feature_name, feature_value, chronic_flag FROM v_feature_all)""")
+VIEWS["v_new"] = (("v_resp", "v_feat"), """
+        SELECT r.member_id, r.condition_name, r.chronic_flag FROM v_resp r
+        ANTI JOIN (SELECT * FROM v_feat WHERE sqrt_adjusted_credibility IS NOT NULL) f
+          ON f.member_id = r.member_id AND f.condition_name = r.condition_name
+         AND f.chronic_flag = r.chronic_flag""")
+VIEWS["v_popular"] = (("v_feat",), """
+        SELECT condition_name, chronic_flag, count, pred_rank FROM (
+          SELECT condition_name, chronic_flag, count(*) AS count,
+                 row_number() OVER (PARTITION BY chronic_flag
+                                    ORDER BY count(*) DESC, condition_name) AS pred_rank
+          FROM v_feat GROUP BY condition_name, chronic_flag)
+        WHERE pred_rank <= 30""")
+VIEWS["v_member_popular"] = (("v_member", "v_popular", "v_feat"), """
+        SELECT member_id, condition_name, chronic_flag, count, pred_rank FROM (
+          SELECT m.member_id, t.condition_name, t.chronic_flag, t.count,
+                 row_number() OVER (PARTITION BY m.member_id, t.chronic_flag
+                                    ORDER BY t.count DESC, t.condition_name) AS pred_rank
+          FROM v_member m CROSS JOIN v_popular t
+          WHERE NOT EXISTS (SELECT 1 FROM v_feat f
+                            WHERE f.member_id = m.member_id AND f.condition_name = t.condition_name
+                              AND f.chronic_flag = t.chronic_flag
+                              AND f.sqrt_adjusted_credibility IS NOT NULL))
+        WHERE pred_rank <= 15""")
+VIEWS["v_pop_scored"] = (("v_new", "v_member_popular"), """
+        SELECT n.member_id, n.condition_name, n.chronic_flag, p.pred_rank
+        FROM v_new n LEFT JOIN v_member_popular p
+          ON p.member_id = n.member_id AND p.condition_name = n.condition_name
+         AND p.chronic_flag = n.chronic_flag""")
+VIEWS["v_pop_curve"] = (("v_pop_scored",), """
+        SELECT chronic_flag, CAST(pred_rank AS BIGINT) AS pred_rank, count,
+               round(count / total, 6) AS pct_pred,
+               round(sum(count / total) OVER (PARTITION BY chronic_flag ORDER BY pred_rank
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS cumul_pred,
+               'popular' AS pred_type
+        FROM (SELECT chronic_flag, pred_rank, count,
+                     sum(count) OVER (PARTITION BY chronic_flag) AS total
+              FROM (SELECT chronic_flag, pred_rank, count(*) AS count FROM v_pop_scored
+                    GROUP BY chronic_flag, pred_rank))
+        WHERE pred_rank >= 1""")
+
+register("condition_claims", """
+    SELECT member_id, providerid, diagnosis, condition_name, chronic_flag, setting,
+           strftime(service_date, '%Y-%m-%d') AS service_date, service_type, drug, avoidable, paid
+    FROM v_claim""", "v_claim")
+register("condition_credibility", "SELECT * FROM v_feat", "v_feat")
+register("demographic_features", "SELECT * FROM v_demog", "v_demog")
+register("holdout_responses", "SELECT * FROM v_resp", "v_resp")
+register("feature_all", "SELECT * FROM v_feature_all", "v_feature_all")
+register("user_ids", "SELECT * FROM v_user_map", "v_user_map")
+register("product_ids", "SELECT * FROM v_prod_map", "v_prod_map")
+register("rating_matrix", """
+    SELECT u.user_id, p.product_id, max(CAST(f.confidence AS FLOAT)) AS confidence
+    FROM v_feature_all f JOIN v_user_map u ON u.member_id = f.member_id
+    JOIN v_prod_map p ON p.feature_name = f.feature_name AND p.feature_value = f.feature_value
+     AND p.chronic_flag = f.chronic_flag
+    GROUP BY u.user_id, p.product_id""", "v_feature_all", "v_user_map", "v_prod_map")
+register("gender_labels", """
+    SELECT condition_name, round(avg_males, 6) AS avg_males, round(avg_females, 6) AS avg_females,
+           CASE WHEN avg_males >= 0.95E0 THEN 'Male' WHEN avg_females >= 0.95E0 THEN 'Female'
+                ELSE 'Both' END AS gender_specific
+    FROM (SELECT condition_name,
+                 avg(CASE WHEN m.gender = 'M' THEN 1 ELSE 0 END) AS avg_males,
+                 avg(CASE WHEN m.gender = 'F' THEN 1 ELSE 0 END) AS avg_females
+          FROM v_feat f JOIN v_member m ON m.member_id = f.member_id GROUP BY condition_name)""",
+         "v_feat", "v_member")
+register("new_conditions", "SELECT * FROM v_new", "v_new")
+register("popular_conditions", "SELECT * FROM v_popular", "v_popular")
+register("member_popular", "SELECT * FROM v_member_popular", "v_member_popular")
+VIEWS["v_seg"] = (("v_member",), f"""
+        SELECT member_id, {_AGE_BAND} AS age_band, COALESCE(gender, '') AS gender,
+               COALESCE(eligibility_status, '') AS eligibility_status FROM v_member""")
+VIEWS["v_seg_top"] = (("v_seg", "v_feat"), """
+        SELECT * FROM (
+          SELECT s.age_band, s.gender, s.eligibility_status, f.condition_name, f.chronic_flag,
+                 count(*) AS count,
+                 row_number() OVER (PARTITION BY s.age_band, s.gender, s.eligibility_status,
+                                                 f.chronic_flag
+                                    ORDER BY count(*) DESC, f.condition_name) AS g
+          FROM v_feat f JOIN v_seg s ON s.member_id = f.member_id
+          WHERE f.sqrt_adjusted_credibility IS NOT NULL
+          GROUP BY s.age_band, s.gender, s.eligibility_status, f.condition_name, f.chronic_flag)
+        WHERE g <= 30""")
+register("popular_by_segment", """
+    SELECT member_id, age_band, gender, eligibility_status, condition_name, chronic_flag, count,
+           pred_rank FROM (
+      SELECT s.member_id, s.age_band, s.gender, s.eligibility_status, t.condition_name,
+             t.chronic_flag, t.count,
+             row_number() OVER (PARTITION BY s.member_id, t.chronic_flag
+                                ORDER BY t.count DESC, t.condition_name) AS pred_rank
+      FROM v_seg s JOIN v_seg_top t
+        ON t.age_band = s.age_band AND t.gender = s.gender
+       AND t.eligibility_status = s.eligibility_status
+      WHERE NOT EXISTS (SELECT 1 FROM v_feat f
+                        WHERE f.member_id = s.member_id AND f.condition_name = t.condition_name
+                          AND f.chronic_flag = t.chronic_flag
+                          AND f.sqrt_adjusted_credibility IS NOT NULL))
+    WHERE pred_rank <= 15""", "v_seg", "v_seg_top", "v_feat")
+register("popular_curve", "SELECT * FROM v_pop_curve", "v_pop_curve")
+register("popular_recall_at_10", """
+    SELECT 'popular' AS pred_type, CAST(10 AS BIGINT) AS k,
+           round(avg(CASE WHEN pred_rank <= 10 THEN 1 ELSE 0 END), 6) AS recall
+    FROM v_pop_scored""", "v_pop_scored")
+register("eval_chart", """
+    SELECT chronic_flag, pred_type, pred_rank, cumul_pred,
+           CASE chronic_flag WHEN '1' THEN 'Chronic' WHEN '0' THEN 'Non-Chronic' END
+             AS chronic_pretty,
+           CAST(CASE chronic_flag WHEN '1' THEN 1 WHEN '0' THEN 2 END AS BIGINT) AS chronic_order,
+           CASE pred_type WHEN 'recommender' THEN 'Matrix Factorization'
+                          WHEN 'popular' THEN 'Popularity' END AS pred_type_pretty,
+           CAST(CASE pred_type WHEN 'recommender' THEN 1 WHEN 'popular' THEN 2 END AS BIGINT)
+             AS pred_type_order
+    FROM v_pop_curve WHERE pred_rank BETWEEN 1 AND 15""", "v_pop_curve")
