@@ -183,3 +183,60 @@ def eval_chart(src: Source) -> DataFrame:
     """Chart-ready curve with display labels."""
     return longs(evaluate.chart_table(evaluate.recall_curve(inputs.popular_scored(src),
                                                             "popular")))
+
+
+# ---- matrix factorization (M4-M6, M10-M17, T5-T7, O4) ---------------------------------------
+from carelens.operators import factor, tune  # noqa: E402
+
+
+@query
+def als_eval_curve(src: Source) -> DataFrame:
+    """Recommender and popularity curves stacked (model output: rows-only check)."""
+    rec = evaluate.recall_curve(inputs.rec_scored(src), "recommender")
+    pop = evaluate.recall_curve(inputs.popular_scored(src), "popular")
+    return longs(rec.unionByName(pop))
+
+
+@query
+def als_recall_at_10(src: Source) -> DataFrame:
+    """recall@10 of the recommender next to the popularity model."""
+    return longs(evaluate.recall_at_k(inputs.rec_scored(src), "recommender", 10).unionByName(
+        evaluate.recall_at_k(inputs.popular_scored(src), "popular", 10)))
+
+
+@query
+def als_predictions(src: Source) -> DataFrame:
+    """Final refit on all data, ten filtered recommendations per member."""
+    return longs(inputs.predictions(src).select(
+        "member_id", "feature_value", "feature_name", "chronic_flag", "rating", "pred_rank"))
+
+
+@query
+def als_tuning(src: Source) -> DataFrame:
+    """Grid of parameter sets scored by recall@10 on the hold-out; best one flagged."""
+    grid = tune.param_grid([10, 50], [100.0], [7.0])
+
+    def score(p):
+        return inputs.rec_scored(src, p).agg(
+            F.avg(F.when(F.col("pred_rank") <= 10, 1).otherwise(0))).first()[0]
+
+    results = tune.run_grid(src.spark, grid, score)
+    best = tune.best_params(results)
+    return longs(results.withColumn("best", (F.col("rank") == best.rank)
+                                    & (F.col("alpha") == best.alpha)
+                                    & (F.col("lambda") == best.reg)))
+
+
+@query
+def als_explanations(src: Source) -> DataFrame:
+    """Feature contributions to each member's top recommendation."""
+    return inputs.explanations(src)
+
+
+@query
+def suspicious_codings(src: Source) -> DataFrame:
+    """Coded conditions with a rating in the lowest 5% of their condition."""
+    m = inputs.model(src)
+    rated = factor.known_ratings(m, inputs.user_map(src), inputs.product_map(src),
+                                 inputs.tune_features(src))
+    return factor.suspicious_codings(rated)

@@ -73,3 +73,43 @@ def popular_scored(src: Source) -> DataFrame:
     """Hold-out rows with their popularity rank (first 15 per member and class)."""
     return _memo(src, "pop_scored", lambda: candidates.popular_ranks_for(
         new_conditions(src), src.members, tune_features(src), popular(src), 15))
+
+
+# ---- matrix factorization ------------------------------------------------------------------
+from carelens.operators import evaluate, explain, factor  # noqa: E402
+
+DEFAULT_PARAMS = factor.Params(rank=50, alpha=100.0, reg=7.0)   # reference's one-point grid
+
+
+def model(src: Source, which: str = "tune", params: factor.Params = DEFAULT_PARAMS):
+    return _memo(src, f"model_{which}_{params}", lambda: factor.fit(ratings(src, which), params))
+
+
+def rec_ranked(src: Source, params: factor.Params = DEFAULT_PARAMS, k: int = 15) -> DataFrame:
+    """Recommender ranks per (member, class) on the tuning data (evaluation shape)."""
+    return _memo(src, f"rec_ranked_{params}_{k}", lambda: factor.recommend(
+        model(src, "tune", params), user_map(src), product_map(src), tune_features(src),
+        src.members, gender_labels(src), k, per_class=True).withColumnRenamed(
+            "feature_value", "condition_name"))
+
+
+def rec_scored(src: Source, params: factor.Params = DEFAULT_PARAMS) -> DataFrame:
+    return evaluate.attach_ranks(new_conditions(src), rec_ranked(src, params))
+
+
+def predictions(src: Source, params: factor.Params = DEFAULT_PARAMS, k: int = 10) -> DataFrame:
+    """M15 + M12: refit on all data (own id maps), top ``k`` per member for export."""
+    return _memo(src, f"preds_{params}_{k}", lambda: factor.recommend(
+        model(src, "pred", params), user_map(src, "pred"), product_map(src, "pred"),
+        pred_features(src), src.members, gender_labels(src), k, per_class=False))
+
+
+def explanations(src: Source, params: factor.Params = DEFAULT_PARAMS) -> DataFrame:
+    """Contributions behind every member's highest-rated condition."""
+    top1 = predictions(src, params).filter(F.col("pred_rank") == 1)
+    pm = product_map(src, "pred")
+    targets = (top1.join(user_map(src, "pred"), "member_id")
+               .join(pm, ["feature_name", "feature_value", "chronic_flag"])
+               .select("user_id", "product_id"))
+    c = explain.contributions(model(src, "pred", params), ratings(src, "pred"), targets, params)
+    return explain.named_contributions(c, user_map(src, "pred"), pm)
