@@ -240,3 +240,130 @@ def suspicious_codings(src: Source) -> DataFrame:
     rated = factor.known_ratings(m, inputs.user_map(src), inputs.product_map(src),
                                  inputs.tune_features(src))
     return factor.suspicious_codings(rated)
+
+
+# ---- sources, case study, gaps (S2, M19, P10, J9, T11, T12) -----------------------------------
+from carelens.operators import casestudy, cost, gaps, neighbours  # noqa: E402
+from carelens.session import scratch_path  # noqa: E402
+from carelens.sources.fixtures import HOLDOUT_CUT, OUTCOME_CUT  # noqa: E402
+from carelens.sources.tables import read_delimited  # noqa: E402
+
+
+@query
+def procedure_reference(src: Source) -> DataFrame:
+    """A pipe-delimited reference file with a header, read with type inference. The file is
+    written from the part table into the shared scratch folder first."""
+    path = scratch_path(src.spark, "procref")
+    (src.table("part").select(F.col("p_name").alias("PROC_DESC"),
+                              F.col("p_type").alias("MR_LINE_DESC"),
+                              F.col("p_size").alias("MR_LINE_SIZE"))
+     .write.option("sep", "|").option("header", True).csv(path))
+    return read_delimited(src.spark, path, sep="|", header=True).select(
+        "PROC_DESC", "MR_LINE_DESC", F.col("MR_LINE_SIZE").cast("bigint").alias("MR_LINE_SIZE"))
+
+
+@query
+def case_study_features(src: Source) -> DataFrame:
+    """All tuning features of members coded with the most common chronic
+    condition at a credibility above 1."""
+    feats = inputs.tune_features(src)
+    top = inputs.popular(src).filter((F.col("chronic_flag") == "1") & (F.col("pred_rank") == 1))
+    chosen = casestudy.members_with_condition(feats, top, 1.0)
+    return casestudy.extract_for(feats, chosen)
+
+
+@query
+def explicit_gaps(src: Source) -> DataFrame:
+    """Chronic conditions coded in the prior year but not in the last year."""
+    g = gaps.explicit_gaps(src.claims, HOLDOUT_CUT, 12)
+    return g.withColumn("last_coded", F.date_format("last_coded", "yyyy-MM-dd"))
+
+
+@query
+def drug_gaps(src: Source) -> DataFrame:
+    """Drug-implied conditions not coded in the last year."""
+    return gaps.drug_gaps(src.claims, src.drug_conditions, HOLDOUT_CUT, 12)
+
+
+# ---- six-month cost and utilization (T13-T15, T20-T24) --------------------------------------
+MEASURES = ["click", "error", "purchase", "signup", "view"]     # fixed measure names
+
+
+def _claims_net(src: Source) -> DataFrame:
+    return cost.with_network(src.claims, src.providers)
+
+
+def _member_features(src: Source) -> DataFrame:
+    conds = src.claims.filter(F.col("service_date") <= F.to_date(F.lit(OUTCOME_CUT))) \
+        .select("member_id", "condition_name", "chronic_flag").distinct()
+    return inputs._memo(src, "member_features", lambda: cost.member_features(
+        src.members, conds, src.claims, src.measurements, OUTCOME_CUT, MEASURES))
+
+
+def _outcomes(src: Source) -> DataFrame:
+    return inputs._memo(src, "outcomes", lambda: cost.outcomes(src.claims, src.members,
+                                                               OUTCOME_CUT, 6))
+
+
+@query
+def period_summary(src: Source) -> DataFrame:
+    """Cost and visits per member and quarter by avoidable / network / setting."""
+    s = cost.period_summary(_claims_net(src), "quarter")
+    return s.withColumn("period", F.date_format("period", "yyyy-MM-dd"))
+
+
+@query
+def member_features(src: Source) -> DataFrame:
+    """One feature row per member with missing-value indicators."""
+    return longs(_member_features(src))
+
+
+@query
+def six_month_outcomes(src: Source) -> DataFrame:
+    """Outcomes in the six months after the cut, zero-filled."""
+    return longs(_outcomes(src))
+
+
+BASELINES = ["risk_score", "prior_cost", "prior_avoidable"]        # T22 rankings
+LEVELS = [0.01, 0.05, 0.1, 0.2, 0.5, 1.0]                          # top X shares
+
+
+@query
+def capture_curve(src: Source) -> DataFrame:
+    """Share of the actual top X% (six-month cost) found by each baseline ranking."""
+    feats, act = _member_features(src), _outcomes(src)
+    parts = [cost.capture_curve(act, feats, "cost_total", b, LEVELS)
+             .select(F.lit(b).alias("baseline"), "level", "n_top", "capture") for b in BASELINES]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query
+def priority_list(src: Source) -> DataFrame:
+    """The 25 members with the highest prior-year cost."""
+    return cost.priority_list(_member_features(src).select("member_id", "prior_cost"),
+                              "prior_cost", 25)
+
+
+@query
+def provider_benchmark(src: Source) -> DataFrame:
+    """Actual six-month cost vs the prior-year run rate, per attributed provider."""
+    hist = src.claims.filter(F.col("service_date") <= F.to_date(F.lit(OUTCOME_CUT)))
+    pred = _member_features(src).select("member_id", (F.col("prior_cost") / 2).alias("pred"))
+    return cost.provider_benchmark(_outcomes(src), pred, cost.attributed_provider(hist),
+                                   "cost_total", "pred")
+
+
+# ---- neighbour-based filtering (T9, T10) ------------------------------------------------------
+@query
+def item_based_recs(src: Source) -> DataFrame:
+    """Ten uncoded conditions per member by summed cosine similarity to coded ones."""
+    return longs(neighbours.item_based(inputs.tune_features(src), 10))
+
+
+@query
+def user_based_recs(src: Source) -> DataFrame:
+    """Ten uncoded conditions per member voted by cosine-similar members."""
+    return longs(neighbours.user_based(inputs.tune_features(src), 10))

@@ -238,3 +238,189 @@ register("eval_chart", """
            CAST(CASE pred_type WHEN 'recommender' THEN 1 WHEN 'popular' THEN 2 END AS BIGINT)
              AS pred_type_order
     FROM v_pop_curve WHERE pred_rank BETWEEN 1 AND 15""", "v_pop_curve")
+
+
+# ---- sources, case study, gaps -------------------------------------------------------------
+register("procedure_reference", """
+    SELECT p_name AS PROC_DESC, p_type AS MR_LINE_DESC, CAST(p_size AS BIGINT) AS MR_LINE_SIZE
+    FROM part""")
+register("case_study_features", """
+    SELECT f.* FROM v_feat f
+    WHERE f.member_id IN (
+      SELECT g.member_id FROM v_feat g JOIN v_popular p
+        ON p.condition_name = g.condition_name AND p.chronic_flag = g.chronic_flag
+      WHERE p.chronic_flag = '1' AND p.pred_rank = 1 AND g.sqrt_adjusted_credibility > 1)""",
+         "v_feat", "v_popular")
+VIEWS["v_recent"] = (("v_claim",), """
+        SELECT * FROM v_claim
+        WHERE service_date > DATE '2000-06-01' AND service_date <= DATE '2001-06-01'""")
+register("explicit_gaps", """
+    SELECT p.member_id, p.condition_name, p.chronic_flag,
+           strftime(p.last_coded, '%Y-%m-%d') AS last_coded
+    FROM (SELECT member_id, condition_name, chronic_flag, max(service_date) AS last_coded
+          FROM v_claim
+          WHERE service_date > DATE '1999-06-01' AND service_date <= DATE '2000-06-01'
+            AND chronic_flag = '1'
+          GROUP BY member_id, condition_name, chronic_flag) p
+    ANTI JOIN v_recent r ON r.member_id = p.member_id AND r.condition_name = p.condition_name
+     AND r.chronic_flag = p.chronic_flag""", "v_claim", "v_recent")
+register("drug_gaps", """
+    SELECT t.member_id, t.drug, dm.implied AS condition_name
+    FROM (SELECT DISTINCT member_id, drug FROM v_recent) t
+    JOIN (SELECT drug, min(condition_name) AS implied FROM v_grouping GROUP BY drug) dm
+      ON dm.drug = t.drug
+    WHERE NOT EXISTS (SELECT 1 FROM v_recent r
+                      WHERE r.member_id = t.member_id AND r.condition_name = dm.implied)""",
+         "v_recent", "v_grouping")
+
+# ---- six-month cost and utilization --------------------------------------------------------
+register("period_summary", """
+    SELECT c.member_id, strftime(date_trunc('quarter', c.service_date), '%Y-%m-%d') AS period,
+           round(sum(paid), 4) AS paid_total,
+           round(sum(CASE WHEN avoidable THEN paid ELSE 0E0 END), 4) AS paid_avoidable,
+           round(sum(CASE WHEN COALESCE(p.in_network, false) THEN paid ELSE 0E0 END), 4)
+             AS paid_in_network,
+           round(sum(CASE WHEN setting = 'IP' THEN paid ELSE 0E0 END), 4) AS paid_ip,
+           round(sum(CASE WHEN setting = 'ER' THEN paid ELSE 0E0 END), 4) AS paid_er,
+           round(sum(CASE WHEN setting = 'OP' THEN paid ELSE 0E0 END), 4) AS paid_op,
+           CAST(sum(CASE WHEN setting = 'IP' THEN 1 ELSE 0 END) AS BIGINT) AS n_ip,
+           CAST(sum(CASE WHEN setting = 'ER' THEN 1 ELSE 0 END) AS BIGINT) AS n_er,
+           CAST(sum(CASE WHEN setting = 'OP' THEN 1 ELSE 0 END) AS BIGINT) AS n_op,
+           count(*) AS n_claims
+    FROM v_claim c LEFT JOIN v_provider p ON p.providerid = c.providerid
+    GROUP BY c.member_id, date_trunc('quarter', c.service_date)""", "v_claim", "v_provider")
+VIEWS["v_outcome"] = (("v_member", "v_claim"), """
+        SELECT m.member_id, CAST(COALESCE(o.any_ip, 0) AS BIGINT) AS any_ip,
+               CAST(COALESCE(o.any_er, 0) AS BIGINT) AS any_er,
+               round(COALESCE(o.cost_total, 0E0), 4) AS cost_total,
+               round(COALESCE(o.cost_avoidable, 0E0), 4) AS cost_avoidable
+        FROM v_member m LEFT JOIN (
+          SELECT member_id, max(CASE WHEN setting = 'IP' THEN 1 ELSE 0 END) AS any_ip,
+                 max(CASE WHEN setting = 'ER' THEN 1 ELSE 0 END) AS any_er,
+                 sum(paid) AS cost_total,
+                 sum(CASE WHEN avoidable THEN paid ELSE 0E0 END) AS cost_avoidable
+          FROM v_claim
+          WHERE service_date > DATE '2001-02-01' AND service_date <= DATE '2001-08-01'
+          GROUP BY member_id) o ON o.member_id = m.member_id""")
+_MEAS = ["click", "error", "purchase", "signup", "view"]
+_LAST = ",\n".join(f"max_by(value, ts) FILTER (WHERE event_type = '{m}') AS last_{m}"
+                   for m in _MEAS)
+_LAST_MISSING = ",\n".join(f"CAST(last_{m} IS NULL AS INT) AS last_{m}_missing" for m in _MEAS)
+_LAST_MISSING = ",\n".join(f"CAST(CASE WHEN e.last_{m} IS NULL THEN 1 ELSE 0 END AS BIGINT)"
+                           f" AS last_{m}_missing" for m in _MEAS)
+_LAST_COLS = ", ".join(f"e.last_{m}" for m in _MEAS)
+VIEWS["v_mfeat"] = (("v_member", "v_claim"), f"""
+        SELECT m.member_id, CAST(m.age AS BIGINT) AS age,
+               CAST(CASE WHEN m.gender = 'M' THEN 1 ELSE 0 END AS BIGINT) AS male,
+               CAST(CASE WHEN m.gender IS NULL THEN 1 ELSE 0 END AS BIGINT) AS gender_missing,
+               m.eligibility_status, m.risk_score,
+               COALESCE(c.n_conditions, 0) AS n_conditions, COALESCE(c.n_chronic, 0) AS n_chronic,
+               COALESCE(h.prior_cost, 0E0) AS prior_cost,
+               COALESCE(h.prior_avoidable, 0E0) AS prior_avoidable,
+               COALESCE(h.prior_ip, 0) AS prior_ip, COALESCE(h.prior_er, 0) AS prior_er,
+               COALESCE(h.prior_claims, 0) AS prior_claims,
+               {_LAST_COLS},
+               {_LAST_MISSING}
+        FROM v_member m
+        LEFT JOIN (SELECT member_id, count(*) AS n_conditions,
+                          CAST(sum(CASE WHEN chronic_flag = '1' THEN 1 ELSE 0 END) AS BIGINT)
+                            AS n_chronic
+                   FROM (SELECT DISTINCT member_id, condition_name, chronic_flag FROM v_claim
+                         WHERE service_date <= DATE '2001-02-01')
+                   GROUP BY member_id) c ON c.member_id = m.member_id
+        LEFT JOIN (SELECT member_id, round(sum(paid), 4) AS prior_cost,
+                          round(sum(CASE WHEN avoidable THEN paid ELSE 0E0 END), 4)
+                            AS prior_avoidable,
+                          CAST(sum(CASE WHEN setting = 'IP' THEN 1 ELSE 0 END) AS BIGINT)
+                            AS prior_ip,
+                          CAST(sum(CASE WHEN setting = 'ER' THEN 1 ELSE 0 END) AS BIGINT)
+                            AS prior_er,
+                          count(*) AS prior_claims
+                   FROM v_claim
+                   WHERE service_date > DATE '2000-02-01' AND service_date <= DATE '2001-02-01'
+                   GROUP BY member_id) h ON h.member_id = m.member_id
+        LEFT JOIN (SELECT user_id AS member_id, {_LAST}
+                   FROM events GROUP BY user_id) e ON e.member_id = m.member_id""")
+register("member_features", "SELECT * FROM v_mfeat", "v_mfeat")
+register("six_month_outcomes", "SELECT * FROM v_outcome", "v_outcome")
+register("capture_curve", """
+    , ra AS (SELECT member_id, row_number() OVER (ORDER BY cost_total DESC NULLS LAST, member_id)
+                     AS ra FROM v_outcome),
+    rp AS (SELECT member_id, 'risk_score' AS baseline,
+                  row_number() OVER (ORDER BY risk_score DESC NULLS LAST, member_id) AS rp
+           FROM v_mfeat
+           UNION ALL
+           SELECT member_id, 'prior_cost',
+                  row_number() OVER (ORDER BY prior_cost DESC NULLS LAST, member_id) FROM v_mfeat
+           UNION ALL
+           SELECT member_id, 'prior_avoidable',
+                  row_number() OVER (ORDER BY prior_avoidable DESC NULLS LAST, member_id)
+           FROM v_mfeat),
+    b AS (SELECT rp.baseline, greatest(ra.ra, rp.rp) AS m FROM ra JOIN rp
+            ON ra.member_id = rp.member_id),
+    n AS (SELECT count(*) AS n FROM ra JOIN (SELECT DISTINCT member_id FROM v_mfeat) x
+            ON x.member_id = ra.member_id),
+    lv AS (SELECT unnest([0.01E0, 0.05E0, 0.1E0, 0.2E0, 0.5E0, 1.0E0]) AS level)
+    SELECT b.baseline, lv.level, CAST(ceil(n.n * lv.level) AS BIGINT) AS n_top,
+           round(sum(CASE WHEN b.m <= ceil(n.n * lv.level) THEN 1 ELSE 0 END)
+                 / ceil(n.n * lv.level), 6) AS capture
+    FROM b, n, lv GROUP BY b.baseline, lv.level, n.n""", "v_outcome", "v_mfeat")
+# the body above continues the WITH list: fix the prefix
+ORACLE["capture_curve"] = ORACLE["capture_curve"].replace(")\n\n    , ra AS", "),\n    ra AS") \
+    .replace("\n)\n\n    , ra AS", "\n),\n    ra AS")
+register("priority_list", """
+    SELECT member_id, prior_cost FROM v_mfeat
+    ORDER BY prior_cost DESC NULLS LAST, member_id LIMIT 25""", "v_mfeat")
+register("provider_benchmark", """
+    SELECT a.providerid, count(*) AS members, round(sum(o.cost_total), 2) AS actual,
+           round(sum(f.prior_cost / 2), 2) AS predicted,
+           CASE WHEN round(sum(f.prior_cost / 2), 2) <> 0
+                THEN round(round(sum(o.cost_total), 2) / round(sum(f.prior_cost / 2), 2), 6)
+           END AS ratio
+    FROM (SELECT member_id, providerid FROM (
+            SELECT member_id, providerid,
+                   row_number() OVER (PARTITION BY member_id ORDER BY n DESC, providerid) AS r
+            FROM (SELECT member_id, providerid, count(*) AS n FROM v_claim
+                  WHERE service_date <= DATE '2001-02-01' GROUP BY member_id, providerid))
+          WHERE r = 1) a
+    JOIN v_outcome o ON o.member_id = a.member_id
+    JOIN v_mfeat f ON f.member_id = a.member_id
+    GROUP BY a.providerid""", "v_claim", "v_outcome", "v_mfeat")
+
+# ---- neighbour-based filtering -------------------------------------------------------------
+VIEWS["v_known"] = (("v_feat",), """
+        SELECT DISTINCT member_id, condition_name AS c, chronic_flag AS f FROM v_feat""")
+VIEWS["v_gram"] = (("v_known",), """
+        SELECT a.c AS ci, a.f AS fi, b.c AS cj, b.f AS fj, count(*) AS n,
+               sum(1 / w.nrm) AS nw
+        FROM v_known a JOIN v_known b ON a.member_id = b.member_id
+        JOIN (SELECT member_id, sqrt(count(*)) AS nrm FROM v_known GROUP BY member_id) w
+          ON w.member_id = a.member_id
+        GROUP BY a.c, a.f, b.c, b.f""")
+_TOPK = """
+    SELECT member_id, condition_name, chronic_flag, round(score, 6) AS score, pred_rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY member_id
+                                   ORDER BY round(score, 9) DESC, condition_name, chronic_flag)
+                AS pred_rank
+      FROM (SELECT s.* FROM sc s ANTI JOIN v_known k
+              ON k.member_id = s.member_id AND k.c = s.condition_name AND k.f = s.chronic_flag)
+      WHERE round(score, 9) > 0)
+    WHERE pred_rank <= 10"""
+register("item_based_recs", """
+    , d AS (SELECT ci, fi, n FROM v_gram WHERE ci = cj AND fi = fj),
+    s AS (SELECT g.ci, g.fi, g.cj, g.fj, g.n / sqrt(d1.n * d2.n) AS sim
+          FROM v_gram g JOIN d d1 ON d1.ci = g.ci AND d1.fi = g.fi
+          JOIN d d2 ON d2.ci = g.cj AND d2.fi = g.fj
+          WHERE NOT (g.ci = g.cj AND g.fi = g.fj)),
+    sc AS (SELECT k.member_id, s.cj AS condition_name, s.fj AS chronic_flag, sum(s.sim) AS score
+           FROM v_known k JOIN s ON s.ci = k.c AND s.fi = k.f
+           GROUP BY k.member_id, s.cj, s.fj)""" + _TOPK, "v_known", "v_gram")
+register("user_based_recs", """
+    , w AS (SELECT member_id, sqrt(count(*)) AS nrm FROM v_known GROUP BY member_id),
+    sc AS (SELECT k.member_id, g.cj AS condition_name, g.fj AS chronic_flag,
+                  sum(g.nw) / max(w.nrm) AS score
+           FROM v_known k JOIN v_gram g ON g.ci = k.c AND g.fi = k.f
+           JOIN w ON w.member_id = k.member_id
+           GROUP BY k.member_id, g.cj, g.fj)""" + _TOPK, "v_known", "v_gram")
+for _n in ("item_based_recs", "user_based_recs"):
+    ORACLE[_n] = ORACLE[_n].replace("\n)\n\n    , ", "\n),\n    ")
