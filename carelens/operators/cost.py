@@ -121,33 +121,46 @@ def member_features(members: DataFrame, conditions: DataFrame, claims: DataFrame
                             for m in measures})
 
 
-def global_rank(df: DataFrame, score: str, key: str = "member_id", name: str = "rank"
-                ) -> DataFrame:
-    """Exact rank by score descending (nulls last, ties by key) without a one-task window:
-    the contiguous-id operator over (null flag, -score, key)."""
-    keyed = df.select(key, F.col(score).isNull().alias("_null"), (-F.col(score)).alias("_neg"))
-    ranked = contiguous_ids(keyed, ["_null", "_neg", key], name)
-    return ranked.select(key, name)
-
-
-def capture_curve(actual: DataFrame, scored: DataFrame, actual_col: str, score_col: str,
-                  levels: Sequence[float], key: str = "member_id") -> DataFrame:
-    """For each X in ``levels``, the share of the actual top X% that is also in the
-    predicted top X% (top X% = first ceil(n * X) members; ties broken by member key).
-
-    A member is in both top lists at level X iff max(actual rank, predicted rank) <= n_X, so
-    one aggregate with a conditional count per level does the whole curve."""
+def global_rank(df: DataFrame, score: str, key: str = "member_id", name: str = "rank",
+                group: str | None = None) -> DataFrame:
+    """Exact rank by score descending (nulls last, ties by key), per ``group`` if given, without
+    a one-task window: one contiguous-id pass over (group, null flag, -score, key), minus the
+    first id of each group."""
+    g = [group] if group else []
+    keyed = df.select(*g, key, F.col(score).isNull().alias("_null"),
+                      (-F.col(score)).alias("_neg"))
+    ranked = contiguous_ids(keyed, [*g, "_null", "_neg", key], "_id")
+    if not g:
+        return ranked.select(key, F.col("_id").alias(name))
+    first = ranked.groupBy(*g).agg(F.min("_id").alias("_first"))      # one row per group
+    return ranked.join(F.broadcast(first), g).select(
+        *g, key, (F.col("_id") - F.col("_first") + 1).alias(name))
+
+
+def capture_curves(actual: DataFrame, scored: DataFrame, actual_col: str,
+                   score_cols: Sequence[str], levels: Sequence[float], key: str = "member_id"
+                   ) -> DataFrame:
+    """T21 (+T22): for each ranking in ``score_cols`` and each X in ``levels``, the share of
+    the actual top X% that is also in the ranking's top X% (top X% = first ceil(n * X)
+    members; ties broken by member key).
+
+    A member is in both top lists at level X iff max(actual rank, score rank) <= n_X, so one
+    aggregate with a conditional count per level gives every curve. The actual ranking is
+    computed once; all score rankings share one id pass (scores unpivoted to long form)."""
     ra = global_rank(actual, actual_col, key, "_ra")
-    rp = global_rank(scored, score_col, key, "_rp")
+    long = scored.select(key, *[F.col(c).cast("double").alias(c) for c in score_cols]) \
+        .unpivot(key, list(score_cols), "baseline", "_score")
+    rp = global_rank(long, "_score", key, "_rp", group="baseline")
     both = ra.join(rp, key).withColumn("_m", F.greatest("_ra", "_rp"))
-    n = both.agg(F.count(F.lit(1))).scalar()
+    n = ra.join(scored.select(key).distinct(), key).agg(F.count(F.lit(1))).scalar()
     cols = []
     for x in levels:
         nx = F.ceil(n * F.lit(float(x)))
         cols.append(F.struct(F.lit(float(x)).alias("level"), nx.cast("bigint").alias("n_top"),
                              F.round(F.sum(F.when(F.col("_m") <= nx, 1).otherwise(0)) / nx, 6)
                              .alias("capture")))
-    return both.agg(F.array(*cols).alias("c")).select(F.inline("c"))
+    return both.groupBy("baseline").agg(F.array(*cols).alias("c")) \
+        .select("baseline", F.inline("c"))
 
 
 def priority_list(scored: DataFrame, score_col: str, k: int = 25, key: str = "member_id"
@@ -171,8 +184,8 @@ def provider_benchmark(actual: DataFrame, predicted: DataFrame, attribution: Dat
         .join(predicted.select("member_id", pred_col), "member_id")
     agg = x.groupBy("providerid").agg(
         F.count(F.lit(1)).alias("members"),
-        F.round(F.sum(actual_col), 2).alias("actual"),
-        F.round(F.sum(pred_col), 2).alias("predicted"))
+        F.round(F.sum(actual_col), MONEY_DIGITS).alias("actual"),
+        F.round(F.sum(pred_col), MONEY_DIGITS + 2).alias("predicted"))
     ratio = F.when(F.col("predicted") != 0, F.round(F.col("actual") / F.col("predicted"), 6))
     return agg.withColumn("ratio", ratio)
 

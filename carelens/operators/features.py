@@ -35,6 +35,27 @@ def condition_credibility(claims: DataFrame, as_of: str, setting_weights=None,
                  F.round(log_credibility(cred), digits).alias("log_adjusted_credibility")))
 
 
+def condition_history(claims: DataFrame, cut: str, setting_weights=None, half_life_days=None,
+                      digits: int = 6) -> DataFrame:
+    """T2 + T4 in one pass: per (member, condition, class) the credibility of visits up to the
+    cut (null when there were none) and whether the condition was coded after the cut.
+
+    Tuning features, hold-out responses and newly coded conditions are all filters of this one
+    aggregate, which replaces two aggregations and an anti-join shuffle."""
+    c = F.to_date(F.lit(cut))
+    d = F.col("service_date")
+    weight = decayed_weight("setting", F.datediff(c, d), "chronic_flag", setting_weights,
+                            half_life_days)
+    agg = claims.groupBy("member_id", "condition_name", "chronic_flag").agg(
+        F.sum(F.when(d <= c, weight)).alias("_cred"),
+        F.max((d > c).cast("int")).alias("_later"))
+    return agg.select(
+        "member_id", "condition_name", "chronic_flag",
+        F.round(sqrt_credibility("_cred"), digits).alias("sqrt_adjusted_credibility"),
+        F.round(log_credibility("_cred"), digits).alias("log_adjusted_credibility"),
+        (F.col("_later") == 1).alias("coded_after_cut"))
+
+
 def holdout_responses(claims: DataFrame, cut: str) -> DataFrame:
     """T4: conditions coded after the cut (the response window), one row per key."""
     return (claims.filter(F.col("service_date") > F.to_date(F.lit(cut)))

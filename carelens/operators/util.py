@@ -11,9 +11,13 @@ from pyspark.sql import functions as F
 def broadcast_bounded(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast ``df`` only when it has at most ``max_rows`` rows; otherwise leave the join to
     the planner (shuffle join, or AQE's runtime broadcast when it measures a small side).
-    The count is one cheap job over an already small (usually checkpointed) table."""
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
+
+    The table is materialized first (reliable checkpoint), so the size check and the join read
+    the same rows and its upstream is computed once, not once for the count and once more for
+    the join."""
+    done = df.checkpoint(eager=True)
+    n = done.count()
+    return F.broadcast(done) if n <= max_rows else done
 
 
 def rank_top(df: DataFrame, partition: Sequence[str], order: Sequence[Column], k: int | None,

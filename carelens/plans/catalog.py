@@ -331,13 +331,8 @@ LEVELS = [0.01, 0.05, 0.1, 0.2, 0.5, 1.0]                          # top X share
 @query
 def capture_curve(src: Source) -> DataFrame:
     """Share of the actual top X% (six-month cost) found by each baseline ranking."""
-    feats, act = _member_features(src), _outcomes(src)
-    parts = [cost.capture_curve(act, feats, "cost_total", b, LEVELS)
-             .select(F.lit(b).alias("baseline"), "level", "n_top", "capture") for b in BASELINES]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return cost.capture_curves(_outcomes(src), _member_features(src), "cost_total", BASELINES,
+                               LEVELS)
 
 
 @query
@@ -367,3 +362,59 @@ def item_based_recs(src: Source) -> DataFrame:
 def user_based_recs(src: Source) -> DataFrame:
     """Ten uncoded conditions per member voted by cosine-similar members."""
     return longs(neighbours.user_based(inputs.tune_features(src), 10))
+
+
+# ---- boosted trees (T16-T20, T25, T26) ---------------------------------------------------------
+from carelens.operators import boosting  # noqa: E402
+
+MODEL_COLUMNS = ["age", "male", "gender_missing", "risk_score", "n_conditions", "n_chronic",
+                 "prior_cost", "prior_avoidable", "prior_ip", "prior_er", "prior_claims",
+                 *[f"last_{m}" for m in MEASURES], *[f"last_{m}_missing" for m in MEASURES]]
+
+
+def _model_frame(src: Source) -> DataFrame:
+    """Member features + six-month outcomes as a model frame with a feature vector."""
+    return inputs._memo(src, "model_frame", lambda: boosting.assemble(
+        _member_features(src).join(_outcomes(src), "member_id"), MODEL_COLUMNS))
+
+
+@query
+def ip_event_model(src: Source) -> DataFrame:
+    """Boosted-tree probability of an inpatient stay in the next six months."""
+    df = _model_frame(src)
+    m = boosting.event_model(df, "any_ip", trees=20, depth=4).fit(df)
+    return boosting.probability(m.transform(df)).select("member_id", "any_ip", "prob")
+
+
+@query
+def er_repeated_cv(src: Source) -> DataFrame:
+    """Repeated 3-fold cross-validation for the ER-visit probability; the tree count with
+    the lowest mean fold loss is used and out-of-fold predictions averaged over repeats."""
+    return longs(boosting.repeated_kfold(_model_frame(src), "any_er", k=3, repeats=2, trees=15,
+                                         depth=3))
+
+
+@query
+def cost_quantile_model(src: Source) -> DataFrame:
+    """90th-percentile six-month cost by quantile-loss boosting on random subspaces."""
+    df = _model_frame(src)
+    model = boosting.quantile_boost(df, "cost_total", tau=0.9, trees=8, depth=3)
+    return model.predict(df.select("member_id", "cost_total", "features")).select(
+        "member_id", "cost_total", F.col("prediction").alias("cost_q90"))
+
+
+@query
+def population_models(src: Source) -> DataFrame:
+    """One inpatient-probability model per eligibility population."""
+    return boosting.per_population(_model_frame(src), "eligibility_status", "any_ip",
+                                   trees=10, depth=3)
+
+
+@query
+def condition_models(src: Source) -> DataFrame:
+    """A logistic regression per popular condition predicting a new coding in the
+    hold-out (the conventional comparator of the recommender)."""
+    feats = boosting.assemble(_member_features(src).fillna(0.0), MODEL_COLUMNS)
+    conds = [r["condition_name"] for r in inputs.popular(src)
+             .filter(F.col("pred_rank") <= 2).orderBy("chronic_flag", "pred_rank").collect()]
+    return boosting.per_condition(feats, inputs.new_conditions(src), conds)

@@ -18,18 +18,31 @@ def _memo(src: Source, key: str, build):
     return cache[key]
 
 
+def history(src: Source) -> DataFrame:
+    """Credibility before the hold-out cut and coding after it, one pass over the claims,
+    materialized once (checkpoint) because every recommender step reads it."""
+    return _memo(src, "history", lambda: features.condition_history(
+        src.claims, HOLDOUT_CUT).checkpoint(eager=True))
+
+
+FEATURE_COLS = ["member_id", "condition_name", "chronic_flag", "sqrt_adjusted_credibility",
+                "log_adjusted_credibility"]
+
+
 def tune_features(src: Source) -> DataFrame:
-    return _memo(src, "tune_feat", lambda: features.condition_credibility(src.claims, HOLDOUT_CUT))
+    return _memo(src, "tune_feat", lambda: history(src).filter(
+        F.col("sqrt_adjusted_credibility").isNotNull()).select(*FEATURE_COLS))
 
 
 def pred_features(src: Source) -> DataFrame:
     """Prediction features: every claim, aged from the last service date (M15 input)."""
-    return _memo(src, "pred_feat",
-                 lambda: features.condition_credibility(src.claims, LAST_SERVICE_DATE))
+    return _memo(src, "pred_feat", lambda: features.condition_credibility(
+        src.claims, LAST_SERVICE_DATE).checkpoint(eager=True))
 
 
 def responses(src: Source) -> DataFrame:
-    return _memo(src, "resp", lambda: features.holdout_responses(src.claims, HOLDOUT_CUT))
+    return _memo(src, "resp", lambda: history(src).filter("coded_after_cut")
+                 .select("member_id", "condition_name", "chronic_flag"))
 
 
 def demographics(src: Source) -> DataFrame:
@@ -62,7 +75,10 @@ def gender_labels(src: Source) -> DataFrame:
 
 
 def new_conditions(src: Source) -> DataFrame:
-    return _memo(src, "new", lambda: candidates.new_only(responses(src), tune_features(src)))
+    """M8 as a filter of the fused history: coded after the cut, no credibility before it."""
+    return _memo(src, "new", lambda: history(src).filter(
+        F.col("coded_after_cut") & F.col("sqrt_adjusted_credibility").isNull())
+        .select("member_id", "condition_name", "chronic_flag"))
 
 
 def popular(src: Source) -> DataFrame:

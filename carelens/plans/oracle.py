@@ -372,10 +372,10 @@ register("priority_list", """
     SELECT member_id, prior_cost FROM v_mfeat
     ORDER BY prior_cost DESC NULLS LAST, member_id LIMIT 25""", "v_mfeat")
 register("provider_benchmark", """
-    SELECT a.providerid, count(*) AS members, round(sum(o.cost_total), 2) AS actual,
-           round(sum(f.prior_cost / 2), 2) AS predicted,
-           CASE WHEN round(sum(f.prior_cost / 2), 2) <> 0
-                THEN round(round(sum(o.cost_total), 2) / round(sum(f.prior_cost / 2), 2), 6)
+    SELECT a.providerid, count(*) AS members, round(sum(o.cost_total), 4) AS actual,
+           round(sum(f.prior_cost / 2), 6) AS predicted,
+           CASE WHEN round(sum(f.prior_cost / 2), 6) <> 0
+                THEN round(round(sum(o.cost_total), 4) / round(sum(f.prior_cost / 2), 6), 6)
            END AS ratio
     FROM (SELECT member_id, providerid FROM (
             SELECT member_id, providerid,
