@@ -82,7 +82,9 @@ def new_conditions(src: Source) -> DataFrame:
 
 
 def popular(src: Source) -> DataFrame:
-    return _memo(src, "popular", lambda: candidates.popular_conditions(tune_features(src), 30))
+    """Top 30 per class; tiny, read by several steps, so materialized once."""
+    return _memo(src, "popular", lambda: candidates.popular_conditions(
+        tune_features(src), 30).checkpoint(eager=True))
 
 
 def popular_scored(src: Source) -> DataFrame:
