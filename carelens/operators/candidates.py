@@ -19,13 +19,17 @@ KEYS3 = ["member_id", "condition_name", "chronic_flag"]
 GENDER_SHARE = 0.95        # share of member-rows of one gender that makes a condition specific
 
 
-def gender_labels(features: DataFrame, members: DataFrame, share: float = GENDER_SHARE
-                  ) -> DataFrame:
+def gender_labels(features: DataFrame, members: DataFrame | None = None,
+                  share: float = GENDER_SHARE) -> DataFrame:
     """M7: per condition, share of member-rows that are male / female; 'Male' if the male share
-    is at least ``share``, else 'Female' if the female share is, else 'Both'."""
+    is at least ``share``, else 'Female' if the female share is, else 'Both'. When the feature
+    rows already carry the member's gender, pass ``members=None`` and no join is needed."""
     g = F.col("gender")
-    rows = features.select("member_id", "condition_name").join(
-        members.select("member_id", "gender"), "member_id")
+    if members is None:
+        rows = features.select("member_id", "condition_name", "gender")
+    else:
+        rows = features.select("member_id", "condition_name").join(
+            members.select("member_id", "gender"), "member_id")
     agg = rows.groupBy("condition_name").agg(
         F.avg(F.when(g == "M", 1).otherwise(0)).alias("avg_males"),
         F.avg(F.when(g == "F", 1).otherwise(0)).alias("avg_females"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,25 +37,40 @@ def condition_credibility(claims: DataFrame, as_of: str, setting_weights=None,
                  F.round(log_credibility(cred), digits).alias("log_adjusted_credibility")))
 
 
-def condition_history(claims: DataFrame, cut: str, setting_weights=None, half_life_days=None,
+def condition_history(claims: DataFrame, cut: str, as_of: str | None = None,
+                      carry: Sequence[str] = (), setting_weights=None, half_life_days=None,
                       digits: int = 6) -> DataFrame:
     """T2 + T4 in one pass: per (member, condition, class) the credibility of visits up to the
-    cut (null when there were none) and whether the condition was coded after the cut.
+    cut (null when there were none) and whether the condition was coded after the cut. With
+    ``as_of`` it also holds the credibility of every visit up to ``as_of`` aged from that date
+    (the prediction features, ``pred_`` columns).
+
+    Tuning features, hold-out responses, newly coded conditions and prediction features are
+    all filters/projections of this one aggregate, which replaces three aggregations and an
+    anti-join shuffle. ``carry`` names member attributes (e.g. gender) that are constant per
+    member; they ride along as grouping keys so later steps need no join back to members."""
+    d = F.col("service_date")
+
+    def weight(ref):
+        return decayed_weight("setting", F.datediff(ref, d), "chronic_flag", setting_weights,
+                              half_life_days)
 
-    Tuning features, hold-out responses and newly coded conditions are all filters of this one
-    aggregate, which replaces two aggregations and an anti-join shuffle."""
     c = F.to_date(F.lit(cut))
-    d = F.col("service_date")
-    weight = decayed_weight("setting", F.datediff(c, d), "chronic_flag", setting_weights,
-                            half_life_days)
-    agg = claims.groupBy("member_id", "condition_name", "chronic_flag").agg(
-        F.sum(F.when(d <= c, weight)).alias("_cred"),
-        F.max((d > c).cast("int")).alias("_later"))
-    return agg.select(
-        "member_id", "condition_name", "chronic_flag",
+    aggs = [F.sum(F.when(d <= c, weight(c))).alias("_cred"),
+            F.max((d > c).cast("int")).alias("_later")]
+    if as_of is not None:
+        a = F.to_date(F.lit(as_of))
+        aggs.append(F.sum(F.when(d <= a, weight(a))).alias("_pred"))
+    agg = claims.groupBy("member_id", "condition_name", "chronic_flag", *carry).agg(*aggs)
+    cols = [
+        "member_id", "condition_name", "chronic_flag", *carry,
         F.round(sqrt_credibility("_cred"), digits).alias("sqrt_adjusted_credibility"),
         F.round(log_credibility("_cred"), digits).alias("log_adjusted_credibility"),
-        (F.col("_later") == 1).alias("coded_after_cut"))
+        (F.col("_later") == 1).alias("coded_after_cut")]
+    if as_of is not None:
+        cols += [F.round(sqrt_credibility("_pred"), digits).alias("pred_sqrt_adjusted_credibility"),
+                 F.round(log_credibility("_pred"), digits).alias("pred_log_adjusted_credibility")]
+    return agg.select(*cols)
 
 
 def holdout_responses(claims: DataFrame, cut: str) -> DataFrame:

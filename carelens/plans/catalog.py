@@ -418,3 +418,9 @@ def condition_models(src: Source) -> DataFrame:
     conds = [r["condition_name"] for r in inputs.popular(src)
              .filter(F.col("pred_rank") <= 2).orderBy("chronic_flag", "pred_rank").collect()]
     return boosting.per_condition(feats, inputs.new_conditions(src), conds)
+
+
+@query
+def prediction_features(src: Source) -> DataFrame:
+    """M15 input: credibility over every claim, aged from the last service date."""
+    return inputs.pred_features(src)

@@ -22,7 +22,8 @@ def history(src: Source) -> DataFrame:
     """Credibility before the hold-out cut and coding after it, one pass over the claims,
     materialized once (checkpoint) because every recommender step reads it."""
     return _memo(src, "history", lambda: features.condition_history(
-        src.claims, HOLDOUT_CUT).checkpoint(eager=True))
+        src.claims_with_gender, HOLDOUT_CUT, LAST_SERVICE_DATE, carry=["gender"])
+        .checkpoint(eager=True))
 
 
 FEATURE_COLS = ["member_id", "condition_name", "chronic_flag", "sqrt_adjusted_credibility",
@@ -36,8 +37,11 @@ def tune_features(src: Source) -> DataFrame:
 
 def pred_features(src: Source) -> DataFrame:
     """Prediction features: every claim, aged from the last service date (M15 input)."""
-    return _memo(src, "pred_feat", lambda: features.condition_credibility(
-        src.claims, LAST_SERVICE_DATE).checkpoint(eager=True))
+    return _memo(src, "pred_feat", lambda: history(src).filter(
+        F.col("pred_sqrt_adjusted_credibility").isNotNull()).select(
+        "member_id", "condition_name", "chronic_flag",
+        F.col("pred_sqrt_adjusted_credibility").alias("sqrt_adjusted_credibility"),
+        F.col("pred_log_adjusted_credibility").alias("log_adjusted_credibility")))
 
 
 def responses(src: Source) -> DataFrame:
@@ -71,7 +75,8 @@ def ratings(src: Source, which: str = "tune") -> DataFrame:
 
 
 def gender_labels(src: Source) -> DataFrame:
-    return _memo(src, "labels", lambda: candidates.gender_labels(tune_features(src), src.members))
+    return _memo(src, "labels", lambda: candidates.gender_labels(history(src).filter(
+        F.col("sqrt_adjusted_credibility").isNotNull())).checkpoint(eager=True))
 
 
 def new_conditions(src: Source) -> DataFrame:

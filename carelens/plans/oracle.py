@@ -424,3 +424,14 @@ register("user_based_recs", """
            GROUP BY k.member_id, g.cj, g.fj)""" + _TOPK, "v_known", "v_gram")
 for _n in ("item_based_recs", "user_based_recs"):
     ORACLE[_n] = ORACLE[_n].replace("\n)\n\n    , ", "\n),\n    ")
+
+register("prediction_features", """
+    SELECT member_id, condition_name, chronic_flag,
+           round(sqrt(sum(w)), 6) AS sqrt_adjusted_credibility,
+           round(ln(1 + sum(w)), 6) AS log_adjusted_credibility
+    FROM (SELECT member_id, condition_name, chronic_flag,
+                 CASE setting WHEN 'IP' THEN 2E0 ELSE 1E0 END
+                 * power(0.5E0, date_diff('day', service_date, DATE '2001-08-01')
+                                / CASE chronic_flag WHEN '1' THEN 730E0 ELSE 365E0 END) AS w
+          FROM v_claim WHERE service_date <= DATE '2001-08-01')
+    GROUP BY member_id, condition_name, chronic_flag""", "v_claim")

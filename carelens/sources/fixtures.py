@@ -107,14 +107,19 @@ class Source:
         )
 
     @cached_property
-    def claims(self) -> DataFrame:
-        """Grouped claims (T1 applied). Conditions named 'cold ...' occur only for men, so the
-        gender labels are not all 'Both'."""
+    def claims_with_gender(self) -> DataFrame:
+        """Grouped claims (T1 applied) still carrying the member's gender. Conditions named
+        'cold ...' occur only for men, so the gender labels are not all 'Both'."""
         from carelens.operators.features import group_diagnoses
         grouped = group_diagnoses(self.claim_lines, self.diagnosis_grouping)
         hidden = F.col("condition_name").startswith("cold ") & \
             (F.coalesce(F.col("gender"), F.lit("F")) != "M")
-        return grouped.filter(~hidden).drop("gender")
+        return grouped.filter(~hidden)
+
+    @cached_property
+    def claims(self) -> DataFrame:
+        """Grouped claims: member, provider, diagnosis, condition, class, setting, date, cost."""
+        return self.claims_with_gender.drop("gender")
 
     @cached_property
     def measurements(self) -> DataFrame:

@@ -83,3 +83,11 @@ def test_explanations_sum_to_rating_without_nonnegativity(spark):
     c = explain.contributions(model, ratings, targets, params)
     worst = c.agg(F.max(F.abs("residual_a"))).first()[0]
     assert worst < 1e-4
+
+
+def test_standalone_credibility_equals_fused_history(spark):
+    from carelens.operators import features
+    src = Source(spark, SF_SMALL)
+    alone = features.condition_credibility(src.claims, "2001-06-01")
+    assert sorted(map(tuple, alone.collect())) == sorted(map(tuple,
+                                                             inputs.tune_features(src).collect()))
