@@ -135,10 +135,15 @@ def quantile_boost(df: DataFrame, label: str, tau: float = 0.9, trees: int = 10,
 
 
 def per_population(df: DataFrame, population: str, label: str, trees: int = 10, depth: int = 3,
-                   seed: int = 11, key: str = "member_id") -> DataFrame:
+                   seed: int = 11, key: str = "member_id", max_populations: int = 500
+                   ) -> DataFrame:
     """One model per population (driver loop over the population values, each fit is a
-    distributed job). Returns (member, population, prob)."""
-    values = [r[0] for r in df.select(population).distinct().orderBy(population).collect()]
+    distributed job). Returns (member, population, prob). The number of populations is checked
+    against ``max_populations`` before the loop."""
+    values = [r[0] for r in df.select(population).distinct().orderBy(population)
+              .limit(max_populations + 1).collect()]
+    if len(values) > max_populations:
+        raise ValueError(f"more than {max_populations} populations in {population}")
     outs = []
     for v in values:
         part = df.filter(F.col(population) == v)

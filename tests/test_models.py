@@ -104,3 +104,19 @@ def test_quantile_boost_coverage(spark):
     m = boosting.quantile_boost(df, "y", tau=0.9, trees=6, depth=3, subspace=1.0)
     cov = m.predict(df).agg(F.avg((F.col("y") <= F.col("prediction")).cast("double"))).first()[0]
     assert 0.85 <= cov <= 0.95, cov
+
+
+def test_top_n_all_matches_exact_recommend_without_filters(spark):
+    fdf, rdf, mdf = _planted(spark, members=40)
+    fa = features.munge_features(features.demographic_features(mdf), fdf)
+    um = ids.contiguous_ids(fa, "member_id", "user_id")
+    pm = ids.contiguous_ids(fa, ["feature_name", "feature_value", "chronic_flag"], "product_id")
+    model = factor.fit(ids.ratings(fa, um, pm), factor.Params(4, 5.0, 0.1))
+    flat = factor.top_n_all(model, 3)
+    assert flat.columns == ["user_id", "product_id", "rating"]
+    assert flat.groupBy("user_id").count().filter("count <> 3").count() == 0
+    # the literal cut-then-filter path keeps at most what the exact path keeps
+    empty = fdf.limit(0)
+    cut = factor.recommend(model, um, pm, empty, mdf, None, 3, unlabelled="keep", n_candidates=3)
+    exact = factor.recommend(model, um, pm, empty, mdf, None, 3, unlabelled="keep")
+    assert cut.count() <= exact.count()

@@ -34,3 +34,10 @@ def test_readers_writers(spark):
     loaded = tables.load_table(spark, os.path.join(base, "preds"), "preds_view")
     assert spark.sql("SELECT count(*) FROM preds_view").first()[0] == loaded.count() == 1
     assert tables.row_count(loaded).first().row_cnt == 1
+
+
+def test_persist_table(spark):
+    from pyspark import StorageLevel
+    df = tables.persist_table(spark.range(10), StorageLevel.MEMORY_AND_DISK)
+    assert df.count() == 10 and df.storageLevel.useDisk
+    df.unpersist()
