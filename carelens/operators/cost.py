@@ -52,22 +52,52 @@ def period_summary(claims: DataFrame, grain: str = "quarter") -> DataFrame:
     return claims.groupBy("member_id", period.alias("period")).agg(*aggs)
 
 
-def window_between(claims: DataFrame, start: Column, end: Column) -> DataFrame:
-    d = F.col("service_date")
-    return claims.filter((d > start) & (d <= end))
-
-
-def outcomes(claims: DataFrame, members: DataFrame, cut: str, months: int = 6) -> DataFrame:
-    """Outcomes in (cut, cut + months]: any inpatient stay, any ER visit, total and
-    avoidable cost. Members without claims get zeros (left join from the member table)."""
+def member_profile(claims: DataFrame, cut: str, history_months: int = 12,
+                   outcome_months: int = 6) -> DataFrame:
+    """Everything the cost models need from the claims, in one pass: per member, the conditions
+    coded up to the cut (T14), cost and utilization in the ``history_months`` up to the cut
+    (T22) and the outcomes in the ``outcome_months`` after it (T15).
+
+    Two-level aggregate: per (member, condition, class) first, so the condition count needs no
+    distinct aggregate, then per member. Both levels are sums/maxima, pre-aggregated per task,
+    so a member holding a third of all claims is combined before the shuffle. Members without
+    claims in a window have nulls here; ``outcomes`` / ``member_features`` zero-fill them."""
     c = F.to_date(F.lit(cut))
-    nxt = window_between(claims, c, F.add_months(c, months))
-    per = nxt.groupBy("member_id").agg(
-        F.max(F.when(F.col("setting") == "IP", 1).otherwise(0)).alias("any_ip"),
-        F.max(F.when(F.col("setting") == "ER", 1).otherwise(0)).alias("any_er"),
-        F.sum("paid").alias("cost_total"),
-        _paid_if(F.col("avoidable")).alias("cost_avoidable"))
-    return members.select("member_id").join(per, "member_id", "left").select(
+    d, setting, avoid, paid = (F.col("service_date"), F.col("setting"), F.col("avoidable"),
+                               F.col("paid"))
+    past = (d > F.add_months(c, -history_months)) & (d <= c)
+    nxt = (d > c) & (d <= F.add_months(c, outcome_months))
+
+    def cnt(cond):
+        return F.sum(F.when(cond, 1).otherwise(0)).cast("bigint")
+
+    per_condition = claims.groupBy("member_id", "condition_name", "chronic_flag").agg(
+        F.max((d <= c).cast("int")).alias("_coded"),
+        F.sum(F.when(past, paid)).alias("_pc"),
+        F.sum(F.when(past & avoid, paid).when(past, F.lit(0.0))).alias("_pa"),
+        cnt(past & (setting == "IP")).alias("_pi"),
+        cnt(past & (setting == "ER")).alias("_pe"),
+        cnt(past).alias("_pn"),
+        F.max((nxt & (setting == "IP")).cast("int")).alias("_oi"),
+        F.max((nxt & (setting == "ER")).cast("int")).alias("_oe"),
+        F.sum(F.when(nxt, paid)).alias("_oc"),
+        F.sum(F.when(nxt & avoid, paid).when(nxt, F.lit(0.0))).alias("_oa"))
+    return per_condition.groupBy("member_id").agg(
+        F.sum("_coded").cast("bigint").alias("n_conditions"),
+        F.sum(F.when(F.col("chronic_flag") == "1", F.col("_coded")).otherwise(0)).cast("bigint")
+         .alias("n_chronic"),
+        _money(F.sum("_pc")).alias("prior_cost"),
+        _money(F.sum("_pa")).alias("prior_avoidable"),
+        F.sum("_pi").alias("prior_ip"), F.sum("_pe").alias("prior_er"),
+        F.sum("_pn").alias("prior_claims"),
+        F.max("_oi").alias("any_ip"), F.max("_oe").alias("any_er"),
+        F.sum("_oc").alias("cost_total"), F.sum("_oa").alias("cost_avoidable"))
+
+
+def outcomes(profile: DataFrame, members: DataFrame) -> DataFrame:
+    """Any inpatient stay, any ER visit, total and avoidable cost after the cut; members
+    without claims get zeros (left join from the member table)."""
+    return members.select("member_id").join(profile, "member_id", "left").select(
         "member_id",
         F.coalesce("any_ip", F.lit(0)).cast("int").alias("any_ip"),
         F.coalesce("any_er", F.lit(0)).cast("int").alias("any_er"),
@@ -75,18 +105,6 @@ def outcomes(claims: DataFrame, members: DataFrame, cut: str, months: int = 6) -
         _money(F.coalesce("cost_avoidable", F.lit(0.0))).alias("cost_avoidable"))
 
 
-def history(claims: DataFrame, cut: str, months: int = 12) -> DataFrame:
-    """T22 inputs: cost and utilization in the ``months`` up to the cut."""
-    c = F.to_date(F.lit(cut))
-    past = window_between(claims, F.add_months(c, -months), c)
-    return past.groupBy("member_id").agg(
-        _money(F.sum("paid")).alias("prior_cost"),
-        _money(_paid_if(F.col("avoidable"))).alias("prior_avoidable"),
-        _count_if(F.col("setting") == "IP").alias("prior_ip"),
-        _count_if(F.col("setting") == "ER").alias("prior_er"),
-        F.count(F.lit(1)).alias("prior_claims"))
-
-
 def latest_measurements(measurements: DataFrame, measures: Sequence[str]) -> DataFrame:
     """Latest value of each measure per member (``max_by`` on the timestamp), pivoted to
     one column per listed measure."""
@@ -96,23 +114,20 @@ def latest_measurements(measurements: DataFrame, measures: Sequence[str]) -> Dat
     return measurements.groupBy("member_id").agg(*aggs)
 
 
-def member_features(members: DataFrame, conditions: DataFrame, claims: DataFrame,
-                    measurements: DataFrame, cut: str, measures: Sequence[str]) -> DataFrame:
+def member_features(members: DataFrame, profile: DataFrame, measurements: DataFrame,
+                    measures: Sequence[str]) -> DataFrame:
     """T14 + T20: one feature row per member: demographics, risk score, coded-condition
-    counts, 12-month history and latest measurements. Missing values are kept as nulls with
-    an indicator column next to each nullable feature (trees in Spark reject NaN vectors; the
-    model input fills a sentinel, see ``boosting.assemble``)."""
-    conds = conditions.groupBy("member_id").agg(
-        F.count(F.lit(1)).alias("n_conditions"),
-        _count_if(F.col("chronic_flag") == "1").alias("n_chronic"))
-    hist = history(claims, cut)
+    counts, 12-month history (from ``member_profile``) and latest measurements. Missing values
+    are kept as nulls with an indicator column next to each nullable feature (trees in Spark
+    reject NaN vectors; the model input fills a sentinel, see ``boosting.assemble``)."""
     meas = latest_measurements(measurements, measures)
     base = members.select("member_id", "age",
                           F.coalesce((F.col("gender") == "M").cast("int"), F.lit(0)).alias("male"),
                           F.col("gender").isNull().cast("int").alias("gender_missing"),
                           "eligibility_status", "risk_score")
-    out = base.join(conds, "member_id", "left").join(hist, "member_id", "left") \
-        .join(meas, "member_id", "left")
+    hist = profile.select("member_id", "n_conditions", "n_chronic", "prior_cost",
+                          "prior_avoidable", "prior_ip", "prior_er", "prior_claims")
+    out = base.join(hist, "member_id", "left").join(meas, "member_id", "left")
     zero_fill = ["n_conditions", "n_chronic", "prior_ip", "prior_er", "prior_claims"]
     money_fill = ["prior_cost", "prior_avoidable"]
     out = out.withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast("bigint") for c in zero_fill})
@@ -123,13 +138,13 @@ def member_features(members: DataFrame, conditions: DataFrame, claims: DataFrame
 
 def global_rank(df: DataFrame, score: str, key: str = "member_id", name: str = "rank",
                 group: str | None = None) -> DataFrame:
-    """Exact rank by score descending (nulls last, ties by key), per ``group`` if given, without
-    a one-task window: one contiguous-id pass over (group, null flag, -score, key), minus the
+    """Exact rank by score descending (nulls last, ties by key; ``key`` must be unique per
+    group), per ``group`` if given, without a one-task window: one contiguous-id pass over (group, null flag, -score, key), minus the
     first id of each group."""
     g = [group] if group else []
     keyed = df.select(*g, key, F.col(score).isNull().alias("_null"),
                       (-F.col(score)).alias("_neg"))
-    ranked = contiguous_ids(keyed, [*g, "_null", "_neg", key], "_id")
+    ranked = contiguous_ids(keyed, [*g, "_null", "_neg", key], "_id", unique=True)
     if not g:
         return ranked.select(key, F.col("_id").alias(name))
     first = ranked.groupBy(*g).agg(F.min("_id").alias("_first"))      # one row per group
@@ -152,7 +167,7 @@ def capture_curves(actual: DataFrame, scored: DataFrame, actual_col: str,
         .unpivot(key, list(score_cols), "baseline", "_score")
     rp = global_rank(long, "_score", key, "_rp", group="baseline")
     both = ra.join(rp, key).withColumn("_m", F.greatest("_ra", "_rp"))
-    n = ra.join(scored.select(key).distinct(), key).agg(F.count(F.lit(1))).scalar()
+    n = ra.join(rp.select(key).distinct(), key).agg(F.count(F.lit(1))).scalar()
     cols = []
     for x in levels:
         nx = F.ceil(n * F.lit(float(x)))

@@ -16,15 +16,18 @@ from carelens.operators.util import broadcast_bounded
 
 
 def contiguous_ids(df: DataFrame, cols: str | Sequence[str], name: str,
-                   num_partitions: int | None = None, checkpoint: bool = True) -> DataFrame:
+                   num_partitions: int | None = None, checkpoint: bool = True,
+                   unique: bool = False) -> DataFrame:
     """M2: distinct ``cols`` -> ``name`` numbered 1..n in key order (nulls first).
 
     The numbered keys are checkpointed to the shared checkpoint folder: later joins reuse the
-    same ids even if a stage is recomputed after an executor loss."""
+    same ids even if a stage is recomputed after an executor loss. ``unique=True`` states that
+    the key columns are already distinct (e.g. they contain the member id) and saves the
+    distinct shuffle."""
     cols = [cols] if isinstance(cols, str) else list(cols)
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = df.select(*cols).distinct()
+    keys = df.select(*cols) if unique else df.select(*cols).distinct()
     ranged = (keys.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
               .withColumn("_part", F.spark_partition_id())
               .withColumn("_pos", F.monotonically_increasing_id()))

@@ -295,16 +295,20 @@ def _claims_net(src: Source) -> DataFrame:
     return cost.with_network(src.claims, src.providers)
 
 
+def _profile(src: Source) -> DataFrame:
+    """Per-member claims profile (conditions, prior year, next six months): the only pass over
+    the claims for the cost queries, materialized once."""
+    return inputs._memo(src, "profile", lambda: cost.member_profile(
+        src.claims, OUTCOME_CUT, 12, 6).checkpoint(eager=True))
+
+
 def _member_features(src: Source) -> DataFrame:
-    conds = src.claims.filter(F.col("service_date") <= F.to_date(F.lit(OUTCOME_CUT))) \
-        .select("member_id", "condition_name", "chronic_flag").distinct()
     return inputs._memo(src, "member_features", lambda: cost.member_features(
-        src.members, conds, src.claims, src.measurements, OUTCOME_CUT, MEASURES))
+        src.members, _profile(src), src.measurements, MEASURES))
 
 
 def _outcomes(src: Source) -> DataFrame:
-    return inputs._memo(src, "outcomes", lambda: cost.outcomes(src.claims, src.members,
-                                                               OUTCOME_CUT, 6))
+    return inputs._memo(src, "outcomes", lambda: cost.outcomes(_profile(src), src.members))
 
 
 @query

@@ -66,7 +66,7 @@ def test_curve_monotone_and_bounded(spark):
 
 def test_capture_is_one_at_full_share(spark):
     src = Source(spark, SF_SMALL)
-    act = cost.outcomes(src.claims, src.members, "2001-02-01", 6)
+    act = cost.outcomes(cost.member_profile(src.claims, "2001-02-01"), src.members)
     feats = act.select("member_id", (F.col("cost_total") * 0 + F.col("member_id")).alias("s"))
     cur = cost.capture_curves(act, feats, "cost_total", ["s"], [0.5, 1.0]).collect()
     assert {r.level: r.capture for r in cur}[1.0] == 1.0
