@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carelens.operators.ids import contiguous_ids
+from carelens.operators.util import broadcast_bounded
 
 MAX_CONDITIONS = 4_000
 ITEM_KEYS = ["condition_name", "chronic_flag"]
@@ -30,12 +31,25 @@ def _indexed(known: DataFrame):
     if n > MAX_CONDITIONS:
         raise ValueError(f"{n} conditions exceed the bound {MAX_CONDITIONS}")
     names = items.orderBy("_item").toPandas()
-    per_member = (pairs.join(items, ITEM_KEYS)
+    # read by the Gram pass and by the scoring pass: materialized once
+    per_member = (pairs.join(broadcast_bounded(items, MAX_CONDITIONS), ITEM_KEYS)
                   .groupBy("member_id").agg(F.collect_list((F.col("_item") - 1).cast("int"))
-                                            .alias("items")))
+                                            .alias("items"))
+                  .checkpoint(eager=True))
     return per_member, names, int(n)
 
 
+def _indicator(lists: pd.Series, n: int) -> np.ndarray:
+    """Rows of 0/1 from arrays of column indices, built without a Python loop per row."""
+    B = np.zeros((len(lists), n), dtype=np.float64)
+    lengths = lists.map(len).to_numpy()
+    if lengths.sum():
+        rows = np.repeat(np.arange(len(lists)), lengths)
+        cols = np.concatenate([np.asarray(x, dtype=np.int64) for x in lists.to_numpy()])
+        B[rows, cols] = 1.0
+    return B
+
+
 def gram(per_member: DataFrame, n: int, user_weighted: bool) -> np.ndarray:
     """A'A (or A'D^-1 A): partial matrices per task, summed by one small aggregate."""
     def partial(batches):
@@ -43,9 +57,7 @@ def gram(per_member: DataFrame, n: int, user_weighted: bool) -> np.ndarray:
         for pdf in batches:
             if pdf.empty:
                 continue
-            B = np.zeros((len(pdf), n), dtype=np.float64)
-            for r, its in enumerate(pdf["items"]):
-                B[r, np.asarray(its, dtype=np.int64)] = 1.0
+            B = _indicator(pdf["items"], n)
             if user_weighted:
                 w = 1.0 / np.sqrt(np.maximum(B.sum(axis=1), 1.0))
                 G += B.T @ (B * w[:, None])
@@ -77,9 +89,7 @@ def _score_topk(per_member: DataFrame, S: np.ndarray, names: pd.DataFrame, k: in
         for pdf in batches:
             if pdf.empty:
                 continue
-            B = np.zeros((len(pdf), n), dtype=np.float64)
-            for r, its in enumerate(pdf["items"]):
-                B[r, np.asarray(its, dtype=np.int64)] = 1.0
+            B = _indicator(pdf["items"], n)
             sc = B @ S
             if normalize_member:
                 sc = sc / np.sqrt(np.maximum(B.sum(axis=1), 1.0))[:, None]
