@@ -430,3 +430,11 @@ def condition_models(src: Source) -> DataFrame:
 def prediction_features(src: Source) -> DataFrame:
     """M15 input: credibility over every claim, aged from the last service date."""
     return inputs.pred_features(src)
+
+
+@query
+def eval_chart_from_file(src: Source) -> DataFrame:
+    """S5/S9 + M20: the evaluation curve saved as Parquet, read back and labelled."""
+    path = scratch_path(src.spark, "evaluation")
+    evaluate.save_evaluation(evaluate.recall_curve(inputs.popular_scored(src), "popular"), path)
+    return longs(evaluate.chart_table(evaluate.load_evaluation(src.spark, path)))

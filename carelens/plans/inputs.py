@@ -70,8 +70,10 @@ def product_map(src: Source, which: str = "tune") -> DataFrame:
 
 
 def ratings(src: Source, which: str = "tune") -> DataFrame:
+    """Ratings, checkpointed once: every fit of a parameter grid reads the same rows."""
     return _memo(src, f"ratings_{which}", lambda: ids.ratings(
-        feature_all(src, which), user_map(src, which), product_map(src, which)))
+        feature_all(src, which), user_map(src, which), product_map(src, which))
+        .checkpoint(eager=True))
 
 
 def gender_labels(src: Source) -> DataFrame:
@@ -105,7 +107,8 @@ DEFAULT_PARAMS = factor.Params(rank=50, alpha=100.0, reg=7.0)   # reference's on
 
 
 def model(src: Source, which: str = "tune", params: factor.Params = DEFAULT_PARAMS):
-    return _memo(src, f"model_{which}_{params}", lambda: factor.fit(ratings(src, which), params))
+    return _memo(src, f"model_{which}_{params}", lambda: factor.fit(
+        ratings(src, which), params, materialize=False))
 
 
 def rec_ranked(src: Source, params: factor.Params = DEFAULT_PARAMS, k: int = 15) -> DataFrame:

@@ -435,3 +435,5 @@ register("prediction_features", """
                                 / CASE chronic_flag WHEN '1' THEN 730E0 ELSE 365E0 END) AS w
           FROM v_claim WHERE service_date <= DATE '2001-08-01')
     GROUP BY member_id, condition_name, chronic_flag""", "v_claim")
+
+ORACLE["eval_chart_from_file"] = ORACLE["eval_chart"]

@@ -109,3 +109,9 @@ def test_contiguous_ids_with_nulls_first(spark):
     df = spark.createDataFrame([("b",), (None,), ("a",), ("b",)], "k string")
     got = [(r.k, r.i) for r in contiguous_ids(df, "k", "i", num_partitions=3).orderBy("i").collect()]
     assert got == [(None, 1), ("a", 2), ("b", 3)]
+
+
+def test_chosen_members_inline_and_broadcast(spark):
+    df = spark.range(20).withColumnRenamed("id", "member_id")
+    assert casestudy.chosen(df, [3, 5, 5]).count() == 2
+    assert casestudy.chosen(df, list(range(0, 20, 2)), inline_limit=3).count() == 10
