@@ -120,3 +120,36 @@ def test_top_n_all_matches_exact_recommend_without_filters(spark):
     cut = factor.recommend(model, um, pm, empty, mdf, None, 3, unlabelled="keep", n_candidates=3)
     exact = factor.recommend(model, um, pm, empty, mdf, None, 3, unlabelled="keep")
     assert cut.count() <= exact.count()
+
+
+def test_recommend_equals_brute_force(spark):
+    import numpy as np
+    fdf, rdf, mdf = _planted(spark, members=50, blocks=2, per_block=8)
+    fa = features.munge_features(features.demographic_features(mdf), fdf)
+    um = ids.contiguous_ids(fa, "member_id", "user_id")
+    pm = ids.contiguous_ids(fa, ["feature_name", "feature_value", "chronic_flag"], "product_id")
+    model = factor.fit(ids.ratings(fa, um, pm), factor.Params(3, 5.0, 0.1), seed=5)
+    labels = candidates.gender_labels(fdf, mdf)
+    got = {(r.member_id, r.pred_rank): r.feature_value
+           for r in factor.recommend(model, um, pm, fdf, mdf, labels, 4).collect()}
+    # brute force on the driver (small fixture only)
+    U = {r.id: np.array(r.features) for r in model.userFactors.collect()}
+    V = {r.id: np.array(r.features) for r in model.itemFactors.collect()}
+    users = {r.member_id: r.user_id for r in um.collect()}
+    prods = [(r.product_id, r.feature_value) for r in pm.collect() if r.feature_name == "condition_name"]
+    lab = {r.condition_name: r.gender_specific for r in labels.collect()}
+    gender = {r.member_id: r.gender for r in mdf.collect()}
+    known = {}
+    for r in fdf.collect():
+        known.setdefault(r.member_id, set()).add(r.condition_name)
+    want = {}
+    for m, u in users.items():
+        cands = []
+        for pid, name in prods:
+            g = lab.get(name)
+            ok = g == "Both" or (g == "Male" and gender[m] == "M") or (g == "Female" and gender[m] == "F")
+            if ok and name not in known.get(m, set()):
+                cands.append((-float(np.dot(U[u], V[pid])), name))
+        for rank, (_, name) in enumerate(sorted(cands)[:4], start=1):
+            want[(m, rank)] = name
+    assert got == want
