@@ -50,12 +50,13 @@ def ratings(features: DataFrame, user_map: DataFrame, product_map: DataFrame,
     """M3: features -> (user_id, product_id, confidence float).
 
     The product map (bounded by the condition taxonomy) is broadcast after a size check; the
-    user map is as large as the population and joins by shuffle. Duplicate (user, product)
-    pairs would change the fit, so they are merged with ``max`` (pre-aggregated per task)."""
+    user map is as large as the population and joins by shuffle on member_id. Duplicate (user,
+    product) pairs would change the fit, so they are merged with ``max``; grouping by
+    (member_id, user_id, product_id) right after the join reuses the join's partitioning on
+    member_id, so the feature table is shuffled once."""
     keys = list(product_keys)
     pm = broadcast_bounded(product_map.select(*keys, "product_id"), max_broadcast_products)
-    with_product = features.join(pm, keys, "inner")
-    merged = (with_product.groupBy("member_id", "product_id")
+    with_ids = features.join(pm, keys, "inner").join(user_map, "member_id", "inner")
+    merged = (with_ids.groupBy("member_id", "user_id", "product_id")
               .agg(F.max(F.col("confidence").cast("float")).alias("confidence")))
-    return merged.join(user_map, "member_id", "inner").select("user_id", "product_id",
-                                                               "confidence")
+    return merged.select("user_id", "product_id", "confidence")
