@@ -9,7 +9,9 @@ Every round is checkpointed to the shared checkpoint folder so the lineage stays
 
 from __future__ import annotations
 
+import functools
 import random
+from concurrent.futures import ThreadPoolExecutor
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -47,34 +49,51 @@ def probability(model_output: DataFrame, name: str = "prob") -> DataFrame:
     return model_output.withColumn(name, vector_to_array("probability")[1])
 
 
+def _parallel_map(fn, items, parallelism: int):
+    """Run independent fits; with ``parallelism`` > 1 several Spark jobs run at once (the
+    scheduler shares the cluster between them), as ``CrossValidator(parallelism=...)`` does."""
+    items = list(items)
+    if parallelism <= 1 or len(items) <= 1:
+        return [fn(x) for x in items]
+    with ThreadPoolExecutor(min(parallelism, len(items))) as pool:
+        return list(pool.map(fn, items))
+
+
+def _union_all(frames: Sequence[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, frames)
+
+
 def repeated_kfold(df: DataFrame, label: str, k: int = 3, repeats: int = 2, trees: int = 20,
                    depth: int = 4, seed: int = 11, key: str = "member_id",
-                   features: str = "features") -> DataFrame:
+                   features: str = "features", parallelism: int = 1) -> DataFrame:
     """Repeated k-fold. Folds come from a hash of (member, repeat, seed). For every fold,
     ``evaluateEachIteration`` gives the validation loss after each tree; the tree count with the
     lowest mean loss over all folds and repeats is chosen, each fold is refit with it, and the
-    out-of-fold probabilities are averaged over the repeats. Returns (member, prob, trees)."""
+    out-of-fold probabilities are averaged over the repeats. The repeats x k fits are
+    independent and run ``parallelism`` at a time. Returns (member, prob, trees)."""
     data = df.select(key, label, features).checkpoint(eager=True)
-    losses = []
-    for r in range(repeats):
+    splits = [(r, f) for r in range(repeats) for f in range(k)]
+
+    def split(r, f):
         fd = data.withColumn("_fold", fold_column([key], k, r, seed))
-        for f in range(k):
-            train, valid = fd.filter(F.col("_fold") != f), fd.filter(F.col("_fold") == f)
-            m = event_model(train, label, trees, depth, seed=seed + r).fit(train)
-            losses.append(m.evaluateEachIteration(valid))
+        return fd.filter(F.col("_fold") != f), fd.filter(F.col("_fold") == f)
+
+    def losses_of(rf):
+        train, valid = split(*rf)
+        m = event_model(train, label, trees, depth, seed=seed + rf[0]).fit(train)
+        return m.evaluateEachIteration(valid)
+
+    losses = _parallel_map(losses_of, splits, parallelism)
     n = min(len(x) for x in losses)
     mean = [sum(x[i] for x in losses) / len(losses) for i in range(n)]
     best = 1 + min(range(n), key=lambda i: (mean[i], i))
-    preds = []
-    for r in range(repeats):
-        fd = data.withColumn("_fold", fold_column([key], k, r, seed))
-        for f in range(k):
-            train, valid = fd.filter(F.col("_fold") != f), fd.filter(F.col("_fold") == f)
-            m = event_model(train, label, best, depth, seed=seed + r).fit(train)
-            preds.append(probability(m.transform(valid)).select(key, "prob"))
-    stacked = preds[0]
-    for p in preds[1:]:
-        stacked = stacked.unionByName(p)
+
+    def predict(rf):
+        train, valid = split(*rf)
+        m = event_model(train, label, best, depth, seed=seed + rf[0]).fit(train)
+        return probability(m.transform(valid)).select(key, "prob")
+
+    stacked = _union_all(_parallel_map(predict, splits, parallelism))
     return stacked.groupBy(key).agg(F.avg("prob").alias("prob")).withColumn("trees", F.lit(best))
 
 
@@ -135,46 +154,44 @@ def quantile_boost(df: DataFrame, label: str, tau: float = 0.9, trees: int = 10,
 
 
 def per_population(df: DataFrame, population: str, label: str, trees: int = 10, depth: int = 3,
-                   seed: int = 11, key: str = "member_id", max_populations: int = 500
-                   ) -> DataFrame:
-    """One model per population (driver loop over the population values, each fit is a
-    distributed job). Returns (member, population, prob). The number of populations is checked
-    against ``max_populations`` before the loop."""
-    values = [r[0] for r in df.select(population).distinct().orderBy(population)
-              .limit(max_populations + 1).collect()]
-    if len(values) > max_populations:
+                   seed: int = 11, key: str = "member_id", max_populations: int = 500,
+                   features: str = "features", parallelism: int = 1) -> DataFrame:
+    """One model per population (the fits are independent distributed jobs, run
+    ``parallelism`` at a time). Returns (member, population, prob). The number of populations is
+    checked against ``max_populations`` before any fit."""
+    data = df.select(key, population, label, features).checkpoint(eager=True)
+    counts = (data.groupBy(population).agg(F.countDistinct(label).alias("_labels"))
+              .orderBy(population).limit(max_populations + 1).collect())
+    if len(counts) > max_populations:
         raise ValueError(f"more than {max_populations} populations in {population}")
-    outs = []
-    for v in values:
-        part = df.filter(F.col(population) == v)
-        if part.select(label).distinct().count() < 2:
-            continue
+    values = [r[population] for r in counts if r["_labels"] >= 2]
+
+    def fit_one(v):
+        part = data.filter(F.col(population) == v)
         m = event_model(part, label, trees, depth, seed=seed).fit(part)
-        outs.append(probability(m.transform(part)).select(key, population, "prob"))
-    res = outs[0]
-    for o in outs[1:]:
-        res = res.unionByName(o)
-    return res
+        return probability(m.transform(part)).select(key, population, "prob")
+
+    return _union_all(_parallel_map(fit_one, values, parallelism))
 
 
 def per_condition(features_df: DataFrame, labels: DataFrame, conditions: Sequence[str],
-                  key: str = "member_id", features: str = "features", max_iter: int = 20
-                  ) -> DataFrame:
+                  key: str = "member_id", features: str = "features", max_iter: int = 20,
+                  parallelism: int = 1) -> DataFrame:
     """A logistic regression per condition (the conventional comparator). ``labels`` has
-    (member_id, condition_name) rows for members newly coded with the condition."""
-    outs = []
-    for cond in conditions:
-        lab = labels.filter(F.col("condition_name") == cond).select(key).distinct() \
-            .withColumn("_y", F.lit(1.0))
-        data = features_df.join(lab, key, "left").withColumn(
-            "_y", F.coalesce(F.col("_y"), F.lit(0.0)))
-        if data.filter(F.col("_y") == 1.0).limit(1).count() == 0:
-            continue
+    (member_id, condition_name) rows for members newly coded with the condition; conditions
+    without any positive member are skipped. Fits run ``parallelism`` at a time."""
+    base = features_df.select(key, features).checkpoint(eager=True)
+    conds = list(conditions)
+    pos = labels.filter(F.col("condition_name").isin(conds)).select(key, "condition_name") \
+        .distinct().checkpoint(eager=True)
+    present = {r[0] for r in pos.select("condition_name").distinct().collect()}
+
+    def fit_one(cond):
+        lab = pos.filter(F.col("condition_name") == cond).select(key).withColumn("_y", F.lit(1.0))
+        data = base.join(lab, key, "left").withColumn("_y", F.coalesce(F.col("_y"), F.lit(0.0)))
         m = LogisticRegression(featuresCol=features, labelCol="_y", maxIter=max_iter,
                                standardization=True).fit(data)
-        outs.append(probability(m.transform(data)).select(
-            key, F.lit(cond).alias("condition_name"), "prob"))
-    res = outs[0]
-    for o in outs[1:]:
-        res = res.unionByName(o)
-    return res
+        return probability(m.transform(data)).select(
+            key, F.lit(cond).alias("condition_name"), "prob")
+
+    return _union_all(_parallel_map(fit_one, [c for c in conds if c in present], parallelism))

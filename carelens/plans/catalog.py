@@ -397,7 +397,7 @@ def er_repeated_cv(src: Source) -> DataFrame:
     """Repeated 3-fold cross-validation for the ER-visit probability; the tree count with
     the lowest mean fold loss is used and out-of-fold predictions averaged over repeats."""
     return longs(boosting.repeated_kfold(_model_frame(src), "any_er", k=3, repeats=2, trees=15,
-                                         depth=3))
+                                         depth=3, parallelism=3))
 
 
 @query
@@ -413,7 +413,7 @@ def cost_quantile_model(src: Source) -> DataFrame:
 def population_models(src: Source) -> DataFrame:
     """One inpatient-probability model per eligibility population."""
     return boosting.per_population(_model_frame(src), "eligibility_status", "any_ip",
-                                   trees=10, depth=3)
+                                   trees=10, depth=3, parallelism=3)
 
 
 @query
@@ -423,7 +423,7 @@ def condition_models(src: Source) -> DataFrame:
     feats = boosting.assemble(_member_features(src).fillna(0.0), MODEL_COLUMNS)
     conds = [r["condition_name"] for r in inputs.popular(src)
              .filter(F.col("pred_rank") <= 2).orderBy("chronic_flag", "pred_rank").collect()]
-    return boosting.per_condition(feats, inputs.new_conditions(src), conds)
+    return boosting.per_condition(feats, inputs.new_conditions(src), conds, parallelism=3)
 
 
 @query

@@ -153,3 +153,15 @@ def test_recommend_equals_brute_force(spark):
         for rank, (_, name) in enumerate(sorted(cands)[:4], start=1):
             want[(m, rank)] = name
     assert got == want
+
+
+def test_repeated_kfold_outputs_one_prediction_per_member(spark):
+    rng = random.Random(8)
+    rows = [(i, float(rng.random()), float(rng.random())) for i in range(300)]
+    df = spark.createDataFrame(rows, "member_id long, x1 double, x2 double") \
+        .withColumn("y", (F.col("x1") + F.rand(3) * 0.3 > 0.7).cast("double"))
+    df = boosting.assemble(df, ["x1", "x2"])
+    out = boosting.repeated_kfold(df, "y", k=3, repeats=2, trees=5, depth=2, parallelism=3)
+    rows = out.collect()
+    assert len(rows) == 300 and len({r.member_id for r in rows}) == 300
+    assert all(0.0 <= r.prob <= 1.0 for r in rows) and 1 <= rows[0].trees <= 5
