@@ -25,10 +25,12 @@ def contiguous_ids(df: DataFrame, cols: str | Sequence[str], name: str,
     the key columns are already distinct (e.g. they contain the member id) and saves the
     distinct shuffle."""
     cols = [cols] if isinstance(cols, str) else list(cols)
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = df.select(*cols) if unique else df.select(*cols).distinct()
-    ranged = (keys.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
+    # without an explicit count AQE sizes the range partitions (coalescing keeps adjacent
+    # ranges together, so the order across partitions is preserved)
+    ranged = (keys.repartitionByRange(num_partitions, *cols) if num_partitions
+              else keys.repartitionByRange(*cols))
+    ranged = (ranged.sortWithinPartitions(*cols)
               .withColumn("_part", F.spark_partition_id())
               .withColumn("_pos", F.monotonically_increasing_id()))
     if checkpoint:

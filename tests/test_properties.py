@@ -91,3 +91,15 @@ def test_standalone_credibility_equals_fused_history(spark):
     alone = features.condition_credibility(src.claims, "2001-06-01")
     assert sorted(map(tuple, alone.collect())) == sorted(map(tuple,
                                                              inputs.tune_features(src).collect()))
+
+
+def test_contiguous_ids_exact_when_aqe_sizes_partitions(spark):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        df = spark.range(5000).select((F.col("id") * 7919 % 3001).alias("k"))
+        got = {r.id: r.k for r in contiguous_ids(df, "k", "id").collect()}
+        keys = sorted({(i * 7919) % 3001 for i in range(5000)})
+        assert got == {i + 1: k for i, k in enumerate(keys)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
