@@ -165,3 +165,17 @@ def test_repeated_kfold_outputs_one_prediction_per_member(spark):
     rows = out.collect()
     assert len(rows) == 300 and len({r.member_id for r in rows}) == 300
     assert all(0.0 <= r.prob <= 1.0 for r in rows) and 1 <= rows[0].trees <= 5
+
+
+def test_suspicious_codings_threshold_brute_force(spark):
+    rows = [("c1", "1", float(v)) for v in range(100)] + [("c2", "0", float(v) / 10) for v in range(40)]
+    rated = spark.createDataFrame([(i, c, f, r) for i, (c, f, r) in enumerate(rows)],
+                                  "member_id long, condition_name string, chronic_flag string, rating double")
+    got = sorted((r.condition_name, r.rating) for r in factor.suspicious_codings(rated, 0.05).collect())
+    # smallest value with at least 5% of the condition's ratings at or below it
+    want = []
+    for c, vals in (("c1", [float(v) for v in range(100)]), ("c2", [v / 10 for v in range(40)])):
+        vs = sorted(vals)
+        k = next(i for i, v in enumerate(vs) if (i + 1) / len(vs) >= 0.05)
+        want += [(c, v) for v in vs if v <= vs[k]]
+    assert got == sorted(want)
