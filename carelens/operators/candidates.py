@@ -122,22 +122,24 @@ def member_popular_by_segment(members: DataFrame, features: DataFrame, segment:
     seg = list(segment)
     segs = segment_columns(members, seg)
     seg_feat = known_rows(features).join(segs, "member_id")
-    popular = popular_conditions(seg_feat, k_top, seg)
+    # bounded (segments x classes x k_top) and read twice: materialized once
+    popular = popular_conditions(seg_feat, k_top, seg).checkpoint(eager=True)
     lists = _lists_per_class(popular, seg).groupBy(*seg).agg(
         F.collect_list(F.struct("chronic_flag", "items")).alias("lists"))
     lists = broadcast_bounded(lists, max_broadcast)
-    known = _known_per_member_segment(seg_feat, popular, seg)
+    known = _known_per_member_segment(seg_feat, popular, seg, max_broadcast)
     m = segs.join(lists, seg, "inner").join(known, "member_id", "left")
     known_arr = F.coalesce(F.col("known"), F.array().cast(known.schema["known"].dataType))
     return m.select("member_id", *seg, F.inline(_drop_known_and_rank(F.col("lists"), known_arr,
                                                                      k)))
 
 
-def _known_per_member_segment(seg_feat: DataFrame, popular: DataFrame, seg: list[str]
-                              ) -> DataFrame:
-    hits = seg_feat.select(*KEYS3, *seg).join(
-        popular.select(*seg, "condition_name", "chronic_flag", "pred_rank"),
-        [*seg, "condition_name", "chronic_flag"])
+def _known_per_member_segment(seg_feat: DataFrame, popular: DataFrame, seg: list[str],
+                              max_broadcast: int) -> DataFrame:
+    """Per member, the conditions of the member's segment list already coded."""
+    top = broadcast_bounded(popular.select(*seg, "condition_name", "chronic_flag", "pred_rank"),
+                            max_broadcast)
+    hits = seg_feat.select(*KEYS3, *seg).join(top, [*seg, "condition_name", "chronic_flag"])
     return hits.groupBy("member_id").agg(
         F.collect_list(F.struct("chronic_flag", "condition_name", "pred_rank")).alias("known"))
 
