@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from carelens.operators.ids import contiguous_ids
 from carelens.operators.util import broadcast_bounded
 
-MAX_CONDITIONS = 4_000
+MAX_CONDITIONS = 2_000          # Gram matrix <= 4M entries (32 MB) when broadcast
 ITEM_KEYS = ["condition_name", "chronic_flag"]
 
 

@@ -41,7 +41,8 @@ def get_session(app: str = "carelens", master: str | None = None,
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, taken from ``spark.checkpoint.dir`` when the
-    cluster names one. Only when nothing is set (local tests) is a private folder created."""
+    cluster names one. Only a local-mode session without the setting (tests) gets a private
+    folder; a cluster session without it is an error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -53,6 +54,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         except Exception:  # noqa: BLE001 - unset key
             named = None
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors; "
+                               "checkpoints cannot live in a machine-local folder on a cluster")
         named = tempfile.mkdtemp(prefix="carelens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(named)
     return sc.getCheckpointDir() or named
