@@ -438,3 +438,21 @@ def eval_chart_from_file(src: Source) -> DataFrame:
     path = scratch_path(src.spark, "evaluation")
     evaluate.save_evaluation(evaluate.recall_curve(inputs.popular_scored(src), "popular"), path)
     return longs(evaluate.chart_table(evaluate.load_evaluation(src.spark, path)))
+
+
+@query
+def bulk_conversion(src: Source) -> DataFrame:
+    """S3: every delimited file under a folder converted to Parquet in one job (partitioned by
+    source file stem), then counted per source. The files are written from the customer and
+    supplier tables into the shared scratch folder first."""
+    from carelens.sources.tables import convert_to_parquet
+    base = scratch_path(src.spark, "convert")
+    for name, key in (("customer", "c_custkey"), ("supplier", "s_suppkey")):
+        (src.table(name).select(F.col(key).alias("id"))
+         .write.option("sep", "|").option("header", True).csv(f"{base}/in/{name}"))
+    # Spark names the part files after tasks, so the source label is the folder name
+    out = convert_to_parquet(src.spark, f"{base}/in/*/*.csv", f"{base}/out", "csv",
+                             {"sep": "|", "header": True, "inferSchema": True},
+                             source_regex=r"/in/([^/]+)/")
+    return out.groupBy("source").agg(F.count(F.lit(1)).alias("rows"),
+                                     F.sum(F.col("id").cast("bigint")).alias("id_sum"))

@@ -437,3 +437,8 @@ register("prediction_features", """
     GROUP BY member_id, condition_name, chronic_flag""", "v_claim")
 
 ORACLE["eval_chart_from_file"] = ORACLE["eval_chart"]
+register("bulk_conversion", """
+    SELECT 'customer' AS source, count(*) AS rows, CAST(sum(c_custkey) AS BIGINT) AS id_sum
+    FROM customer
+    UNION ALL
+    SELECT 'supplier', count(*), CAST(sum(s_suppkey) AS BIGINT) FROM supplier""")

@@ -37,14 +37,16 @@ def read_delimited(spark: SparkSession, path: str, sep: str = "|", header: bool
 
 
 def convert_to_parquet(spark: SparkSession, source_glob: str, out_dir: str, fmt: str = "csv",
-                       options: dict | None = None, source_col: str = "source") -> DataFrame:
+                       options: dict | None = None, source_col: str = "source",
+                       source_regex: str = r"([^/]+?)(\.[^./]*)?$") -> DataFrame:
     """S3: convert every file matching ``source_glob`` to Parquet in one distributed job.
 
     Instead of a driver loop over files, all matching files are read by one scan and written
-    partitioned by their file stem, so ``out_dir/source=<stem>/`` holds one table per input
-    file. Returns the written table (re-read)."""
+    partitioned by a source label taken from the file path (group 1 of ``source_regex``; by
+    default the file stem), so ``out_dir/source=<label>/`` holds one table per input. Returns
+    the written table (re-read)."""
     df = spark.read.format(fmt).options(**(options or {})).load(source_glob)
-    stem = F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1)
+    stem = F.regexp_extract(F.input_file_name(), source_regex, 1)
     df.withColumn(source_col, stem).write.mode("overwrite").partitionBy(source_col).parquet(out_dir)
     return spark.read.parquet(out_dir)
 
