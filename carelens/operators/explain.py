@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from carelens.operators.factor import MAX_ITEMS, Params
 from carelens.operators.util import broadcast_bounded
 
+CHUNK = 256          # members solved together (memory: CHUNK x rated x rank doubles)
+
 
 def sample_members(user_map: DataFrame, n: int = 10, seed: int = 7) -> DataFrame:
     """M17 sample: ``n`` members chosen by a seeded hash (repeatable, no driver collect)."""
@@ -47,39 +49,54 @@ def contributions(model: ALSModel, ratings: DataFrame, targets: DataFrame, param
 
     def solve(batches):
         m = bc.value
-        pos = {int(i): k for k, i in enumerate(m["ids"])}
-        V, YtY, alpha, reg = m["V"], m["YtY"], m["alpha"], m["reg"]
+        ids, V, YtY, alpha, reg = m["ids"], m["V"], m["YtY"], m["alpha"], m["reg"]
         rank = V.shape[1]
+        eye = np.eye(rank)
+
+        def positions(lists):
+            """Padded item positions (join by id: unknown ids are masked out)."""
+            n = max((len(x) for x in lists), default=0)
+            pos = np.zeros((len(lists), max(n, 1)), dtype=np.int64)
+            ok = np.zeros_like(pos, dtype=bool)
+            for i, x in enumerate(lists):
+                if len(x):
+                    arr = np.asarray(x, dtype=np.int64)
+                    p = np.clip(np.searchsorted(ids, arr), 0, len(ids) - 1)
+                    pos[i, :len(arr)], ok[i, :len(arr)] = p, ids[p] == arr
+            return pos, ok
+
         for pdf in batches:
-            out = []
-            for uid, tg, rt, xu in zip(pdf["user_id"], pdf["targets"], pdf["rated"],
-                                       pdf["features"]):
-                b_ids = np.array([r["product_id"] for r in rt])
-                r_b = np.array([r["confidence"] for r in rt], dtype=np.float64)
-                keep = np.array([int(b) in pos for b in b_ids], dtype=bool)
-                b_ids, r_b = b_ids[keep], r_b[keep]
-                Yb = V[[pos[int(b)] for b in b_ids]]
-                c = 1.0 + alpha * np.abs(r_b)
-                n_u = int((r_b > 0).sum())
-                W = YtY + (Yb.T * (c - 1.0)) @ Yb + reg * n_u * np.eye(rank)
-                M = np.linalg.solve(W, Yb.T)                    # rank x n_b
-                a_ids = np.array([a for a in tg if int(a) in pos])
-                if len(a_ids) == 0 or len(b_ids) == 0:
+            for lo in range(0, len(pdf), CHUNK):
+                part = pdf.iloc[lo:lo + CHUNK]
+                rated = part["rated"].to_numpy()
+                b_pos, b_ok = positions([[r["product_id"] for r in x] for x in rated])
+                conf = np.zeros(b_pos.shape)
+                for i, x in enumerate(rated):
+                    conf[i, :len(x)] = [r["confidence"] for r in x]
+                conf = np.where(b_ok, conf, 0.0)
+                c = 1.0 + alpha * np.abs(conf)                       # users x n_b
+                Yb = V[b_pos] * b_ok[..., None]                      # users x n_b x rank
+                n_u = ((conf > 0) & b_ok).sum(axis=1)
+                weighted = np.transpose(Yb * (c - 1.0)[..., None], (0, 2, 1))
+                W = YtY[None] + weighted @ Yb + (reg * n_u)[:, None, None] * eye[None]
+                M = np.linalg.solve(W, np.transpose(Yb, (0, 2, 1)))  # users x rank x n_b
+                a_pos, a_ok = positions(list(part["targets"].to_numpy()))
+                Ya = V[a_pos]                                        # users x n_a x rank
+                contrib = (Ya @ M) * (c * b_ok)[:, None, :]
+                xu = np.stack(part["features"].to_numpy()).astype(np.float64)
+                rating = (Ya @ xu[:, :, None])[:, :, 0]
+                resid = rating - contrib.sum(axis=2)
+                keep = a_ok[:, :, None] & b_ok[:, None, :]
+                u, a, b = np.nonzero(keep)
+                if len(u) == 0:
                     continue
-                Ya = V[[pos[int(a)] for a in a_ids]]
-                contrib = (Ya @ M) * c[None, :]                 # n_a x n_b
-                rating = Ya @ np.asarray(xu, dtype=np.float64)
-                resid = rating - contrib.sum(axis=1)
-                na, nb = contrib.shape
-                out.append(pd.DataFrame({
-                    "user_id": np.full(na * nb, uid, dtype=np.int32),
-                    "product_a": np.repeat(a_ids, nb).astype(np.int32),
-                    "product_b": np.tile(b_ids, na).astype(np.int32),
-                    "weight": contrib.ravel(),
-                    "rating_a": np.repeat(rating, nb),
-                    "residual_a": np.repeat(resid, nb)}))
-            if out:
-                yield pd.concat(out, ignore_index=True)
+                yield pd.DataFrame({
+                    "user_id": part["user_id"].to_numpy()[u].astype(np.int32),
+                    "product_a": ids[a_pos[u, a]].astype(np.int32),
+                    "product_b": ids[b_pos[u, b]].astype(np.int32),
+                    "weight": contrib[u, a, b],
+                    "rating_a": rating[u, a],
+                    "residual_a": resid[u, a]})
 
     schema = ("user_id int, product_a int, product_b int, weight double, rating_a double, "
               "residual_a double")
