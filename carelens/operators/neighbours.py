@@ -66,7 +66,12 @@ def gram(per_member: DataFrame, n: int, user_weighted: bool) -> np.ndarray:
         i, j = np.nonzero(G)
         yield pd.DataFrame({"i": i.astype(np.int32), "j": j.astype(np.int32), "v": G[i, j]})
 
-    parts = per_member.select("items").mapInPandas(partial, "i int, j int, v double")
+    # one partial matrix per task: at most one task per core, so the summing shuffle carries
+    # (cores x n^2) values, comparable to the input, however finely the input is partitioned
+    sc = per_member.sparkSession.sparkContext
+    tasks = max(1, min(per_member.rdd.getNumPartitions(), sc.defaultParallelism))
+    parts = per_member.select("items").coalesce(tasks).mapInPandas(partial,
+                                                                  "i int, j int, v double")
     total = parts.groupBy("i", "j").agg(F.sum("v").alias("v")).toPandas()   # <= n*n rows
     G = np.zeros((n, n), dtype=np.float64)
     G[total["i"].to_numpy(), total["j"].to_numpy()] = total["v"].to_numpy()
