@@ -50,3 +50,28 @@ def test_member_popular_has_no_cartesian_product(spark):
     df = candidates.member_popular(src.members, inputs.tune_features(src), inputs.popular(src))
     p = plan(df)
     assert "Cartesian" not in p and "BroadcastNestedLoopJoin" not in p
+
+
+def test_ratings_shuffle_feature_table_once(spark):
+    from carelens.operators import ids
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        src = Source(spark, SF_SMALL)
+        r = ids.ratings(inputs.feature_all(src), inputs.user_map(src), inputs.product_map(src))
+        p = plan(r)
+        member_exchanges = [l for l in p.splitlines()
+                            if "Exchange hashpartitioning(member_id" in l]
+        assert len(member_exchanges) == 2      # feature side and user-map side of one join
+        assert "HashAggregate(keys=[member_id" in p
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_one_lineitem_scan_for_history_and_profile(spark):
+    from carelens.operators import cost, features
+    src = Source(spark, SF_SMALL)
+    for df in (features.condition_history(src.claims_with_gender, "2001-06-01", "2001-08-01",
+                                          carry=["gender"]),
+               cost.member_profile(src.claims, "2001-02-01")):
+        scans = [l for l in plan(df).splitlines() if "FileScan parquet" in l and "lineitem" in l]
+        assert len(scans) == 1
