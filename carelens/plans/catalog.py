@@ -11,10 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelens.operators import summary
-from carelens.session import ensure_checkpoint_dir
-from carelens.sources.fixtures import Source
-from carelens.sources.tables import peek, row_count
+from carelens.operators import (
+    boosting, candidates, casestudy, cost, evaluate, factor, gaps, neighbours, summary, tune,
+)
+from carelens.plans import inputs
+from carelens.session import ensure_checkpoint_dir, scratch_path
+from carelens.sources.fixtures import HOLDOUT_CUT, OUTCOME_CUT, Source
+from carelens.sources.tables import peek, read_delimited, row_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -69,8 +72,6 @@ def los_by_provider_top10(src: Source) -> DataFrame:
 
 
 # ---- recommender features (T1-T4, M1-M3) -------------------------------------------------
-from carelens.operators import candidates, evaluate  # noqa: E402
-from carelens.plans import inputs  # noqa: E402
 
 
 def longs(df: DataFrame) -> DataFrame:
@@ -188,7 +189,6 @@ def eval_chart(src: Source) -> DataFrame:
 
 
 # ---- matrix factorization (M4-M6, M10-M17, T5-T7, O4) ---------------------------------------
-from carelens.operators import factor, tune  # noqa: E402
 
 
 @query
@@ -245,10 +245,6 @@ def suspicious_codings(src: Source) -> DataFrame:
 
 
 # ---- sources, case study, gaps (S2, M19, P10, J9, T11, T12) -----------------------------------
-from carelens.operators import casestudy, cost, gaps, neighbours  # noqa: E402
-from carelens.session import scratch_path  # noqa: E402
-from carelens.sources.fixtures import HOLDOUT_CUT, OUTCOME_CUT  # noqa: E402
-from carelens.sources.tables import read_delimited  # noqa: E402
 
 
 @query
@@ -371,7 +367,6 @@ def user_based_recs(src: Source) -> DataFrame:
 
 
 # ---- boosted trees (T16-T20, T25, T26) ---------------------------------------------------------
-from carelens.operators import boosting  # noqa: E402
 
 MODEL_COLUMNS = ["age", "male", "gender_missing", "risk_score", "n_conditions", "n_chronic",
                  "prior_cost", "prior_avoidable", "prior_ip", "prior_er", "prior_claims",
