@@ -115,3 +115,25 @@ def test_chosen_members_inline_and_broadcast(spark):
     df = spark.range(20).withColumnRenamed("id", "member_id")
     assert casestudy.chosen(df, [3, 5, 5]).count() == 2
     assert casestudy.chosen(df, list(range(0, 20, 2)), inline_limit=3).count() == 10
+
+
+def test_seeded_member_sample_is_repeatable(spark):
+    from carelens.operators.explain import sample_members
+    um = spark.range(1, 501).select(F.col("id").alias("member_id"), F.col("id").cast("int").alias("user_id"))
+    a = [r.member_id for r in sample_members(um, 10, seed=7).collect()]
+    b = [r.member_id for r in sample_members(um, 10, seed=7).collect()]
+    c = [r.member_id for r in sample_members(um, 10, seed=8).collect()]
+    assert a == b and len(set(a)) == 10 and a != c
+
+
+def test_period_summary_month_grain(spark):
+    from carelens.operators import cost
+    claims = spark.createDataFrame(
+        [(1, "2001-01-05", "IP", True, 10.0, True), (1, "2001-01-20", "OP", False, 5.0, False),
+         (1, "2001-02-01", "ER", False, 1.0, True)],
+        "member_id long, d string, setting string, avoidable boolean, paid double, in_network boolean"
+    ).withColumn("service_date", F.to_date("d"))
+    rows = {str(r.period): r for r in cost.period_summary(claims, "month").collect()}
+    jan = rows["2001-01-01"]
+    assert (jan.paid_total, jan.paid_avoidable, jan.paid_in_network, jan.n_ip, jan.n_op, jan.n_claims) == (15.0, 10.0, 10.0, 1, 1, 2)
+    assert rows["2001-02-01"].n_er == 1
