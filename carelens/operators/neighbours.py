@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carelens.operators.ids import contiguous_ids
-from carelens.operators.util import broadcast_bounded
+from carelens.operators.util import broadcast_bounded, row_chunks
 
 MAX_CONDITIONS = 2_000          # Gram matrix <= 4M entries (32 MB) when broadcast
 ITEM_KEYS = ["condition_name", "chronic_flag"]
@@ -54,7 +54,7 @@ def gram(per_member: DataFrame, n: int, user_weighted: bool) -> np.ndarray:
     """A'A (or A'D^-1 A): partial matrices per task, summed by one small aggregate."""
     def partial(batches):
         G = np.zeros((n, n), dtype=np.float64)
-        for pdf in batches:
+        for pdf in row_chunks(batches, n):
             if pdf.empty:
                 continue
             B = _indicator(pdf["items"], n)
@@ -91,7 +91,7 @@ def _score_topk(per_member: DataFrame, S: np.ndarray, names: pd.DataFrame, k: in
         S, name, flag = m["S"], m["name"], m["flag"]
         n = S.shape[0]
         # names are in (condition, class) order, so a stable sort breaks ties by name
-        for pdf in batches:
+        for pdf in row_chunks(batches, n):
             if pdf.empty:
                 continue
             B = _indicator(pdf["items"], n)

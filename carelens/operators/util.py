@@ -28,3 +28,14 @@ def rank_top(df: DataFrame, partition: Sequence[str], order: Sequence[Column], k
     w = Window.partitionBy(*partition).orderBy(*order)
     out = df.withColumn(rank_col, F.row_number().over(w))
     return out.filter(F.col(rank_col) <= k) if k is not None else out
+
+
+MAX_CELLS = 4_000_000     # rows x items held at once by a scoring kernel (32 MB of doubles)
+
+
+def row_chunks(batches, width: int, max_cells: int = MAX_CELLS):
+    """Split Arrow batches into row slices so a (rows x width) matrix stays bounded."""
+    step = max(1, max_cells // max(width, 1))
+    for pdf in batches:
+        for lo in range(0, len(pdf), step):
+            yield pdf.iloc[lo:lo + step]
