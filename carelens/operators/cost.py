@@ -7,7 +7,6 @@ rankings use the contiguous-id operator, so no window ever runs in a single task
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -203,7 +202,3 @@ def provider_benchmark(actual: DataFrame, predicted: DataFrame, attribution: Dat
         F.round(F.sum(pred_col), MONEY_DIGITS + 2).alias("predicted"))
     ratio = F.when(F.col("predicted") != 0, F.round(F.col("actual") / F.col("predicted"), 6))
     return agg.withColumn("ratio", ratio)
-
-
-def ceil_share(n: int, x: float) -> int:
-    return int(math.ceil(n * x))

@@ -103,3 +103,10 @@ def test_contiguous_ids_exact_when_aqe_sizes_partitions(spark):
         assert got == {i + 1: k for i, k in enumerate(keys)}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_standalone_responses_equal_fused_history(spark):
+    from carelens.operators import features
+    src = Source(spark, SF_SMALL)
+    alone = features.holdout_responses(src.claims, "2001-06-01")
+    assert sorted(map(tuple, alone.collect())) == sorted(map(tuple, inputs.responses(src).collect()))
