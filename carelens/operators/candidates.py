@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carelens.operators.util import broadcast_bounded, rank_top
+from carelens.constants import GENDER_SHARE, POPULAR_PER_MEMBER, POPULAR_TOP
 
 KEYS3 = ["member_id", "condition_name", "chronic_flag"]
-GENDER_SHARE = 0.95        # share of member-rows of one gender that makes a condition specific
 
 
 def gender_labels(features: DataFrame, members: DataFrame | None = None,
@@ -50,7 +50,7 @@ def new_only(responses: DataFrame, features: DataFrame, keys: Sequence[str] = KE
     return responses.join(known_rows(features).select(*keys), list(keys), "left_anti")
 
 
-def popular_conditions(features: DataFrame, k: int = 30,
+def popular_conditions(features: DataFrame, k: int = POPULAR_TOP,
                        segment: Sequence[str] = ()) -> DataFrame:
     """W1 (+T8): members per (condition, class[, segment]); top ``k`` per class (and segment)
     by count, ties by condition name."""
@@ -90,7 +90,8 @@ def _drop_known_and_rank(lists: Column, known: Column, k: int) -> Column:
     return F.flatten(F.transform(lists, per_class))
 
 
-def member_popular(members: DataFrame, features: DataFrame, popular: DataFrame, k: int = 15,
+def member_popular(members: DataFrame, features: DataFrame, popular: DataFrame,
+                   k: int = POPULAR_PER_MEMBER,
                    max_broadcast: int = 1_000_000) -> DataFrame:
     """M9: every member gets the popular list of each class minus the conditions already coded
     for them (three keys), re-ranked, first ``k`` per (member, class).
@@ -114,7 +115,7 @@ def segment_columns(members: DataFrame, segment: Sequence[str]) -> DataFrame:
 
 
 def member_popular_by_segment(members: DataFrame, features: DataFrame, segment: Sequence[str],
-                              k_top: int = 30, k: int = 15, max_broadcast: int = 1_000_000
+                              k_top: int = POPULAR_TOP, k: int = POPULAR_PER_MEMBER, max_broadcast: int = 1_000_000
                               ) -> DataFrame:
     """Popularity within the member's segment (e.g. age band x gender x eligibility).
     Members join their segment's lists by an equi-join on the segment keys; the list table
@@ -145,7 +146,7 @@ def _known_per_member_segment(seg_feat: DataFrame, popular: DataFrame, seg: list
 
 
 def popular_ranks_for(pairs: DataFrame, members: DataFrame, features: DataFrame,
-                      popular: DataFrame, k: int = 15, max_broadcast: int = 1_000_000
+                      popular: DataFrame, k: int = POPULAR_PER_MEMBER, max_broadcast: int = 1_000_000
                       ) -> DataFrame:
     """The rank each (member, condition, class) row would get in ``member_popular`` (null when
     it is not in the member's first ``k``), without building the member lists:

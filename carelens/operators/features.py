@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carelens.functions.scalar import decayed_weight, log_credibility, sqrt_credibility
+from carelens.constants import DEMOG_SCALAR
 
-DEMOG_SCALAR = 2.0          # demographic confidence multiplier (fixed value)
 FEATURE_COLUMNS = ["member_id", "feature_value", "confidence", "chronic_flag", "feature_name"]
 
 

@@ -18,6 +18,7 @@ from carelens.plans import inputs
 from carelens.session import ensure_checkpoint_dir, scratch_path
 from carelens.sources.fixtures import HOLDOUT_CUT, OUTCOME_CUT, Source
 from carelens.sources.tables import peek, read_delimited, row_count
+from carelens.constants import POPULAR_PER_MEMBER
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -157,7 +158,7 @@ def popular_conditions(src: Source) -> DataFrame:
 def member_popular(src: Source) -> DataFrame:
     """M9: per member and class, the popular conditions not yet coded, first 15."""
     return longs(candidates.member_popular(src.members, inputs.tune_features(src),
-                                           inputs.popular(src), 15))
+                                           inputs.popular(src), POPULAR_PER_MEMBER))
 
 
 @query

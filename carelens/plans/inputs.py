@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carelens.operators import candidates, features, ids
+from carelens.constants import (
+    ALS_ALPHA, ALS_RANK, ALS_REG, EVAL_RANKS, EXPORT_RANKS, POPULAR_PER_MEMBER, POPULAR_TOP,
+)
+from carelens.operators import candidates, evaluate, explain, factor, features, ids
 from carelens.sources.fixtures import HOLDOUT_CUT, Source
 
 LAST_SERVICE_DATE = "2001-08-01"    # prediction features are aged from the last claim date
@@ -91,19 +94,19 @@ def new_conditions(src: Source) -> DataFrame:
 def popular(src: Source) -> DataFrame:
     """Top 30 per class; tiny, read by several steps, so materialized once."""
     return _memo(src, "popular", lambda: candidates.popular_conditions(
-        tune_features(src), 30).checkpoint(eager=True))
+        tune_features(src), POPULAR_TOP).checkpoint(eager=True))
 
 
 def popular_scored(src: Source) -> DataFrame:
     """Hold-out rows with their popularity rank (first 15 per member and class)."""
     return _memo(src, "pop_scored", lambda: candidates.popular_ranks_for(
-        new_conditions(src), src.members, tune_features(src), popular(src), 15))
+        new_conditions(src), src.members, tune_features(src), popular(src),
+        POPULAR_PER_MEMBER))
 
 
 # ---- matrix factorization ------------------------------------------------------------------
-from carelens.operators import evaluate, explain, factor  # noqa: E402
 
-DEFAULT_PARAMS = factor.Params(rank=50, alpha=100.0, reg=7.0)   # reference's one-point grid
+DEFAULT_PARAMS = factor.Params(rank=ALS_RANK, alpha=ALS_ALPHA, reg=ALS_REG)
 
 
 def model(src: Source, which: str = "tune", params: factor.Params = DEFAULT_PARAMS):
@@ -111,7 +114,8 @@ def model(src: Source, which: str = "tune", params: factor.Params = DEFAULT_PARA
         ratings(src, which), params, materialize=False))
 
 
-def rec_ranked(src: Source, params: factor.Params = DEFAULT_PARAMS, k: int = 15) -> DataFrame:
+def rec_ranked(src: Source, params: factor.Params = DEFAULT_PARAMS, k: int = EVAL_RANKS
+               ) -> DataFrame:
     """Recommender ranks per (member, class) on the tuning data (evaluation shape)."""
     return _memo(src, f"rec_ranked_{params}_{k}", lambda: factor.recommend(
         model(src, "tune", params), user_map(src), product_map(src), tune_features(src),
@@ -123,7 +127,8 @@ def rec_scored(src: Source, params: factor.Params = DEFAULT_PARAMS) -> DataFrame
     return evaluate.attach_ranks(new_conditions(src), rec_ranked(src, params))
 
 
-def predictions(src: Source, params: factor.Params = DEFAULT_PARAMS, k: int = 10) -> DataFrame:
+def predictions(src: Source, params: factor.Params = DEFAULT_PARAMS, k: int = EXPORT_RANKS
+                ) -> DataFrame:
     """M15 + M12: refit on all data (own id maps), top ``k`` per member for export."""
     return _memo(src, f"preds_{params}_{k}", lambda: factor.recommend(
         model(src, "pred", params), user_map(src, "pred"), product_map(src, "pred"),
