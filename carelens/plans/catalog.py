@@ -271,6 +271,15 @@ def case_study_features(src: Source) -> DataFrame:
     return casestudy.extract_for(feats, chosen)
 
 
+@query
+def case_study_predictions(src: Source) -> DataFrame:
+    """Exported recommendations of the case-study members (semi-join, no fan-out)."""
+    feats = inputs.tune_features(src)
+    top = inputs.popular(src).filter((F.col("chronic_flag") == "1") & (F.col("pred_rank") == 1))
+    chosen = casestudy.members_with_condition(feats, top, 1.0)
+    return longs(casestudy.extract_for(inputs.predictions(src), chosen))
+
+
 @query
 def explicit_gaps(src: Source) -> DataFrame:
     """Chronic conditions coded in the prior year but not in the last year."""
