@@ -137,3 +137,23 @@ def test_period_summary_month_grain(spark):
     jan = rows["2001-01-01"]
     assert (jan.paid_total, jan.paid_avoidable, jan.paid_in_network, jan.n_ip, jan.n_op, jan.n_claims) == (15.0, 10.0, 10.0, 1, 1, 2)
     assert rows["2001-02-01"].n_er == 1
+
+
+def test_duplicate_ratings_merged_with_max(spark):
+    from carelens.operators import ids
+    feats = spark.createDataFrame(
+        [(1, "x", 0.5, "1", "condition_name"), (1, "x", 0.9, "1", "condition_name"),
+         (2, "x", 0.3, "1", "condition_name")],
+        "member_id long, feature_value string, confidence double, chronic_flag string, feature_name string")
+    um = ids.contiguous_ids(feats, "member_id", "user_id")
+    pm = ids.contiguous_ids(feats, ["feature_name", "feature_value", "chronic_flag"], "product_id")
+    got = sorted((r.user_id, r.product_id, round(r.confidence, 3)) for r in ids.ratings(feats, um, pm).collect())
+    assert got == [(1, 1, 0.9), (2, 1, 0.3)]
+
+
+def test_params_are_validated():
+    from carelens.operators.factor import Params
+    with pytest.raises(ValueError):
+        Params(rank=0)
+    with pytest.raises(ValueError):
+        Params(alpha=0.0)
