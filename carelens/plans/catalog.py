@@ -223,7 +223,9 @@ def als_tuning(src: Source) -> DataFrame:
         return inputs.rec_scored(src, p).agg(
             F.avg(F.when(F.col("pred_rank") <= 10, 1).otherwise(0))).first()[0]
 
-    results = tune.run_grid(src.spark, grid, score)
+    # inputs shared by every fit are built first; the fits then run two at a time
+    inputs.ratings(src), inputs.gender_labels(src), inputs.new_conditions(src)
+    results = tune.run_grid(src.spark, grid, score, parallelism=2)
     best = tune.best_params(results)
     return longs(results.withColumn("best", (F.col("rank") == best.rank)
                                     & (F.col("alpha") == best.alpha)

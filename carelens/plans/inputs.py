@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,11 +16,19 @@ from carelens.sources.fixtures import HOLDOUT_CUT, Source
 LAST_SERVICE_DATE = "2001-08-01"    # prediction features are aged from the last claim date
 
 
+_LOCK = threading.RLock()
+
+
 def _memo(src: Source, key: str, build):
-    cache = src.__dict__.setdefault("_memo", {})
-    if key not in cache:
-        cache[key] = build()
-    return cache[key]
+    """Build each input once per Source, also when several fits run in threads."""
+    with _LOCK:
+        cache = src.__dict__.setdefault("_memo", {})
+        locks = src.__dict__.setdefault("_memo_locks", {})
+        lock = locks.setdefault(key, threading.RLock())
+    with lock:
+        if key not in cache:
+            cache[key] = build()
+        return cache[key]
 
 
 def history(src: Source) -> DataFrame:
