@@ -17,6 +17,7 @@ from carelens.operators.util import broadcast_bounded, rank_top
 from carelens.constants import GENDER_SHARE, POPULAR_PER_MEMBER, POPULAR_TOP
 
 KEYS3 = ["member_id", "condition_name", "chronic_flag"]
+MAX_CLASSES = 64           # bound on condition classes carried as a scalar list
 
 
 def gender_labels(features: DataFrame, members: DataFrame | None = None,
@@ -98,7 +99,9 @@ def member_popular(members: DataFrame, features: DataFrame, popular: DataFrame,
 
     The global lists are a scalar subquery (bounded: k_top entries per class), so no member x
     condition join is formed; per member the work is array filtering over at most k_top items."""
-    lists = _lists_per_class(popular, [])
+    lists = _lists_per_class(popular, []).checkpoint(eager=True)      # one row per class
+    if lists.count() > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} condition classes")
     all_lists = lists.select(F.collect_list(F.struct("chronic_flag", "items"))).scalar()
     known = _known_per_member(features, popular, max_broadcast)
     m = members.select("member_id").join(known, "member_id", "left") \
