@@ -75,3 +75,13 @@ def test_one_lineitem_scan_for_history_and_profile(spark):
                cost.member_profile(src.claims, "2001-02-01")):
         scans = [l for l in plan(df).splitlines() if "FileScan parquet" in l and "lineitem" in l]
         assert len(scans) == 1
+
+
+def test_gap_operators_scan_claims_once(spark):
+    from carelens.operators import gaps
+    src = Source(spark, SF_SMALL)
+    for df in (gaps.explicit_gaps(src.claims, "2001-06-01"),
+               gaps.drug_gaps(src.claims, src.drug_conditions, "2001-06-01")):
+        p = plan(df)
+        assert len([l for l in p.splitlines() if "FileScan parquet" in l and "lineitem" in l]) == 1
+        assert "LeftAnti" not in p
