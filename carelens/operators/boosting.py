@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +45,14 @@ def event_model(train: DataFrame, label: str, trees: int = 20, depth: int = 4,
                          subsamplingRate=subsample, featureSubsetStrategy=subset, seed=seed)
 
 
+def cost_model(label: str, trees: int = 20, depth: int = 4, subsample: float = 0.8,
+               subset: str = "sqrt", seed: int = 11, features: str = "features") -> GBTRegressor:
+    """Boosted trees for the expected cost (squared loss), used where a mean is needed, e.g.
+    the provider benchmark (T24)."""
+    return GBTRegressor(featuresCol=features, labelCol=label, maxIter=trees, maxDepth=depth,
+                        subsamplingRate=subsample, featureSubsetStrategy=subset, seed=seed)
+
+
 def probability(model_output: DataFrame, name: str = "prob") -> DataFrame:
     return model_output.withColumn(name, vector_to_array("probability")[1])
 

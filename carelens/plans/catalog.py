@@ -463,3 +463,15 @@ def bulk_conversion(src: Source) -> DataFrame:
                              source_regex=r"/in/([^/]+)/")
     return out.groupBy("source").agg(F.count(F.lit(1)).alias("rows"),
                                      F.sum(F.col("id").cast("bigint")).alias("id_sum"))
+
+
+@query
+def provider_benchmark_model(src: Source) -> DataFrame:
+    """T24 with a model: actual six-month cost vs boosted-tree expected cost per attributed
+    provider."""
+    df = _model_frame(src)
+    model = boosting.cost_model("cost_total", trees=20, depth=4).fit(df)
+    pred = model.transform(df).select("member_id", F.col("prediction").alias("pred"))
+    hist = src.claims.filter(F.col("service_date") <= F.to_date(F.lit(OUTCOME_CUT)))
+    return cost.provider_benchmark(_outcomes(src), pred, cost.attributed_provider(hist),
+                                   "cost_total", "pred")
