@@ -25,15 +25,18 @@ ITEM_KEYS = ["condition_name", "chronic_flag"]
 
 
 def _indexed(known: DataFrame):
-    pairs = known.select("member_id", *ITEM_KEYS).distinct()
-    items = contiguous_ids(pairs, ITEM_KEYS, "_item")
+    """Condition ids (distinct keys, pre-aggregated per task) and each member's condition set.
+    ``collect_set`` removes repeated rows inside the one grouping by member, so no separate
+    distinct shuffle is needed."""
+    items = contiguous_ids(known.select(*ITEM_KEYS), ITEM_KEYS, "_item")
     n = items.count()
     if n > MAX_CONDITIONS:
         raise ValueError(f"{n} conditions exceed the bound {MAX_CONDITIONS}")
     names = items.orderBy("_item").toPandas()
     # read by the Gram pass and by the scoring pass: materialized once
-    per_member = (pairs.join(broadcast_bounded(items, MAX_CONDITIONS), ITEM_KEYS)
-                  .groupBy("member_id").agg(F.collect_list((F.col("_item") - 1).cast("int"))
+    per_member = (known.select("member_id", *ITEM_KEYS)
+                  .join(broadcast_bounded(items, MAX_CONDITIONS), ITEM_KEYS)
+                  .groupBy("member_id").agg(F.collect_set((F.col("_item") - 1).cast("int"))
                                             .alias("items"))
                   .checkpoint(eager=True))
     return per_member, names, int(n)
