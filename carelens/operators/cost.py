@@ -138,8 +138,8 @@ def member_features(members: DataFrame, profile: DataFrame, measurements: DataFr
 def global_rank(df: DataFrame, score: str, key: str = "member_id", name: str = "rank",
                 group: str | None = None) -> DataFrame:
     """Exact rank by score descending (nulls last, ties by key; ``key`` must be unique per
-    group), per ``group`` if given, without a one-task window: one contiguous-id pass over (group, null flag, -score, key), minus the
-    first id of each group."""
+    group), per ``group`` if given, without a one-task window: one contiguous-id pass over
+    (group, null flag, -score, key), minus the first id of each group."""
     g = [group] if group else []
     keyed = df.select(*g, key, F.col(score).isNull().alias("_null"),
                       (-F.col(score)).alias("_neg"))
@@ -159,12 +159,17 @@ def capture_curves(actual: DataFrame, scored: DataFrame, actual_col: str,
     members; ties broken by member key).
 
     A member is in both top lists at level X iff max(actual rank, score rank) <= n_X, so one
-    aggregate with a conditional count per level gives every curve. The actual ranking is
-    computed once; all score rankings share one id pass (scores unpivoted to long form)."""
-    ra = global_rank(actual, actual_col, key, "_ra")
+    aggregate with a conditional count per level gives every curve. The actual outcome and
+    all scores are unpivoted to long form and ranked in one contiguous-id pass."""
+    actual_group = "\u0000actual"          # cannot collide with a score column name
     long = scored.select(key, *[F.col(c).cast("double").alias(c) for c in score_cols]) \
-        .unpivot(key, list(score_cols), "baseline", "_score")
-    rp = global_rank(long, "_score", key, "_rp", group="baseline")
+        .unpivot(key, list(score_cols), "baseline", "_score") \
+        .unionByName(actual.select(key, F.lit(actual_group).alias("baseline"),
+                                   F.col(actual_col).cast("double").alias("_score")))
+    ranked = global_rank(long, "_score", key, "_r", group="baseline")   # one pass for all
+    ra = ranked.filter(F.col("baseline") == actual_group).select(key, F.col("_r").alias("_ra"))
+    rp = ranked.filter(F.col("baseline") != actual_group) \
+        .select("baseline", key, F.col("_r").alias("_rp"))
     both = ra.join(rp, key).withColumn("_m", F.greatest("_ra", "_rp"))
     n = ra.join(rp.select(key).distinct(), key).agg(F.count(F.lit(1))).scalar()
     cols = []
