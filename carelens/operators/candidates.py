@@ -118,7 +118,8 @@ def segment_columns(members: DataFrame, segment: Sequence[str]) -> DataFrame:
 
 
 def member_popular_by_segment(members: DataFrame, features: DataFrame, segment: Sequence[str],
-                              k_top: int = POPULAR_TOP, k: int = POPULAR_PER_MEMBER, max_broadcast: int = 1_000_000
+                              k_top: int = POPULAR_TOP, k: int = POPULAR_PER_MEMBER,
+                              max_broadcast: int = 1_000_000
                               ) -> DataFrame:
     """Popularity within the member's segment (e.g. age band x gender x eligibility).
     Members join their segment's lists by an equi-join on the segment keys; the list table
@@ -149,7 +150,8 @@ def _known_per_member_segment(seg_feat: DataFrame, popular: DataFrame, seg: list
 
 
 def popular_ranks_for(pairs: DataFrame, members: DataFrame, features: DataFrame,
-                      popular: DataFrame, k: int = POPULAR_PER_MEMBER, max_broadcast: int = 1_000_000
+                      popular: DataFrame, k: int = POPULAR_PER_MEMBER,
+                      max_broadcast: int = 1_000_000
                       ) -> DataFrame:
     """The rank each (member, condition, class) row would get in ``member_popular`` (null when
     it is not in the member's first ``k``), without building the member lists:
@@ -161,8 +163,9 @@ def popular_ranks_for(pairs: DataFrame, members: DataFrame, features: DataFrame,
     who = members.select("member_id", F.lit(True).alias("_member")).join(known, "member_id",
                                                                           "left")
     x = pairs.join(top, ["condition_name", "chronic_flag"], "left").join(who, "member_id", "left")
-    ahead = F.size(F.filter(F.coalesce(F.col("known"), F.array()), lambda c:
-                            (c["chronic_flag"] == F.col("chronic_flag")) & (c["pred_rank"] < F.col("_g"))))
+    ahead = F.size(F.filter(
+        F.coalesce(F.col("known"), F.array()),
+        lambda c: (c["chronic_flag"] == F.col("chronic_flag")) & (c["pred_rank"] < F.col("_g"))))
     rank = F.when(F.col("_member") & F.col("_g").isNotNull(), F.col("_g") - ahead)
     out = x.withColumn("pred_rank", F.when(rank <= k, rank).cast("int"))
     return out.drop("_g", "_member", "known")

@@ -78,7 +78,8 @@ class Source:
         return p.select(
             F.col("p_partkey").alias("diagnosis"),
             F.col("p_name").alias("condition_name"),
-            F.when(F.col("p_size") % 2 == 0, F.lit("1")).otherwise(F.lit("0")).alias("chronic_flag"),
+            F.when(F.col("p_size") % 2 == 0, F.lit("1")).otherwise(F.lit("0"))
+             .alias("chronic_flag"),
             F.col("p_type").alias("service_type"),
             F.col("p_brand").alias("drug"),
         )
