@@ -1,12 +1,11 @@
-"""carelens — clinical-population analytics expressed as Spark DataFrame / SQL / ML jobs.
-
-Sub-packages:
-  sources    reading, converting and writing tables; adapter views over the supplied tables
-  functions  column expressions (credibility, dot products, display labels, flags)
-  operators  DataFrame -> DataFrame operators (summaries, features, ids, popularity,
-             matrix factorization, evaluation, cost models, boosting)
-  plans      the registered queries and their SQL oracles
-  streaming  incremental variants of the grouped summaries
+"""carelens: care analytics and data preparation as Spark jobs.
+
+Functions that run inside tasks travel by value with the job, so executors need not have this
+package installed; the public libraries it uses (numpy, pandas, pyarrow) they do need.
 """
 
-__version__ = "0.1.0"
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
