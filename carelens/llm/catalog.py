@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, htmltext, neardup, packing, toxicity, warc
+from . import ann, htmltext, neardup, packing, secrets, toxicity, warc
+from . import sql
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,3 +65,17 @@ def approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(read_table(spark, sf_dir, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op6_secret_scans", sql.SECRETS)
+def secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(read_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] < 3)
+
+    def number(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id", number(0).alias("n_assign"), number(1).alias("n_access"),
+        number(2).alias("n_hex"), F.sha2(secrets.span_text(base), 256).alias("base_sha256"),
+        secrets.span_text(F.col("spans")).alias("spans"))
