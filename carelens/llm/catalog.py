@@ -8,8 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, htmltext, neardup, packing, secrets, toxicity, warc
-from . import sql
+from . import ann, decontaminate, htmltext, neardup, packing, secrets, sql, toxicity, warc
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,3 +78,13 @@ def secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", number(0).alias("n_assign"), number(1).alias("n_access"),
         number(2).alias("n_hex"), F.sha2(secrets.span_text(base), 256).alias("base_sha256"),
         secrets.span_text(F.col("spans")).alias("spans"))
+
+
+@query("op2_benchmark_decontamination", sql.DECONTAMINATION)
+def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(read_table(spark, sf_dir, "documents"),
+                                        read_table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"))

@@ -57,3 +57,35 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
        coalesce(spans, '') AS spans
 FROM d LEFT JOIN agg USING (r)
 """
+
+# Windows of test items against all word runs of the same length.
+DECONTAMINATION = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents),
+b AS (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM benchmark WHERE item_id IS NOT NULL),
+wins AS (
+    SELECT DISTINCT item_id, least(len(w), 10) AS size,
+           array_to_string(w[i + 1:i + least(len(w), 10)], ' ') AS s
+    FROM (SELECT item_id, w, unnest(range(greatest(len(w) - 10, 0) + 1)) AS i
+          FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT size FROM wins),
+runs AS (
+    SELECT r, size, i, array_to_string(w[i + 1:i + size], ' ') AS s
+    FROM (SELECT r, size, w, unnest(range(len(w) - size + 1)) AS i
+          FROM d, sizes WHERE len(w) >= size)),
+hit AS (SELECT DISTINCT r, i, runs.size, item_id FROM runs JOIN wins USING (size, s)),
+covered AS (
+    SELECT r, count(DISTINCT p) AS n_hit
+    FROM (SELECT r, unnest(range(i, i + size)) AS p FROM hit) GROUP BY r),
+named AS (
+    SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+    FROM (SELECT DISTINCT r, item_id::VARCHAR AS id FROM hit) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+       coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
+"""
