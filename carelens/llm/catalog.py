@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (ann, decontaminate, htmltext, neardup, packing, repeats, secrets, sql, toxicity,
-               warc)
+from . import (ann, chat, decontaminate, htmltext, neardup, packing, repeats, secrets, sql,
+               toxicity, warc)
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,3 +97,8 @@ def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op3_chat_formatting")
+def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repair(read_table(spark, sf_dir, "conversations"))
