@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize
 
@@ -352,21 +353,31 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     return {"terms": terms, "weights": w.tolist()}
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every document."""
+def with_scores(docs: DataFrame, model: dict, column: str = "score") -> DataFrame:
+    """``docs``, every column as it is, with the score of its ``text`` as ``column``."""
+    if column in docs.columns:
+        raise ValueError(f"{column} is a column of the input")
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    names = [*docs.columns, column]
+    at = docs.columns.index("text")
 
     def run(batches):
         m, w = Matcher(sent.value["terms"]), sent.value["weights"]
         for batch in batches:
             out = []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(at).to_pylist():
                 z = w[-1] + sum(w[k] * v for k, v in design(*m.hits(text or "")).items())
                 out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())],
-                                             ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names)
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields,
+                                              T.StructField(column, T.DoubleType())]))
 
-    return (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-            .mapInArrow(run, "doc_id long, score double")
-            .select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
-                    (F.col("score") >= 0.5).cast("int").alias("predicted")))
+
+def score(docs: DataFrame, model: dict) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every document."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+                      F.col("text").cast("string").alias("text"))
+    return with_scores(own, model).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
