@@ -10,6 +10,16 @@ from .common import materialize
 MAX_ROUNDS = 60
 
 
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether every node is either a root or hangs on exactly one root."""
+    ends = (edges.select(F.col("a").alias("u"), F.lit(1).alias("hangs"), F.lit(0).alias("root"))
+            .unionByName(edges.select(F.col("b").alias("u"), F.lit(0).alias("hangs"),
+                                      F.lit(1).alias("root"))))
+    odd = (ends.groupBy("u").agg(F.sum("hangs").alias("hangs"), F.max("root").alias("root"))
+           .filter("hangs > 1 or (hangs = 1 and root = 1)"))
+    return not odd.limit(1).collect()
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, component) of every node of ``links`` (a, b: long): component is the smallest
     reachable node.
@@ -17,38 +27,28 @@ def connected_components(links: DataFrame) -> DataFrame:
     Alternating star contraction: a large-star round hangs each node's larger neighbours on its
     smallest one, a small-star round its smaller ones. Each round is a grouped minimum (partial
     aggregation, so a hub costs no more than its tasks) and an equi-join that AQE can split; the
-    links are written after every round. Ends when a round changes nothing."""
+    links are written after every round. Ends when the links are stars around the smallest
+    nodes."""
 
     def both(e):
         return e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
             e.select(F.col("b").alias("u"), F.col("a").alias("v")))
 
-    def digest(e):
-        r = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
-                  .alias("h")).first()
-        return r["n"], r["h"]
-
     edges = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                         .filter("a <> b").distinct(), "links")
-    state = digest(edges)
     for _ in range(MAX_ROUNDS):
-        if not state[0]:
+        if _is_stars(edges):
             break
         pairs = both(edges)
         least = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = (pairs.filter("v > u").join(least, "u").select(F.col("v").alias("a"),
                                                                F.col("m").alias("b"))
-                 .filter("a <> b").distinct())
+                 .filter("a <> b"))
         # small star: every link already runs from the larger node a to a smaller one b
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        hung = large.join(least, "a")
-        small = (hung.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-                 .unionByName(least.select("a", F.col("m").alias("b"))).distinct())
-        edges = materialize(small, "links")
-        after = digest(edges)
-        if after == state:
-            break
-        state = after
+        hung = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
+        edges = materialize(
+            hung.select(F.explode(F.array(F.col("a"), F.col("b"))).alias("a"),
+                        F.col("m").alias("b")).filter("a <> b").distinct(), "links")
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
