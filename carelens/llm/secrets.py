@@ -66,14 +66,14 @@ def _matches(text: Column, kind: str, pattern: str, keep: bool) -> Column:
                   F.filter(marks, lambda m: m["size"].isNotNull())).otherwise(none)
 
 
-def _places(docs: DataFrame) -> DataFrame:
+def _places(docs: DataFrame, id_col: str, id_type: str) -> DataFrame:
     """A row per match and, for documents without any, one without kind: (row, doc_id, kind,
     start, end, good, string). Written once; everything after reads it."""
     patterns = [("assign", ASSIGN, False), ("access", ACCESS, False), ("hex", HEX, False),
                 *((kind, p, True) for kind, p, *_ in CLASSES)]
     text = F.coalesce(F.col("text"), F.lit(""))
     marks = F.concat(*[_matches(text, k, p, keep) for k, p, keep in patterns])
-    rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+    rows = (docs.select(F.col(id_col).cast(id_type).alias("doc_id"),
                         F.col("text").cast("string").alias("text"))
             .select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
             .select("row", "doc_id", F.posexplode_outer(marks).alias("nr", "m"))
@@ -138,7 +138,11 @@ def _entropy_spans(places: DataFrame) -> DataFrame:
 def find_secrets(docs: DataFrame) -> DataFrame:
     """(doc_id, spans) of every row of ``docs``: spans is an array of (start, kind, end) in code
     points, end exclusive, sorted by start, then kind (its place in KINDS), then end."""
-    places = _places(docs)
+    return _find(docs, "doc_id", "long")
+
+
+def _find(docs: DataFrame, id_col: str, id_type: str) -> DataFrame:
+    places = _places(docs, id_col, id_type)
     base = places.filter(F.col("kind") < 3).filter("good")
     rest = _entropy_spans(places)
     every = (base.select("row", "doc_id", "kind", "start", "end").unionByName(rest)
@@ -148,7 +152,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     span = F.struct("start", "kind", "end")
     return (every.groupBy("row", "doc_id")
             .agg(F.array_sort(F.collect_list(F.when(F.col("kind").isNotNull(), span)))
-                 .alias("spans")).select("doc_id", "spans"))
+                 .alias("spans")).select(F.col("doc_id").alias(id_col), "spans"))
 
 
 def span_text(spans: Column) -> Column:
@@ -161,12 +165,11 @@ def span_text(spans: Column) -> Column:
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of every text replaced by ``mark`` (overlapping or touching spans
     by one), n_chars, where there is one, brought up to date; texts without spans stay as they
-    are. Rows that share id and text share their spans."""
-    key = [F.col("doc_id").cast("long").alias("k_id"), F.xxhash64("text").alias("k_text")]
-    own = docs.select("*", *key)
-    found = (find_secrets(own.select(F.col("k_text").alias("doc_id"), "text"))
-             .filter(F.size("spans") > 0).select(F.col("doc_id").alias("k_text"), "spans")
-             .dropDuplicates(["k_text"]))
+    are."""
+    own = docs.withColumn("__text_key", F.md5("text"))
+    found = (_find(own, "__text_key", "string").filter(F.size("spans") > 0)
+             .select(F.col("__text_key"), F.col("spans").alias("__spans"))
+             .dropDuplicates(["__text_key"]))
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 
     def step(acc, s):
@@ -178,12 +181,13 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
             F.when(fresh | first, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"])
             .alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
 
-    clean = F.aggregate("spans", start, step, lambda acc: F.concat(
+    spans = F.col("__spans")
+    clean = F.aggregate(spans, start, step, lambda acc: F.concat(
         acc["out"], F.substring(F.col("text"), acc["at"].cast("int") + 1, F.length("text"))))
-    out = own.join(found, "k_text", "left").withColumn(
-        "text", F.when(F.col("spans").isNotNull(), clean).otherwise(F.col("text")))
+    out = own.join(found, "__text_key", "left")
+    out = out.withColumn("text", F.when(spans.isNotNull(), clean).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(
-            F.col("spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType))
+            spans.isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType))
             .otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
