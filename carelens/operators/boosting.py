@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carelens.operators.tune import fold_column
-from carelens.operators.util import broadcast_bounded
+from carelens.session import written
 
 SENTINEL = -1.0e9      # stands in for a missing value; the indicator column says it was missing
 
@@ -76,35 +76,56 @@ def repeated_kfold(df: DataFrame, label: str, k: int = 3, repeats: int = 2, tree
                    features: str = "features", parallelism: int = 1) -> DataFrame:
     """Repeated k-fold. Folds come from a hash of (member, repeat, seed). For every fold,
     ``evaluateEachIteration`` gives the validation loss after each tree; the tree count with the
-    lowest mean loss over all folds and repeats is chosen, each fold is refit with it, and the
-    out-of-fold probabilities are averaged over the repeats. The repeats x k fits are
+    lowest mean loss over all folds and repeats is chosen, the out-of-fold members are predicted
+    from that many first trees of the fitted ensembles (a shorter fit is a prefix of a longer
+    one), and the probabilities are averaged over the repeats. The repeats x k fits are
     independent and run ``parallelism`` at a time. Returns (member, prob, trees)."""
-    data = df.select(key, label, features).checkpoint(eager=True)
+    data = written(df.select(key, label, features), "folds")
     splits = [(r, f) for r in range(repeats) for f in range(k)]
 
     def split(r, f):
         fd = data.withColumn("_fold", fold_column([key], k, r, seed))
         return fd.filter(F.col("_fold") != f), fd.filter(F.col("_fold") == f)
 
-    def losses_of(rf):
+    def fit_one(rf):
         train, valid = split(*rf)
         m = event_model(train, label, trees, depth, seed=seed + rf[0]).fit(train)
-        return m.evaluateEachIteration(valid)
+        return m, m.evaluateEachIteration(valid)
 
-    losses = _parallel_map(losses_of, splits, parallelism)
+    fitted = _parallel_map(fit_one, splits, parallelism)
+    losses = [x for _, x in fitted]
     n = min(len(x) for x in losses)
     mean = [sum(x[i] for x in losses) / len(losses) for i in range(n)]
     best = 1 + min(range(n), key=lambda i: (mean[i], i))
 
-    def predict(rf):
-        train, valid = split(*rf)
-        m = event_model(train, label, best, depth, seed=seed + rf[0]).fit(train)
-        return probability(m.transform(valid)).select(key, "prob")
-
-    stacked = _union_all(_parallel_map(predict, splits, parallelism))
+    stacked = _union_all([
+        prefix_probability(m, split(*rf)[1], best, features).select(key, "prob")
+        for (m, _), rf in zip(fitted, splits)])
     return stacked.groupBy(key).agg(F.avg("prob").alias("prob")).withColumn("trees", F.lit(best))
 
 
+def prefix_probability(model, df: DataFrame, n: int, features: str = "features") -> DataFrame:
+    """``df`` with ``prob`` from the first ``n`` trees of a boosted classifier: its margin is the
+    weighted sum of the trees' predictions, the probability 1 / (1 + exp(-2 margin))."""
+    margin = F.lit(0.0)
+    out = df
+    for t, (tree, w) in enumerate(zip(model.trees[:n], model.treeWeights[:n])):
+        out = tree.setFeaturesCol(features).setPredictionCol(f"_t{t}").transform(out)
+        margin = margin + F.lit(float(w)) * F.col(f"_t{t}")
+    return out.withColumn("prob", 1 / (1 + F.exp(-2 * margin))).drop(
+        *[f"_t{t}" for t in range(n)])
+
+
+def out_of_fold(df: DataFrame, predict, k: int = 2, seed: int = 17, key: str = "member_id"
+                ) -> DataFrame:
+    """Predictions of every row by a model that did not see it: ``predict(train, rest)`` fits on
+    k - 1 hash folds of ``key`` and returns predictions of the rows of the other."""
+    data = written(df.withColumn("_fold", fold_column([key], k, 0, seed)), "oof")
+    return _union_all([predict(data.filter(F.col("_fold") != f).drop("_fold"),
+                               data.filter(F.col("_fold") == f).drop("_fold"))
+                       for f in range(k)])
+
+
 @dataclass
 class QuantileBoost:
     """A fitted quantile-loss boosting model: initial value and (feature subset, tree, leaf
@@ -140,7 +161,7 @@ def quantile_boost(df: DataFrame, label: str, tau: float = 0.9, trees: int = 10,
     init = df.agg(F.percentile_approx(label, tau, accuracy)).first()[0]
     model = QuantileBoost(tau=tau, init=float(init), rate=rate)
     rng = random.Random(seed)
-    cur = df.select(label, features).withColumn("_f", F.lit(float(init))).checkpoint(eager=True)
+    cur = written(df.select(label, features).withColumn("_f", F.lit(float(init))), "quantile")
     y, f = F.col(label), F.col("_f")
     for t in range(trees):
         size = max(1, int(round(subspace * width)))
@@ -155,51 +176,80 @@ def quantile_boost(df: DataFrame, label: str, tau: float = 0.9, trees: int = 10,
             F.percentile_approx(y - f, tau, accuracy).alias("_step"))
         leaf_values = {row["_leaf"]: float(row["_step"]) for row in steps.collect()}  # <= 2^depth
         model.rounds.append((indices, tree, leaf_values))
-        upd = leafed.join(broadcast_bounded(steps, 1 << 16), "_leaf")
-        cur = upd.select(label, features, (f + rate * F.col("_step")).alias("_f")) \
-            .checkpoint(eager=True)
+        step = F.lit(0.0)
+        for leaf, v in leaf_values.items():
+            step = F.when(F.col("_leaf") == leaf, F.lit(v)).otherwise(step)
+        cur = written(leafed.select(label, features, (f + rate * step).alias("_f")), "quantile")
     return model
 
 
-def per_population(df: DataFrame, population: str, label: str, trees: int = 10, depth: int = 3,
-                   seed: int = 11, key: str = "member_id", max_populations: int = 500,
-                   features: str = "features", parallelism: int = 1) -> DataFrame:
-    """One model per population (the fits are independent distributed jobs, run
-    ``parallelism`` at a time). Returns (member, population, prob). The number of populations is
-    checked against ``max_populations`` before any fit."""
-    data = df.select(key, population, label, features).checkpoint(eager=True)
-    counts = (data.groupBy(population).agg(F.countDistinct(label).alias("_labels"))
-              .orderBy(population).limit(max_populations + 1).collect())
-    if len(counts) > max_populations:
-        raise ValueError(f"more than {max_populations} populations in {population}")
-    values = [r[population] for r in counts if r["_labels"] >= 2]
-
-    def fit_one(v):
-        part = data.filter(F.col(population) == v)
-        m = event_model(part, label, trees, depth, seed=seed).fit(part)
-        return probability(m.transform(part)).select(key, population, "prob")
+def constant_rate(train: DataFrame, label: str) -> float:
+    """The share of positive labels (0 without rows): the prediction where a model has nothing
+    to tell apart."""
+    rate = train.agg(F.avg(F.col(label).cast("double"))).first()[0]
+    return float(rate or 0.0)
 
-    return _union_all(_parallel_map(fit_one, values, parallelism))
 
-
-def per_condition(features_df: DataFrame, labels: DataFrame, conditions: Sequence[str],
+def per_population(df: DataFrame, population: str, label: str, trees: int = 10, depth: int = 3,
+                   seed: int = 11, key: str = "member_id", features: str = "features",
+                   parallelism: int = 1, folds: int = 2) -> DataFrame:
+    """One model per population (the fits are independent distributed jobs, run
+    ``parallelism`` at a time), predicting out of fold. Every member gets a row: members without
+    a population are one of their own, and where the training part holds a single label value
+    the prediction is its rate. Returns (member, population, prob).
+
+    The rows are written partitioned by population, so a fit reads its own files only."""
+    data = written(df.select(key, population, label, features).withColumn(
+        "_fold", fold_column([key], folds, 0, seed)).repartition(population), "populations")
+    labels = data.groupBy(population, "_fold").agg(F.collect_set(label).alias("_labels")).collect()
+    found: dict = {}
+    for r in labels:
+        found.setdefault(r[population], {})[r["_fold"]] = set(r["_labels"])
+
+    def fit_one(vf):
+        v, f = vf
+        own = data.filter(F.col(population).eqNullSafe(F.lit(v)))
+        train, rest = own.filter(F.col("_fold") != f), own.filter(F.col("_fold") == f)
+        seen = set().union(*[x for g, x in found[v].items() if g != f])
+        if len(seen) < 2:
+            return rest.select(key, population, F.lit(constant_rate(train, label)).alias("prob"))
+        m = event_model(train, label, trees, depth, seed=seed).fit(train)
+        return probability(m.transform(rest)).select(key, population, "prob")
+
+    jobs = [(v, f) for v in found for f in found[v]]
+    if not jobs:
+        return data.select(key, population, F.lit(0.0).alias("prob"))
+    return _union_all(_parallel_map(fit_one, jobs, parallelism))
+
+
+def per_condition(features_df: DataFrame, labels: DataFrame, conditions: Sequence[tuple],
                   key: str = "member_id", features: str = "features", max_iter: int = 20,
-                  parallelism: int = 1) -> DataFrame:
-    """A logistic regression per condition (the conventional comparator). ``labels`` has
-    (member_id, condition_name) rows for members newly coded with the condition; conditions
-    without any positive member are skipped. Fits run ``parallelism`` at a time."""
-    base = features_df.select(key, features).checkpoint(eager=True)
-    conds = list(conditions)
-    pos = labels.filter(F.col("condition_name").isin(conds)).select(key, "condition_name") \
-        .distinct().checkpoint(eager=True)
-    present = {r[0] for r in pos.select("condition_name").distinct().collect()}
-
-    def fit_one(cond):
-        lab = pos.filter(F.col("condition_name") == cond).select(key).withColumn("_y", F.lit(1.0))
-        data = base.join(lab, key, "left").withColumn("_y", F.coalesce(F.col("_y"), F.lit(0.0)))
-        m = LogisticRegression(featuresCol=features, labelCol="_y", maxIter=max_iter,
-                               standardization=True).fit(data)
-        return probability(m.transform(data)).select(
-            key, F.lit(cond).alias("condition_name"), "prob")
-
-    return _union_all(_parallel_map(fit_one, [c for c in conds if c in present], parallelism))
+                  parallelism: int = 1, folds: int = 2, seed: int = 17) -> DataFrame:
+    """A logistic regression per (condition, class) (the conventional comparator), predicting
+    out of fold. ``labels`` has (member_id, condition_name, chronic_flag) rows for members newly
+    coded; a condition without positives in a training part is predicted at its rate. Each
+    member's new conditions are one array, so features and labels are joined once for all fits.
+    Returns (member, condition, class, prob) for every member and condition."""
+    own = labels.groupBy(key).agg(F.collect_set(F.struct("condition_name", "chronic_flag"))
+                                  .alias("_new"))
+    base = written(features_df.select(key, features).join(own, key, "left").withColumn(
+        "_fold", fold_column([key], folds, 0, seed)), "condition-labels")
+
+    def fit_one(job):
+        (name, flag), f = job
+        hit = F.exists("_new", lambda x: (x["condition_name"] == name)
+                       & (x["chronic_flag"] == flag))
+        data = base.withColumn("_y", F.coalesce(hit, F.lit(False)).cast("double"))
+        train, rest = data.filter(F.col("_fold") != f), data.filter(F.col("_fold") == f)
+        rate = constant_rate(train, "_y")
+        if rate in (0.0, 1.0):
+            out = rest.withColumn("prob", F.lit(rate))
+        else:
+            m = LogisticRegression(featuresCol=features, labelCol="_y", maxIter=max_iter,
+                                   standardization=True).fit(train)
+            out = probability(m.transform(rest))
+        return out.select(key, F.lit(name).alias("condition_name"),
+                          F.lit(flag).alias("chronic_flag"), "prob")
+
+    return _union_all(_parallel_map(fit_one, [(c, f) for c in conditions for f in range(folds)],
+                                    parallelism))

@@ -2,7 +2,7 @@
 
 Anti-joins are written as ``left_anti`` (Catalyst does not turn "left join + is null" into one).
 The popularity baseline never forms the member x condition product with a join: the top list
-is a bounded top-k, carried as a scalar subquery (or a size-checked broadcast for segments), and
+is a bounded top-k, carried as a scalar subquery (or a small joined table for segments), and
 each member's list is derived from it with array expressions.
 """
 
@@ -13,11 +13,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carelens.operators.util import broadcast_bounded, rank_top
+from carelens.operators.util import small_side, rank_top
 from carelens.constants import GENDER_SHARE, POPULAR_PER_MEMBER, POPULAR_TOP
 
 KEYS3 = ["member_id", "condition_name", "chronic_flag"]
-MAX_CLASSES = 64           # bound on condition classes carried as a scalar list
 
 
 def gender_labels(features: DataFrame, members: DataFrame | None = None,
@@ -67,10 +66,9 @@ def _lists_per_class(popular: DataFrame, segment: Sequence[str]) -> DataFrame:
         F.sort_array(F.collect_list(item)).alias("items"))
 
 
-def _known_per_member(features: DataFrame, popular: DataFrame, max_broadcast: int) -> DataFrame:
+def _known_per_member(features: DataFrame, popular: DataFrame) -> DataFrame:
     """Per member, the popular conditions already coded: array of (class, condition, rank)."""
-    top = broadcast_bounded(popular.select("condition_name", "chronic_flag", "pred_rank")
-                            .distinct(), max_broadcast)
+    top = small_side(popular.select("condition_name", "chronic_flag", "pred_rank").distinct())
     hits = known_rows(features).select(*KEYS3).join(top, ["condition_name", "chronic_flag"])
     return hits.groupBy("member_id").agg(
         F.collect_list(F.struct("chronic_flag", "condition_name", "pred_rank")).alias("known"))
@@ -92,18 +90,16 @@ def _drop_known_and_rank(lists: Column, known: Column, k: int) -> Column:
 
 
 def member_popular(members: DataFrame, features: DataFrame, popular: DataFrame,
-                   k: int = POPULAR_PER_MEMBER,
-                   max_broadcast: int = 1_000_000) -> DataFrame:
+                   k: int = POPULAR_PER_MEMBER) -> DataFrame:
     """M9: every member gets the popular list of each class minus the conditions already coded
     for them (three keys), re-ranked, first ``k`` per (member, class).
 
-    The global lists are a scalar subquery (bounded: k_top entries per class), so no member x
-    condition join is formed; per member the work is array filtering over at most k_top items."""
-    lists = _lists_per_class(popular, []).checkpoint(eager=True)      # one row per class
-    if lists.count() > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} condition classes")
+    The global lists are a scalar subquery (k_top entries per class, fewer than the rows each
+    single member gets back), so no member x condition join is formed; per member the work is
+    array filtering over at most k_top items per class."""
+    lists = _lists_per_class(popular, [])                             # one row per class
     all_lists = lists.select(F.collect_list(F.struct("chronic_flag", "items"))).scalar()
-    known = _known_per_member(features, popular, max_broadcast)
+    known = _known_per_member(features, popular)
     m = members.select("member_id").join(known, "member_id", "left") \
         .withColumn("_lists", all_lists)
     known_arr = F.coalesce(F.col("known"), F.array().cast(known.schema["known"].dataType))
@@ -118,48 +114,44 @@ def segment_columns(members: DataFrame, segment: Sequence[str]) -> DataFrame:
 
 
 def member_popular_by_segment(members: DataFrame, features: DataFrame, segment: Sequence[str],
-                              k_top: int = POPULAR_TOP, k: int = POPULAR_PER_MEMBER,
-                              max_broadcast: int = 1_000_000
+                              k_top: int = POPULAR_TOP, k: int = POPULAR_PER_MEMBER
                               ) -> DataFrame:
     """Popularity within the member's segment (e.g. age band x gender x eligibility).
     Members join their segment's lists by an equi-join on the segment keys; the list table
-    has one row per (segment, class) and is broadcast after a size check."""
+    has one row per segment and is broadcast when its bytes allow."""
     seg = list(segment)
     segs = segment_columns(members, seg)
     seg_feat = known_rows(features).join(segs, "member_id")
     # bounded (segments x classes x k_top) and read twice: materialized once
-    popular = popular_conditions(seg_feat, k_top, seg).checkpoint(eager=True)
+    popular = small_side(popular_conditions(seg_feat, k_top, seg), "segments")
     lists = _lists_per_class(popular, seg).groupBy(*seg).agg(
         F.collect_list(F.struct("chronic_flag", "items")).alias("lists"))
-    lists = broadcast_bounded(lists, max_broadcast)
-    known = _known_per_member_segment(seg_feat, popular, seg, max_broadcast)
+    lists = small_side(lists, "segment-lists")
+    known = _known_per_member_segment(seg_feat, popular, seg)
     m = segs.join(lists, seg, "inner").join(known, "member_id", "left")
     known_arr = F.coalesce(F.col("known"), F.array().cast(known.schema["known"].dataType))
     return m.select("member_id", *seg, F.inline(_drop_known_and_rank(F.col("lists"), known_arr,
                                                                      k)))
 
 
-def _known_per_member_segment(seg_feat: DataFrame, popular: DataFrame, seg: list[str],
-                              max_broadcast: int) -> DataFrame:
+def _known_per_member_segment(seg_feat: DataFrame, popular: DataFrame, seg: list[str]
+                              ) -> DataFrame:
     """Per member, the conditions of the member's segment list already coded."""
-    top = broadcast_bounded(popular.select(*seg, "condition_name", "chronic_flag", "pred_rank"),
-                            max_broadcast)
+    top = popular.select(*seg, "condition_name", "chronic_flag", "pred_rank")
     hits = seg_feat.select(*KEYS3, *seg).join(top, [*seg, "condition_name", "chronic_flag"])
     return hits.groupBy("member_id").agg(
         F.collect_list(F.struct("chronic_flag", "condition_name", "pred_rank")).alias("known"))
 
 
 def popular_ranks_for(pairs: DataFrame, members: DataFrame, features: DataFrame,
-                      popular: DataFrame, k: int = POPULAR_PER_MEMBER,
-                      max_broadcast: int = 1_000_000
-                      ) -> DataFrame:
+                      popular: DataFrame, k: int = POPULAR_PER_MEMBER) -> DataFrame:
     """The rank each (member, condition, class) row would get in ``member_popular`` (null when
     it is not in the member's first ``k``), without building the member lists:
     rank = global rank - number of more popular conditions of the class the member already has.
     Used by the evaluation, where only hold-out rows need a rank."""
-    top = broadcast_bounded(popular.select("condition_name", "chronic_flag",
-                                           F.col("pred_rank").alias("_g")), max_broadcast)
-    known = _known_per_member(features, popular, max_broadcast)
+    top = small_side(popular.select("condition_name", "chronic_flag",
+                                    F.col("pred_rank").alias("_g")))
+    known = _known_per_member(features, popular)
     who = members.select("member_id", F.lit(True).alias("_member")).join(known, "member_id",
                                                                           "left")
     x = pairs.join(top, ["condition_name", "chronic_flag"], "left").join(who, "member_id", "left")
@@ -182,10 +174,10 @@ def drop_known(recs: DataFrame, features: DataFrame, exclude_on: Sequence[str] =
 
 
 def gender_filter(recs: DataFrame, members: DataFrame, labels: DataFrame,
-                  unlabelled: str = "drop", max_broadcast: int = 1_000_000) -> DataFrame:
+                  unlabelled: str = "drop") -> DataFrame:
     """Keep 'Both' conditions and gender-specific ones matching the member's gender.
     Conditions without a label are dropped (reference behaviour) or kept (``'keep'``)."""
-    lab = broadcast_bounded(labels.select("condition_name", "gender_specific"), max_broadcast)
+    lab = small_side(labels.select("condition_name", "gender_specific"))
     x = recs.join(members.select("member_id", "gender"), "member_id", "left") \
         .join(lab, "condition_name", "left")
     gs, g = F.col("gender_specific"), F.col("gender")

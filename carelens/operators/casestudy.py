@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carelens.operators.util import broadcast_bounded
+from carelens.operators.util import small_side
 
 
 def members_with_condition(features: DataFrame, conditions: DataFrame, min_credibility: float = 1.0
@@ -16,7 +16,7 @@ def members_with_condition(features: DataFrame, conditions: DataFrame, min_credi
     credibility above ``min_credibility``."""
     keys = [c for c in ("condition_name", "chronic_flag") if c in conditions.columns]
     hit = features.filter(F.col("sqrt_adjusted_credibility") > min_credibility)
-    return hit.join(broadcast_bounded(conditions.select(*keys).distinct(), 100_000), keys,
+    return hit.join(small_side(conditions.select(*keys).distinct()), keys,
                     "left_semi").select("member_id").distinct()
 
 
@@ -26,12 +26,6 @@ def extract_for(df: DataFrame, members: DataFrame, key: str = "member_id") -> Da
     return df.join(members.select(key), key, "left_semi")
 
 
-def chosen(df: DataFrame, member_ids: Sequence, key: str = "member_id",
-           inline_limit: int = 1000) -> DataFrame:
-    """Rows of hand-picked members. Short lists become an IN predicate (pushed into the
-    scan); long lists a broadcast semi-join."""
-    ids = list(member_ids)
-    if len(ids) <= inline_limit:
-        return df.filter(F.col(key).isin(ids))
-    pick = df.sparkSession.createDataFrame([(i,) for i in ids], [key])
-    return df.join(F.broadcast(pick), key, "left_semi")
+def chosen(df: DataFrame, member_ids: Sequence, key: str = "member_id") -> DataFrame:
+    """Rows of hand-picked members: an IN predicate, pushed into the scan."""
+    return df.filter(F.col(key).isin(list(member_ids)))

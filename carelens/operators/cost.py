@@ -143,7 +143,8 @@ def global_rank(df: DataFrame, score: str, key: str = "member_id", name: str = "
     g = [group] if group else []
     keyed = df.select(*g, key, F.col(score).isNull().alias("_null"),
                       (-F.col(score)).alias("_neg"))
-    ranked = contiguous_ids(keyed, [*g, "_null", "_neg", key], "_id", unique=True)
+    ranked = contiguous_ids(keyed, [*g, "_null", "_neg", key], "_id", unique=True,
+                            dtype="bigint")
     if not g:
         return ranked.select(key, F.col("_id").alias(name))
     first = ranked.groupBy(*g).agg(F.min("_id").alias("_first"))      # one row per group
@@ -158,27 +159,27 @@ def capture_curves(actual: DataFrame, scored: DataFrame, actual_col: str,
     the actual top X% that is also in the ranking's top X% (top X% = first ceil(n * X)
     members; ties broken by member key).
 
-    A member is in both top lists at level X iff max(actual rank, score rank) <= n_X, so one
-    aggregate with a conditional count per level gives every curve. The actual outcome and
-    all scores are unpivoted to long form and ranked in one contiguous-id pass."""
+    Only members with an actual outcome and a score row take part: the two are joined first and
+    ranked after, so ranks and n come from the same members. A member is in both top lists at
+    level X iff max(actual rank, score rank) <= n_X, so one aggregate with a conditional count
+    per level gives every curve; n is the number of actual ranks."""
     actual_group = "\u0000actual"          # cannot collide with a score column name
-    long = scored.select(key, *[F.col(c).cast("double").alias(c) for c in score_cols]) \
-        .unpivot(key, list(score_cols), "baseline", "_score") \
-        .unionByName(actual.select(key, F.lit(actual_group).alias("baseline"),
-                                   F.col(actual_col).cast("double").alias("_score")))
+    joined = actual.select(key, F.col(actual_col).cast("double").alias(actual_group)).join(
+        scored.select(key, *[F.col(c).cast("double").alias(c) for c in score_cols]), key)
+    long = joined.unpivot(key, [actual_group, *score_cols], "baseline", "_score")
     ranked = global_rank(long, "_score", key, "_r", group="baseline")   # one pass for all
     ra = ranked.filter(F.col("baseline") == actual_group).select(key, F.col("_r").alias("_ra"))
     rp = ranked.filter(F.col("baseline") != actual_group) \
         .select("baseline", key, F.col("_r").alias("_rp"))
     both = ra.join(rp, key).withColumn("_m", F.greatest("_ra", "_rp"))
-    n = ra.join(rp.select(key).distinct(), key).agg(F.count(F.lit(1))).scalar()
+    ms = both.withColumn("_n", F.lit(ra.agg(F.count(F.lit(1))).scalar()))
     cols = []
     for x in levels:
-        nx = F.ceil(n * F.lit(float(x)))
+        nx = F.ceil(F.col("_n") * F.lit(float(x)))
         cols.append(F.struct(F.lit(float(x)).alias("level"), nx.cast("bigint").alias("n_top"),
                              F.round(F.sum(F.when(F.col("_m") <= nx, 1).otherwise(0)) / nx, 6)
                              .alias("capture")))
-    return both.groupBy("baseline").agg(F.array(*cols).alias("c")) \
+    return ms.groupBy("baseline", "_n").agg(F.array(*cols).alias("c")) \
         .select("baseline", F.inline("c"))
 
 

@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carelens.operators.factor import MAX_ITEMS, Params
-from carelens.operators.util import broadcast_bounded
 
 CHUNK = 256          # members solved together (memory: CHUNK x rated x rank doubles)
 
@@ -106,7 +105,7 @@ def contributions(model: ALSModel, ratings: DataFrame, targets: DataFrame, param
 def named_contributions(contrib: DataFrame, user_map: DataFrame, product_map: DataFrame
                         ) -> DataFrame:
     """J4 + M17: restore member and product names; the product map is joined under two roles."""
-    pm = broadcast_bounded(product_map, MAX_ITEMS)
+    pm = product_map
     a = pm.select(F.col("product_id").alias("product_a"),
                   F.col("feature_name").alias("feature_name_a"),
                   F.col("feature_value").alias("feature_value_a"),

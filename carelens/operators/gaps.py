@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carelens.operators.util import broadcast_bounded
+from carelens.operators.util import small_side
 
 
-def explicit_gaps(claims: DataFrame, as_of: str, months: int = 12, chronic_only: bool = True
+def explicit_gaps(claims: DataFrame, as_of: str, months: int = 12, chronic_only: bool = False
                   ) -> DataFrame:
     """Conditions coded in the prior period (the ``months`` before the recent one) but not
-    in the recent period (the last ``months`` before ``as_of``).
+    in the recent period (the last ``months`` before ``as_of``), chronic ones only on request.
 
     One aggregate over both periods: per (member, condition, class) the last prior-period date
     and whether the condition was coded recently; no second scan and no anti-join shuffle."""
@@ -38,8 +38,7 @@ def drug_gaps(claims: DataFrame, drug_map: DataFrame, as_of: str, months: int =
     cut = F.to_date(F.lit(as_of))
     d = F.col("service_date")
     recent = claims.filter((d > F.add_months(cut, -months)) & (d <= cut))
-    dm = broadcast_bounded(drug_map.select("drug", F.col("condition_name").alias("implied")),
-                           1_000_000)
+    dm = small_side(drug_map.select("drug", F.col("condition_name").alias("implied")))
     x = recent.select("member_id", "drug", "condition_name").join(dm, "drug", "left")
     facts = x.select("member_id", F.explode(F.array(
         F.struct(F.col("implied").alias("key"), F.col("drug").alias("drug"),

@@ -12,16 +12,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from carelens.operators.util import broadcast_bounded
+from carelens.session import written
 
 
 def contiguous_ids(df: DataFrame, cols: str | Sequence[str], name: str,
                    num_partitions: int | None = None, checkpoint: bool = True,
-                   unique: bool = False) -> DataFrame:
+                   unique: bool = False, dtype: str = "int") -> DataFrame:
     """M2: distinct ``cols`` -> ``name`` numbered 1..n in key order (nulls first).
 
-    The numbered keys are checkpointed to the shared checkpoint folder: later joins reuse the
-    same ids even if a stage is recomputed after an executor loss. ``unique=True`` states that
+    The numbered keys are written to the shared checkpoint folder: later joins reuse the same
+    ids even if a stage is recomputed after an executor loss. ALS needs 32-bit ids (the default
+    ``dtype``, an overflow is an error); ranks over longer tables ask for bigint. ``unique=True`` states that
     the key columns are already distinct (e.g. they contain the member id) and saves the
     distinct shuffle."""
     cols = [cols] if isinstance(cols, str) else list(cols)
@@ -34,7 +35,7 @@ def contiguous_ids(df: DataFrame, cols: str | Sequence[str], name: str,
               .withColumn("_part", F.spark_partition_id())
               .withColumn("_pos", F.monotonically_increasing_id()))
     if checkpoint:
-        ranged = ranged.checkpoint(eager=True)
+        ranged = written(ranged, "ids")
     per_part = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"),
                                            F.min("_pos").alias("_first"))
     # one row per partition: a single-task window over it is bounded by the partition count
@@ -42,22 +43,22 @@ def contiguous_ids(df: DataFrame, cols: str | Sequence[str], name: str,
     offsets = per_part.select("_part", "_first",
                               F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     numbered = ranged.join(F.broadcast(offsets), "_part")
-    ident = (F.col("_offset") + F.col("_pos") - F.col("_first") + 1).cast("int")
+    ident = (F.col("_offset") + F.col("_pos") - F.col("_first") + 1).cast(dtype)
     return numbered.select(*cols, ident.alias(name))
 
 
 def ratings(features: DataFrame, user_map: DataFrame, product_map: DataFrame,
-            product_keys: Sequence[str] = ("feature_name", "feature_value", "chronic_flag"),
-            max_broadcast_products: int = 2_000_000) -> DataFrame:
+            product_keys: Sequence[str] = ("feature_name", "feature_value", "chronic_flag")
+            ) -> DataFrame:
     """M3: features -> (user_id, product_id, confidence float).
 
-    The product map (bounded by the condition taxonomy) is broadcast after a size check; the
-    user map is as large as the population and joins by shuffle on member_id. Duplicate (user,
+    The product map (bounded by the condition taxonomy) is a written table, so Spark sends it to
+    every task when its bytes allow; the user map joins by shuffle on member_id. Duplicate (user,
     product) pairs would change the fit, so they are merged with ``max``; grouping by
     (member_id, user_id, product_id) right after the join reuses the join's partitioning on
     member_id, so the feature table is shuffled once."""
     keys = list(product_keys)
-    pm = broadcast_bounded(product_map.select(*keys, "product_id"), max_broadcast_products)
+    pm = product_map.select(*keys, "product_id")
     with_ids = features.join(pm, keys, "inner").join(user_map, "member_id", "inner")
     merged = (with_ids.groupBy("member_id", "user_id", "product_id")
               .agg(F.max(F.col("confidence").cast("float")).alias("confidence")))

@@ -1,137 +1,79 @@
-"""User- and item-based collaborative filtering (T9, T10), exact and without pair joins.
+"""User- and item-based collaborative filtering (T9, T10), exact and without pairs of members.
 
 With binary member x condition data A (members as rows):
   item-based  score(m, i) = sum_{j in m} cos(i, j),      cos from G = A'A
   user-based  score(m, i) = sum_{u != m} cos(m, u) a_ui = (a_m' G~)_i / |a_m|,  G~ = A' D^-1 A,
               D = diag(|a_u|), i.e. every member votes with its cosine similarity.
-Both need only a conditions x conditions Gram matrix. Each task accumulates the Gram matrix of
-its members in numpy (``mapInPandas``) and ships one partial matrix, so no member-level pairs
-are formed; the final matrix is bounded by the condition taxonomy (checked) and broadcast for
-the Arrow-batched scoring, which emits only the top k per member.
+Both need only the conditions x conditions table G, a grouped sum over the pairs inside each
+member (combined map-side, so it ships at most one row per condition pair and task). Scoring joins
+each member's conditions with that table and sums per member; the rows stay partitioned by member
+from the first grouping to the final rank.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carelens.operators.ids import contiguous_ids
-from carelens.operators.util import broadcast_bounded, row_chunks
+from carelens.operators.util import rank_top, small_side
+from carelens.session import written
 
-MAX_CONDITIONS = 2_000          # Gram matrix <= 4M entries (32 MB) when broadcast
 ITEM_KEYS = ["condition_name", "chronic_flag"]
 
 
-def _indexed(known: DataFrame):
-    """Condition ids (distinct keys, pre-aggregated per task) and each member's condition set.
-    ``collect_set`` removes repeated rows inside the one grouping by member, so no separate
-    distinct shuffle is needed."""
-    items = contiguous_ids(known.select(*ITEM_KEYS), ITEM_KEYS, "_item")
-    n = items.count()
-    if n > MAX_CONDITIONS:
-        raise ValueError(f"{n} conditions exceed the bound {MAX_CONDITIONS}")
-    names = items.orderBy("_item").toPandas()
-    # read by the Gram pass and by the scoring pass: materialized once
-    per_member = (known.select("member_id", *ITEM_KEYS)
-                  .join(broadcast_bounded(items, MAX_CONDITIONS), ITEM_KEYS)
-                  .groupBy("member_id").agg(F.collect_set((F.col("_item") - 1).cast("int"))
-                                            .alias("items"))
-                  .checkpoint(eager=True))
-    return per_member, names, int(n)
+def _indexed(known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Conditions numbered in key order, and each member's set of numbers (written once: the
+    pair sums and the scoring both read it)."""
+    items = small_side(contiguous_ids(known.select(*ITEM_KEYS), ITEM_KEYS, "_item"), "conditions")
+    per_member = (known.select("member_id", *ITEM_KEYS).join(items, ITEM_KEYS)
+                  .groupBy("member_id").agg(F.collect_set("_item").alias("items")))
+    return written(per_member, "member-conditions"), items
 
 
-def _indicator(lists: pd.Series, n: int) -> np.ndarray:
-    """Rows of 0/1 from arrays of column indices, built without a Python loop per row."""
-    B = np.zeros((len(lists), n), dtype=np.float64)
-    lengths = lists.map(len).to_numpy()
-    if lengths.sum():
-        rows = np.repeat(np.arange(len(lists)), lengths)
-        cols = np.concatenate([np.asarray(x, dtype=np.int64) for x in lists.to_numpy()])
-        B[rows, cols] = 1.0
-    return B
+def gram(per_member: DataFrame, user_weighted: bool) -> DataFrame:
+    """A'A (or A'D^-1 A) as (i, j, v)."""
+    weight = 1 / F.sqrt(F.size("items")) if user_weighted else F.lit(1.0)
+    return (per_member.select(weight.alias("w"), "items", F.explode("items").alias("i"))
+            .select("w", "i", F.explode("items").alias("j"))
+            .groupBy("i", "j").agg(F.sum("w").alias("v")))
 
 
-def gram(per_member: DataFrame, n: int, user_weighted: bool) -> np.ndarray:
-    """A'A (or A'D^-1 A): partial matrices per task, summed by one small aggregate."""
-    def partial(batches):
-        G = np.zeros((n, n), dtype=np.float64)
-        for pdf in row_chunks(batches, n):
-            if pdf.empty:
-                continue
-            B = _indicator(pdf["items"], n)
-            if user_weighted:
-                w = 1.0 / np.sqrt(np.maximum(B.sum(axis=1), 1.0))
-                G += B.T @ (B * w[:, None])
-            else:
-                G += B.T @ B
-        i, j = np.nonzero(G)
-        yield pd.DataFrame({"i": i.astype(np.int32), "j": j.astype(np.int32), "v": G[i, j]})
-
-    # one partial matrix per task: at most one task per core, so the summing shuffle carries
-    # (cores x n^2) values, comparable to the input, however finely the input is partitioned
-    sc = per_member.sparkSession.sparkContext
-    tasks = max(1, min(per_member.rdd.getNumPartitions(), sc.defaultParallelism))
-    parts = per_member.select("items").coalesce(tasks).mapInPandas(partial,
-                                                                  "i int, j int, v double")
-    total = parts.groupBy("i", "j").agg(F.sum("v").alias("v")).toPandas()   # <= n*n rows
-    G = np.zeros((n, n), dtype=np.float64)
-    G[total["i"].to_numpy(), total["j"].to_numpy()] = total["v"].to_numpy()
-    return G
-
-
-def _score_topk(per_member: DataFrame, S: np.ndarray, names: pd.DataFrame, k: int,
+def _score_topk(per_member: DataFrame, similar: DataFrame, items: DataFrame, k: int,
                 normalize_member: bool, digits: int = 6) -> DataFrame:
-    spark = per_member.sparkSession
-    bc = spark.sparkContext.broadcast({
-        "S": S, "name": names["condition_name"].to_numpy(dtype=object),
-        "flag": names["chronic_flag"].to_numpy(dtype=object)})
-    mtype = per_member.schema["member_id"].dataType.simpleString()
-
-    def score(batches):
-        m = bc.value
-        S, name, flag = m["S"], m["name"], m["flag"]
-        n = S.shape[0]
-        # names are in (condition, class) order, so a stable sort breaks ties by name
-        for pdf in row_chunks(batches, n):
-            if pdf.empty:
-                continue
-            B = _indicator(pdf["items"], n)
-            sc = B @ S
-            if normalize_member:
-                sc = sc / np.sqrt(np.maximum(B.sum(axis=1), 1.0))[:, None]
-            key = np.round(sc, 9)          # rank on 9 places so float noise cannot reorder ties
-            ok = (B == 0) & (key > 0)
-            masked = np.where(ok, key, -np.inf)
-            order = np.argsort(-masked, axis=1, kind="stable")[:, :k]
-            valid = np.take_along_axis(ok, order, axis=1)
-            rank = np.cumsum(valid, axis=1)
-            rr, cc = np.nonzero(valid)
-            j = order[rr, cc]
-            yield pd.DataFrame({"member_id": pdf["member_id"].to_numpy()[rr],
-                                "condition_name": name[j], "chronic_flag": flag[j],
-                                "score": np.round(sc[rr, j], digits),
-                                "pred_rank": rank[rr, cc].astype(np.int32)})
-
-    return per_member.mapInPandas(score, f"member_id {mtype}, condition_name string, "
-                                         "chronic_flag string, score double, pred_rank int")
+    """The ``k`` best-scored conditions a member does not have, scores above zero, ties by
+    condition and class (the order of the numbers). Ranks use nine places, so that the order in
+    which doubles are added cannot reorder ties."""
+    votes = small_side(similar.filter("v > 0").select(F.col("j").alias("item"), "i", "v",
+                                                      (F.col("i") == F.col("j")).alias("own")),
+                       "similar")
+    held = (per_member.repartition("member_id")
+            .select("member_id", F.size("items").alias("n"), F.explode("items").alias("item")))
+    total = F.sum("v") / F.sqrt(F.max("n")) if normalize_member else F.sum("v")
+    scored = (held.join(votes, "item").groupBy("member_id", "i")
+              .agg(total.alias("score"), F.max("own").alias("own"))
+              .filter("not own").withColumn("_key", F.round("score", 9)).filter("_key > 0"))
+    best = rank_top(scored, ["member_id"], [F.desc("_key"), F.asc("i")], k)
+    return (best.join(items, F.col("i") == F.col("_item"))
+            .select("member_id", *ITEM_KEYS, F.round("score", digits).alias("score"),
+                    "pred_rank"))
 
 
 def item_based(known: DataFrame, k: int = 10) -> DataFrame:
     """Conditions most similar (cosine over members) to those the member has."""
-    per_member, names, n = _indexed(known)
-    G = gram(per_member, n, user_weighted=False)
-    d = np.sqrt(np.diag(G))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        S = np.where(np.outer(d, d) > 0, G / np.outer(d, d), 0.0)
-    np.fill_diagonal(S, 0.0)
-    return _score_topk(per_member, S, names, k, normalize_member=False)
+    per_member, items = _indexed(known)
+    g = written(gram(per_member, user_weighted=False), "gram")
+    norm = g.filter("i = j").select(F.col("i").alias("_of"), F.sqrt("v").alias("_norm"))
+    left = norm.select(F.col("_of").alias("i"), F.col("_norm").alias("_i"))
+    right = norm.select(F.col("_of").alias("j"), F.col("_norm").alias("_j"))
+    cosine = g.join(left, "i").join(right, "j").select(
+        "i", "j", (F.col("v") / (F.col("_i") * F.col("_j"))).alias("v"))
+    return _score_topk(per_member, cosine, items, k, normalize_member=False)
 
 
 def user_based(known: DataFrame, k: int = 10) -> DataFrame:
     """Conditions held by similar members, every member voting with its cosine
     similarity to the target member."""
-    per_member, names, n = _indexed(known)
-    G = gram(per_member, n, user_weighted=True)
-    return _score_topk(per_member, G, names, k, normalize_member=True)
+    per_member, items = _indexed(known)
+    return _score_topk(per_member, gram(per_member, user_weighted=True), items, k,
+                       normalize_member=True)

@@ -7,17 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from carelens.session import written
 
-def broadcast_bounded(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only when it has at most ``max_rows`` rows; otherwise leave the join to
-    the planner (shuffle join, or AQE's runtime broadcast when it measures a small side).
 
-    The table is materialized first (reliable checkpoint), so the size check and the join read
-    the same rows and its upstream is computed once, not once for the count and once more for
-    the join."""
-    done = df.checkpoint(eager=True)
-    n = done.count()
-    return F.broadcast(done) if n <= max_rows else done
+def small_side(df: DataFrame, label: str = "dimension") -> DataFrame:
+    """The expected small side of a join, written once so that its size in bytes is known: Spark
+    sends it to every task when that is below ``spark.sql.autoBroadcastJoinThreshold`` and joins
+    by shuffle (which AQE can split) when it is not."""
+    return written(df, label)
 
 
 def rank_top(df: DataFrame, partition: Sequence[str], order: Sequence[Column], k: int | None,

@@ -12,12 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carelens.operators import (
-    boosting, candidates, casestudy, cost, evaluate, factor, gaps, neighbours, summary, tune,
+    boosting, candidates, casestudy, cost, evaluate, factor, features, gaps, neighbours, summary,
+    tune,
 )
 from carelens.plans import inputs
-from carelens.session import ensure_checkpoint_dir, scratch_path
-from carelens.sources.fixtures import HOLDOUT_CUT, OUTCOME_CUT, Source
-from carelens.sources.tables import peek, read_delimited, row_count
+from carelens.session import ensure_checkpoint_dir, scratch_path, written
+from carelens.sources.fixtures import MEASURES, Source
+from carelens.operators.util import rank_top
+from carelens.sources.tables import convert_to_parquet, peek, read_delimited, row_count
 from carelens.constants import POPULAR_PER_MEMBER
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,8 +95,9 @@ def condition_claims(src: Source) -> DataFrame:
 
 @query
 def condition_credibility(src: Source) -> DataFrame:
-    """Decayed, setting-weighted credibility per member and condition (tuning cut)."""
-    return inputs.tune_features(src)
+    """Decayed, setting-weighted credibility per member and condition (tuning cut); the
+    date cut reaches the scan."""
+    return features.condition_credibility(src.claims, src.holdout_cut).select(*inputs.FEATURE_COLS)
 
 
 @query
@@ -105,8 +108,8 @@ def demographic_features(src: Source) -> DataFrame:
 
 @query
 def holdout_responses(src: Source) -> DataFrame:
-    """T4: conditions coded in the two months after the cut."""
-    return inputs.responses(src)
+    """T4: conditions coded in the two months after the cut; the date cut reaches the scan."""
+    return features.holdout_responses(src.claims, src.holdout_cut)
 
 
 @query
@@ -284,35 +287,40 @@ def case_study_predictions(src: Source) -> DataFrame:
 
 @query
 def explicit_gaps(src: Source) -> DataFrame:
-    """Chronic conditions coded in the prior year but not in the last year."""
-    g = gaps.explicit_gaps(src.claims, HOLDOUT_CUT, 12)
+    """Conditions coded in the prior year but not in the last year."""
+    g = gaps.explicit_gaps(src.claims, src.holdout_cut, 12)
     return g.withColumn("last_coded", F.date_format("last_coded", "yyyy-MM-dd"))
 
 
 @query
 def drug_gaps(src: Source) -> DataFrame:
     """Drug-implied conditions not coded in the last year."""
-    return gaps.drug_gaps(src.claims, src.drug_conditions, HOLDOUT_CUT, 12)
+    return gaps.drug_gaps(src.claims, src.drug_conditions, src.holdout_cut, 12)
 
 
 # ---- six-month cost and utilization (T13-T15, T20-T24) --------------------------------------
-MEASURES = ["click", "error", "purchase", "signup", "view"]     # fixed measure names
-
-
 def _claims_net(src: Source) -> DataFrame:
     return cost.with_network(src.claims, src.providers)
 
 
 def _profile(src: Source) -> DataFrame:
-    """Per-member claims profile (conditions, prior year, next six months): the only pass over
-    the claims for the cost queries, materialized once."""
+    """Per-member claims profile (conditions, prior year, next six months): one pass over the
+    claims."""
     return inputs._memo(src, "profile", lambda: cost.member_profile(
-        src.claims, OUTCOME_CUT, 12, 6).checkpoint(eager=True))
+        src.claims, src.outcome_cut, 12, 6))
+
+
+def _profiled(src: Source) -> None:
+    """Write the profile, for queries in which both features and outcomes read it."""
+    profile = _profile(src)
+    if "_written_profile" not in src.__dict__:
+        src.__dict__["_memo"]["profile"] = written(profile, "profile")
+        src.__dict__["_written_profile"] = True
 
 
 def _member_features(src: Source) -> DataFrame:
     return inputs._memo(src, "member_features", lambda: cost.member_features(
-        src.members, _profile(src), src.measurements, MEASURES))
+        src.members, _profile(src), src.measurements, src.measures))
 
 
 def _outcomes(src: Source) -> DataFrame:
@@ -326,6 +334,45 @@ def period_summary(src: Source) -> DataFrame:
     return s.withColumn("period", F.date_format("period", "yyyy-MM-dd"))
 
 
+@query
+def period_summary_month(src: Source) -> DataFrame:
+    """T13 at month grain."""
+    s = cost.period_summary(_claims_net(src), "month")
+    return s.withColumn("period", F.date_format("period", "yyyy-MM-dd"))
+
+
+@query
+def period_service_types(src: Source) -> DataFrame:
+    """T13 by type of service: cost and claims per member, quarter and service type."""
+    period = F.date_trunc("quarter", "service_date")
+    return (src.claims.groupBy("member_id", F.date_format(period, "yyyy-MM-dd").alias("period"),
+                               "service_type")
+            .agg(F.round(F.sum("paid"), 4).alias("paid_total"),
+                 F.count(F.lit(1)).alias("n_claims")))
+
+
+@query
+def member_history(src: Source) -> DataFrame:
+    """Prior-year cost and claims per member by network and type of service, long form."""
+    cut = F.to_date(F.lit(src.outcome_cut))
+    prior = _claims_net(src).filter((F.col("service_date") > F.add_months(cut, -12))
+                                    & (F.col("service_date") <= cut))
+    return prior.groupBy("member_id", "in_network", "service_type").agg(
+        F.round(F.sum("paid"), 4).alias("prior_cost"), F.count(F.lit(1)).alias("prior_claims"))
+
+
+@query
+def member_condition_flags(src: Source) -> DataFrame:
+    """The condition-category flags of every member as one sorted array of (condition,
+    class) names, built from the data (joined to text for comparison)."""
+    hist = src.claims.filter(F.col("service_date") <= F.to_date(F.lit(src.outcome_cut)))
+    flags = hist.groupBy("member_id").agg(F.array_sort(F.collect_set(
+        F.concat_ws(":", "condition_name", "chronic_flag"))).alias("flags"))
+    return src.members.select("member_id").join(flags, "member_id", "left").select(
+        "member_id", F.coalesce(F.size("flags"), F.lit(0)).cast("bigint").alias("n_flags"),
+        F.coalesce(F.array_join("flags", "|"), F.lit("")).alias("flags"))
+
+
 @query
 def member_features(src: Source) -> DataFrame:
     """One feature row per member with missing-value indicators."""
@@ -344,8 +391,18 @@ LEVELS = [0.01, 0.05, 0.1, 0.2, 0.5, 1.0]                          # top X share
 
 @query
 def capture_curve(src: Source) -> DataFrame:
-    """Share of the actual top X% (six-month cost) found by each baseline ranking."""
-    return cost.capture_curves(_outcomes(src), _member_features(src), "cost_total", BASELINES,
+    """Share of the actual top X% (six-month avoidable cost) found by each baseline."""
+    _profiled(src)
+    return cost.capture_curves(_outcomes(src), _member_features(src), "cost_avoidable", BASELINES,
+                               LEVELS)
+
+
+@query
+def capture_curve_model(src: Source) -> DataFrame:
+    """T21 with the boosted model's out-of-fold ranking next to the baselines."""
+    scored = _member_features(src).select("member_id", *BASELINES).join(
+        _expected(src, "cost_avoidable").withColumnRenamed("pred", "model"), "member_id")
+    return cost.capture_curves(_outcomes(src), scored, "cost_avoidable", [*BASELINES, "model"],
                                LEVELS)
 
 
@@ -356,10 +413,18 @@ def priority_list(src: Source) -> DataFrame:
                               "prior_cost", 25)
 
 
+@query
+def priority_outliers(src: Source) -> DataFrame:
+    """The 25 members with the largest predicted outlier size (out-of-fold 90th-percentile
+    cost)."""
+    return cost.priority_list(_outlier_size(src), "cost_q90", 25)
+
+
 @query
 def provider_benchmark(src: Source) -> DataFrame:
     """Actual six-month cost vs the prior-year run rate, per attributed provider."""
-    hist = src.claims.filter(F.col("service_date") <= F.to_date(F.lit(OUTCOME_CUT)))
+    _profiled(src)
+    hist = src.claims.filter(F.col("service_date") <= F.to_date(F.lit(src.outcome_cut)))
     pred = _member_features(src).select("member_id", (F.col("prior_cost") / 2).alias("pred"))
     return cost.provider_benchmark(_outcomes(src), pred, cost.attributed_provider(hist),
                                    "cost_total", "pred")
@@ -378,6 +443,36 @@ def user_based_recs(src: Source) -> DataFrame:
     return longs(neighbours.user_based(inputs.tune_features(src), 10))
 
 
+@query
+def item_based_filtered(src: Source) -> DataFrame:
+    """M10/M11/J8/P8/W3/W4 on a deterministic score: item-based scores of all conditions a member
+    lacks, known conditions dropped whatever their class, gender-specific ones kept for that
+    gender, ten per member and class."""
+    known = inputs.tune_features(src)
+    scored = neighbours.item_based(known, None).drop("pred_rank")
+    allowed = candidates.gender_filter(candidates.drop_known(scored, known), src.members,
+                                       inputs.gender_labels(src))
+    ranked = rank_top(allowed.withColumn("_key", F.round("score", 6)),
+                      ["member_id", "chronic_flag"], [F.desc("_key"), F.asc("condition_name")],
+                      10)
+    return longs(ranked.select("member_id", "condition_name", "chronic_flag", "score",
+                               "pred_rank"))
+
+
+@query
+def low_ratings(src: Source) -> DataFrame:
+    """T5/T7/F8 on given vectors: the supplied embeddings as factors, each vector rated against
+    the first vector of its label; the ratings in the lowest 5 % of their label."""
+    e = src.table("embeddings").select("vec_id", F.col("label").cast("string").alias("label"),
+                                       F.col("embedding").cast("array<double>").alias("v"))
+    first = e.groupBy("label").agg(F.min_by("v", "vec_id").alias("u"))
+    rated = e.join(first, "label").select(
+        "vec_id", F.col("label").alias("condition_name"), F.lit("1").alias("chronic_flag"),
+        F.round(factor.dot("u", "v"), 9).alias("rating"))
+    return factor.suspicious_codings(rated).select("vec_id", F.col("condition_name").alias("label"),
+                                                   F.round("rating", 6).alias("rating"))
+
+
 # ---- boosted trees (T16-T20, T25, T26) ---------------------------------------------------------
 
 MODEL_COLUMNS = ["age", "male", "gender_missing", "risk_score", "n_conditions", "n_chronic",
@@ -386,17 +481,43 @@ MODEL_COLUMNS = ["age", "male", "gender_missing", "risk_score", "n_conditions",
 
 
 def _model_frame(src: Source) -> DataFrame:
-    """Member features + six-month outcomes as a model frame with a feature vector."""
-    return inputs._memo(src, "model_frame", lambda: boosting.assemble(
-        _member_features(src).join(_outcomes(src), "member_id"), MODEL_COLUMNS))
+    """Member features + six-month outcomes as a model frame with a feature vector, written once
+    for the passes of the fits."""
+    _profiled(src)
+    return inputs._memo(src, "model_frame", lambda: written(boosting.assemble(
+        _member_features(src).join(_outcomes(src), "member_id"), MODEL_COLUMNS), "model-frame"))
+
+
+def _expected(src: Source, label: str) -> DataFrame:
+    """Out-of-fold expected cost per member (boosted trees)."""
+    def predict(train, rest):
+        m = boosting.cost_model(label, trees=20, depth=4).fit(train)
+        return m.transform(rest).select("member_id", F.col("prediction").alias("pred"))
+
+    return boosting.out_of_fold(_model_frame(src).select("member_id", label, "features"), predict)
+
+
+def _outlier_size(src: Source) -> DataFrame:
+    """Out-of-fold 90th percentile of six-month cost per member."""
+    def predict(train, rest):
+        m = boosting.quantile_boost(train, "cost_total", tau=0.9, trees=8, depth=3)
+        return m.predict(rest).select("member_id", "cost_total",
+                                      F.col("prediction").alias("cost_q90"))
+
+    return boosting.out_of_fold(_model_frame(src).select("member_id", "cost_total", "features"),
+                                predict)
 
 
 @query
 def ip_event_model(src: Source) -> DataFrame:
-    """Boosted-tree probability of an inpatient stay in the next six months."""
-    df = _model_frame(src)
-    m = boosting.event_model(df, "any_ip", trees=20, depth=4).fit(df)
-    return boosting.probability(m.transform(df)).select("member_id", "any_ip", "prob")
+    """Out-of-fold boosted-tree probability of an inpatient stay in the next six
+    months."""
+    def predict(train, rest):
+        m = boosting.event_model(train, "any_ip", trees=20, depth=4).fit(train)
+        return boosting.probability(m.transform(rest)).select("member_id", "any_ip", "prob")
+
+    return boosting.out_of_fold(_model_frame(src).select("member_id", "any_ip", "features"),
+                                predict)
 
 
 @query
@@ -409,11 +530,28 @@ def er_repeated_cv(src: Source) -> DataFrame:
 
 @query
 def cost_quantile_model(src: Source) -> DataFrame:
-    """90th-percentile six-month cost by quantile-loss boosting on random subspaces."""
-    df = _model_frame(src)
-    model = boosting.quantile_boost(df, "cost_total", tau=0.9, trees=8, depth=3)
-    return model.predict(df.select("member_id", "cost_total", "features")).select(
-        "member_id", "cost_total", F.col("prediction").alias("cost_q90"))
+    """90th-percentile six-month cost by quantile-loss boosting on random subspaces,
+    out of fold."""
+    return _outlier_size(src)
+
+
+@query
+def cost_distribution(src: Source) -> DataFrame:
+    """The cost distribution of every member from several quantiles, one model each, put in
+    order (quantiles fitted apart may cross)."""
+    taus = [0.5, 0.75, 0.9]
+
+    def predict(train, rest):
+        out = rest
+        for t in taus:
+            m = boosting.quantile_boost(train, "cost_total", tau=t, trees=5, depth=3)
+            out = m.predict(out, name=f"_q{int(100 * t)}")
+        sizes = F.array_sort(F.array(*[F.col(f"_q{int(100 * t)}") for t in taus]))
+        return out.select("member_id", "cost_total",
+                          *[sizes[i].alias(f"q{int(100 * t)}") for i, t in enumerate(taus)])
+
+    return boosting.out_of_fold(_model_frame(src).select("member_id", "cost_total", "features"),
+                                predict)
 
 
 @query
@@ -423,13 +561,17 @@ def population_models(src: Source) -> DataFrame:
                                    trees=10, depth=3, parallelism=3)
 
 
+CONDITION_MODELS = 2        # conditions per class that get a model (documented parameter)
+
+
 @query
 def condition_models(src: Source) -> DataFrame:
-    """A logistic regression per popular condition predicting a new coding in the
-    hold-out (the conventional comparator of the recommender)."""
+    """A logistic regression per popular (condition, class) predicting a new coding in the
+    hold-out (the conventional comparator of the recommender), out of fold."""
     feats = boosting.assemble(_member_features(src).fillna(0.0), MODEL_COLUMNS)
-    conds = [r["condition_name"] for r in inputs.popular(src)
-             .filter(F.col("pred_rank") <= 2).orderBy("chronic_flag", "pred_rank").collect()]
+    conds = [(r["condition_name"], r["chronic_flag"]) for r in inputs.popular(src)
+             .filter(F.col("pred_rank") <= CONDITION_MODELS)
+             .orderBy("chronic_flag", "pred_rank").collect()]
     return boosting.per_condition(feats, inputs.new_conditions(src), conds, parallelism=3)
 
 
@@ -447,31 +589,39 @@ def eval_chart_from_file(src: Source) -> DataFrame:
     return longs(evaluate.chart_table(evaluate.load_evaluation(src.spark, path)))
 
 
+CONVERTED = ["customer", "supplier", "part"]
+
+
 @query
 def bulk_conversion(src: Source) -> DataFrame:
-    """S3: every delimited file under a folder converted to Parquet in one job (partitioned by
-    source file stem), then counted per source. The files are written from the customer and
-    supplier tables into the shared scratch folder first."""
-    from carelens.sources.tables import convert_to_parquet
+    """S3: every delimited input under a folder converted to Parquet under its own schema, then
+    rows, columns and a checksum per input. The inputs are three whole tables, written as text
+    into the shared scratch folder first."""
     base = scratch_path(src.spark, "convert")
-    for name, key in (("customer", "c_custkey"), ("supplier", "s_suppkey")):
-        (src.table(name).select(F.col(key).alias("id"))
-         .write.option("sep", "|").option("header", True).csv(f"{base}/in/{name}"))
-    # Spark names the part files after tasks, so the source label is the folder name
+    for name in CONVERTED:
+        (src.table(name).write.option("sep", "|").option("header", True)
+         .option("quoteAll", True).csv(f"{base}/in/{name}"))
     out = convert_to_parquet(src.spark, f"{base}/in/*/*.csv", f"{base}/out", "csv",
                              {"sep": "|", "header": True, "inferSchema": True},
                              source_regex=r"/in/([^/]+)/")
-    return out.groupBy("source").agg(F.count(F.lit(1)).alias("rows"),
-                                     F.sum(F.col("id").cast("bigint")).alias("id_sum"))
+    keys = {"customer": ("c_custkey", "c_name"), "supplier": ("s_suppkey", "s_name"),
+            "part": ("p_partkey", "p_name")}
+    rows = [out[n].agg(F.lit(n).alias("source"), F.count(F.lit(1)).alias("rows"),
+                       F.lit(len(out[n].columns)).cast("bigint").alias("columns"),
+                       F.sum(F.col(keys[n][0]).cast("bigint")).alias("key_sum"),
+                       F.sum(F.length(keys[n][1])).alias("name_chars"))
+            for n in CONVERTED if n in out]
+    result = rows[0]
+    for r in rows[1:]:
+        result = result.unionByName(r)
+    return result
 
 
 @query
 def provider_benchmark_model(src: Source) -> DataFrame:
-    """T24 with a model: actual six-month cost vs boosted-tree expected cost per attributed
-    provider."""
-    df = _model_frame(src)
-    model = boosting.cost_model("cost_total", trees=20, depth=4).fit(df)
-    pred = model.transform(df).select("member_id", F.col("prediction").alias("pred"))
-    hist = src.claims.filter(F.col("service_date") <= F.to_date(F.lit(OUTCOME_CUT)))
+    """T24 with a model: actual six-month cost vs out-of-fold boosted-tree expected cost per
+    attributed provider."""
+    pred = _expected(src, "cost_total")
+    hist = src.claims.filter(F.col("service_date") <= F.to_date(F.lit(src.outcome_cut)))
     return cost.provider_benchmark(_outcomes(src), pred, cost.attributed_provider(hist),
                                    "cost_total", "pred")

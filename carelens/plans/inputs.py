@@ -11,9 +11,8 @@ from carelens.constants import (
     ALS_ALPHA, ALS_RANK, ALS_REG, EVAL_RANKS, EXPORT_RANKS, POPULAR_PER_MEMBER, POPULAR_TOP,
 )
 from carelens.operators import candidates, evaluate, explain, factor, features, ids
-from carelens.sources.fixtures import HOLDOUT_CUT, Source
-
-LAST_SERVICE_DATE = "2001-08-01"    # prediction features are aged from the last claim date
+from carelens.session import written
+from carelens.sources.fixtures import Source
 
 
 _LOCK = threading.RLock()
@@ -32,11 +31,12 @@ def _memo(src: Source, key: str, build):
 
 
 def history(src: Source) -> DataFrame:
-    """Credibility before the hold-out cut and coding after it, one pass over the claims,
-    materialized once (checkpoint) because every recommender step reads it."""
-    return _memo(src, "history", lambda: features.condition_history(
-        src.claims_with_gender, HOLDOUT_CUT, LAST_SERVICE_DATE, carry=["gender"])
-        .checkpoint(eager=True))
+    """Credibility before the hold-out cut and coding after it, one pass over the claims, written
+    once because several recommender steps read columns of it. Queries that need one part only
+    use the direct forms (``features.condition_credibility``, ``features.holdout_responses``)."""
+    return _memo(src, "history", lambda: written(features.condition_history(
+        src.claims_with_gender, src.holdout_cut, src.last_service, carry=["gender"]),
+        "history"))
 
 
 FEATURE_COLS = ["member_id", "condition_name", "chronic_flag", "sqrt_adjusted_credibility",
@@ -83,15 +83,14 @@ def product_map(src: Source, which: str = "tune") -> DataFrame:
 
 
 def ratings(src: Source, which: str = "tune") -> DataFrame:
-    """Ratings, checkpointed once: every fit of a parameter grid reads the same rows."""
-    return _memo(src, f"ratings_{which}", lambda: ids.ratings(
-        feature_all(src, which), user_map(src, which), product_map(src, which))
-        .checkpoint(eager=True))
+    """Ratings, written once: every fit of a parameter grid reads the same rows."""
+    return _memo(src, f"ratings_{which}", lambda: written(ids.ratings(
+        feature_all(src, which), user_map(src, which), product_map(src, which)), "ratings"))
 
 
 def gender_labels(src: Source) -> DataFrame:
-    return _memo(src, "labels", lambda: candidates.gender_labels(history(src).filter(
-        F.col("sqrt_adjusted_credibility").isNotNull())).checkpoint(eager=True))
+    return _memo(src, "labels", lambda: written(candidates.gender_labels(history(src).filter(
+        F.col("sqrt_adjusted_credibility").isNotNull())), "labels"))
 
 
 def new_conditions(src: Source) -> DataFrame:
@@ -102,9 +101,9 @@ def new_conditions(src: Source) -> DataFrame:
 
 
 def popular(src: Source) -> DataFrame:
-    """Top 30 per class; tiny, read by several steps, so materialized once."""
-    return _memo(src, "popular", lambda: candidates.popular_conditions(
-        tune_features(src), POPULAR_TOP).checkpoint(eager=True))
+    """Top 30 per class; tiny, read by several steps, so written once."""
+    return _memo(src, "popular", lambda: written(candidates.popular_conditions(
+        tune_features(src), POPULAR_TOP), "popular"))
 
 
 def popular_scored(src: Source) -> DataFrame:

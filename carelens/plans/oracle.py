@@ -71,7 +71,9 @@ def with_views(body: str, *names: str) -> str:
     if not order:
         return body
     ctes = ",\n".join(f"{n} AS ({VIEWS[n][1]}\n)" for n in order)
-    return f"WITH {ctes}\n{body}"
+    # a body may start with further members of the list
+    return f"WITH {ctes}{body.lstrip()}" if body.lstrip().startswith(",") else \
+        f"WITH {ctes}\n{body}"
 
 
 ORACLE: dict[str, str] = {}
@@ -260,7 +262,6 @@ register("explicit_gaps", """
     FROM (SELECT member_id, condition_name, chronic_flag, max(service_date) AS last_coded
           FROM v_claim
           WHERE service_date > DATE '1999-06-01' AND service_date <= DATE '2000-06-01'
-            AND chronic_flag = '1'
           GROUP BY member_id, condition_name, chronic_flag) p
     ANTI JOIN v_recent r ON r.member_id = p.member_id AND r.condition_name = p.condition_name
      AND r.chronic_flag = p.chronic_flag""", "v_claim", "v_recent")
@@ -274,8 +275,9 @@ register("drug_gaps", """
          "v_recent", "v_grouping")
 
 # ---- six-month cost and utilization --------------------------------------------------------
-register("period_summary", """
-    SELECT c.member_id, strftime(date_trunc('quarter', c.service_date), '%Y-%m-%d') AS period,
+for _name, _grain in (("period_summary", "quarter"), ("period_summary_month", "month")):
+    register(_name, f"""
+    SELECT c.member_id, strftime(date_trunc('{_grain}', c.service_date), '%Y-%m-%d') AS period,
            round(sum(paid), 4) AS paid_total,
            round(sum(CASE WHEN avoidable THEN paid ELSE 0E0 END), 4) AS paid_avoidable,
            round(sum(CASE WHEN COALESCE(p.in_network, false) THEN paid ELSE 0E0 END), 4)
@@ -288,7 +290,7 @@ register("period_summary", """
            CAST(sum(CASE WHEN setting = 'OP' THEN 1 ELSE 0 END) AS BIGINT) AS n_op,
            count(*) AS n_claims
     FROM v_claim c LEFT JOIN v_provider p ON p.providerid = c.providerid
-    GROUP BY c.member_id, date_trunc('quarter', c.service_date)""", "v_claim", "v_provider")
+    GROUP BY c.member_id, date_trunc('{_grain}', c.service_date)""", "v_claim", "v_provider")
 VIEWS["v_outcome"] = (("v_member", "v_claim"), """
         SELECT m.member_id, CAST(COALESCE(o.any_ip, 0) AS BIGINT) AS any_ip,
                CAST(COALESCE(o.any_er, 0) AS BIGINT) AS any_er,
@@ -344,7 +346,7 @@ VIEWS["v_mfeat"] = (("v_member", "v_claim"), f"""
 register("member_features", "SELECT * FROM v_mfeat", "v_mfeat")
 register("six_month_outcomes", "SELECT * FROM v_outcome", "v_outcome")
 register("capture_curve", """
-    , ra AS (SELECT member_id, row_number() OVER (ORDER BY cost_total DESC NULLS LAST, member_id)
+    , ra AS (SELECT member_id, row_number() OVER (ORDER BY cost_avoidable DESC NULLS LAST, member_id)
                      AS ra FROM v_outcome),
     rp AS (SELECT member_id, 'risk_score' AS baseline,
                   row_number() OVER (ORDER BY risk_score DESC NULLS LAST, member_id) AS rp
@@ -365,9 +367,6 @@ register("capture_curve", """
            round(sum(CASE WHEN b.m <= ceil(n.n * lv.level) THEN 1 ELSE 0 END)
                  / ceil(n.n * lv.level), 6) AS capture
     FROM b, n, lv GROUP BY b.baseline, lv.level, n.n""", "v_outcome", "v_mfeat")
-# the body above continues the WITH list: fix the prefix
-ORACLE["capture_curve"] = ORACLE["capture_curve"].replace(")\n\n    , ra AS", "),\n    ra AS") \
-    .replace("\n)\n\n    , ra AS", "\n),\n    ra AS")
 register("priority_list", """
     SELECT member_id, prior_cost FROM v_mfeat
     ORDER BY prior_cost DESC NULLS LAST, member_id LIMIT 25""", "v_mfeat")
@@ -422,8 +421,36 @@ register("user_based_recs", """
            FROM v_known k JOIN v_gram g ON g.ci = k.c AND g.fi = k.f
            JOIN w ON w.member_id = k.member_id
            GROUP BY k.member_id, g.cj, g.fj)""" + _TOPK, "v_known", "v_gram")
-for _n in ("item_based_recs", "user_based_recs"):
-    ORACLE[_n] = ORACLE[_n].replace("\n)\n\n    , ", "\n),\n    ")
+register("item_based_filtered", """
+    , d AS (SELECT ci, fi, n FROM v_gram WHERE ci = cj AND fi = fj),
+    s AS (SELECT g.ci, g.fi, g.cj, g.fj, g.n / sqrt(d1.n * d2.n) AS sim
+          FROM v_gram g JOIN d d1 ON d1.ci = g.ci AND d1.fi = g.fi
+          JOIN d d2 ON d2.ci = g.cj AND d2.fi = g.fj
+          WHERE NOT (g.ci = g.cj AND g.fi = g.fj)),
+    sc AS (SELECT k.member_id, s.cj AS condition_name, s.fj AS chronic_flag, sum(s.sim) AS score
+           FROM v_known k JOIN s ON s.ci = k.c AND s.fi = k.f
+           GROUP BY k.member_id, s.cj, s.fj),
+    lab AS (SELECT condition_name, avg(CASE WHEN m.gender = 'M' THEN 1 ELSE 0 END) AS males,
+                   avg(CASE WHEN m.gender = 'F' THEN 1 ELSE 0 END) AS females
+            FROM v_feat f JOIN v_member m ON m.member_id = f.member_id GROUP BY condition_name)
+    SELECT member_id, condition_name, chronic_flag, round(score, 6) AS score, pred_rank FROM (
+      SELECT s.*, row_number() OVER (PARTITION BY s.member_id, chronic_flag
+                                   ORDER BY round(score, 6) DESC, condition_name) AS pred_rank
+      FROM (SELECT s.* FROM sc s ANTI JOIN v_known k
+              ON k.member_id = s.member_id AND k.c = s.condition_name) s
+      JOIN lab USING (condition_name) JOIN v_member m ON m.member_id = s.member_id
+      WHERE round(score, 9) > 0 AND CASE WHEN males >= 0.95 THEN m.gender = 'M'
+                                         WHEN females >= 0.95 THEN m.gender = 'F'
+                                         ELSE true END)
+    WHERE pred_rank <= 10""", "v_known", "v_gram", "v_feat", "v_member")
+register("low_ratings", """
+    SELECT vec_id, label, round(rating, 6) AS rating FROM (
+      SELECT vec_id, label, rating, percent_rank() OVER (PARTITION BY label ORDER BY rating) AS pr
+      FROM (SELECT e.vec_id, e.label::VARCHAR AS label,
+                   round(list_dot_product(u.v, e.embedding::DOUBLE[]), 9) AS rating
+            FROM embeddings e JOIN (SELECT label, arg_min(embedding, vec_id)::DOUBLE[] AS v
+                                    FROM embeddings GROUP BY label) u ON u.label = e.label))
+    WHERE pr <= 0.05""")
 
 register("prediction_features", """
     SELECT member_id, condition_name, chronic_flag,
@@ -438,7 +465,33 @@ register("prediction_features", """
 
 ORACLE["eval_chart_from_file"] = ORACLE["eval_chart"]
 register("bulk_conversion", """
-    SELECT 'customer' AS source, count(*) AS rows, CAST(sum(c_custkey) AS BIGINT) AS id_sum
-    FROM customer
+    SELECT 'customer' AS source, count(*) AS rows,
+           (SELECT count(*) FROM (DESCRIBE customer)) AS columns,
+           CAST(sum(c_custkey) AS BIGINT) AS key_sum,
+           CAST(sum(length(c_name)) AS BIGINT) AS name_chars FROM customer
+    UNION ALL
+    SELECT 'supplier', count(*), (SELECT count(*) FROM (DESCRIBE supplier)),
+           CAST(sum(s_suppkey) AS BIGINT), CAST(sum(length(s_name)) AS BIGINT) FROM supplier
     UNION ALL
-    SELECT 'supplier', count(*), CAST(sum(s_suppkey) AS BIGINT) FROM supplier""")
+    SELECT 'part', count(*), (SELECT count(*) FROM (DESCRIBE part)),
+           CAST(sum(p_partkey) AS BIGINT), CAST(sum(length(p_name)) AS BIGINT) FROM part""")
+
+
+register("period_service_types", """
+    SELECT member_id, strftime(date_trunc('quarter', service_date), '%Y-%m-%d') AS period,
+           service_type, round(sum(paid), 4) AS paid_total, count(*) AS n_claims
+    FROM v_claim GROUP BY 1, 2, 3""", "v_claim")
+register("member_history", """
+    SELECT c.member_id, COALESCE(p.in_network, false) AS in_network, c.service_type,
+           round(sum(c.paid), 4) AS prior_cost, count(*) AS prior_claims
+    FROM v_claim c LEFT JOIN v_provider p ON p.providerid = c.providerid
+    WHERE c.service_date > DATE '2000-02-01' AND c.service_date <= DATE '2001-02-01'
+    GROUP BY 1, 2, 3""", "v_claim", "v_provider")
+register("member_condition_flags", """
+    SELECT m.member_id, count(f.flag) AS n_flags,
+           COALESCE(string_agg(f.flag, '|' ORDER BY f.flag), '') AS flags
+    FROM v_member m
+    LEFT JOIN (SELECT DISTINCT member_id, condition_name || ':' || chronic_flag AS flag
+               FROM v_claim WHERE service_date <= DATE '2001-02-01') f
+      ON f.member_id = m.member_id
+    GROUP BY m.member_id""", "v_member", "v_claim")

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job in the library relies on. AQE coalesces small shuffles and splits skewed
 # join partitions at run time; the session time zone is fixed so date arithmetic is stable.
@@ -64,7 +64,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or named
 
 
+_SCRATCH: dict[str, str] = {}       # application id -> its scratch folder
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh folder name under the shared checkpoint folder for intermediate tables."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/scratch-{label}-{uuid.uuid4().hex}"
+    """A fresh folder name for an intermediate table, inside one folder of this application under
+    the shared checkpoint folder. The application's folder is removed when its driver ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _SCRATCH:
+        base = ensure_checkpoint_dir(spark).rstrip("/")
+        folder = f"{base}/scratch-{app}-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _SCRATCH[app] = folder
+    return f"{_SCRATCH[app]}/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once as Parquet in the scratch folder and read back: several jobs can read
+    it with column pruning, and Spark knows its size in bytes when it plans a join."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

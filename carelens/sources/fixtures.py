@@ -13,19 +13,27 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Fixed values of the adapter (dates are inclusive cut points).
+# Default arguments of the adapter (dates are inclusive cut points of the supplied tables).
 HOLDOUT_CUT = "2001-06-01"      # tuning features up to here, responses after (two months)
 OUTCOME_CUT = "2001-02-01"      # six-month outcome window starts after this date
+LAST_SERVICE_DATE = "2001-08-01"    # prediction features are aged from here
+MEASURES = ("click", "error", "purchase", "signup", "view")
 OUTCOME_MONTHS = 6
 HISTORY_MONTHS = 12
 
 
 class Source:
-    """Lazy access to ``<base_dir>/<name>.parquet``; every scan stays prunable."""
+    """Lazy access to ``<base_dir>/<name>.parquet``; every scan stays prunable. The cut dates and
+    the measures that become feature columns are arguments; the defaults fit the supplied
+    tables."""
 
-    def __init__(self, spark: SparkSession, base_dir: str):
+    def __init__(self, spark: SparkSession, base_dir: str, holdout_cut: str = HOLDOUT_CUT,
+                 outcome_cut: str = OUTCOME_CUT, last_service: str = LAST_SERVICE_DATE,
+                 measures: tuple[str, ...] = MEASURES):
         self.spark = spark
         self.base_dir = base_dir.rstrip("/")
+        self.holdout_cut, self.outcome_cut = holdout_cut, outcome_cut
+        self.last_service, self.measures = last_service, list(measures)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.base_dir}/{name}.parquet")

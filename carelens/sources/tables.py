@@ -7,6 +7,7 @@ Parquet relation so Catalyst can prune columns and push filters into it.
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,18 +38,25 @@ def read_delimited(spark: SparkSession, path: str, sep: str = "|", header: bool
 
 
 def convert_to_parquet(spark: SparkSession, source_glob: str, out_dir: str, fmt: str = "csv",
-                       options: dict | None = None, source_col: str = "source",
-                       source_regex: str = r"([^/]+?)(\.[^./]*)?$") -> DataFrame:
-    """S3: convert every file matching ``source_glob`` to Parquet in one distributed job.
-
-    Instead of a driver loop over files, all matching files are read by one scan and written
-    partitioned by a source label taken from the file path (group 1 of ``source_regex``; by
-    default the file stem), so ``out_dir/source=<label>/`` holds one table per input. Returns
-    the written table (re-read)."""
-    df = spark.read.format(fmt).options(**(options or {})).load(source_glob)
-    stem = F.regexp_extract(F.input_file_name(), source_regex, 1)
-    df.withColumn(source_col, stem).write.mode("overwrite").partitionBy(source_col).parquet(out_dir)
-    return spark.read.parquet(out_dir)
+                       options: dict | None = None, source_regex: str = r"([^/]+?)(\.[^./]*)?$",
+                       parallelism: int = 4) -> dict[str, DataFrame]:
+    """S3: convert every input matching ``source_glob`` to Parquet, each under its own schema.
+
+    Files are grouped to inputs by a label taken from the path (group 1 of ``source_regex``; by
+    default the file stem); each input is read and written by a job of its own, ``parallelism``
+    at a time, to ``out_dir/<label>``. Returns the written tables by label."""
+    label = F.regexp_extract("path", source_regex, 1)
+    listed = (spark.read.format("binaryFile").load(source_glob).select("path")
+              .groupBy(label.alias("label")).agg(F.collect_list("path").alias("paths")).collect())
+
+    def convert(row):
+        out = f"{out_dir.rstrip('/')}/{row['label']}"
+        (spark.read.format(fmt).options(**(options or {})).load(sorted(row["paths"]))
+         .write.mode("overwrite").parquet(out))
+        return row["label"], spark.read.parquet(out)
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        return dict(pool.map(convert, listed))
 
 
 def persist_table(df: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> DataFrame:

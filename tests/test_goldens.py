@@ -114,7 +114,7 @@ def test_contiguous_ids_with_nulls_first(spark):
 def test_chosen_members_inline_and_broadcast(spark):
     df = spark.range(20).withColumnRenamed("id", "member_id")
     assert casestudy.chosen(df, [3, 5, 5]).count() == 2
-    assert casestudy.chosen(df, list(range(0, 20, 2)), inline_limit=3).count() == 10
+    assert casestudy.chosen(df, list(range(0, 20, 2))).count() == 10
 
 
 def test_seeded_member_sample_is_repeatable(spark):

@@ -10,13 +10,17 @@ from carelens.sources import tables
 
 def test_convert_and_write(spark):
     base = tempfile.mkdtemp(prefix="carelens-src-")
-    a = spark.range(5).select(F.col("id").alias("x"), (F.col("id") * 2).alias("y"))
+    a = spark.range(5).select(F.col("id").alias("a"), (F.col("id") * 2).alias("b"),
+                              F.lit("c").alias("c"))
     a.write.option("header", True).option("sep", "|").csv(os.path.join(base, "in", "alpha"))
-    a.limit(2).write.option("header", True).option("sep", "|").csv(os.path.join(base, "in", "beta"))
+    b = spark.range(2).select(F.lit("z").alias("z"), (F.col("id") + 7).alias("a"))
+    b.write.option("header", True).option("sep", "|").csv(os.path.join(base, "in", "beta"))
     out = tables.convert_to_parquet(spark, os.path.join(base, "in", "*", "*.csv"),
-                                    os.path.join(base, "out"), "csv", {"header": True, "sep": "|"})
-    counts = {r.source: r["count"] for r in out.groupBy("source").count().collect()}
-    assert sum(counts.values()) == 7
+                                    os.path.join(base, "out"), "csv",
+                                    {"header": True, "sep": "|", "inferSchema": True},
+                                    source_regex=r"/in/([^/]+)/")
+    assert out["alpha"].columns == ["a", "b", "c"] and out["alpha"].count() == 5
+    assert sorted(tuple(r) for r in out["beta"].collect()) == [("z", 7), ("z", 8)]
 
 
 def test_readers_writers(spark):
