@@ -11,7 +11,8 @@
    component cannot change it.
 5. A comparison reads the signatures in batches and stops as soon as the posterior probability of
    a similarity at or over the threshold (uniform prior) falls below ``MISS``; what survives is
-   verified on the full sets.
+   verified on the full sets. Members of open buckets have longer signatures, so that the test
+   tells more of their many pairs apart before the full sets are needed.
 
 With 32 bands of 4 rows a pair at similarity 0.8 shares no bucket with probability
 (1 - 0.8^4)^32 < 5e-8.
@@ -37,6 +38,7 @@ from .graphs import connected_components
 HASHES = 128
 BANDS = 32
 ROWS = HASHES // BANDS
+LONG = 1024                     # entries of the signatures compared inside buckets
 BATCH = 16                      # signature entries read between two looks at the posterior
 MISS = 1e-6
 BLOCK = 512                     # members of a bucket that meet in one group
@@ -46,8 +48,8 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _RNG = np.random.default_rng(20)
-SEEDS = (_RNG.integers(0, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1),
-         _RNG.integers(0, 1 << 63, HASHES, np.uint64))
+SEEDS = (_RNG.integers(0, 1 << 63, LONG, np.uint64) * np.uint64(2) + np.uint64(1),
+         _RNG.integers(0, 1 << 63, LONG, np.uint64))
 
 
 def shingle_sets(raw: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,15 +95,15 @@ def shingle_sets(raw: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarr
     return out, np.bincount(doc, minlength=n_docs)
 
 
-def signatures(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """(documents, HASHES) 32-bit minima; multiply-shift hashing of the mixed shingle hashes."""
+def signatures(sets: np.ndarray, sizes: np.ndarray, hashes: int = HASHES) -> np.ndarray:
+    """(documents, hashes) 32-bit minima; multiply-shift hashing of the mixed shingle hashes."""
     a, b = SEEDS
-    out = np.zeros((len(sizes), HASHES), np.uint32)
+    out = np.zeros((len(sizes), hashes), np.uint32)
     full = np.flatnonzero(sizes)
     if len(full):
         ends = np.cumsum(sizes)
         begin = (ends - sizes)[full]
-        for k in range(HASHES):
+        for k in range(hashes):
             out[full, k] = np.minimum.reduceat(
                 ((sets * a[k] + b[k]) >> np.uint64(32)).astype(np.uint32), begin)
     return out
@@ -152,15 +154,18 @@ def _texts(docs: DataFrame) -> DataFrame:
                        F.col("text").cast("string").alias("text"))
 
 
-def least_matches(threshold: float, miss: float = MISS) -> list[tuple[int, int]]:
+def least_matches(threshold: float, hashes: int, bits: int,
+                  miss: float = MISS) -> list[tuple[int, int]]:
     """(entries read, fewest matches to go on) after each batch: below that the posterior
-    P(similarity >= threshold | matches), a Beta tail for a uniform prior, is under ``miss``."""
+    P(similarity >= threshold | matches), a Beta tail for a uniform prior, is under ``miss``.
+    Entries cut to ``bits`` match by chance as well."""
+    t = threshold + (1 - threshold) / 2 ** bits
     out = []
-    for n in range(BATCH, HASHES + 1, BATCH):
+    for n in range(BATCH, hashes + 1, BATCH):
         tail, least = 0.0, n + 1
         for m in range(n + 1):
             # P(Beta(m+1, n-m+1) >= t) = P(Binomial(n+1, t) <= m)
-            tail += math.comb(n + 1, m) * threshold ** m * (1 - threshold) ** (n + 1 - m)
+            tail += math.comb(n + 1, m) * t ** m * (1 - t) ** (n + 1 - m)
             if tail >= miss:
                 least = m
                 break
@@ -168,33 +173,38 @@ def least_matches(threshold: float, miss: float = MISS) -> list[tuple[int, int]]
     return out
 
 
-def survivors(left: np.ndarray, right: np.ndarray, steps: list[tuple[int, int]]) -> np.ndarray:
-    """Rows whose signatures (same row in both) pass every batch of the sequential test, given
-    ``least_matches``."""
-    live = np.arange(len(left))
-    met = np.zeros(len(left), np.int32)
+def survivors(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray,
+              steps: list[tuple[int, int]]) -> np.ndarray:
+    """Which of the pairs (row i of left, row j of right) pass every batch of the sequential
+    test, given ``least_matches``."""
+    live = np.arange(len(i))
+    met = np.zeros(len(i), np.int32)
     for n, least in steps:
-        met = met + (left[live, n - BATCH:n] == right[live, n - BATCH:n]).sum(1, dtype=np.int32)
-        go = met >= least
-        live, met = live[go], met[go]
         if not len(live):
             break
+        met = met + (left[i[live], n - BATCH:n] == right[j[live], n - BATCH:n]).sum(
+            1, dtype=np.int32)
+        go = met >= least
+        live, met = live[go], met[go]
     return live
 
 
-def _stack(col: pa.Array) -> np.ndarray:
+def _stack(col: pa.Array, kind, width: int) -> np.ndarray:
     raw, _ = utf8_buffers(col)
-    return raw.view(np.uint16).reshape(-1, HASHES)
+    return raw.view(kind).reshape(-1, width)
 
 
 def _pass_pairs(pairs: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b, sig_a, sig_b) that survive the sequential test, as (a, b)."""
-    steps = least_matches(threshold)
+    steps = least_matches(threshold, HASHES, 16)
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                live = pa.array(survivors(_stack(batch.column(2)), _stack(batch.column(3)), steps))
+                own = np.arange(batch.num_rows)
+                live = pa.array(survivors(_stack(batch.column(2), np.uint16, HASHES),
+                                          _stack(batch.column(3), np.uint16, HASHES),
+                                          own, own, steps))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(live),
                                                   batch.column(1).take(live)], ["a", "b"])
 
@@ -202,12 +212,13 @@ def _pass_pairs(pairs: DataFrame, threshold: float) -> DataFrame:
 
 
 def _pass_blocks(rows: DataFrame, threshold: float) -> DataFrame:
-    """Rows (grp, left, rep, comp, sig), sorted by group within partitions: the pairs of a left
-    and a right member of a group, of different components, that survive. A group has at most
-    some BLOCK rows of either side."""
-    steps = least_matches(threshold)
+    """Rows (grp, left, rep, comp, sig, band, bands), sorted by group within partitions: the pairs
+    of a left and a right member of a group, of different components, that survive. A pair that
+    shares several buckets is told in the first of them only. A group has at most some BLOCK rows
+    of either side."""
+    steps = least_matches(threshold, LONG, 8)
 
-    def meet(rep, comp, left, sig):
+    def meet(rep, comp, left, band, sig, bands):
         a, b = np.flatnonzero(left), np.flatnonzero(~left)
         if not len(a) or not len(b):
             return []
@@ -215,8 +226,10 @@ def _pass_blocks(rows: DataFrame, threshold: float) -> DataFrame:
         for lo in range(0, len(a), 128):
             i, j = np.nonzero(comp[a[lo:lo + 128]][:, None] != comp[b][None])
             i, j = a[lo + i], b[j]
-            live = survivors(sig[i], sig[j], steps)
-            out.append((rep[i[live]], rep[j[live]]))
+            live = survivors(sig, sig, i, j, steps)
+            i, j = i[live], j[live]
+            told = (bands[i] == bands[j]).argmax(1) == band[i]
+            out.append((rep[i[told]], rep[j[told]]))
         return out
 
     def run(batches):
@@ -224,8 +237,9 @@ def _pass_blocks(rows: DataFrame, threshold: float) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cur = [batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2, 3, 1)]
-            cur.append(_stack(batch.column(4)))
+            cur = [batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2, 3, 1, 5)]
+            cur.append(_stack(batch.column(4), np.uint8, LONG))
+            cur.append(batch.column(6).flatten().to_numpy().reshape(-1, BANDS))
             if held is not None:
                 cur = [np.concatenate(x) for x in zip(held, cur)]
             cuts = np.flatnonzero(cur[0][1:] != cur[0][:-1]) + 1
@@ -244,7 +258,8 @@ def _pass_blocks(rows: DataFrame, threshold: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)),
                                               pa.array(np.minimum(a, b))], ["a", "b"])
 
-    return rows.select("grp", "left", "rep", "comp", "sig").mapInArrow(run, "a long, b long")
+    return rows.select("grp", "left", "rep", "comp", "sig", "band", "bands").mapInArrow(
+        run, "a long, b long")
 
 
 def _full_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -266,6 +281,22 @@ def _full_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, members binary")
 
 
+def _long_signatures(sets: DataFrame) -> DataFrame:
+    """(rep, sig): LONG entries of 8 bits of the documents in ``sets``."""
+
+    def run(batches):
+        for batch in batches:
+            raw, off = utf8_buffers(batch.column(1))
+            for lo, hi in chunks(off):
+                sig = signatures(raw[off[lo]:off[hi]].view(np.uint64),
+                                 np.diff(off[lo:hi + 1]) // 8, LONG)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(lo, hi - lo), _binary(sig.astype(np.uint8))],
+                    ["rep", "sig"])
+
+    return sets.select("doc_id", "members").mapInArrow(run, "rep long, sig binary")
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) with den * |A and B| >= num * |A or B| on the full sets. The smaller id, the
     hub of a star, is joined last, so its set is sent once however many pairs name it."""
@@ -301,10 +332,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
         usable.groupBy("set_a", "set_b", "n_shingles")
         .agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"),
              F.first("bands").alias("bands")), "classes")
-    buckets = classes.select("rep", F.explode("bands").alias("key"))
+    buckets = classes.select("rep", F.posexplode("bands").alias("band", "key"))
     shared = (buckets.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last"))
               .filter("hub < last").select("key", "hub"))
-    member = materialize(buckets.join(shared, "key"), "buckets")      # key, rep, hub
+    member = materialize(buckets.join(shared, "key"), "buckets")      # key, rep, band, hub
 
     sigs = classes.select("rep", "sig")
     ids = materialize(member.select(F.col("rep").alias("doc_id")).distinct(), "candidates")
@@ -320,7 +351,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
 
     # buckets with several components: members outside the main one against all others
     placed = (member.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
-              .select("key", "rep", F.coalesce("component", "rep").alias("comp")))
+              .select("key", "band", "rep", F.coalesce("component", "rep").alias("comp")))
     parts = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
     mixed = (parts.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("main"),
                                       F.count("*").alias("k"), F.sum("n").alias("all_n"))
@@ -329,22 +360,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
                      F.ceil(F.col("all_n") / BLOCK).cast("int").alias("rights"),
                      F.ceil((F.col("all_n") - F.col("main.n")) / BLOCK).cast("int")
                      .alias("lefts")))
-    open_rows = placed.join(mixed, "key")
+    open_rows = materialize(placed.join(mixed, "key"), "open-rows")
+    open_ids = materialize(open_rows.select(F.col("rep").alias("doc_id")).distinct(), "open-ids")
+    longer = materialize(_long_signatures(
+        sets.join(hint_small(open_ids, 16), "doc_id", "left_semi")), "long-signatures")
     salt = F.xxhash64("rep", "key")
     right = open_rows.select(
-        "key", "rep", "comp", F.lit(False).alias("left"),
+        "key", "band", "rep", "comp", F.lit(False).alias("left"),
         F.pmod(salt, F.col("rights")).alias("r"),
         F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("l"))
     left = open_rows.filter("comp <> main").select(
-        "key", "rep", "comp", F.lit(True).alias("left"),
+        "key", "band", "rep", "comp", F.lit(True).alias("left"),
         F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("r"),
         F.pmod(salt, F.col("lefts")).alias("l"))
-    rows = (left.select("key", "rep", "comp", "left", F.col("r").cast("long"),
-                        F.col("l").cast("long"))
-            .unionByName(right.select("key", "rep", "comp", "left", F.col("r").cast("long"),
-                                      F.col("l").cast("long")))
-            .join(sigs, "rep")
-            .select(F.xxhash64("key", "r", "l").alias("grp"), "left", "rep", "comp", "sig"))
+    names = ["key", "band", "rep", "comp", "left", F.col("r").cast("long"),
+             F.col("l").cast("long")]
+    rows = (left.select(*names).unionByName(right.select(*names))
+            .join(longer, "rep").join(classes.select("rep", "bands"), "rep")
+            .select(F.xxhash64("key", "r", "l").alias("grp"), "left", "rep", "comp", "sig", "band",
+                    "bands"))
     rows = rows.repartition("grp").sortWithinPartitions("grp")
     more = materialize(_pass_blocks(rows, threshold).distinct(), "open-pairs")
     more = _verify(more, sets, num, den)
