@@ -17,10 +17,7 @@ from pyspark.ml.recommendation import ALSModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carelens.operators.factor import MAX_ITEMS, Params
-
-CHUNK = 256          # members solved together (memory: CHUNK x rated x rank doubles)
-
+from carelens.operators.factor import Params
 
 def sample_members(user_map: DataFrame, n: int = 10, seed: int = 7) -> DataFrame:
     """M17 sample: ``n`` members chosen by a seeded hash (repeatable, no driver collect)."""
@@ -31,77 +28,69 @@ def contributions(model: ALSModel, ratings: DataFrame, targets: DataFrame, param
                   ) -> DataFrame:
     """(user_id, product_a, product_b, weight, rating_a, residual_a) for every target
     (user_id, product_id) pair and every product b the user rated."""
-    spark = model.itemFactors.sparkSession
-    n_items = model.itemFactors.count()
-    if n_items > MAX_ITEMS:
-        raise ValueError(f"{n_items} items exceed the broadcast bound {MAX_ITEMS}")
-    itf = model.itemFactors.orderBy("id").toPandas()
-    ids = itf["id"].to_numpy()
-    V = np.stack(itf["features"].to_numpy()).astype(np.float64)
-    bc = spark.sparkContext.broadcast({"ids": ids, "V": V, "YtY": V.T @ V,
-                                       "alpha": float(params.alpha), "reg": float(params.reg)})
-    rated = ratings.groupBy("user_id").agg(
-        F.collect_list(F.struct("product_id", "confidence")).alias("rated"))
-    tgt = targets.groupBy("user_id").agg(F.collect_list("product_id").alias("targets"))
-    users = (tgt.join(rated, "user_id")
+    items = model.itemFactors.select(F.col("id").alias("product_id"),
+                                     F.col("features").cast("array<double>").alias("v"))
+    gram = item_gram(model)
+    alpha, reg, rank = float(params.alpha), float(params.reg), len(gram)
+
+    def lists(df, prefix, *cols):
+        """Per user: product ids (and ``cols``) and their factors, flattened, in id order."""
+        every = F.array_sort(F.collect_list(F.struct("product_id", *cols, "v")))
+        g = df.join(items, "product_id").groupBy("user_id").agg(every.alias("x"))
+        return g.select("user_id", *[F.transform("x", lambda r, c=c: r[c]).alias(prefix + c)
+                                     for c in ("product_id", *cols)],
+                        F.flatten(F.transform("x", lambda r: r["v"])).alias(prefix + "v"))
+
+    users = (lists(targets, "a_").join(lists(ratings, "b_", "confidence"), "user_id")
              .join(model.userFactors.withColumnRenamed("id", "user_id"), "user_id"))
 
     def solve(batches):
-        m = bc.value
-        ids, V, YtY, alpha, reg = m["ids"], m["V"], m["YtY"], m["alpha"], m["reg"]
-        rank = V.shape[1]
         eye = np.eye(rank)
-
-        def positions(lists):
-            """Padded item positions (join by id: unknown ids are masked out)."""
-            n = max((len(x) for x in lists), default=0)
-            pos = np.zeros((len(lists), max(n, 1)), dtype=np.int64)
-            ok = np.zeros_like(pos, dtype=bool)
-            for i, x in enumerate(lists):
-                if len(x):
-                    arr = np.asarray(x, dtype=np.int64)
-                    p = np.clip(np.searchsorted(ids, arr), 0, len(ids) - 1)
-                    pos[i, :len(arr)], ok[i, :len(arr)] = p, ids[p] == arr
-            return pos, ok
-
         for pdf in batches:
-            for lo in range(0, len(pdf), CHUNK):
-                part = pdf.iloc[lo:lo + CHUNK]
-                rated = part["rated"].to_numpy()
-                b_pos, b_ok = positions([[r["product_id"] for r in x] for x in rated])
-                conf = np.zeros(b_pos.shape)
-                for i, x in enumerate(rated):
-                    conf[i, :len(x)] = [r["confidence"] for r in x]
-                conf = np.where(b_ok, conf, 0.0)
-                c = 1.0 + alpha * np.abs(conf)                       # users x n_b
-                Yb = V[b_pos] * b_ok[..., None]                      # users x n_b x rank
-                n_u = ((conf > 0) & b_ok).sum(axis=1)
-                weighted = np.transpose(Yb * (c - 1.0)[..., None], (0, 2, 1))
-                W = YtY[None] + weighted @ Yb + (reg * n_u)[:, None, None] * eye[None]
-                M = np.linalg.solve(W, np.transpose(Yb, (0, 2, 1)))  # users x rank x n_b
-                a_pos, a_ok = positions(list(part["targets"].to_numpy()))
-                Ya = V[a_pos]                                        # users x n_a x rank
-                contrib = (Ya @ M) * (c * b_ok)[:, None, :]
-                xu = np.stack(part["features"].to_numpy()).astype(np.float64)
-                rating = (Ya @ xu[:, :, None])[:, :, 0]
-                resid = rating - contrib.sum(axis=2)
-                keep = a_ok[:, :, None] & b_ok[:, None, :]
-                u, a, b = np.nonzero(keep)
-                if len(u) == 0:
-                    continue
-                yield pd.DataFrame({
-                    "user_id": part["user_id"].to_numpy()[u].astype(np.int32),
-                    "product_a": ids[a_pos[u, a]].astype(np.int32),
-                    "product_b": ids[b_pos[u, b]].astype(np.int32),
-                    "weight": contrib[u, a, b],
-                    "rating_a": rating[u, a],
-                    "residual_a": resid[u, a]})
+            out = []
+            for row in pdf.itertuples(index=False):
+                yb = np.asarray(row.b_v, float).reshape(-1, rank)
+                conf = np.asarray(row.b_confidence, float)
+                c = 1.0 + alpha * np.abs(conf)
+                w = gram + (yb * (c - 1.0)[:, None]).T @ yb + reg * (conf > 0).sum() * eye
+                ya = np.asarray(row.a_v, float).reshape(-1, rank)
+                contrib = (ya @ np.linalg.solve(w, yb.T)) * c[None, :]
+                rating = ya @ np.asarray(row.features, float)
+                resid = rating - contrib.sum(axis=1)
+                n_a, n_b = contrib.shape
+                out.append(pd.DataFrame({
+                    "user_id": row.user_id,
+                    "product_a": np.repeat(np.asarray(row.a_product_id), n_b),
+                    "product_b": np.tile(np.asarray(row.b_product_id), n_a),
+                    "weight": contrib.ravel(), "rating_a": np.repeat(rating, n_b),
+                    "residual_a": np.repeat(resid, n_b)}))
+            if out:
+                yield pd.concat(out, ignore_index=True)
 
     schema = ("user_id int, product_a int, product_b int, weight double, rating_a double, "
               "residual_a double")
     return users.mapInPandas(solve, schema)
 
 
+def item_gram(model: ALSModel) -> np.ndarray:
+    """Y'Y over all item factors: a partial matrix per task, summed by index (rank^2 numbers)."""
+    rank = model.rank
+
+    def partial(batches):
+        g = np.zeros((rank, rank))
+        for pdf in batches:
+            if len(pdf):
+                y = np.stack(pdf["features"].to_numpy()).astype(float)
+                g += y.T @ y
+        yield pd.DataFrame({"i": np.arange(rank * rank, dtype=np.int32), "v": g.ravel()})
+
+    total = (model.itemFactors.select("features").mapInPandas(partial, "i int, v double")
+             .groupBy("i").agg(F.sum("v").alias("v")).toPandas())
+    g = np.zeros(rank * rank)
+    g[total["i"].to_numpy()] = total["v"].to_numpy()
+    return g.reshape(rank, rank)
+
+
 def named_contributions(contrib: DataFrame, user_map: DataFrame, product_map: DataFrame
                         ) -> DataFrame:
     """J4 + M17: restore member and product names; the product map is joined under two roles."""
