@@ -34,6 +34,7 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
 
 @query("op4_best_two_fit_packing")
 def best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token pieces of at most 1024, packed by best-two-fit."""
     packed = packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_file())
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id",
                          "offset")
@@ -41,11 +42,13 @@ def best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_html_extraction")
 def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     return htmltext.extract(read_table(spark, sf_dir, "pages"))
 
 
 @query("op7_toxicity")
 def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every document, learned from the labels of the training folds."""
     docs = read_table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
 
@@ -58,17 +61,20 @@ def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_approximate_neighbours")
 def approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors found for every fiftieth vec_id."""
     return ann.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
 @query("op10_warc")
 def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives, normalised and read back."""
     return warc.archive_round_trip(read_table(spark, sf_dir, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 @query("op6_secret_scans", sql.SECRETS)
 def secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and spans of the secrets of every document."""
     found = secrets.find_secrets(read_table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"] < 3)
 
@@ -83,6 +89,7 @@ def secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_benchmark_decontamination", sql.DECONTAMINATION)
 def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside occurrences of ten-word benchmark windows."""
     found = decontaminate.contamination(read_table(spark, sf_dir, "documents"),
                                         read_table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -93,6 +100,7 @@ def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_suffix_array_dedup")
 def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that repeat 50-byte strings of documents with smaller ids."""
     found = repeats.remove_repeats(read_table(spark, sf_dir, "documents"))
     return found.select(
         "doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
@@ -101,4 +109,5 @@ def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_chat_formatting")
 def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation repaired to legal turns at least cost, as rendered pieces."""
     return chat.repair(read_table(spark, sf_dir, "conversations"))
