@@ -37,9 +37,9 @@ def contributions(model: ALSModel, ratings: DataFrame, targets: DataFrame, param
         """Per user: product ids (and ``cols``) and their factors, flattened, in id order."""
         every = F.array_sort(F.collect_list(F.struct("product_id", *cols, "v")))
         g = df.join(items, "product_id").groupBy("user_id").agg(every.alias("x"))
-        return g.select("user_id", *[F.transform("x", lambda r, c=c: r[c]).alias(prefix + c)
+        return g.select("user_id", *[F.col("x")[c].alias(prefix + c)
                                      for c in ("product_id", *cols)],
-                        F.flatten(F.transform("x", lambda r: r["v"])).alias(prefix + "v"))
+                        F.flatten(F.col("x")["v"]).alias(prefix + "v"))
 
     users = (lists(targets, "a_").join(lists(ratings, "b_", "confidence"), "user_id")
              .join(model.userFactors.withColumnRenamed("id", "user_id"), "user_id"))

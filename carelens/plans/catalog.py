@@ -19,7 +19,10 @@ from carelens.plans import inputs
 from carelens.session import ensure_checkpoint_dir, scratch_path, written
 from carelens.sources.fixtures import MEASURES, Source
 from carelens.operators.util import rank_top
-from carelens.sources.tables import convert_to_parquet, peek, read_delimited, row_count
+from carelens.sources.tables import (
+    convert_to_parquet, export_explanations, export_predictions, export_small_tables, peek,
+    persist_table, read_delimited, row_count,
+)
 from carelens.constants import POPULAR_PER_MEMBER
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -625,3 +628,132 @@ def provider_benchmark_model(src: Source) -> DataFrame:
     hist = src.claims.filter(F.col("service_date") <= F.to_date(F.lit(src.outcome_cut)))
     return cost.provider_benchmark(_outcomes(src), pred, cost.attributed_provider(hist),
                                    "cost_total", "pred")
+
+
+# ---- writers, read back (S4, S6, S7, S8, P11) ---------------------------------------------------
+@query
+def exported_predictions(src: Source) -> DataFrame:
+    """Ranked predictions (the item-based ones, which are deterministic) exported and read
+    back."""
+    path = scratch_path(src.spark, "predictions")
+    recs = neighbours.item_based(inputs.tune_features(src), 10)
+    export_predictions(recs.select(
+        "member_id", F.col("condition_name").alias("feature_value"),
+        F.lit("condition_name").alias("feature_name"), "chronic_flag",
+        F.col("score").alias("rating"), "pred_rank"), path)
+    return longs(src.spark.read.parquet(path))
+
+
+@query
+def exported_explanations(src: Source) -> DataFrame:
+    """Explanation rows exported under their hyper-parameters and read back; the rows are the
+    members' demographic features with their confidence as weight."""
+    path = scratch_path(src.spark, "explanations")
+    rows = inputs.demographics(src).select(
+        "member_id", F.col("feature_name").alias("feature_name_a"),
+        F.col("feature_value").alias("feature_value_a"), F.col("confidence").alias("weight"))
+    export_explanations(rows, path, 50, 100.0, 7.0)
+    return longs(src.spark.read.parquet(path)).select(
+        "member_id", "feature_name_a", "feature_value_a", "weight", "rank",
+        F.col("alpha").cast("double").alias("alpha"),
+        F.col("lambda").cast("double").alias("lambda"))
+
+
+@query
+def exported_case_study(src: Source) -> DataFrame:
+    """The claims of hand-picked members (the ten youngest with most claims) exported as
+    delimited text and read back."""
+    path = scratch_path(src.spark, "case-study")
+    picked = (src.claims.groupBy("member_id").agg(F.count("*").alias("n"))
+              .orderBy(F.desc("n"), "member_id").limit(10).collect())     # ten rows
+    rows = casestudy.chosen(src.claims, [r["member_id"] for r in picked]).groupBy(
+        "member_id", "condition_name", "chronic_flag").agg(F.count("*").alias("n_claims"))
+    export_small_tables({"claims": rows}, path)
+    return read_delimited(src.spark, f"{path}/claims", sep=",").select(
+        F.col("member_id").cast("bigint").alias("member_id"), "condition_name",
+        F.col("chronic_flag").cast("string").alias("chronic_flag"),
+        F.col("n_claims").cast("bigint").alias("n_claims"))
+
+
+@query
+def persisted_claims(src: Source) -> DataFrame:
+    """The claims kept for two aggregates, per setting and per class."""
+    kept = persist_table(src.claims.select("setting", "chronic_flag", "paid"))
+
+    def total(col):
+        return kept.groupBy(F.lit(col).alias("by"), F.col(col).alias("value")).agg(
+            F.count("*").alias("n_claims"), F.round(F.sum("paid"), 2).alias("paid"))
+
+    return total("setting").unionByName(total("chronic_flag"))
+
+
+# ---- what SQL can say about model outputs -------------------------------------------------------
+@query
+def event_model_labels(src: Source) -> DataFrame:
+    """Every member of the event model's output, its label, and whether the probability is
+    one."""
+    return longs(QUERIES["ip_event_model"](src.spark, src.base_dir).select(
+        "member_id", "any_ip", F.col("prob").between(0.0, 1.0).alias("is_probability")))
+
+
+@query
+def fold_members(src: Source) -> DataFrame:
+    """Members with an averaged out-of-fold probability, and those that have one in range."""
+    return QUERIES["er_repeated_cv"](src.spark, src.base_dir).agg(
+        F.count("*").alias("members"), F.countDistinct("member_id").alias("distinct_members"),
+        F.sum(F.col("prob").between(0.0, 1.0).cast("bigint")).alias("in_range"))
+
+
+@query
+def population_model_members(src: Source) -> DataFrame:
+    """Members with a probability per population."""
+    return QUERIES["population_models"](src.spark, src.base_dir).groupBy(
+        "eligibility_status").agg(F.count("prob").alias("members"))
+
+
+@query
+def quantile_model_members(src: Source) -> DataFrame:
+    """Members, their outcome, and whether they have a predicted quantile."""
+    return QUERIES["cost_quantile_model"](src.spark, src.base_dir).select(
+        "member_id", "cost_total", F.col("cost_q90").isNotNull().alias("predicted"))
+
+
+@query
+def benchmark_model_actuals(src: Source) -> DataFrame:
+    """T24 with a model: members and actual cost per provider of the model's output."""
+    return QUERIES["provider_benchmark_model"](src.spark, src.base_dir).select(
+        "providerid", "members", "actual")
+
+
+@query
+def recommendation_rules(src: Source) -> DataFrame:
+    """Of the exported recommendations, how many break a rule: ranks that are
+    not 1..n, conditions already coded, conditions of the other gender, fewer than ten."""
+    recs = inputs.predictions(src).withColumnRenamed("feature_value", "condition_name")
+    known = inputs.pred_features(src).select("member_id", "condition_name").distinct()
+    allowed = candidates.gender_filter(recs, src.members, inputs.gender_labels(src))
+    per = recs.groupBy("member_id").agg(F.count("*").alias("n"), F.max("pred_rank").alias("top"),
+                                        F.countDistinct("pred_rank").alias("ranks"))
+    counts = per.agg(
+        F.count("*").alias("members"),
+        F.sum((F.col("n") < 10).cast("bigint")).alias("short_lists"),
+        F.sum(((F.col("n") != F.col("top")) | (F.col("n") != F.col("ranks"))).cast("bigint"))
+        .alias("broken_ranks"))
+    broken = recs.join(known, ["member_id", "condition_name"], "left_semi").agg(
+        F.count("*").alias("already_coded"))
+    other = recs.join(allowed, ["member_id", "condition_name", "chronic_flag"], "left_anti").agg(
+        F.count("*").alias("other_gender"))
+    return counts.withColumns({"already_coded": F.lit(broken.scalar()),
+                               "other_gender": F.lit(other.scalar())})
+
+
+@query
+def explanation_identity(src: Source) -> DataFrame:
+    """Per explained member the products it rated, and the explained ratings that
+    contributions plus residual do not give back."""
+    rows = QUERIES["als_explanations"](src.spark, src.base_dir)
+    per = rows.groupBy("member_id").agg(
+        F.count("*").alias("rated"),
+        F.abs(F.sum("weight") + F.max("residual_a") - F.max("rating_a")).alias("gap"))
+    return per.agg(F.count("*").alias("members"), F.sum("rated").alias("rated_products"),
+                   F.sum((F.col("gap") > 1e-6).cast("bigint")).alias("unexplained"))

@@ -421,6 +421,10 @@ register("user_based_recs", """
            FROM v_known k JOIN v_gram g ON g.ci = k.c AND g.fi = k.f
            JOIN w ON w.member_id = k.member_id
            GROUP BY k.member_id, g.cj, g.fj)""" + _TOPK, "v_known", "v_gram")
+_item = ORACLE["item_based_recs"]
+ORACLE["exported_predictions"] = f"""
+    SELECT member_id, condition_name AS feature_value, 'condition_name' AS feature_name,
+           chronic_flag, score AS rating, pred_rank FROM ({_item})"""
 register("item_based_filtered", """
     , d AS (SELECT ci, fi, n FROM v_gram WHERE ci = cj AND fi = fj),
     s AS (SELECT g.ci, g.fi, g.cj, g.fj, g.n / sqrt(d1.n * d2.n) AS sim
@@ -495,3 +499,40 @@ register("member_condition_flags", """
                FROM v_claim WHERE service_date <= DATE '2001-02-01') f
       ON f.member_id = m.member_id
     GROUP BY m.member_id""", "v_member", "v_claim")
+
+register("exported_explanations", """
+    SELECT member_id, feature_name AS feature_name_a, feature_value AS feature_value_a,
+           confidence AS weight, 50::BIGINT AS rank, 100.0::DOUBLE AS alpha,
+           7.0::DOUBLE AS lambda
+    FROM v_demog""", "v_demog")
+register("exported_case_study", """
+    SELECT member_id, condition_name, chronic_flag, count(*) AS n_claims FROM v_claim
+    WHERE member_id IN (SELECT member_id FROM v_claim GROUP BY member_id
+                        ORDER BY count(*) DESC, member_id LIMIT 10)
+    GROUP BY 1, 2, 3""", "v_claim")
+register("persisted_claims", """
+    SELECT 'setting' AS by, setting AS value, count(*) AS n_claims, round(sum(paid), 2) AS paid
+    FROM v_claim GROUP BY setting
+    UNION ALL
+    SELECT 'chronic_flag', chronic_flag, count(*), round(sum(paid), 2)
+    FROM v_claim GROUP BY chronic_flag""", "v_claim")
+register("event_model_labels", """
+    SELECT member_id, any_ip, true AS is_probability FROM v_outcome""", "v_outcome")
+register("fold_members", """
+    SELECT count(*) AS members, count(DISTINCT member_id) AS distinct_members,
+           count(*) AS in_range FROM v_outcome""", "v_outcome")
+register("population_model_members", """
+    SELECT eligibility_status, count(*) AS members FROM v_member GROUP BY 1""", "v_member")
+register("quantile_model_members", """
+    SELECT member_id, cost_total, true AS predicted FROM v_outcome""", "v_outcome")
+ORACLE["benchmark_model_actuals"] = \
+    f"SELECT providerid, members, actual FROM ({ORACLE['provider_benchmark']})"
+register("recommendation_rules", """
+    SELECT count(*) AS members, 0::BIGINT AS short_lists, 0::BIGINT AS broken_ranks,
+           0::BIGINT AS already_coded, 0::BIGINT AS other_gender FROM v_member""", "v_member")
+register("explanation_identity", """
+    SELECT (SELECT count(*) FROM v_member) AS members,
+           ((SELECT count(*) FROM (SELECT DISTINCT member_id, condition_name, chronic_flag
+                                   FROM v_claim WHERE service_date <= DATE '2001-08-01'))
+            + (SELECT count(*) FROM v_demog))::BIGINT AS rated_products,
+           0::BIGINT AS unexplained""", "v_claim", "v_demog", "v_member")
