@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carelens.operators import (
-    boosting, candidates, casestudy, cost, evaluate, factor, features, gaps, neighbours, summary,
-    tune,
+    boosting, candidates, casestudy, cost, evaluate, explain, factor, features, gaps, neighbours,
+    summary, tune,
 )
 from carelens.plans import inputs
 from carelens.session import ensure_checkpoint_dir, scratch_path, written
@@ -220,9 +220,8 @@ def als_predictions(src: Source) -> DataFrame:
         "member_id", "feature_value", "feature_name", "chronic_flag", "rating", "pred_rank"))
 
 
-@query
-def als_tuning(src: Source) -> DataFrame:
-    """Grid of parameter sets scored by recall@10 on the hold-out; best one flagged."""
+def _grid_results(src: Source) -> DataFrame:
+    """Recall@10 on the hold-out of every parameter set of the grid."""
     grid = tune.param_grid([10, 50], [100.0], [7.0])
 
     def score(p):
@@ -231,7 +230,21 @@ def als_tuning(src: Source) -> DataFrame:
 
     # inputs shared by every fit are built first; the fits then run two at a time
     inputs.ratings(src), inputs.gender_labels(src), inputs.new_conditions(src)
-    results = tune.run_grid(src.spark, grid, score, parallelism=2)
+    return tune.run_grid(src.spark, grid, score, parallelism=2)
+
+
+@query
+def als_tuned_predictions(src: Source) -> DataFrame:
+    """M14 -> M15: the grid's winner refitted on all data, ten recommendations per member."""
+    best = tune.best_params(_grid_results(src))
+    return longs(inputs.predictions(src, best).select(
+        "member_id", "feature_value", "feature_name", "chronic_flag", "rating", "pred_rank"))
+
+
+@query
+def als_tuning(src: Source) -> DataFrame:
+    """Grid of parameter sets scored by recall@10 on the hold-out; best one flagged."""
+    results = _grid_results(src)
     best = tune.best_params(results)
     return longs(results.withColumn("best", (F.col("rank") == best.rank)
                                     & (F.col("alpha") == best.alpha)
@@ -244,6 +257,23 @@ def als_explanations(src: Source) -> DataFrame:
     return inputs.explanations(src)
 
 
+@query
+def als_sample_explanations(src: Source) -> DataFrame:
+    """M17 as published: for a seeded sample of ten members, what every product b contributes to
+    every other product a, exported under the hyper-parameters and read back."""
+    params, pm = inputs.DEFAULT_PARAMS, inputs.product_map(src, "pred")
+    users = inputs.user_map(src, "pred")
+    products = pm.select(F.collect_list("product_id")).scalar()     # the condition taxonomy
+    targets = explain.sample_members(users, 10).select("user_id",
+                                                       F.explode(products).alias("product_id"))
+    found = explain.contributions(inputs.model(src, "pred", params), inputs.ratings(src, "pred"),
+                                  targets, params).filter("product_a <> product_b")
+    path = scratch_path(src.spark, "sample-explanations")
+    export_explanations(explain.named_contributions(found, users, pm), path, params.rank,
+                        params.alpha, params.reg)
+    return longs(src.spark.read.parquet(path))
+
+
 @query
 def suspicious_codings(src: Source) -> DataFrame:
     """Coded conditions with a rating in the lowest 5% of their condition."""
