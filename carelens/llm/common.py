@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from carelens.session import scratch_path
 
 BROADCAST_BYTES = 32 << 20      # most that is broadcast, after the size has been counted
-CHUNK_BYTES = 4 << 20           # text handled by one numpy pass; one longer text is a pass
+CHUNK_BYTES = 2 << 20           # text handled by one numpy pass; one longer text is a pass
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -28,7 +28,7 @@ from .common import chunks, materialize, ragged_arange, utf8_buffers
 
 MAX_TOKENS = 1024
 END_ID = 2
-CACHE_PIECES = 500_000          # pre-tokens a Python worker remembers before it starts anew
+CACHE_PIECES = 200_000          # pre-tokens a Python worker remembers before it starts anew
 LATIN = 0x240                   # code points split by the table (lead byte below 0xC9)
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 

@@ -51,8 +51,9 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all documents with their places in packed sequences."""
-    return packing.pack_documents(docs, tokenizer_file(), keep_ids=True)
+    """Token pieces of all documents (start and length among the document's ids) with their places
+    in packed sequences."""
+    return packing.pack_documents(docs, tokenizer_file())
 
 
 STAGES = [
