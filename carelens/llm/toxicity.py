@@ -35,7 +35,6 @@ FIT_TOXIC = 2_000               # most toxic labelled documents used for fitting
 FIT_CLEAN = 6_000               # most other labelled documents used for fitting
 FOLDS = 5                       # documents whose id hash is 0 modulo this are held out
 STEMS = range(3, 11)            # lengths of word beginnings that may become lexicon stems
-MAX_TERMS = 3_000               # candidate terms that reach the driver
 MIN_DOCS = 3
 MIN_ODDS = 8.0
 COVER = 3                       # times each toxic document is to be covered by the lexicon
@@ -220,9 +219,7 @@ def _count_terms(batches):
             terms = {w[:n] for w in words for n in STEMS if len(w) >= n}
             terms.update(w + "$" for w in words if len(w) >= STEMS[0])
             (bad if y else good).update(terms)
-        names = list(bad)
-        # terms of non-toxic documents alone can never enter the lexicon
-        names += [t for t in good if t not in bad and good[t] > 1]
+        names = list(bad.keys() | good.keys())     # clean here may be toxic in another batch
         yield pa.RecordBatch.from_arrays(
             [pa.array(names, pa.string()), pa.array([bad[t] for t in names], pa.int64()),
              pa.array([good[t] for t in names], pa.int64())], ["term", "bad", "good"])
@@ -315,7 +312,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     counted = (sample.repartition(16).mapInArrow(_count_terms, "term string, bad long, good long")
                .groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
                .filter((F.col("bad") >= MIN_DOCS) & (odds >= MIN_ODDS))
-               .orderBy(F.desc("bad"), "good", "term").limit(MAX_TERMS).collect())
+               .orderBy(F.desc("bad"), "good", "term").collect())
     terms = choose_terms([tuple(r) for r in counted])
     if not terms:
         return none

@@ -2,6 +2,8 @@
 import random
 import zlib
 
+import pyarrow as pa
+
 from carelens.llm import toxicity as X
 
 from .samples import DOC_SCHEMA, documents, with_clashes
@@ -85,6 +87,26 @@ def test_held_out_labels_are_not_read(spark):
     assert one["terms"] == two["terms"]
 
 
+def test_term_counts_do_not_depend_on_batches():
+    rows = [(1, "blarg alpha"), (1, "blarg snoffle"), (0, "alpha omega"), (0, "omega blarg"),
+            (0, "alpha snoffle")]
+
+    def counts(batches):
+        total = {}
+        for r in X._count_terms(pa.RecordBatch.from_arrays(
+                [pa.array([y for y, _ in b]), pa.array([t for _, t in b])], ["y", "text"])
+                for b in batches):
+            for t, b, g in zip(*(c.to_pylist() for c in r.columns)):
+                one = total.setdefault(t, [0, 0])
+                one[0] += b
+                one[1] += g
+        return total
+
+    whole = counts([rows])
+    assert whole["alpha$"] == [1, 2] and whole["omega$"] == [0, 2]
+    assert counts([[r] for r in rows]) == whole
+
+
 def test_awkward_rows(spark):
     docs, labels = corpus(300)
     docs, labels = [(1000 + i, t) for i, t in docs], [(1000 + i, *r) for i, *r in labels]
