@@ -594,16 +594,12 @@ def population_models(src: Source) -> DataFrame:
                                    trees=10, depth=3, parallelism=3)
 
 
-CONDITION_MODELS = 2        # conditions per class that get a model (documented parameter)
-
-
 @query
 def condition_models(src: Source) -> DataFrame:
-    """A logistic regression per popular (condition, class) predicting a new coding in the
-    hold-out (the conventional comparator of the recommender), out of fold."""
+    """A logistic regression per (condition, class) of the whole popular list, predicting a
+    new coding in the hold-out (the conventional comparator of the recommender), out of fold."""
     feats = boosting.assemble(_member_features(src).fillna(0.0), MODEL_COLUMNS)
     conds = [(r["condition_name"], r["chronic_flag"]) for r in inputs.popular(src)
-             .filter(F.col("pred_rank") <= CONDITION_MODELS)
              .orderBy("chronic_flag", "pred_rank").collect()]
     return boosting.per_condition(feats, inputs.new_conditions(src), conds, parallelism=3)
 

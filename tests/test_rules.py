@@ -3,7 +3,9 @@ import random
 
 from pyspark.sql import functions as F
 
+from carelens.constants import POPULAR_TOP
 from carelens.operators import boosting, candidates, cost, factor, neighbours
+from carelens.plans import catalog
 
 
 def frame(spark, n=120):
@@ -107,3 +109,13 @@ def test_capture_of_unequal_populations(spark):
     got = {r["level"]: (r["n_top"], r["capture"]) for r in
            cost.capture_curves(actual, scored, "y", ["s"], [0.4, 1.0]).collect()}
     assert got == {0.4: (2, 1.0), 1.0: (5, 1.0)}
+
+
+def test_condition_models_take_the_whole_popular_list(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(boosting, "per_condition",
+                        lambda feats, labels, conds, **kw: asked.extend(conds) or feats)
+    catalog.QUERIES["condition_models"](spark, "/root/testdata/sf0.001")
+    assert len(asked) == len(set(asked)) == 60
+    assert {f: sum(x == f for _, x in asked) for _, f in asked} == \
+        dict.fromkeys({f for _, f in asked}, POPULAR_TOP)
