@@ -2,8 +2,8 @@
 
 Each half of the (normalised) vectors has its own codebook; a vector's cell is the pair of its
 nearest centroids. A query walks the centroid pairs in order of summed distance, with a heap over
-the two sorted distance lists, until it has visited ``SHARE`` of the occupied cells, and the
-vectors of these cells are reranked by exact cosine in double precision.
+the two sorted distance lists, until it has visited ``SHARE`` of the occupied cells and ``k`` vectors
+besides itself, and the vectors of these cells are reranked by exact cosine in double precision.
 
 The codebooks are fitted on at most ``SAMPLE`` vectors (the first by hash order); every vector is
 indexed. The occupied cells (at most ``CENTROIDS``^2, whatever the input) are the only corpus
@@ -70,20 +70,22 @@ def codebook(x: np.ndarray, k: int = CENTROIDS, rounds: int = ROUNDS) -> np.ndar
     return c
 
 
-def walk(d1: np.ndarray, d2: np.ndarray, occupied: np.ndarray, need: int) -> np.ndarray:
+def walk(d1: np.ndarray, d2: np.ndarray, occupied: np.ndarray, need: int,
+         rows: int = 0) -> np.ndarray:
     """Per first-half centroid the bits of the second-half centroids visited: pairs in order of
-    summed distance until ``need`` occupied cells have been met."""
+    summed distance until ``need`` occupied cells that hold ``rows`` vectors have been met."""
     o1, o2 = np.argsort(d1, kind="stable"), np.argsort(d2, kind="stable")
     s1, s2 = d1[o1].tolist(), d2[o2].tolist()
     o1, o2 = o1.tolist(), o2.tolist()
     filled = occupied.tolist()
     mask = [0] * len(s1)
-    heap, depth, met = [(s1[0] + s2[0], 0, 0)], 0, 0
-    while heap and met < need:
+    heap, depth, met, held = [(s1[0] + s2[0], 0, 0)], 0, 0, 0
+    while heap and (met < need or held < rows):
         _, i, j = heapq.heappop(heap)
         if filled[o1[i]][o2[j]]:
             mask[o1[i]] |= 1 << o2[j]
             met += 1
+            held += filled[o1[i]][o2[j]]
         if j + 1 < len(s2):
             heapq.heappush(heap, (s1[i] + s2[j + 1], i, j + 1))
         if j == 0 and i == depth and i + 1 < len(s1):
@@ -146,7 +148,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, share: float = SHA
             d1, d2 = _distances(u[:, :half], c1), _distances(u[:, half:], c2)
             out = []
             for i, (qid, vec) in enumerate(zip(pdf["vec_id"], pdf["embedding"])):
-                for a, m in enumerate(walk(d1[i], d2[i], occ, need).tolist()):
+                for a, m in enumerate(walk(d1[i], d2[i], occ, need, k + 1).tolist()):
                     if m:
                         out.extend((qid, vec, a, s, m) for s in range(salts[a]))
             yield pd.DataFrame(out, columns=["query_id", "query", "c1", "salt", "mask"])

@@ -81,6 +81,18 @@ def test_few_and_no_vectors(spark):
     assert [r[1] for r in three[0]] == [1, 2]
 
 
+def test_small_tables_give_all_or_k_at_the_default_share(spark):
+    rng = np.random.default_rng(4)
+    for n in (3, 5, 8):
+        rows = [(i, rng.normal(size=8).tolist()) for i in range(n)]
+        got = run(spark, rows, F.col("vec_id") >= 0, 5, ann.SHARE)
+        assert {q: len(r) for q, r in got.items()} == dict.fromkeys(range(n), min(5, n - 1))
+    rows = [(0, [1.0, 0.0]), (1, [0.9, 0.3])] + [(i, [-1.0, 0.1]) for i in range(2, 300)]
+    got = run(spark, rows, F.col("vec_id") < 3, 5, ann.SHARE)
+    assert [r[1] for r in got[0]] == [1, 2, 3, 4, 5]
+    assert {q: len(r) for q, r in got.items()} == {0: 5, 1: 5, 2: 5}
+
+
 def test_walk_follows_summed_distance():
     rng = np.random.default_rng(1)
     d1, d2 = rng.random(9), rng.random(7)
