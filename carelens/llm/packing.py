@@ -15,6 +15,7 @@ of the input take no part.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 
 import numpy as np
@@ -52,6 +53,15 @@ def load_encoding(path: str):
     return tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def added_tokens(path: str) -> dict[bytes, int]:
+    """The added tokens of a vocabulary file, which are cut out of a text before it is split."""
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f).get("added_tokens", [])
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+        raise ValueError("added tokens that look at their surroundings are not supported")
+    return {t["content"].encode(): t["id"] for t in added}
+
+
 def _char_classes() -> np.ndarray:
     """0 other, 1 letter, 2 number, 3 white space for the code points below LATIN."""
     import unicodedata
@@ -67,10 +77,16 @@ class PieceEncoder:
     """Token ids of many texts at once. Pre-token borders are found by class changes over the code
     points of a whole chunk, equal pre-tokens are encoded once (64-bit hash of the code points),
     and ids are gathered. Texts with an apostrophe or a code point beyond the table take the
-    encoder's own splitter; the ids are the same."""
+    encoder's own splitter; the ids are the same. With ``added`` the vocabulary's added tokens get
+    their own ids, the texts around them are encoded apart (the library's default); without it
+    they are plain text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         self.enc = load_encoding(path)
+        self.added = added_tokens(path) if added else {}
+        # at the same place the longest token wins
+        self.marks = re.compile(b"(" + b"|".join(
+            re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + b")")
         self.cls = _char_classes()
         self.cache: dict[int, list[int]] = {}
         self.powers = np.ones(1, np.uint64)
@@ -128,6 +144,14 @@ class PieceEncoder:
         return ids, np.diff(total[cut])
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        if not self.added or not any(map(self.marks.search, texts)):
+            return self._encode(texts)
+        parts = [self.marks.split(t) for t in texts]        # text, token, text, ..., text
+        around = iter(self._encode([t for p in parts for t in p[::2]]))
+        return [np.concatenate([np.array([self.added[t]], np.uint32) if k % 2 else next(around)
+                                for k, t in enumerate(p)]) for p in parts]
+
+    def _encode(self, texts: list[bytes]) -> list[np.ndarray]:
         plain = [b"'" not in t and not (np.frombuffer(t, np.uint8) >= 0xC9).any() for t in texts]
         texts = [t.decode("utf-8", "replace") for t in texts]
         ids, counts = self._fast([t for t, p in zip(texts, plain) if p])
@@ -151,7 +175,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, max_len: int = MAX_TOKENS,
     length inside a task."""
 
     def run(batches):
-        coder = PieceEncoder(tokenizer_path)
+        coder = PieceEncoder(tokenizer_path, added=True)
         seen = np.zeros(max_len + 1, np.int64)
         task = TaskContext.get().partitionId()
         for batch in batches:

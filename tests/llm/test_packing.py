@@ -26,6 +26,21 @@ def test_ids_equal_the_library(library):
     assert [g.tolist() for g in got] == [library(t) for t in texts]
 
 
+def test_added_tokens_equal_the_library_as_it_is(spark):
+    from tokenizers import Tokenizer
+    t = Tokenizer.from_file(tokenizer_file())
+    texts = [x or "" for _, x in documents()]
+    texts += ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "", "it's a ",
+              "  <|endoftext|>\n\n <|endoftext", "é'll  <|endoftext|>  中文 ", "a <|ENDOFTEXT|>"]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert want[texts.index("a <|endoftext|> b")] == [64, 220, 50256, 275]
+    coder = packing.PieceEncoder(tokenizer_file(), added=True)
+    assert [g.tolist() for g in coder.encode([x.encode() for x in texts])] == want
+    df = spark.createDataFrame([(1, "a <|endoftext|> b")], DOC_SCHEMA)
+    assert [r["ids"] for r in packing.pack_documents(df, tokenizer_file(), keep_ids=True).collect()
+            ] == [[64, 220, 50256, 275, 2]]
+
+
 def test_pieces_and_places(spark, library):
     rows = documents()
     df = with_clashes(spark, rows, DOC_SCHEMA)
