@@ -11,7 +11,10 @@ made: menus, headers, footers, sidebars, notices, adverts, forms and reader comm
 wrappings, around or inside articles that are marked up as such or only by class words.
 
 Defined results: null html is the empty page (text ''); a page without content blocks gives '';
-null ids and repeated rows give a row each; other columns take no part.
+the head ends at its end tag or at the first text or element that may not stand in it, other
+unseen elements at their end tag or that of an element around them, but script, style, title and
+textarea at their own end tag only; null ids and repeated rows give a row each; other columns
+take no part.
 """
 
 from __future__ import annotations
@@ -35,8 +38,13 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s "
     "samp small span strike strong sub sup time tt u var wbr img label".split())
-UNSEEN = ("script", "style", "noscript", "template", "iframe", "object", "svg", "math", "head",
-          "title", "textarea", "select", "canvas", "audio", "video")
+# no markup inside; they run to their own end tag
+RAW = ("script", "style", "title", "textarea")
+# unseen to their end tag or that of an element around them
+UNSEEN = frozenset(
+    "noscript template iframe object svg math select canvas audio video".split())
+# what may stand in the head; anything else ends it, as </head> may be left out
+IN_HEAD = frozenset("base link meta noscript script style template title".split())
 # an opening tag of these closes an open element of the same row
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"),
             "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -45,7 +53,7 @@ SIBLING_SCOPE = frozenset(("ul", "ol", "dl", "table", "menu"))
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(" + "|".join(UNSEEN) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    r"|<(" + "|".join(RAW) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<[!?][^>]*>"
     r"|<(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<(/?)([a-z][^\s/>]*)([^>]*)(?:>|\Z)", re.I | re.S)
@@ -68,6 +76,7 @@ def leaf_blocks(page: str) -> list[Block]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
     links = [0]
+    hidden: list[str] = []      # the open unseen element and the elements open inside it
 
     def flush():
         text = " ".join("".join(parts).split())
@@ -82,7 +91,9 @@ def leaf_blocks(page: str) -> list[Block]:
         links[0] = 0
 
     def say(raw):
-        if raw:
+        if raw and not hidden:
+            if stack and stack[-1][0] == "head" and raw.strip():
+                stack.pop()
             text = htmllib.unescape(raw) if "&" in raw else raw
             parts.append(text)
             if any(t == "a" for t, _ in stack):
@@ -94,17 +105,37 @@ def leaf_blocks(page: str) -> list[Block]:
         at = m.end()
         name = m.group(3) or m.group(6)
         if not name:
-            if m.group(1) and m.group(1).lower() in ("textarea", "select"):
+            if m.group(1) and m.group(1).lower() == "textarea" and not hidden:
                 flush()
             continue
         tag = name.lower()
+        attrs = m.group(4) or m.group(7) or ""
+        closed = attrs.rstrip().endswith("/")
         if m.group(2) or m.group(5):
+            if tag in hidden:
+                while hidden.pop() != tag:
+                    pass
+                continue
+            if hidden:
+                if all(t != tag for t, _ in stack):
+                    continue
+                hidden.clear()
             if tag not in INLINE:
                 flush()
             if any(t == tag for t, _ in stack):
                 while stack.pop()[0] != tag:
                     pass
             continue
+        if tag == "body":
+            hidden.clear()
+        if stack and stack[-1][0] == "head" and not hidden and tag not in IN_HEAD:
+            stack.pop()
+        if hidden or tag in UNSEEN:
+            if tag == "select" and not hidden:
+                flush()
+            if tag not in VOID and not closed:
+                hidden.append(tag)
+            continue
         if tag in INLINE:
             if tag not in VOID:
                 stack.append((tag, ()))
@@ -125,10 +156,9 @@ def leaf_blocks(page: str) -> list[Block]:
                 if stack[k][0] in SIBLINGS[tag]:
                     del stack[k:]
                     break
-        attrs = m.group(4) or m.group(7) or ""
         words = tuple("." + w.lower() for a in _ATTR.findall(attrs) for w in
                       _WORD.findall(" ".join(a))) if "=" in attrs else ()
-        if not attrs.rstrip().endswith("/") or tag in ("p", "div"):
+        if not closed or tag in ("p", "div"):
             stack.append((tag, words))
     say(page[at:])
     flush()

@@ -24,6 +24,25 @@ def test_blocks_of_ragged_markup():
     assert H.leaf_blocks("<p>" * 3000 + "deep")[0].text == "deep"
 
 
+def test_unseen_elements_without_end_tags():
+    def texts(page):
+        return [b.text for b in H.leaf_blocks(page)]
+
+    body = "<article><p>Hello</p><p>there</p></article>"
+    for page in ("<html><head><title>t</title><body>%s", "<html><head><meta charset=x>%s",
+                 "<head><title>t</title></head><body>%s</body>", "<head>%s",
+                 "<head><noscript><img></noscript><script>a</script><body class=a>%s"):
+        assert texts(page % body) == ["Hello", "there"]
+        assert not any("<head" in b.marks for b in H.leaf_blocks(page % body))
+    for tag in ("object", "svg", "video", "audio", "canvas", "select", "noscript", "template"):
+        assert texts(f"<div><{tag} class='a'>no<p>no</div>{body}") == ["Hello", "there"]
+        assert texts(f"<div><{tag}>no<b>no</{tag}>yes</div>{body}") == ["yes", "Hello", "there"]
+        assert texts(f"<div><{tag}><{tag}>no</{tag}>no</{tag}></div>{body}") == ["Hello", "there"]
+    assert texts(f"<svg width=1 />{body}") == ["Hello", "there"]
+    assert texts("<video-list><p>a</p></video-list><header>b</header>") == ["a", "b"]
+    assert texts("<p>a <video><p>no</p></video> b<p>c") == ["a b", "c"]
+
+
 def test_held_out_pages(weights):
     right = total = 0
     for blocks, labels in H.training_set(200, seed=77):
