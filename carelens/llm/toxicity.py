@@ -306,6 +306,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
         return none
     # both classes enter with the weight their sample stands for
     total = (labels.filter("toxic in (0, 1) and doc_id is not null")
+             .filter(~held_out(F.col("doc_id").cast("long")))
              .groupBy(F.col("toxic").cast("int").alias("y")).agg(F.count("*").alias("n")).collect())
     stands = {r["y"]: r["n"] for r in total}
     odds = ((F.col("bad") + 0.5) / (sizes[1] + 1)) / ((F.col("good") + 0.5) / (sizes[0] + 1))

@@ -87,6 +87,15 @@ def test_held_out_labels_are_not_read(spark):
     assert one["terms"] == two["terms"]
 
 
+def test_held_out_labels_do_not_move_the_weights(spark):
+    docs, labels = corpus(200)
+    d = spark.createDataFrame(docs, DOC_SCHEMA)
+    turned = [(i, q, 1 if zlib.crc32(str(i).encode()) % 5 == 0 else t) for i, q, t in labels]
+    one = X.fit(d, spark.createDataFrame(labels, LABELS))
+    two = X.fit(d, spark.createDataFrame(turned, LABELS))
+    assert one["terms"] and one == two
+
+
 def test_term_counts_do_not_depend_on_batches():
     rows = [(1, "blarg alpha"), (1, "blarg snoffle"), (0, "alpha omega"), (0, "omega blarg"),
             (0, "alpha snoffle")]
