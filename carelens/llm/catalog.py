@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (ann, chat, decontaminate, htmltext, neardup, packing, repeats, secrets, sql,
-               toxicity, warc)
+from . import (ann, chat, convrepair, decontaminate, htmltext, langspans, neardup, packing,
+               ranked, repeats, secrets, sql, toxicity, warc)
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -111,3 +111,25 @@ def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation repaired to legal turns at least cost, as rendered pieces."""
     return chat.repair(read_table(spark, sf_dir, "conversations"))
+
+
+@query("op11_ranked_search", sql.RANKED)
+def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    return ranked.search(read_table(spark, sf_dir, "documents"),
+                         read_table(spark, sf_dir, "benchmark"), k=50)
+
+
+@query("op12_conversation_repair", sql.CONVERSATIONS)
+def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged by a checksum of its rows and repaired at least cost."""
+    return convrepair.damage_and_repair(read_table(spark, sf_dir, "conversations"))
+
+
+@query("op13_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the labels outside the held-out fold."""
+    docs = read_table(spark, sf_dir, "documents")
+    found = langspans.identify(docs, langspans.fit(docs))
+    return found.select("doc_id", langspans.held_out(F.col("doc_id")).alias("held_out"),
+                        "lang_pred", "score")
