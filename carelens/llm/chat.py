@@ -135,8 +135,10 @@ def _dealt(turns: DataFrame) -> DataFrame:
     order = ["conv", "late", "turn", "role", "text", "tie"]
     n = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     place = F.monotonically_increasing_id()
+    # the beginning of a text has its order, so ranges agree with the order by whole texts
     return materialize(
-        t.repartitionByRange(n, "conv", "late", "turn", "role", F.xxhash64("text"), "tie")
+        t.withColumn("head", F.substring("text", 1, 64))
+        .repartitionByRange(n, "conv", "late", "turn", "role", "head")
         .sortWithinPartitions(*order).withColumn("nr", place)
         .withColumn("seg", F.floor(F.col("nr") / SEGMENT))
         .select("conv", "seg", "nr", "turn", "role", "text"), "turns")

@@ -19,8 +19,8 @@ With 32 bands of 4 rows a pair at similarity 0.8 shares no bucket with probabili
 
 Defined results: null, empty and wordless texts have the empty set and are linked with nothing;
 a text with fewer words than a shingle has one shingle, the whole sequence; rows without id get a
-row that is kept, linked with nothing; rows that share an id are one document as far as
-components go, a row each; other columns take no part.
+row that is kept, linked with nothing; rows that share an id are linked with each other, whatever
+their texts, and each has a row; other columns take no part.
 """
 
 from __future__ import annotations
@@ -325,6 +325,36 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     """(doc_id, n_shingles, component_id, kept) of every document: documents are linked whose
     shingle sets (``width`` words) have den * intersection >= num * union; component_id is the
     smallest id reachable."""
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+                       F.col("text").cast("string").alias("text"))
+    again = (base.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
+             .limit(1).collect())
+    if not again:
+        found = _unique_ids(base, width, num, den)
+    else:
+        # rows are numbered, and the numbers of one id are linked
+        rows = materialize(base.select(F.monotonically_increasing_id().alias("key"), "doc_id",
+                                       "text"), "numbered")
+        named = rows.filter("doc_id is not null")
+        first = named.groupBy("doc_id").agg(F.min("key").alias("b"))
+        same = named.join(first, "doc_id").select(F.col("key").alias("a"), "b")
+        got = materialize(_unique_ids(named.select(F.col("key").alias("doc_id"), "text"), width,
+                                      num, den, same), "numbered-components")
+        got = got.select(F.col("doc_id").alias("key"), "n_shingles",
+                         F.col("component_id").alias("part")).join(
+            named.select("key", "doc_id"), "key")
+        least = got.groupBy("part").agg(F.min("doc_id").alias("component_id"))
+        lost = sign(rows.filter("doc_id is null").select("doc_id", "text"), width)
+        found = (got.join(least, "part").select("doc_id", "n_shingles", "component_id")
+                 .unionByName(lost.select("doc_id", "n_shingles",
+                                          F.col("doc_id").alias("component_id"))))
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _unique_ids(docs: DataFrame, width: int, num: int, den: int,
+                known: DataFrame | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of documents whose ids do not repeat; ``known`` are
+    links (a, b) that hold anyway."""
     threshold = num / den
     signed = materialize(sign(docs, width), "signed")
     usable = signed.filter("doc_id is not null and n_shingles > 0")
@@ -340,13 +370,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     sigs = classes.select("rep", "sig")
     ids = materialize(member.select(F.col("rep").alias("doc_id")).distinct(), "candidates")
     sets = materialize(_full_sets(_texts(docs).join(hint_small(ids, 16), "doc_id", "left_semi"),
-                                  width).dropDuplicates(["doc_id"]), "sets")
+                                  width), "sets")
 
     star = (member.filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
             .distinct())
     star = (star.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a")
             .join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b"))
     links = materialize(_verify(_pass_pairs(star, threshold), sets, num, den), "star-links")
+    if known is not None:
+        # links hold between classes, so both ends are named by their class
+        of = (signed.select("doc_id", "set_a", "set_b", "n_shingles")
+              .join(classes.select("set_a", "set_b", "n_shingles", "rep"),
+                    ["set_a", "set_b", "n_shingles"], "left")
+              .select("doc_id", F.coalesce("rep", "doc_id").alias("rep")))
+        known = (known.join(of.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), "a")
+                 .join(of.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb")), "b")
+                 .select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+        links = materialize(links.unionByName(known), "all-links")
     comps = materialize(connected_components(links), "star-components")
 
     # buckets with several components: members outside the main one against all others
@@ -390,9 +430,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
         final.select(F.col("node").alias("rep"), "component"), "rep", "left")
     by_class = by_class.select("set_a", "set_b", "n_shingles",
                                F.coalesce("component", "rep").alias("component"))
-    return (signed.select("doc_id", "n_shingles", "set_a", "set_b")
-            .join(by_class, ["set_a", "set_b", "n_shingles"], "left")
-            .select("doc_id", "n_shingles",
-                    F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-                    .alias("component_id"))
-            .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    out = (signed.select("doc_id", "n_shingles", "set_a", "set_b")
+           .join(by_class, ["set_a", "set_b", "n_shingles"], "left"))
+    if known is not None:
+        # documents without words are in no class, but may be linked
+        own = final.select(F.col("node").alias("doc_id"), F.col("component").alias("own"))
+        out = out.join(own, "doc_id", "left").withColumn(
+            "component", F.when(F.col("n_shingles") > 0, F.col("component"))
+            .otherwise(F.col("own")))
+    return out.select("doc_id", "n_shingles",
+                      F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+                      .alias("component_id"))

@@ -7,8 +7,9 @@ character class; over its characters window functions keep incremental counts: w
 n log2 n in fixed point, a window's sum of g over its character counts changes by g(k+1) - g(k)
 where a character enters that already stands k times and by g(m) - g(m-1) where one of m leaves,
 so running sums of both give every window's Shannon entropy, exactly and without recounting.
-Windows at or over the class's entropy, with enough digits and letters, merge to spans, unless
-the candidate is on the allow-list. Spans of the key patterns always stay.
+Windows at or over the class's entropy, with enough digits and letters, merge to spans. The
+allow-list suppresses candidates that are identifiers or integrity values as a whole, and windows
+that hold a stock word, not what stands next to it. Spans of the key patterns always stay.
 
 Nothing but match rows is shuffled, by the document's row number; a document's matches are the
 largest group.
@@ -34,13 +35,14 @@ ACCESS = "AKIA[A-Z0-9]{14,}"    # runs of 18 characters or more
 HEX = "[0-9a-f]{16,}"
 KINDS = ["assign", "access", "hex", "entropy_hex", "entropy_base64"]     # in order of listing
 
-# class: (kind, candidate, window, least bits, least digits and letters in the window)
+# class: (kind, candidate, window, least bits, digits and letters in the window)
 CLASSES = [
-    ("entropy_hex", "[0-9A-Fa-f]{20,}", 20, 3.05, 2),
-    ("entropy_base64", "[A-Za-z0-9+/_=-]{24,}", 24, 4.02, 3),
+    ("entropy_hex", "[0-9A-Fa-f]{20,}", 20, 3.05, 2, 2),
+    ("entropy_base64", "[A-Za-z0-9+/_=-]{24,}", 24, 3.9, 1, 3),
 ]
-ALLOWED = ("(?i)(^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$|^sha(256|384|512)-|example|sample"
-           "|placeholder|dummy|changeme|xxxx|abcdefgh|01234567|12345678)")
+# allowed: whole candidates (identifiers, integrity values), and windows that hold a stock word
+ALLOWED = "(?i)(^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$|^sha(256|384|512)-)"
+ALLOWED_PART = "(?i)(example|sample|placeholder|dummy|changeme|xxxx|abcdefgh|01234567|12345678)"
 SCALE = 1 << 20
 
 
@@ -98,7 +100,7 @@ def fixed_limit(window: int, bits: float) -> int:
 def _entropy_spans(places: DataFrame) -> DataFrame:
     """(row, doc_id, kind, start, end) of merged windows of high entropy."""
     out = None
-    for kind, _, window, bits, least in CLASSES:
+    for kind, _, window, bits, digits, letters in CLASSES:
         chars = (places.filter((F.col("kind") == KINDS.index(kind))
                                & ~F.col("string").rlike(ALLOWED))
                  .select("row", "doc_id", "nr", "start",
@@ -111,7 +113,7 @@ def _entropy_spans(places: DataFrame) -> DataFrame:
             "row", "doc_id", "nr", "start", "at",
             (fixed_point(k + 1) - fixed_point(k)).alias("enters"),
             (fixed_point(m) - fixed_point(m - 1)).alias("leaves"),
-            F.col("ch").between("0", "9").cast("int").alias("digit"),
+            "ch", F.col("ch").between("0", "9").cast("int").alias("digit"),
             F.lower("ch").between("a", "z").cast("int").alias("letter"))
         run = Window.partitionBy("row", "nr").orderBy("at")
         inside = run.rowsBetween(-(window - 1), 0)
@@ -120,10 +122,12 @@ def _entropy_spans(places: DataFrame) -> DataFrame:
                      run.rowsBetween(Window.unboundedPreceding, -window)), F.lit(0)))
         chars = chars.select("row", "doc_id", "nr", "start", "at", total.alias("total"),
                              F.sum("digit").over(inside).alias("digits"),
-                             F.sum("letter").over(inside).alias("letters"))
+                             F.sum("letter").over(inside).alias("letters"),
+                             F.collect_list("ch").over(inside).alias("part"))
         hot = chars.filter((F.col("at") >= window - 1)
                            & (F.col("total") <= fixed_limit(window, bits))
-                           & (F.col("digits") >= least) & (F.col("letters") >= least))
+                           & (F.col("digits") >= digits) & (F.col("letters") >= letters)
+                           & ~F.array_join("part", "").rlike(ALLOWED_PART))
         fresh = (F.col("at") - F.lag("at").over(run) > window).cast("int")
         hot = hot.withColumn("island", F.sum(F.coalesce(fresh, F.lit(1))).over(run))
         spans = (hot.groupBy("row", "doc_id", "nr", "start", "island")
@@ -166,10 +170,15 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of every text replaced by ``mark`` (overlapping or touching spans
     by one), n_chars, where there is one, brought up to date; texts without spans stay as they
     are."""
-    own = docs.withColumn("__text_key", F.md5("text"))
-    found = (_find(own, "__text_key", "string").filter(F.size("spans") > 0)
-             .select(F.col("__text_key"), F.col("spans").alias("__spans"))
-             .dropDuplicates(["__text_key"]))
+    taken, names = {c.lower() for c in docs.columns}, []
+    for name in ("text_key", "found_spans"):
+        while name in taken:
+            name += "_"
+        names.append(name)
+    key, spans = names
+    own = docs.withColumn(key, F.md5("text"))
+    found = (_find(own, key, "string").filter(F.size("spans") > 0)
+             .select(F.col(key), F.col("spans").alias(spans)).dropDuplicates([key]))
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 
     def step(acc, s):
@@ -181,10 +190,10 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
             F.when(fresh | first, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"])
             .alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
 
-    spans = F.col("__spans")
+    spans = F.col(spans)
     clean = F.aggregate(spans, start, step, lambda acc: F.concat(
         acc["out"], F.substring(F.col("text"), acc["at"].cast("int") + 1, F.length("text"))))
-    out = own.join(found, "__text_key", "left")
+    out = own.join(found, key, "left")
     out = out.withColumn("text", F.when(spans.isNotNull(), clean).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(

@@ -25,17 +25,18 @@ base AS (
     WHERE kind < 3 AND len(x) >= least AND (kind <> 0 OR len(val) >= 12)),
 cand AS (
     SELECT r, kind, name, i, x, stop - len(x) AS start, least AS w,
-           CASE kind WHEN 3 THEN 3.05 ELSE 4.02 END AS bits,
-           CASE kind WHEN 3 THEN 2 ELSE 3 END AS need
-    FROM p WHERE kind >= 3 AND len(x) >= least AND NOT regexp_matches(x, '(?i)(^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$|^sha(256|384|512)-|example|sample|placeholder|dummy|changeme|xxxx|abcdefgh|01234567|12345678)')),
+           CASE kind WHEN 3 THEN 3.05 ELSE 3.9 END AS bits,
+           CASE kind WHEN 3 THEN 2 ELSE 1 END AS digits, CASE kind WHEN 3 THEN 2 ELSE 3 END AS letters
+    FROM p WHERE kind >= 3 AND len(x) >= least AND NOT regexp_matches(x, '(?i)(^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$|^sha(256|384|512)-)')),
 win AS (
-    SELECT r, kind, name, i, start, w, pos, bits, need, substr(x, (pos + 1)::BIGINT, w) AS s
+    SELECT r, kind, name, i, start, w, pos, bits, digits, letters, substr(x, (pos + 1)::BIGINT, w) AS s
     FROM (SELECT *, unnest(range(len(x) - w + 1)) AS pos FROM cand)),
 hot AS (
     SELECT * FROM win
     WHERE list_aggregate(string_split(s, ''), 'entropy') >= bits
-      AND len(regexp_extract_all(s, '[0-9]')) >= need
-      AND len(regexp_extract_all(s, '[A-Za-z]')) >= need),
+      AND len(regexp_extract_all(s, '[0-9]')) >= digits
+      AND len(regexp_extract_all(s, '[A-Za-z]')) >= letters
+      AND NOT regexp_matches(s, '(?i)(example|sample|placeholder|dummy|changeme|xxxx|abcdefgh|01234567|12345678)')),
 isle AS (
     SELECT *, sum(fresh) OVER (PARTITION BY r, kind, i ORDER BY pos) AS island
     FROM (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY r, kind, i ORDER BY pos) <= w

@@ -89,5 +89,23 @@ def test_conversations_cut_into_segments(spark, monkeypatch):
     check(spark)
 
 
+def test_order_of_equal_turns_does_not_depend_on_partitions(spark):
+    texts = [f"t{i:02d}" + "x" * (100 * (i % 3)) for i in range(40)]
+    source = [(1, 1, "user", t, "k", "s") for t in texts] + \
+        [(2, 1, "user", "same start " * 9 + t, "k", "s") for t in texts]
+    random.Random(3).shuffle(source)
+    for n in (1, 8, 211):
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        try:
+            got = chat.repair(spark.createDataFrame(source, SCHEMA).repartition(6)).filter(
+                "turn is not null").collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "8")
+        for conv in (1, 2):
+            own = sorted((r["out_turn"], r["part"], r["content"]) for r in got
+                         if r["conv_id"] == conv)
+            assert [x[2] for x in own] == sorted(r[3] for r in source if r[0] == conv)
+
+
 def test_empty_table(spark):
     assert chat.repair(spark.createDataFrame([], SCHEMA)).collect() == []

@@ -6,7 +6,7 @@ import numpy as np
 
 from carelens.llm import neardup
 
-from .samples import DOC_SCHEMA, documents, with_clashes
+from .samples import DOC_SCHEMA, documents, prose, with_clashes
 from .test_graphs import union_find
 
 
@@ -20,7 +20,7 @@ def word_set(text, width):
 
 def brute(rows, width):
     sets = [(i, word_set(t, width)) for i, t in rows]
-    links = [(i, i) for i, _ in rows if i is not None]
+    links = [(i, i) for i, _ in rows if i is not None]      # rows of one id are one node
     for (i, a), (j, b) in combinations([x for x in sets if x[0] is not None and x[1]], 2):
         if 100 * len(a & b) >= 80 * len(a | b):
             links.append((i, j))
@@ -57,3 +57,15 @@ def test_large_bucket_is_cut_into_blocks(spark, monkeypatch):
     rows = documents()
     got = neardup.near_duplicates(spark.createDataFrame(rows, DOC_SCHEMA), 4).collect()
     assert sorted((tuple(r) for r in got), key=repr) == brute(rows, 4)
+
+
+def test_rows_that_share_an_id_but_not_the_text(spark):
+    a, c = prose(50, 200), prose(51, 220)
+    rows = [(5, a), (5, c), (1, a + " more"), (2, c + " more"), (7, ""), (7, a), (8, None),
+            (8, prose(52, 90)), (9, prose(52, 90) + " end"), (None, a), (11, prose(53, 50))]
+    for parts in (1, 4):
+        got = neardup.near_duplicates(
+            spark.createDataFrame(rows, DOC_SCHEMA).repartition(parts), 4).collect()
+        assert sorted((tuple(r) for r in got), key=repr) == brute(rows, 4)
+    by = {(r["doc_id"], r["component_id"]) for r in got}
+    assert {(1, 1), (2, 1), (5, 1), (7, 1), (8, 8), (9, 8)} <= by

@@ -57,3 +57,16 @@ def test_run_equals_the_stages(spark, steps):
     assert got.columns == steps[-1][1].columns
     key = lambda r: (r["doc_id"], r["piece"], r["length"], r["ids_crc32"])
     assert sorted(map(key, got.collect())) == sorted(map(key, steps[-1][1].collect()))
+
+
+def test_clashing_columns_stay(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    for name in ("dropped_id", "Dropped_Id_", "toxicity_score", "text_key", "__text_key",
+                 "found_spans", "__spans"):
+        docs = docs.withColumn(name, docs["source"])
+    docs = materialize(docs, "clashing")
+    for _, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        assert all(r["dropped_id"] == r["__text_key"] == r["__spans"] == r["source"]
+                   for r in out.collect())

@@ -1,6 +1,8 @@
 """Secret spans against a plain scan; redaction."""
 import math
+import random
 import re
+import string
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -30,7 +32,7 @@ def scan(text):
     spans += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text)
               if len(m[0]) >= 18]
     spans += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 16]
-    for kind, pattern, width, bits, least in S.CLASSES:
+    for kind, pattern, width, bits, digits, letters in S.CLASSES:
         for m in re.finditer(pattern, text):
             if re.search(S.ALLOWED, m[0]):
                 continue
@@ -38,8 +40,9 @@ def scan(text):
             for i in range(len(m[0]) - width + 1):
                 w = m[0][i:i + width]
                 entropy = -sum(c / width * math.log2(c / width) for c in Counter(w).values())
-                if entropy >= bits and sum(c.isdigit() for c in w) >= least \
-                        and sum(c.isalpha() for c in w) >= least:
+                if entropy >= bits and sum(c.isdigit() for c in w) >= digits \
+                        and sum(c.isalpha() for c in w) >= letters \
+                        and not re.search(S.ALLOWED_PART, w):
                     hot.append(i)
             runs = []
             for i in hot:
@@ -85,6 +88,33 @@ def test_redaction_keeps_columns_and_masks_spans(spark):
     assert all(r["text"] is None or r["n_chars"] == len(r["text"]) for r in got)
 
 
+def test_random_tokens_are_caught_and_stock_words_clear_their_window_only(spark):
+    rng = random.Random(2)
+    signs = string.ascii_letters + string.digits + "+/"
+    tokens = ["".join(rng.choice(signs) for _ in range(n)) for n in (24, 32, 40) * 200]
+    rows_ = [(i, f"see {t} there") for i, t in enumerate(tokens)]
+    rows_ += [(1000 + i, f"example/{t}") for i, t in enumerate(tokens) if len(t) == 40]
+    found = {r["doc_id"]: r["spans"] for r in
+             S.find_secrets(spark.createDataFrame(rows_, DOC_SCHEMA)).collect()}
+    for n in (24, 32, 40):
+        own = [i for i, t in enumerate(tokens) if len(t) == n]
+        assert sum(bool(found[i]) for i in own) >= 0.95 * len(own)
+    behind = [found[i] for i, _ in rows_ if i >= 1000]
+    assert sum(bool(x) for x in behind) >= 0.95 * len(behind)
+    assert not S.find_secrets(spark.createDataFrame(
+        [(1, "example" * 6 + "0"), (2, "xxxx1Abc" * 9)], DOC_SCHEMA)).filter(
+        F.size("spans") > 0).count()
+
+
+def test_redaction_of_tables_with_the_operators_column_names(spark):
+    df = spark.createDataFrame([(1, "x " + KEY, "a", "b", "c", "d"), (2, None, "e", "f", "g", "h")],
+                               "doc_id long, text string, __text_key string, __spans string, "
+                               "text_key string, Found_Spans string")
+    got = sorted(S.redact(df).collect())
+    assert [tuple(r) for r in got] == [(1, "x [SECRET]'", "a", "b", "c", "d"),
+                                       (2, None, "e", "f", "g", "h")]
+
+
 def test_empty_table(spark):
     assert S.find_secrets(spark.createDataFrame([], DOC_SCHEMA)).collect() == []
     assert S.redact(spark.createDataFrame([], DOC_SCHEMA)).collect() == []
