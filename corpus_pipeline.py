@@ -19,16 +19,20 @@ SHINGLE_WORDS = 5
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the documents of ``ids`` (one column, dropped_id)."""
-    gone = materialize(ids.filter("dropped_id is not null").distinct(), "dropped")
-    return docs.join(hint_small(gone, 16), F.col("doc_id") == F.col("dropped_id"), "left_anti")
+    """``docs`` without the documents of ``ids`` (its one column)."""
+    name = "dropped_id"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    ids = ids.toDF(name)
+    gone = materialize(ids.filter(F.col(name).isNotNull()).distinct(), "dropped")
+    return docs.join(hint_small(gone, 16), F.col("doc_id") == F.col(name), "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below TOXIC_FROM."""
     model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
     name = "toxicity_score"
-    while name in docs.columns:
+    while name.lower() in {c.lower() for c in docs.columns}:
         name += "_"
     return toxicity.with_scores(docs, model, name).filter(F.col(name) < TOXIC_FROM).drop(name)
 
@@ -36,13 +40,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest id of each group of documents linked at similarity 0.8 on word shingles."""
     groups = neardup.near_duplicates(docs, width=SHINGLE_WORDS)
-    return _without(docs, groups.filter("not kept").select(F.col("doc_id").alias("dropped_id")))
+    return _without(docs, groups.filter("not kept").select("doc_id"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any occurrence of a window of a benchmark item."""
     found = decontaminate.contamination(docs, read_table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.filter("n_hit > 0").select(F.col("doc_id").alias("dropped_id")))
+    return _without(docs, found.filter("n_hit > 0").select("doc_id"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
