@@ -1,25 +1,40 @@
-"""User- and item-based collaborative filtering (T9, T10), exact and without pairs of members.
+"""User- and item-based collaborative filtering.
 
-With binary member x condition data A (members as rows):
+Over all members, exact and without pairs of members (``item_based``, ``user_based``): with binary member x condition data A (members as rows):
   item-based  score(m, i) = sum_{j in m} cos(i, j),      cos from G = A'A
   user-based  score(m, i) = sum_{u != m} cos(m, u) a_ui = (a_m' G~)_i / |a_m|,  G~ = A' D^-1 A,
               D = diag(|a_u|), i.e. every member votes with its cosine similarity.
 Both need only the conditions x conditions table G, a grouped sum over the pairs inside each
-member (combined map-side, so it ships at most one row per condition pair and task). Scoring joins
-each member's conditions with that table and sums per member; the rows stay partitioned by member
-from the first grouping to the final rank.
+member (combined map-side, so it ships at most one row per condition pair and task). Scoring
+multiplies Arrow batches of members with that table and emits k rows a member; a table of more than
+``DENSE_ITEMS`` conditions is joined instead.
+
+Over each member's nearest members only (``nearest_based``): a set-similarity join finds, for every
+member, the others with a cosine of at least ``least``, exactly.
+  * Members with equal condition sets form a class and are compared once.
+  * Prefix filter: conditions are ordered by frequency, rarest first. Two sets of cosine t share at
+    least t^2 |x| conditions, so they share one of the first |x| - ceil(t^2 |x|) + 1 of both; only
+    classes that share such a condition meet.
+  * Classes that share one are dealt by blocks of at most ``BLOCK`` per side, so a common condition
+    is spread over many tasks; tasks compare a block pair as one matrix product and emit the pairs
+    over the threshold, each under the rarest condition of both prefixes.
+The k nearest then vote with their cosine for conditions the member lacks.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carelens.operators.ids import contiguous_ids
-from carelens.operators.util import rank_top, small_side
+from carelens.operators.util import MAX_CELLS, rank_top, small_side
 from carelens.session import written
 
 ITEM_KEYS = ["condition_name", "chronic_flag"]
+DENSE_ITEMS = 2_000           # conditions whose table is sent to every task (32 MB of doubles)
+BLOCK = 512                   # classes of one side that meet under a condition
 
 
 def _indexed(known: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -44,6 +59,59 @@ def _score_topk(per_member: DataFrame, similar: DataFrame, items: DataFrame, k:
     """The ``k`` best-scored conditions a member does not have, scores above zero, ties by
     condition and class (the order of the numbers). Ranks use nine places, so that the order in
     which doubles are added cannot reorder ties."""
+    n = items.count()
+    if n <= DENSE_ITEMS:
+        best = _dense_topk(per_member, similar, n, k, normalize_member)
+    else:
+        best = _joined_topk(per_member, similar, k, normalize_member)
+    return (best.join(items, F.col("i") == F.col("_item"))
+            .select("member_id", *ITEM_KEYS, F.round("score", digits).alias("score"),
+                    "pred_rank"))
+
+
+def _dense_topk(per_member: DataFrame, similar: DataFrame, n: int, k: int | None,
+                normalize_member: bool) -> DataFrame:
+    """(member_id, i, score, pred_rank): batches of members times the table, k rows a member."""
+    got = similar.select("i", "j", "v").toArrow()       # n x n rows at most
+    table = np.zeros((n + 1, n + 1))
+    table[got.column("j").to_numpy(), got.column("i").to_numpy()] = got.column("v").to_numpy()
+    sent = per_member.sparkSession.sparkContext.broadcast(table)
+    kept = n if k is None else min(k, n)
+    own = per_member.select("member_id", "items")
+
+    def run(batches):
+        table = sent.value
+        step = max(1, MAX_CELLS // (n + 1))
+        for batch in batches:
+            off = batch.column(1).offsets.to_numpy()
+            every = batch.column(1).values.to_numpy()
+            for lo in range(0, batch.num_rows, step):
+                hi = min(lo + step, batch.num_rows)
+                size = np.diff(off[lo:hi + 1])
+                row, col = np.repeat(np.arange(hi - lo), size), every[off[lo]:off[hi]]
+                held = np.zeros((hi - lo, n + 1))
+                held[row, col] = 1.0
+                score = held @ table
+                if normalize_member:
+                    score /= np.sqrt(np.maximum(size, 1))[:, None]
+                score[row, col] = 0.0
+                key = np.round(score, 9)
+                order = np.argsort(-key, axis=1, kind="stable")[:, :kept]
+                good = np.take_along_axis(key, order, 1) > 0
+                r, c = np.nonzero(good)
+                item = order[r, c]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(lo + r)), pa.array(item.astype(np.int64)),
+                     pa.array(score[r, item]), pa.array((c + 1).astype(np.int32))],
+                    ["member_id", "i", "score", "pred_rank"])
+
+    kind = own.schema["member_id"].dataType.simpleString()
+    return own.mapInArrow(run, f"member_id {kind}, i long, score double, pred_rank int")
+
+
+def _joined_topk(per_member: DataFrame, similar: DataFrame, k: int | None,
+                 normalize_member: bool) -> DataFrame:
+    """The same by a join of each member's conditions with the table, for any number of them."""
     votes = small_side(similar.filter("v > 0").select(F.col("j").alias("item"), "i", "v",
                                                       (F.col("i") == F.col("j")).alias("own")),
                        "similar")
@@ -53,10 +121,8 @@ def _score_topk(per_member: DataFrame, similar: DataFrame, items: DataFrame, k:
     scored = (held.join(votes, "item").groupBy("member_id", "i")
               .agg(total.alias("score"), F.max("own").alias("own"))
               .filter("not own").withColumn("_key", F.round("score", 9)).filter("_key > 0"))
-    best = rank_top(scored, ["member_id"], [F.desc("_key"), F.asc("i")], k)
-    return (best.join(items, F.col("i") == F.col("_item"))
-            .select("member_id", *ITEM_KEYS, F.round("score", digits).alias("score"),
-                    "pred_rank"))
+    return rank_top(scored, ["member_id"], [F.desc("_key"), F.asc("i")], k).select(
+        "member_id", F.col("i").cast("long").alias("i"), "score", "pred_rank")
 
 
 def item_based(known: DataFrame, k: int = 10) -> DataFrame:
@@ -77,3 +143,143 @@ def user_based(known: DataFrame, k: int = 10) -> DataFrame:
     per_member, items = _indexed(known)
     return _score_topk(per_member, gram(per_member, user_weighted=True), items, k,
                        normalize_member=True)
+
+
+def _classes(known: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(class, member_id) of every member, (class, size, members, items) of the distinct sets and
+    (item, condition keys). Items are numbered by rising frequency, the class is the smallest
+    member, members counts them."""
+    often = known.select("member_id", *ITEM_KEYS).distinct().groupBy(*ITEM_KEYS).agg(
+        F.count("*").alias("_n"))
+    items = small_side(contiguous_ids(often, ["_n", *ITEM_KEYS], "_item").select(
+        "_item", *ITEM_KEYS), "conditions")
+    sets = written(known.select("member_id", *ITEM_KEYS).join(items, ITEM_KEYS)
+                   .groupBy("member_id").agg(F.array_sort(F.collect_set("_item")).alias("items")),
+                   "member-sets")
+    classes = written(sets.groupBy("items").agg(F.min("member_id").alias("class"),
+                                                F.count("*").alias("members"))
+                      .withColumn("size", F.size("items")), "set-classes")
+    of = sets.join(classes.select("items", "class"), "items").select("class", "member_id")
+    return of, classes, items
+
+
+def similar_classes(classes: DataFrame, least: float) -> DataFrame:
+    """(a, b, cosine) of all ordered pairs of different sets with a cosine of at least ``least``,
+    by prefix filter and block pairs."""
+    share = least * least
+    length = F.col("size") - F.ceil(F.col("size") * share - 1e-9) + 1
+    rows = (classes.withColumn("prefix", F.slice("items", 1, length.cast("int")))
+            .select("class", "items", "prefix", F.explode("prefix").alias("token")))
+    rows = written(rows, "prefixes")
+    blocks = (rows.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"),
+                                        F.count("*").alias("n")).filter("n > 1").drop("n"))
+    own = F.pmod(F.xxhash64("class", "token"), F.col("blocks"))
+    # block pairs (x <= y): a class stands in its own block on one side, against every other
+    dealt = (rows.join(small_side(blocks, "token-blocks"), "token").withColumn("own", own)
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select("token", "class", "items", "prefix", F.least("own", "other").alias("x"),
+                     F.greatest("own", "other").alias("y"),
+                     (F.col("own") <= F.col("other")).alias("left"),
+                     (F.col("own") >= F.col("other")).alias("right")))
+    dealt = dealt.withColumn("grp", F.xxhash64("token", "x", "y"))
+
+    def meet(token, name, items, prefix, left, right):
+        """Pairs of one block pair."""
+        off, every = items
+        codes, col = np.unique(every, return_inverse=True)
+        held = np.zeros((len(name), len(codes)), np.float32)
+        held[np.repeat(np.arange(len(name)), np.diff(off)), col] = 1
+        size = np.diff(off).astype(float)
+        a, b = np.flatnonzero(left), np.flatnonzero(right)
+        both = (held[a] @ held[b].T).astype(float)
+        good = both * both >= share * size[a][:, None] * size[b][None] - 1e-9
+        # a block with itself names each pair twice
+        good &= name[a][:, None] < name[b][None] if (left & right).all() else \
+            name[a][:, None] != name[b][None]
+        i, j = np.nonzero(good)
+        poff, pre = prefix
+        out = []
+        for p, q, n in zip(a[i], b[j], both[i, j]):
+            # told under the rarest condition of both prefixes
+            first = np.intersect1d(pre[poff[p]:poff[p + 1]], pre[poff[q]:poff[q + 1]])[0]
+            if first == token:
+                out.append((name[p], name[q], n / np.sqrt(size[p] * size[q])))
+        return out
+
+    def run(batches):
+        held = []
+
+        def flush():
+            t = pa.Table.from_batches(held).combine_chunks()
+            cols = [t.column(c).combine_chunks() for c in range(t.num_columns)]
+            grp, token, name = (cols[c].to_numpy() for c in (0, 1, 2))
+            left, right = (cols[c].to_numpy(zero_copy_only=False) for c in (5, 6))
+            found = []
+            cuts = np.flatnonzero((grp[1:] != grp[:-1]) | (token[1:] != token[:-1])) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(grp)]):
+                lists = []
+                for c in (3, 4):
+                    off = cols[c].offsets.to_numpy()[lo:hi + 1]
+                    lists.append((off - off[0], cols[c].values.to_numpy()[off[0]:off[-1]]))
+                found += meet(token[lo], name[lo:hi], *lists, left[lo:hi], right[lo:hi])
+            a, b, c = (list(x) for x in zip(*found)) if found else ([], [], [])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())],
+                ["a", "b", "cosine"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            grp = batch.column(0).to_numpy()
+            cut = int(np.searchsorted(grp, grp[-1], "left"))
+            # a group may go on in the next batch
+            if cut:
+                held.append(batch.slice(0, cut))
+                yield flush()
+                held = []
+            elif held and held[-1].column(0)[0].as_py() != grp[0]:
+                yield flush()
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield flush()
+
+    pairs = (dealt.select("grp", "token", F.col("class").cast("long").alias("class"), "items",
+                          "prefix", "left", "right")
+             .repartition("grp").sortWithinPartitions("grp", "token")
+             .mapInArrow(run, "a long, b long, cosine double"))
+    return pairs.select(F.explode(F.array(F.struct("a", "b"), F.struct(
+        F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"), "cosine").select(
+            "p.a", "p.b", "cosine")
+
+
+def nearest_based(known: DataFrame, least: float = 0.5, neighbours: int = 10, k: int = 10,
+                  digits: int = 6) -> DataFrame:
+    """T9 with a neighbour cut: every member's ``neighbours`` nearest members (cosine of at least
+    ``least``; ties to the smaller member id) vote with their cosine; the ``k`` best conditions the
+    member lacks, ties by condition and class. Members of equal sets have equal results: the others
+    of their set come first and vote for nothing new."""
+    of, classes, items = _classes(known)
+    pairs = written(similar_classes(classes, least), "similar-classes")
+    size = classes.select("class", "members")
+    # of equal cosines the smaller ids come first, so the first classes hold the nearest members
+    close = rank_top(pairs.withColumn("_c", F.round("cosine", 9)), ["a"],
+                     [F.desc("_c"), F.asc("b")], neighbours, "_nr")
+    firsts = rank_top(of.join(close.select(F.col("b").alias("class")).distinct(), "class",
+                              "left_semi"), ["class"], [F.asc("member_id")], neighbours, "_at")
+    voters = close.join(firsts.withColumnRenamed("class", "b"), "b").join(
+        size.withColumnRenamed("class", "a"), "a")
+    near = rank_top(voters, ["a"], [F.desc("_c"), F.asc("member_id")], neighbours, "_place")
+    # the other members of the own set take the first places
+    near = near.filter(F.col("_place") <= neighbours + 1 - F.col("members"))
+    votes = (near.groupBy("a", "b").agg(F.sum("cosine").alias("v"))
+             .join(classes.select(F.col("class").alias("b"), "items"), "b")
+             .select("a", "v", F.explode("items").alias("_item"))
+             .groupBy("a", "_item").agg(F.sum("v").alias("score")))
+    own = classes.select(F.col("class").alias("a"), F.explode("items").alias("_item"))
+    fresh = votes.join(own, ["a", "_item"], "left_anti").join(items, "_item")
+    best = rank_top(fresh.withColumn("_key", F.round("score", 9)), ["a"],
+                    [F.desc("_key"), *map(F.asc, ITEM_KEYS)], k)
+    return (of.join(best.withColumnRenamed("a", "class"), "class")
+            .select("member_id", *ITEM_KEYS, F.round("score", digits).alias("score"),
+                    "pred_rank"))

@@ -476,6 +476,13 @@ def user_based_recs(src: Source) -> DataFrame:
     return longs(neighbours.user_based(inputs.tune_features(src), 10))
 
 
+@query
+def nearest_member_recs(src: Source) -> DataFrame:
+    """T9 with a neighbour cut: ten uncoded conditions per member, voted by its ten nearest members
+    of a cosine of at least one half."""
+    return longs(neighbours.nearest_based(inputs.tune_features(src), 0.5, 10, 10))
+
+
 @query
 def item_based_filtered(src: Source) -> DataFrame:
     """M10/M11/J8/P8/W3/W4 on a deterministic score: item-based scores of all conditions a member

@@ -421,6 +421,20 @@ register("user_based_recs", """
            FROM v_known k JOIN v_gram g ON g.ci = k.c AND g.fi = k.f
            JOIN w ON w.member_id = k.member_id
            GROUP BY k.member_id, g.cj, g.fj)""" + _TOPK, "v_known", "v_gram")
+register("nearest_member_recs", """
+    , size AS (SELECT member_id, count(*) AS n FROM v_known GROUP BY member_id),
+    pair AS (SELECT a.member_id AS x, b.member_id AS y, count(*) AS n
+             FROM v_known a JOIN v_known b ON a.c = b.c AND a.f = b.f
+             WHERE a.member_id <> b.member_id GROUP BY 1, 2),
+    near AS (SELECT x, y, cosine FROM (
+        SELECT x, y, p.n / sqrt(sx.n * sy.n) AS cosine,
+               row_number() OVER (PARTITION BY x ORDER BY round(p.n / sqrt(sx.n * sy.n), 9) DESC, y)
+               AS place
+        FROM pair p JOIN size sx ON sx.member_id = x JOIN size sy ON sy.member_id = y
+        WHERE 4 * p.n * p.n >= sx.n * sy.n) WHERE place <= 10),
+    sc AS (SELECT x AS member_id, k.c AS condition_name, k.f AS chronic_flag,
+                  sum(cosine) AS score
+           FROM near JOIN v_known k ON k.member_id = y GROUP BY 1, 2, 3)""" + _TOPK, "v_known")
 _item = ORACLE["item_based_recs"]
 ORACLE["exported_predictions"] = f"""
     SELECT member_id, condition_name AS feature_value, 'condition_name' AS feature_name,

@@ -35,6 +35,13 @@ def test_user_based_figures_1_2(spark):
     assert top[4] == "Coronary Artery Disease"
 
 
+def test_nearest_based_figures_1_2(spark):
+    recs = neighbours.nearest_based(_panel(spark), least=0.4, neighbours=1, k=1)
+    top = {r.member_id: r.condition_name for r in recs.collect()}
+    assert top[1] == "Hyperlipidemia"
+    assert top[4] == "Coronary Artery Disease"
+
+
 def test_item_based_panel(spark):
     recs = neighbours.item_based(_panel(spark), 5)
     got = {(r.member_id, r.condition_name) for r in recs.collect()}
