@@ -23,17 +23,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carelens.operators.tune import fold_column
-from carelens.session import written
+from carelens.session import scratch_path, written
 
 SENTINEL = -1.0e9      # stands in for a missing value; the indicator column says it was missing
 
 
-def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataFrame:
-    """Fill nulls with a sentinel (Spark trees reject NaN) and assemble a vector. The
-    missing-value indicator columns built with the features carry the information."""
+def assemble(df: DataFrame, cols: Sequence[str], out: str = "features",
+             vectors: Sequence[str] = ()) -> DataFrame:
+    """Fill nulls with a sentinel (Spark trees reject NaN) and assemble a vector; ``vectors``
+    (sparse ones stay sparse) come after the columns. The missing-value indicator columns built
+    with the features carry the information."""
     filled = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(SENTINEL))
                              for c in cols})
-    return VectorAssembler(inputCols=list(cols), outputCol=out).transform(filled)
+    return VectorAssembler(inputCols=[*cols, *vectors], outputCol=out).transform(filled)
 
 
 def event_model(train: DataFrame, label: str, trees: int = 20, depth: int = 4,
@@ -183,6 +185,71 @@ def quantile_boost(df: DataFrame, label: str, tau: float = 0.9, trees: int = 10,
     return model
 
 
+@dataclass
+class QuantileForest:
+    """Trees whose leaves hold a summary of the labels in them: ``points`` evenly spaced quantiles.
+    The distribution of a row is the mixture of its leaves, so any quantile is read from one sorted
+    list, and a higher one is never smaller."""
+    points: int
+    trees: list                     # (feature subset, fitted tree)
+    leaves: DataFrame               # (place, summary): place = tree * 2^20 + leaf
+
+    def distribution(self, df: DataFrame, features: str = "features",
+                     name: str = "distribution") -> DataFrame:
+        """``df`` with the sorted points of every row's mixture."""
+        table = self.leaves.select(F.map_from_entries(F.collect_list(
+            F.struct("place", "summary"))).alias("m")).scalar()
+        out, places = df, []
+        for t, (indices, tree) in enumerate(self.trees):
+            sliced = VectorSlicer(inputCol=features, outputCol="_sub", indices=indices) \
+                .transform(out)
+            out = tree.setLeafCol(f"_leaf{t}").setPredictionCol("_tp").transform(sliced).drop(
+                "_sub", "_tp")
+            places.append((F.col(f"_leaf{t}") + t * LEAVES).cast("long"))
+        out = out.withColumn("_table", table)
+        points = F.flatten(F.array(*[F.element_at("_table", p) for p in places]))
+        return out.withColumn(name, F.array_sort(points)).drop(
+            "_table", *[f"_leaf{t}" for t in range(len(self.trees))])
+
+    @staticmethod
+    def read(distribution: str, tau: float):
+        """The tau-quantile of a ``distribution`` column."""
+        at = F.ceil(tau * F.size(distribution)).cast("int")
+        return F.element_at(distribution, F.greatest(at, F.lit(1)))
+
+
+LEAVES = 1 << 20
+
+
+def quantile_forest(df: DataFrame, label: str, trees: int = 10, depth: int = 4,
+                    subspace: float = 0.7, sample: float = 0.7, points: int = 50, seed: int = 5,
+                    features: str = "features", key: str = "member_id",
+                    accuracy: int = 2_000) -> QuantileForest:
+    """T17 + T18 from one ensemble: every tree is fitted on a hash sample of the rows and a random
+    subspace of the features; a grouped approximate percentile (partial aggregation) summarises
+    the labels of each leaf over all training rows. No quantile has to be chosen before the fit."""
+    width = len(df.select(features).first()[0])
+    rng = random.Random(seed)
+    data = written(df.select(key, label, features), "forest")
+    fitted, places = [], data
+    for t in range(trees):
+        indices = sorted(rng.sample(range(width), max(1, int(round(subspace * width)))))
+        slicer = VectorSlicer(inputCol=features, outputCol="_sub", indices=indices)
+        draw = F.pmod(F.xxhash64(F.col(key), F.lit(t), F.lit(seed)), F.lit(1_000))
+        tree = DecisionTreeRegressor(
+            featuresCol="_sub", labelCol=label, maxDepth=depth, leafCol="_leaf", seed=seed + t).fit(
+            slicer.transform(data.filter(draw < int(1_000 * sample))))
+        fitted.append((indices, tree))
+        places = tree.setLeafCol(f"_leaf{t}").setPredictionCol("_tp").transform(
+            slicer.transform(places)).drop("_sub", "_tp")
+    at = F.array(*[(F.col(f"_leaf{t}") + t * LEAVES).cast("long") for t in range(trees)])
+    grid = [(i + 0.5) / points for i in range(points)]
+    leaves = written(places.select(label, F.explode(at).alias("place")).groupBy("place").agg(
+        F.percentile_approx(label, F.array(*map(F.lit, grid)), F.lit(accuracy)).alias("summary")),
+        "leaves")
+    return QuantileForest(points, fitted, leaves)
+
+
 def constant_rate(train: DataFrame, label: str) -> float:
     """The share of positive labels (0 without rows): the prediction where a model has nothing
     to tell apart."""
@@ -198,9 +265,13 @@ def per_population(df: DataFrame, population: str, label: str, trees: int = 10,
     a population are one of their own, and where the training part holds a single label value
     the prediction is its rate. Returns (member, population, prob).
 
-    The rows are written partitioned by population, so a fit reads its own files only."""
-    data = written(df.select(key, population, label, features).withColumn(
-        "_fold", fold_column([key], folds, 0, seed)).repartition(population), "populations")
+    The rows are written in folders by population, so a fit reads its own files only; every
+    task writes to all folders, so no task gathers a population."""
+    path = scratch_path(df.sparkSession, "populations")
+    split = df.select(key, population, label, features).withColumn(
+        "_fold", fold_column([key], folds, 0, seed))
+    split.write.partitionBy(population).parquet(path)
+    data = df.sparkSession.read.schema(split.schema).parquet(path).select(*split.columns)
     labels = data.groupBy(population, "_fold").agg(F.collect_set(label).alias("_labels")).collect()
     found: dict = {}
     for r in labels:

@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from carelens.operators.ids import contiguous_ids
@@ -51,6 +53,121 @@ def period_summary(claims: DataFrame, grain: str = "quarter") -> DataFrame:
     return claims.groupBy("member_id", period.alias("period")).agg(*aggs)
 
 
+def service_types(grouping: DataFrame) -> list[str]:
+    """The types of service of the grouping table, in order (a taxonomy: a few dozen values)."""
+    rows = grouping.select("service_type").filter("service_type is not null").distinct().collect()
+    return sorted(r["service_type"] for r in rows)
+
+
+def _column_name(*parts: str) -> str:
+    return "_".join("".join(c if c.isalnum() else "_" for c in p.lower()) for p in parts)
+
+
+def period_service_pivot(claims: DataFrame, types: Sequence[str], grain: str = "quarter"
+                         ) -> DataFrame:
+    """T13 by type of service, wide: one row per (member, period), cost per type. The pivot has
+    its values given, so no pass discovers them, and sums are combined before the shuffle."""
+    period = F.date_trunc(grain, F.col("service_date")).cast("date")
+    wide = (claims.groupBy("member_id", period.alias("period")).pivot("service_type", list(types))
+            .agg(_money(F.sum("paid"))))
+    return wide.select("member_id", "period", *[
+        F.coalesce(F.col(f"`{t}`"), F.lit(0.0)).alias(_column_name("paid", t)) for t in types])
+
+
+def history_columns(types: Sequence[str]) -> list[str]:
+    return [_column_name("prior", net, t) for net in ("in", "out") for t in types]
+
+
+def history_wide(claims_net: DataFrame, cut: str, types: Sequence[str], months: int = 12
+                 ) -> DataFrame:
+    """Prior cost of every member by network and type of service, one column each."""
+    c = F.to_date(F.lit(cut))
+    past = claims_net.filter((F.col("service_date") > F.add_months(c, -months))
+                             & (F.col("service_date") <= c))
+    place = F.concat_ws("|", F.when(F.col("in_network"), "in").otherwise("out"), "service_type")
+    keys = [f"{net}|{t}" for net in ("in", "out") for t in types]
+    wide = (past.withColumn("_place", place).groupBy("member_id").pivot("_place", keys)
+            .agg(_money(F.sum("paid"))))
+    return wide.select("member_id", *[F.coalesce(F.col(f"`{k}`"), F.lit(0.0)).alias(n)
+                                      for k, n in zip(keys, history_columns(types))])
+
+
+def condition_flags(claims: DataFrame, cut: str) -> DataFrame:
+    """The conditions coded up to the cut, as one sorted array of condition:class names."""
+    return (claims.filter(F.col("service_date") <= F.to_date(F.lit(cut))).groupBy("member_id")
+            .agg(F.array_sort(F.collect_set(F.concat_ws(":", "condition_name", "chronic_flag")))
+                 .alias("flags")))
+
+
+def flag_vocabulary(flags: DataFrame) -> list[str]:
+    """All flags in name order: the places of the sparse vector (the condition taxonomy)."""
+    names = flags.select(F.explode("flags").alias("flag")).distinct().collect()
+    return sorted(r["flag"] for r in names)
+
+
+def flag_vectors(flags: DataFrame, vocabulary: Sequence[str], out: str = "flag_vector"
+                 ) -> DataFrame:
+    """``flags`` arrays as sparse 0/1 vectors over the vocabulary; null arrays are empty."""
+    filled = flags.withColumn("flags", F.coalesce("flags", F.array().cast("array<string>")))
+    if not vocabulary:
+        return filled.withColumn(out, array_to_vector(F.array().cast("array<double>")))
+    model = CountVectorizerModel.from_vocabulary(list(vocabulary), "flags", out)
+    return model.setBinary(True).transform(filled)
+
+
+def merged_intervals(enrolments: DataFrame) -> DataFrame:
+    """Enrolments (member_id, programme, from_date, to_date; both ends in) without overlaps:
+    intervals of one member and programme that touch or overlap become one."""
+    own = Window.partitionBy("member_id", "programme").orderBy("from_date", "to_date")
+    before = F.max("to_date").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.coalesce((F.col("from_date") > F.date_add(before, 1)).cast("int"), F.lit(1))
+    island = F.sum("_fresh").over(own)
+    return (enrolments.filter("from_date <= to_date").withColumn("_fresh", fresh)
+            .withColumn("_island", island)
+            .groupBy("member_id", "programme", "_island")
+            .agg(F.min("from_date").alias("from_date"), F.max("to_date").alias("to_date"))
+            .drop("_island"))
+
+
+def in_programme(facts: DataFrame, intervals: DataFrame, date: str = "service_date",
+                 grain: str = "month") -> DataFrame:
+    """Dated facts with every programme interval of the member that holds the date. Intervals are
+    laid out by period, so the join is by (member, period), and the dates are compared inside: a
+    member with any share of all facts meets few intervals per period, and AQE splits the rest."""
+    laid = intervals.withColumn("_period", F.explode(F.sequence(
+        F.date_trunc(grain, "from_date").cast("date"), F.date_trunc(grain, "to_date").cast("date"),
+        F.expr(f"interval 1 {grain}"))))
+    keyed = facts.withColumn("_period", F.date_trunc(grain, F.col(date)).cast("date"))
+    return (keyed.join(laid, ["member_id", "_period"])
+            .filter(F.col(date).between(F.col("from_date"), F.col("to_date"))).drop("_period"))
+
+
+def programme_benchmark(claims: DataFrame, intervals: DataFrame, prior: DataFrame, cut: str,
+                        months: int = 6) -> DataFrame:
+    """T24 per programme: cost in the ``months`` after the cut while enrolled, against the
+    members' prior-year cost (prior_cost) per enrolled day. ``intervals`` do not overlap."""
+    c = F.to_date(F.lit(cut))
+    lo, hi = F.date_add(c, 1), F.add_months(c, months)
+    window = intervals.select("member_id", "programme", F.greatest("from_date", lo)
+                              .alias("from_date"), F.least("to_date", hi).alias("to_date")) \
+        .filter("from_date <= to_date")
+    days = (window.groupBy("programme", "member_id")
+            .agg(F.sum(F.datediff("to_date", "from_date") + 1).alias("days"))
+            .join(prior.select("member_id", "prior_cost"), "member_id", "left")
+            .groupBy("programme").agg(
+                F.count("*").alias("members"), F.sum("days").alias("days"),
+                F.sum(F.coalesce("prior_cost", F.lit(0.0)) / 365 * F.col("days"))
+                .alias("predicted")))
+    paid = claims.filter((F.col("service_date") > c) & (F.col("service_date") <= hi)).select(
+        "member_id", "service_date", "paid")
+    actual = in_programme(paid, window).groupBy("programme").agg(F.sum("paid").alias("actual"))
+    out = days.join(actual, "programme", "left").withColumns(
+        {"actual": _money(F.coalesce("actual", F.lit(0.0))),
+         "predicted": F.round("predicted", 2)})
+    return out.select("programme", "members", "days", "actual", "predicted", F.when(
+        F.col("predicted") != 0, F.round(F.col("actual") / F.col("predicted"), 4)).alias("ratio"))
+
+
 def member_profile(claims: DataFrame, cut: str, history_months: int = 12,
                    outcome_months: int = 6) -> DataFrame:
     """Everything the cost models need from the claims, in one pass: per member, the conditions

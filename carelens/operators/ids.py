@@ -47,6 +47,17 @@ def contiguous_ids(df: DataFrame, cols: str | Sequence[str], name: str,
     return numbered.select(*cols, ident.alias(name))
 
 
+def grouped_ids(df: DataFrame, group: str, cols: str | Sequence[str], name: str) -> DataFrame:
+    """M2 within groups: distinct (group, cols) numbered 1..n in each group, in key order. One
+    contiguous numbering serves all groups; a group's first number is taken off."""
+    cols = [cols] if isinstance(cols, str) else list(cols)
+    every = contiguous_ids(df, [group, *cols], "_id", dtype="bigint")
+    first = written(every.groupBy(group).agg(F.min("_id").alias("_first")), "first-ids")
+    same = F.col(group).eqNullSafe(F.col("_group"))
+    return every.join(first.withColumnRenamed(group, "_group"), same).select(
+        group, *cols, (F.col("_id") - F.col("_first") + 1).cast("int").alias(name))
+
+
 def ratings(features: DataFrame, user_map: DataFrame, product_map: DataFrame,
             product_keys: Sequence[str] = ("feature_name", "feature_value", "chronic_flag")
             ) -> DataFrame:

@@ -8,22 +8,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carelens.operators import (
-    boosting, candidates, casestudy, cost, evaluate, explain, factor, features, gaps, neighbours,
-    summary, tune,
+    boosting, candidates, casestudy, cost, evaluate, explain, factor, features, gaps, ids,
+    neighbours, summary, tune,
 )
 from carelens.plans import inputs
 from carelens.session import ensure_checkpoint_dir, scratch_path, written
 from carelens.sources.fixtures import MEASURES, Source
 from carelens.operators.util import rank_top
 from carelens.sources.tables import (
-    convert_to_parquet, export_explanations, export_predictions, export_small_tables, peek,
-    persist_table, read_delimited, row_count,
+    convert_to_parquet, export_explanations, export_predictions, export_small_tables, kept, peek,
+    read_delimited, row_count,
+)
+from carelens.constants import (
+    EVAL_RANKS, EXPORT_RANKS, POPULAR_PER_MEMBER, RECALL_K, REFERENCE_EXPORT_CANDIDATES,
 )
-from carelens.constants import POPULAR_PER_MEMBER
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -222,7 +225,7 @@ def als_predictions(src: Source) -> DataFrame:
 
 def _grid_results(src: Source) -> DataFrame:
     """Recall@10 on the hold-out of every parameter set of the grid."""
-    grid = tune.param_grid([10, 50], [100.0], [7.0])
+    grid = tune.param_grid([10, 50], [40.0, 100.0], [1.0, 7.0])
 
     def score(p):
         return inputs.rec_scored(src, p).agg(
@@ -233,6 +236,114 @@ def _grid_results(src: Source) -> DataFrame:
     return tune.run_grid(src.spark, grid, score, parallelism=2)
 
 
+@query
+def structural_misses(src: Source) -> DataFrame:
+    """Newly coded conditions per class, and those of them that excluding known conditions by
+    name alone makes unreachable, for the member has the name under the other class."""
+    known = inputs.tune_features(src).select(
+        "member_id", "condition_name", F.lit(1).alias("_held")).distinct()
+    return longs(inputs.new_conditions(src).join(known, ["member_id", "condition_name"], "left")
+                 .groupBy("chronic_flag").agg(
+                     F.count("*").alias("new_conditions"),
+                     F.coalesce(F.sum("_held"), F.lit(0)).alias("structural_misses")))
+
+
+@query
+def als_literal_predictions(src: Source) -> DataFrame:
+    """M5/P15 in the original order: the top 30 of all products per member, then the filters, then
+    ten ranks; members may get fewer."""
+    return longs(factor._recommend_from_top_n(
+        inputs.model(src, "pred"), inputs.user_map(src, "pred"), inputs.product_map(src, "pred"),
+        inputs.pred_features(src), src.members, inputs.gender_labels(src), EXPORT_RANKS, False,
+        False, "drop", REFERENCE_EXPORT_CANDIDATES))
+
+
+# ---- the recommender per population (T25) ------------------------------------------------------
+POPULATION = "eligibility_status"
+
+
+def _population_maps(src: Source) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Features with their member's population, and the id maps numbered within populations; one
+    job serves all populations."""
+    def build():
+        rows = written(inputs.feature_all(src).join(
+            src.members.select("member_id", POPULATION), "member_id"), "population-features")
+        users = written(ids.grouped_ids(rows, POPULATION, "member_id", "user_id"),
+                        "population-users")
+        products = written(ids.grouped_ids(
+            rows, POPULATION, ["feature_name", "feature_value", "chronic_flag"], "product_id"),
+            "population-products")
+        return rows, users, products
+    return inputs._memo(src, "population_maps", build)
+
+
+def _population_holdout(src: Source) -> DataFrame:
+    return inputs._memo(src, "population_holdout", lambda: written(
+        inputs.new_conditions(src).join(src.members.select("member_id", POPULATION), "member_id"),
+        "population-holdout"))
+
+
+@query
+def population_ids(src: Source) -> DataFrame:
+    """Member ids of the recommender, contiguous within every population."""
+    return longs(_population_maps(src)[1])
+
+
+@query
+def population_sizes(src: Source) -> DataFrame:
+    """Members, products, ratings and hold-out rows of every population."""
+    rows, users, products = _population_maps(src)
+    parts = [("users", users), ("products", products), ("ratings", rows),
+             ("holdout", _population_holdout(src))]
+    every = None
+    for name, df in parts:
+        own = df.groupBy(POPULATION).agg(F.count("*").alias("n")).withColumn("part", F.lit(name))
+        every = own if every is None else every.unionByName(own)
+    return longs(every.groupBy(POPULATION).agg(*[
+        F.sum(F.when(F.col("part") == name, F.col("n")).otherwise(0)).alias(name)
+        for name, _ in parts]))
+
+
+@query
+def population_calibration(src: Source) -> DataFrame:
+    """T25 for the recommender: every parameter set scored on each population's own hold-out,
+    fitted on its own members, the best set of each flagged."""
+    rows, users, products = _population_maps(src)
+    holdout, labels = _population_holdout(src), inputs.gender_labels(src)
+    grid = tune.param_grid([10], [40.0, 100.0], [1.0, 7.0])
+    groups = [r[0] for r in users.select(POPULATION).distinct().orderBy(POPULATION).collect()]
+
+    def own(df, value):
+        return df.filter(F.col(POPULATION).eqNullSafe(F.lit(value))).drop(POPULATION)
+
+    def ratings(value):
+        return written(ids.ratings(own(rows, value), own(users, value), own(products, value)),
+                       "population-ratings")
+
+    held = dict(zip(groups, boosting._parallel_map(ratings, groups, 3)))
+
+    def score(job):
+        value, params = job
+        model = factor.fit(held[value], params, materialize=False)
+        known = own(rows, value).filter(F.col("feature_name") == "condition_name").select(
+            "member_id", F.col("feature_value").alias("condition_name"), "chronic_flag")
+        ranked = factor.recommend(
+            model, own(users, value), own(products, value), known, src.members, labels,
+            EVAL_RANKS, per_class=True).withColumnRenamed("feature_value", "condition_name")
+        found = evaluate.attach_ranks(own(holdout, value), ranked).agg(
+            F.avg(F.when(F.col("pred_rank") <= RECALL_K, 1).otherwise(0))).first()[0]
+        return (value, params.rank, params.alpha, params.reg, float(found or 0.0))
+
+    jobs = [(value, params) for value in groups for params in grid]
+    scored = src.spark.createDataFrame(
+        boosting._parallel_map(score, jobs, 3),
+        f"{POPULATION} string, rank int, alpha double, lambda double, score double")
+    first = rank_top(scored, [POPULATION], [F.desc("score"), F.asc("rank"), F.asc("alpha"),
+                                            F.asc("lambda")], None, "_place")
+    return longs(first.select(POPULATION, "rank", "alpha", "lambda", "score",
+                              (F.col("_place") == 1).alias("best")))
+
+
 @query
 def als_tuned_predictions(src: Source) -> DataFrame:
     """M14 -> M15: the grid's winner refitted on all data, ten recommendations per member."""
@@ -384,6 +495,36 @@ def period_service_types(src: Source) -> DataFrame:
                  F.count(F.lit(1)).alias("n_claims")))
 
 
+@query
+def period_service_pivot(src: Source) -> DataFrame:
+    """T13 by type of service, wide: cost per member and quarter, one column a type."""
+    s = cost.period_service_pivot(src.claims, _service_types(src))
+    return s.withColumn("period", F.date_format("period", "yyyy-MM-dd"))
+
+
+def _service_types(src: Source) -> list[str]:
+    return inputs._memo(src, "service_types", lambda: cost.service_types(src.diagnosis_grouping))
+
+
+@query
+def member_feature_vector(src: Source) -> DataFrame:
+    """The models' feature row as (index, value) pairs of its non-zero places: the columns,
+    prior cost by network and type of service, then a flag per condition and class."""
+    vector = vector_to_array("features")
+    return _model_frame(src).select("member_id", F.posexplode(vector).alias("index", "value")) \
+        .filter("value <> 0").select("member_id", F.col("index").cast("bigint").alias("index"),
+                                     "value")
+
+
+@query
+def programme_benchmark(src: Source) -> DataFrame:
+    """T24 per programme: six-month cost while enrolled vs the prior-year run rate of the enrolled
+    days (interval join by member and month)."""
+    return longs(cost.programme_benchmark(
+        src.claims, cost.merged_intervals(src.enrolments), _member_features(src),
+        src.outcome_cut))
+
+
 @query
 def member_history(src: Source) -> DataFrame:
     """Prior-year cost and claims per member by network and type of service, long form."""
@@ -524,8 +665,22 @@ def _model_frame(src: Source) -> DataFrame:
     """Member features + six-month outcomes as a model frame with a feature vector, written once
     for the passes of the fits."""
     _profiled(src)
-    return inputs._memo(src, "model_frame", lambda: written(boosting.assemble(
-        _member_features(src).join(_outcomes(src), "member_id"), MODEL_COLUMNS), "model-frame"))
+    return inputs._memo(src, "model_frame", lambda: written(_assembled(
+        src, _member_features(src).join(_outcomes(src), "member_id")), "model-frame"))
+
+
+def _assembled(src: Source, members: DataFrame) -> DataFrame:
+    """``members`` with the whole feature row: their columns, prior cost by network and type
+    of service, and condition flags as a sparse vector over the vocabulary of the data."""
+    types = _service_types(src)
+    wide = cost.history_columns(types)
+    flags = written(cost.condition_flags(src.claims, src.outcome_cut), "condition-flags")
+    history = cost.history_wide(_claims_net(src), src.outcome_cut, types)
+    rows = members.join(history, "member_id", "left").fillna(0.0, wide).join(
+        flags, "member_id", "left")
+    vectors = cost.flag_vectors(rows, cost.flag_vocabulary(flags))
+    return boosting.assemble(vectors, [*MODEL_COLUMNS, *wide], vectors=["flag_vector"]).drop(
+        "flags", "flag_vector")
 
 
 def _expected(src: Source, label: str) -> DataFrame:
@@ -577,18 +732,16 @@ def cost_quantile_model(src: Source) -> DataFrame:
 
 @query
 def cost_distribution(src: Source) -> DataFrame:
-    """The cost distribution of every member from several quantiles, one model each, put in
-    order (quantiles fitted apart may cross)."""
+    """The cost distribution of every member out of fold, from one ensemble whose leaves hold
+    quantile summaries; the quantiles are read from it and never cross."""
     taus = [0.5, 0.75, 0.9]
 
     def predict(train, rest):
-        out = rest
-        for t in taus:
-            m = boosting.quantile_boost(train, "cost_total", tau=t, trees=5, depth=3)
-            out = m.predict(out, name=f"_q{int(100 * t)}")
-        sizes = F.array_sort(F.array(*[F.col(f"_q{int(100 * t)}") for t in taus]))
+        forest = boosting.quantile_forest(train, "cost_total", trees=10, depth=4)
+        out = forest.distribution(rest)
         return out.select("member_id", "cost_total",
-                          *[sizes[i].alias(f"q{int(100 * t)}") for i, t in enumerate(taus)])
+                          *[forest.read("distribution", t).alias(f"q{int(100 * t)}")
+                            for t in taus])
 
     return boosting.out_of_fold(_model_frame(src).select("member_id", "cost_total", "features"),
                                 predict)
@@ -605,7 +758,7 @@ def population_models(src: Source) -> DataFrame:
 def condition_models(src: Source) -> DataFrame:
     """A logistic regression per (condition, class) of the whole popular list, predicting a
     new coding in the hold-out (the conventional comparator of the recommender), out of fold."""
-    feats = boosting.assemble(_member_features(src).fillna(0.0), MODEL_COLUMNS)
+    feats = _assembled(src, _member_features(src).fillna(0.0))
     conds = [(r["condition_name"], r["chronic_flag"]) for r in inputs.popular(src)
              .orderBy("chronic_flag", "pred_rank").collect()]
     return boosting.per_condition(feats, inputs.new_conditions(src), conds, parallelism=3)
@@ -679,45 +832,58 @@ def exported_predictions(src: Source) -> DataFrame:
 
 @query
 def exported_explanations(src: Source) -> DataFrame:
-    """Explanation rows exported under their hyper-parameters and read back; the rows are the
-    members' demographic features with their confidence as weight."""
-    path = scratch_path(src.spark, "explanations")
-    rows = inputs.demographics(src).select(
-        "member_id", F.col("feature_name").alias("feature_name_a"),
-        F.col("feature_value").alias("feature_value_a"), F.col("confidence").alias("weight"))
-    export_explanations(rows, path, 50, 100.0, 7.0)
-    return longs(src.spark.read.parquet(path)).select(
-        "member_id", "feature_name_a", "feature_value_a", "weight", "rank",
-        F.col("alpha").cast("double").alias("alpha"),
-        F.col("lambda").cast("double").alias("lambda"))
+    """The model's explanations of every member's best product, exported under the
+    hyper-parameters and read back: per explained member the products it rated, and whether the
+    contributions with the residual give back the explained rating."""
+    path, params = scratch_path(src.spark, "explanations"), inputs.DEFAULT_PARAMS
+    export_explanations(inputs.explanations(src), path, params.rank, params.alpha, params.reg)
+    rows = src.spark.read.parquet(path)
+    gap = F.abs(F.sum("weight") + F.max("residual_a") - F.max("rating_a"))
+    return longs(rows.groupBy("member_id", "rank", "alpha", "lambda").agg(
+        F.count("*").alias("rated"), (gap <= 1e-6).alias("explained"))).select(
+        "member_id", "rank", F.col("alpha").cast("double").alias("alpha"),
+        F.col("lambda").cast("double").alias("lambda"), "rated", "explained")
 
 
 @query
 def exported_case_study(src: Source) -> DataFrame:
-    """The claims of hand-picked members (the ten youngest with most claims) exported as
-    delimited text and read back."""
+    """Three tables of hand-picked members (the ten with most claims), their demographics,
+    their features and their recommendations (item-based, which are deterministic), exported as
+    delimited text each, read back and stacked."""
     path = scratch_path(src.spark, "case-study")
-    picked = (src.claims.groupBy("member_id").agg(F.count("*").alias("n"))
-              .orderBy(F.desc("n"), "member_id").limit(10).collect())     # ten rows
-    rows = casestudy.chosen(src.claims, [r["member_id"] for r in picked]).groupBy(
-        "member_id", "condition_name", "chronic_flag").agg(F.count("*").alias("n_claims"))
-    export_small_tables({"claims": rows}, path)
-    return read_delimited(src.spark, f"{path}/claims", sep=",").select(
-        F.col("member_id").cast("bigint").alias("member_id"), "condition_name",
-        F.col("chronic_flag").cast("string").alias("chronic_flag"),
-        F.col("n_claims").cast("bigint").alias("n_claims"))
+    picked = [r["member_id"] for r in (
+        src.claims.groupBy("member_id").agg(F.count("*").alias("n"))
+        .orderBy(F.desc("n"), "member_id").limit(10).collect())]            # ten rows
+    known = inputs.tune_features(src)
+    tables = {
+        "members": inputs.demographics(src).select(
+            "member_id", F.col("feature_name").alias("item"), F.col("feature_value").alias("class"),
+            F.col("confidence").cast("double").alias("value")),
+        "features": known.select(
+            "member_id", F.col("condition_name").alias("item"), F.col("chronic_flag").alias("class"),
+            F.col("sqrt_adjusted_credibility").cast("double").alias("value")),
+        "recommendations": neighbours.item_based(known, 10).select(
+            "member_id", F.col("condition_name").alias("item"), F.col("chronic_flag").alias("class"),
+            F.col("score").cast("double").alias("value"))}
+    export_small_tables({n: casestudy.chosen(t, picked) for n, t in tables.items()}, path)
+    out = None
+    for name in tables:
+        one = read_delimited(src.spark, f"{path}/{name}", sep=",", schema=(
+            "member_id bigint, item string, class string, value double")).withColumn(
+            "source", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query
 def persisted_claims(src: Source) -> DataFrame:
-    """The claims kept for two aggregates, per setting and per class."""
-    kept = persist_table(src.claims.select("setting", "chronic_flag", "paid"))
-
-    def total(col):
-        return kept.groupBy(F.lit(col).alias("by"), F.col(col).alias("value")).agg(
-            F.count("*").alias("n_claims"), F.round(F.sum("paid"), 2).alias("paid"))
+    """The claims kept for two aggregates, per setting and per class, and released."""
+    with kept(src.claims.select("setting", "chronic_flag", "paid")) as claims:
+        def total(col):
+            return claims.groupBy(F.lit(col).alias("by"), F.col(col).alias("value")).agg(
+                F.count("*").alias("n_claims"), F.round(F.sum("paid"), 2).alias("paid"))
 
-    return total("setting").unionByName(total("chronic_flag"))
+        return written(total("setting").unionByName(total("chronic_flag")), "claim-totals")
 
 
 # ---- what SQL can say about model outputs -------------------------------------------------------

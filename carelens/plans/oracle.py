@@ -514,16 +514,20 @@ register("member_condition_flags", """
       ON f.member_id = m.member_id
     GROUP BY m.member_id""", "v_member", "v_claim")
 
-register("exported_explanations", """
-    SELECT member_id, feature_name AS feature_name_a, feature_value AS feature_value_a,
-           confidence AS weight, 50::BIGINT AS rank, 100.0::DOUBLE AS alpha,
-           7.0::DOUBLE AS lambda
-    FROM v_demog""", "v_demog")
-register("exported_case_study", """
-    SELECT member_id, condition_name, chronic_flag, count(*) AS n_claims FROM v_claim
-    WHERE member_id IN (SELECT member_id FROM v_claim GROUP BY member_id
-                        ORDER BY count(*) DESC, member_id LIMIT 10)
-    GROUP BY 1, 2, 3""", "v_claim")
+register("exported_case_study", f"""
+    , picked AS (SELECT member_id FROM v_claim GROUP BY member_id
+                 ORDER BY count(*) DESC, member_id LIMIT 10),
+    stacked AS (
+      SELECT 'members' AS source, member_id, feature_name AS item, feature_value AS class,
+             confidence AS value FROM v_demog
+      UNION ALL
+      SELECT 'features', member_id, condition_name, chronic_flag, sqrt_adjusted_credibility
+      FROM v_feat
+      UNION ALL
+      SELECT 'recommendations', member_id, condition_name, chronic_flag, score
+      FROM ({_item}))
+    SELECT * FROM stacked WHERE member_id IN (SELECT member_id FROM picked)""",
+         "v_claim", "v_demog", "v_feat")
 register("persisted_claims", """
     SELECT 'setting' AS by, setting AS value, count(*) AS n_claims, round(sum(paid), 2) AS paid
     FROM v_claim GROUP BY setting
@@ -550,3 +554,90 @@ register("explanation_identity", """
                                    FROM v_claim WHERE service_date <= DATE '2001-08-01'))
             + (SELECT count(*) FROM v_demog))::BIGINT AS rated_products,
            0::BIGINT AS unexplained""", "v_claim", "v_demog", "v_member")
+
+_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+register("period_service_pivot", f"""
+    SELECT member_id, period, {", ".join(f"coalesce({t}, 0E0) AS paid_{t.lower()}" for t in _TYPES)}
+    FROM (PIVOT (SELECT member_id, strftime(date_trunc('quarter', service_date), '%Y-%m-%d')
+                          AS period, service_type, paid FROM v_claim)
+          ON service_type IN ({", ".join(f"'{t}'" for t in _TYPES)}) USING round(sum(paid), 4)
+          GROUP BY member_id, period)""", "v_claim")
+_VECTOR = ["age", "male", "gender_missing", "risk_score", "n_conditions", "n_chronic",
+           "prior_cost", "prior_avoidable", "prior_ip", "prior_er", "prior_claims",
+           *[f"last_{m}" for m in _MEAS], *[f"last_{m}_missing" for m in _MEAS]]
+_PLACES = [(net, t) for net in ("true", "false") for t in _TYPES]
+register("member_feature_vector", f"""
+    , cols AS (SELECT member_id, unnest(range({len(_VECTOR)})) AS index,
+                      unnest([{", ".join(f"coalesce({c}::DOUBLE, -1E9)" for c in _VECTOR)}])
+                        AS value FROM v_mfeat),
+    hist AS (SELECT member_id, in_network, service_type, round(sum(paid), 4) AS value
+             FROM (SELECT c.*, COALESCE(p.in_network, false) AS in_network
+                   FROM v_claim c LEFT JOIN v_provider p ON p.providerid = c.providerid)
+             WHERE service_date > DATE '2000-02-01' AND service_date <= DATE '2001-02-01'
+             GROUP BY 1, 2, 3),
+    place AS (SELECT * FROM (VALUES {", ".join(f"({n}, '{t}', {len(_VECTOR) + i})" for i, (n, t) in enumerate(_PLACES))})
+              v(in_network, service_type, index)),
+    flag AS (SELECT DISTINCT member_id, condition_name || ':' || chronic_flag AS name
+             FROM v_claim WHERE service_date <= DATE '2001-02-01'),
+    vocab AS (SELECT name, {len(_VECTOR) + len(_PLACES)} - 1 + row_number() OVER (ORDER BY name)
+                AS index FROM (SELECT DISTINCT name FROM flag))
+    SELECT member_id, index, value FROM cols WHERE value <> 0
+    UNION ALL
+    SELECT member_id, index, value FROM hist JOIN place USING (in_network, service_type)
+    WHERE value <> 0
+    UNION ALL
+    SELECT member_id, index, 1E0 FROM flag JOIN vocab USING (name)""",
+         "v_mfeat", "v_claim", "v_provider")
+register("programme_benchmark", """
+    , enrol AS (SELECT o_custkey AS member_id, o_orderpriority AS programme,
+                       CAST(o_orderdate AS DATE) AS f, CAST(o_orderdate AS DATE) + 89 AS t
+                FROM orders),
+    isle AS (SELECT *, sum(fresh) OVER (PARTITION BY member_id, programme ORDER BY f, t) AS g
+             FROM (SELECT *, CASE WHEN f > max(t) OVER (
+                       PARTITION BY member_id, programme ORDER BY f, t
+                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 OR row_number() OVER (
+                       PARTITION BY member_id, programme ORDER BY f, t) = 1 THEN 1 ELSE 0 END
+                       AS fresh FROM enrol)),
+    held AS (SELECT member_id, programme, greatest(min(f), DATE '2001-02-02') AS f,
+                    least(max(t), DATE '2001-08-01') AS t
+             FROM isle GROUP BY member_id, programme, g
+             HAVING greatest(min(f), DATE '2001-02-02') <= least(max(t), DATE '2001-08-01')),
+    days AS (SELECT programme, count(*) AS members, CAST(sum(d) AS BIGINT) AS days,
+                    round(sum(coalesce(prior_cost, 0E0) / 365 * d), 2) AS predicted
+             FROM (SELECT programme, member_id, sum(date_diff('day', f, t) + 1) AS d
+                   FROM held GROUP BY 1, 2) LEFT JOIN v_mfeat USING (member_id) GROUP BY 1),
+    paid AS (SELECT programme, round(sum(paid), 4) AS actual
+             FROM held JOIN v_claim c ON c.member_id = held.member_id
+              AND c.service_date BETWEEN f AND t GROUP BY 1)
+    SELECT programme, members, days, coalesce(actual, 0E0) AS actual, predicted,
+           CASE WHEN predicted <> 0 THEN round(coalesce(actual, 0E0) / predicted, 4) END AS ratio
+    FROM days LEFT JOIN paid USING (programme)""", "v_claim", "v_mfeat")
+register("structural_misses", """
+    SELECT n.chronic_flag, count(*) AS new_conditions,
+           CAST(sum(CASE WHEN EXISTS (SELECT 1 FROM v_feat f WHERE f.member_id = n.member_id
+                         AND f.condition_name = n.condition_name) THEN 1 ELSE 0 END) AS BIGINT)
+             AS structural_misses
+    FROM v_new n GROUP BY n.chronic_flag""", "v_new", "v_feat")
+VIEWS["v_pop_feature"] = (("v_feature_all", "v_member"), """
+        SELECT m.eligibility_status, f.* FROM v_feature_all f
+        JOIN v_member m ON m.member_id = f.member_id""")
+register("population_ids", """
+    SELECT eligibility_status, member_id,
+           row_number() OVER (PARTITION BY eligibility_status ORDER BY member_id) AS user_id
+    FROM (SELECT DISTINCT eligibility_status, member_id FROM v_pop_feature)""", "v_pop_feature")
+register("population_sizes", """
+    SELECT eligibility_status, count(DISTINCT f.member_id) AS users,
+           count(DISTINCT (feature_name, feature_value, chronic_flag)) AS products,
+           count(*) AS ratings,
+           coalesce(any_value(h.n), 0) AS holdout
+    FROM v_pop_feature f LEFT JOIN (
+        SELECT m.eligibility_status, count(*) AS n FROM v_new n
+        JOIN v_member m ON m.member_id = n.member_id GROUP BY 1) h USING (eligibility_status)
+    GROUP BY 1""", "v_pop_feature", "v_new", "v_member")
+register("exported_explanations", """
+    SELECT f.member_id, 50::BIGINT AS rank, 100.0::DOUBLE AS alpha, 7.0::DOUBLE AS lambda,
+           count(*) + (SELECT count(*) FROM v_demog d WHERE d.member_id = f.member_id) AS rated,
+           true AS explained
+    FROM (SELECT DISTINCT member_id, condition_name, chronic_flag FROM v_claim
+          WHERE service_date <= DATE '2001-08-01') f GROUP BY f.member_id""",
+         "v_claim", "v_demog")

@@ -8,32 +8,58 @@ exist as SQL in ``carelens.plans.oracle`` so DuckDB can check every query.
 
 from __future__ import annotations
 
+import calendar
+import datetime as dt
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Default arguments of the adapter (dates are inclusive cut points of the supplied tables).
-HOLDOUT_CUT = "2001-06-01"      # tuning features up to here, responses after (two months)
-OUTCOME_CUT = "2001-02-01"      # six-month outcome window starts after this date
-LAST_SERVICE_DATE = "2001-08-01"    # prediction features are aged from here
+from carelens.sources.tables import latest
+
+# The cut points lie this many months before the last service date of the data.
+HOLDOUT_MONTHS = 2              # responses are coded after this cut, tuning features up to it
 MEASURES = ("click", "error", "purchase", "signup", "view")
 OUTCOME_MONTHS = 6
 HISTORY_MONTHS = 12
 
 
+def months_before(day: str, months: int) -> str:
+    """The same day of an earlier month, or its last day."""
+    d = dt.date.fromisoformat(day)
+    year, month = divmod(d.year * 12 + d.month - 1 - months, 12)
+    return dt.date(year, month + 1, min(d.day, calendar.monthrange(year, month + 1)[1])).isoformat()
+
+
 class Source:
-    """Lazy access to ``<base_dir>/<name>.parquet``; every scan stays prunable. The cut dates and
-    the measures that become feature columns are arguments; the defaults fit the supplied
-    tables."""
+    """Lazy access to ``<base_dir>/<name>.parquet``; every scan stays prunable. The cut dates
+    follow from the last service date of the data where they are not given; as literals of the
+    plans they reach the scans. The measures that become feature columns are an argument."""
 
-    def __init__(self, spark: SparkSession, base_dir: str, holdout_cut: str = HOLDOUT_CUT,
-                 outcome_cut: str = OUTCOME_CUT, last_service: str = LAST_SERVICE_DATE,
+    def __init__(self, spark: SparkSession, base_dir: str, holdout_cut: str | None = None,
+                 outcome_cut: str | None = None, last_service: str | None = None,
                  measures: tuple[str, ...] = MEASURES):
         self.spark = spark
         self.base_dir = base_dir.rstrip("/")
-        self.holdout_cut, self.outcome_cut = holdout_cut, outcome_cut
-        self.last_service, self.measures = last_service, list(measures)
+        self._given = {"holdout": holdout_cut, "outcome": outcome_cut, "last": last_service}
+        self.measures = list(measures)
+
+    @cached_property
+    def last_service(self) -> str:
+        """The last service date: prediction features are aged from here."""
+        if self._given["last"]:
+            return self._given["last"]
+        found = latest(self.spark, f"{self.base_dir}/orders.parquet", "o_orderdate")
+        return (found or dt.date(1970, 1, 1)).strftime("%Y-%m-%d")
+
+    @cached_property
+    def holdout_cut(self) -> str:
+        return self._given["holdout"] or months_before(self.last_service, HOLDOUT_MONTHS)
+
+    @cached_property
+    def outcome_cut(self) -> str:
+        """The outcome window starts after this date."""
+        return self._given["outcome"] or months_before(self.last_service, OUTCOME_MONTHS)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.base_dir}/{name}.parquet")
@@ -137,6 +163,15 @@ class Source:
         return e.select(F.col("user_id").alias("member_id"), F.col("event_type").alias("measure"),
                         "ts", "value")
 
+    @cached_property
+    def enrolments(self) -> DataFrame:
+        """member_id, programme, from_date, to_date (both in): an order enrols its customer for
+        90 days in the care programme of its priority. Intervals may overlap."""
+        day = F.col("o_orderdate").cast("date")
+        return self.table("orders").select(
+            F.col("o_custkey").alias("member_id"), F.col("o_orderpriority").alias("programme"),
+            day.alias("from_date"), F.date_add(day, 89).alias("to_date"))
+
     @cached_property
     def drug_conditions(self) -> DataFrame:
         """T12 map drug -> condition it implies (first condition name of the brand)."""

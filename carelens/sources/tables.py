@@ -8,11 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from carelens.session import scratch_path
+
 
 def load_table(spark: SparkSession, path: str, view: str | None = None) -> DataFrame:
     """Read a Parquet table and register it under ``view`` (default: the file stem)."""
@@ -64,6 +67,42 @@ def persist_table(df: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_D
     return df.persist(level)
 
 
+@contextmanager
+def kept(df: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK,
+         reliable: bool = False):
+    """``df`` kept while the block runs, released when it ends, also by an error.
+    ``reliable`` writes it to the shared checkpoint folder instead, where a lost executor costs
+    nothing; what the block returns must have been computed in it."""
+    if reliable:
+        path = scratch_path(df.sparkSession, "kept")
+        df.write.parquet(path)
+        try:
+            yield df.sparkSession.read.schema(df.schema).parquet(path)
+        finally:
+            target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+        return
+    held = persist_table(df, level)
+    try:
+        yield held
+    finally:
+        held.unpersist(blocking=True)
+
+
+def latest(spark: SparkSession, path: str, column: str):
+    """The largest value of a column. Read through the Parquet reader that answers aggregates from
+    the files' footers (integers and dates; Spark scans the one column of other types)."""
+    wanted = {"spark.sql.sources.useV1SourceList": "", "spark.sql.parquet.aggregatePushdown": "true"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        return spark.read.parquet(path).agg(F.max(column).alias("latest")).first()["latest"]
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def save_table(df: DataFrame, path: str, partition_by: Sequence[str] | None = None,
                mode: str = "overwrite", fmt: str = "parquet") -> None:
     """Write a result table."""
