@@ -1,14 +1,15 @@
 """Main-text extraction: a linear-chain conditional random field over DOM leaf blocks.
 
 A page is read into leaf blocks (runs of text between block-level tags) that carry their ancestor
-tags and class / id words. Each block's features (ancestors, own tag, link share, length,
-punctuation, place) give an emission score, neighbouring labels a transition score; Viterbi
-decodes the page and the blocks labelled as content are the text.
+tags and class / id words. Each block's features (ancestors, own tag, link share, length, shares of
+frequent words and of words that notices are made of, punctuation, place, the neighbours' length and
+links) give an emission score, neighbouring labels a transition score; Viterbi decodes the page and
+the blocks labelled as content are the text.
 
 The field is trained here, on the driver, on ``TRAIN_PAGES`` labelled pages that ``labelled_page``
 composes (fixed seed): the supplied tables hold no page labels, so layouts with known labels are
 made: menus, headers, footers, sidebars, notices, adverts, forms and reader comments in many
-wrappings, around or inside articles that are marked up as such or only by class words.
+wrappings, around or inside articles that are marked up as such, only by class words, or not at all.
 
 Defined results: null html is the empty page (text ''); a page without content blocks gives '';
 the head ends at its end tag or at the first text or element that may not stand in it, other
@@ -29,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TRAIN_PAGES = 400
+TRAIN_PAGES = 700
 TRAIN_SEED = 11
-TRAIN_STEPS = 100
+TRAIN_STEPS = 240
 
 # ---- fixed values: HTML element kinds (public HTML standard) -----------------------------
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -165,16 +166,51 @@ def leaf_blocks(page: str) -> list[Block]:
     return out
 
 
+# ---- fixed values: frequent words of running text, and words that notices, footers and calls to
+# act are made of, in four languages
+STOP = frozenset(
+    "the of and to in is that for it as was with be by on not he this are or his from at which but "
+    "der die und das den von zu mit sich des auf ist im dem nicht ein eine als auch es an "
+    "le la les de et des en un une du est pour que qui dans sur pas au avec ce il "
+    "el los las y del se por con para una no su al lo como".split())
+STOCK = frozenset(
+    "cookie cookies consent accept subscribe newsletter advertisement sponsored copyright privacy "
+    "imprint rights reserved login register password share follow related comments reply "
+    "datenschutz impressum zustimmen akzeptieren abonnieren anzeige werbung anmelden rechte "
+    "confidentialité accepter abonner publicité connexion mentions droits "
+    "privacidad aceptar suscribirse publicidad derechos contacto aviso".split())
+
+
+def _text_features(b: Block) -> tuple[str, str, str, str]:
+    """Length, share of linked text, share of frequent words and stock words of a block."""
+    words = b.text.lower().split()
+    held = sum(w.strip(".,;:!?()\"'") in STOP for w in words[:200]) / min(len(words), 200)
+    stock = sum(w.strip(".,;:!?()\"'©") in STOCK for w in words[:60])
+    return ("%d" % min(5, len(words).bit_length()), "%d" % int(b.linked * 4),
+            "%d" % min(3, int(held * 10)), "%d" % min(2, stock))
+
+
 def features(blocks: list[Block]) -> list[list[str]]:
-    """Feature names of every block."""
+    """Feature names of every block: its place in the markup, its text, and its neighbours'. What
+    the text says is learned apart for pages with and without an element for their content."""
     n, out = len(blocks), []
+    page = "told" if any("<article" in b.marks or "<main" in b.marks for b in blocks) else "mute"
+    seen = [_text_features(b) for b in blocks]
+    edge = ("none",) * 4
     for i, b in enumerate(blocks):
         f = ["bias", "own:" + b.own, *("in:" + m for m in b.marks),
              *("near:" + m for m in b.near)]
-        size, words = len(b.text), b.text.count(" ") + 1
-        f.append("size:%d" % min(6, size.bit_length() // 2))
-        f.append("words:%d" % min(5, words.bit_length()))
-        f.append("link:%d" % int(b.linked * 4))
+        words, link, held, stock = seen[i]
+        prose = int(words) >= 4 and link == "0"
+        said = ["words:" + words, "link:" + link, "stop:" + held, "stock:" + stock,
+                "words:%s,stock:%s" % (words, stock), "own,link:%s,%s" % (b.own, link),
+                "prose:%s:%s" % (prose, b.own)]
+        for side, other in (("before", seen[i - 1] if i else edge),
+                            ("after", seen[i + 1] if i + 1 < n else edge)):
+            said += ["%s-words:%s" % (side, other[0]), "%s-link:%s" % (side, other[1])]
+        f += [f"{page}:{x}" for x in said]
+        f.append("%s:%s" % (page, "<article" in b.marks or "<main" in b.marks))
+        f.append("size:%d" % min(6, len(b.text).bit_length() // 2))
         last = b.text[-1]
         f.append("end:" + ("stop" if last in ".!?…:;\"'»”" else
                            "word" if last.isalnum() else "other"))
@@ -203,42 +239,85 @@ BOILER = {
 CONTENT = "article content main post entry story body text page"
 
 
-def _words(rng: Random, n: int) -> str:
+# words of layouts that say nothing about what they wrap
+LAYOUT = "wrapper container row col grid box inner outer wrap block layout module region panel"
+STOP_WORDS, STOCK_WORDS = sorted(STOP), sorted(STOCK)
+
+
+def _invented(rng: Random) -> str:
     syll = "an ber ci de en fi ga ho il ka lo mi no or pa qu re sa tu ve".split()
-    return " ".join("".join(rng.choice(syll) for _ in range(rng.randint(1, 4)))
+    return "".join(rng.choice(syll) for _ in range(rng.randint(1, 4)))
+
+
+def _words(rng: Random, n: int, running: bool = False) -> str:
+    """Invented words; running text has frequent words between them."""
+    share = rng.uniform(0.15, 0.6) if running else 0
+    return " ".join(rng.choice(STOP_WORDS) if rng.random() < share else _invented(rng)
                     for _ in range(n))
 
 
 def _sentence(rng: Random, lo=3, hi=40) -> str:
-    s = _words(rng, rng.randint(lo, hi)).capitalize()
+    s = _words(rng, rng.randint(lo, hi), rng.random() < 0.7).capitalize()
     return s + rng.choice([".", ".", ".", "!", "?", "", "&amp;"])
 
 
+def _stock(rng: Random) -> str:
+    """A sentence as notices, footers and calls to act have it."""
+    words = _words(rng, rng.randint(2, 14), True).split()
+    for _ in range(rng.randint(1, 3)):
+        words.insert(rng.randint(0, len(words)), rng.choice(STOCK_WORDS))
+    return " ".join(words).capitalize() + rng.choice([".", ".", "", "!"])
+
+
 def _cls(rng: Random, words: str) -> str:
     pick = rng.sample(words.split(), rng.choice([1, 1, 2]))
     value = rng.choice(["-", "_", " "]).join(pick)
     return f' {rng.choice(["class", "class", "id"])}="{value}"'
 
 
+def _mute(rng: Random) -> str:
+    """An attribute that says nothing: none, a layout word or an invented one."""
+    r = rng.random()
+    if r < 0.35:
+        return ""
+    word = rng.choice(LAYOUT.split()) if r < 0.7 else _invented(rng)
+    return f' {rng.choice(["class", "id"])}="{word}{rng.choice(["", "-8", "-a", "2"])}"'
+
+
 def labelled_page(rng: Random) -> tuple[str, list[int]]:
-    """A page and the labels of its leaf blocks (1 content)."""
+    """A page and the labels of its leaf blocks (1 content). In a part of the pages wrappings carry
+    no word that tells what they wrap, so that texts, links and neighbours have to."""
     labels: list[int] = []
+    inside = [0]
+    mute = rng.random() < 0.5           # neither content nor menus are named
+    holder = rng.choice(["article", "article", "main", "div", "section", "body"])
+    told = not mute and holder in ("article", "main")
 
     def lines(n, label):
         labels.extend([label] * n)
 
     def boiler(kind: str) -> str:
         words = BOILER[kind]
-        tag = kind if kind in ("nav", "header", "footer", "aside", "form") else rng.choice(
-            ["div", "section", "aside"])
-        if rng.random() < 0.35:
-            tag = rng.choice(["div", "section"])
-        attr = _cls(rng, words) if tag in ("div", "section") or rng.random() < 0.4 else ""
-        if kind == "nav" or kind == "aside" and rng.random() < 0.5:
+        silent = mute and rng.random() < 0.7
+        if silent:
+            tag = rng.choice(["div", "div", "section"])
+            attr = _mute(rng)
+        else:
+            tag = kind if kind in ("nav", "header", "footer", "aside", "form") else rng.choice(
+                ["div", "section", "aside"])
+            if rng.random() < 0.35:
+                tag = rng.choice(["div", "section"])
+            attr = _cls(rng, words) if tag in ("div", "section") or rng.random() < 0.4 else ""
+        if kind == "nav" or kind in ("aside", "header") and (silent or rng.random() < 0.5):
             n = rng.randint(2, 8)
             lines(n, 0)
-            body = "<ul>" + "".join(f'<li><a href="/x">{_words(rng, rng.randint(1, 6))}</a></li>'
-                                    for _ in range(n)) + "</ul>"
+            item = rng.choice(["li", "li", "p", "div"])
+            body = "".join(f'<{item}><a href="/x">{_words(rng, rng.randint(1, 6))}</a></{item}>'
+                           for _ in range(n))
+            body = f"<ul>{body}</ul>" if item == "li" else body
+        elif silent and kind in ("comments", "form"):
+            lines(1, 0)
+            body = f"<p>{_stock(rng)}</p>"
         elif kind == "comments":
             n = rng.randint(1, 5)
             lines(n + 1, 0)
@@ -253,11 +332,16 @@ def labelled_page(rng: Random) -> tuple[str, list[int]]:
                                        f"<button>{_words(rng, 1)}</button>"]) for _ in range(n))
         elif rng.random() < 0.5:
             lines(1, 0)
-            body = ("&copy; " if kind == "footer" and rng.random() < 0.6 else "") + _sentence(rng)
+            sign = "&copy; " if kind == "footer" and rng.random() < 0.6 else ""
+            text = sign + (_stock(rng) if silent or rng.random() < 0.4 else _sentence(rng))
+            if (silent or told and inside[0] == 0) and rng.random() < 0.4:
+                return f"<p>{text}</p>"
+            body = text
         else:
             n = rng.randint(1, 4)
             lines(n, 0)
-            body = "".join(f"<p>{_sentence(rng)}</p>" for _ in range(n))
+            body = "".join(f"<p>{_stock(rng) if silent else _sentence(rng)}</p>"
+                           for _ in range(n))
         return f"<{tag}{attr}>{body}</{tag}>"
 
     def article() -> str:
@@ -288,12 +372,17 @@ def labelled_page(rng: Random) -> tuple[str, list[int]]:
             elif r < 0.93:
                 lines(2, 1)
                 out.append(f"<table><tr><td>{_words(rng, 2)}<td>{_words(rng, 1)}</table>")
-            else:
+            elif not mute:
                 out.append(boiler(rng.choice(["ad", "aside", "notice", "ad", "form", "nav"])))
-        if rng.random() < 0.15:
+        if rng.random() < 0.15 and not mute:
             out.append(boiler("comments"))
-        tag = rng.choice(["article", "article", "main", "div", "section", "body"])
         body = "".join(out)
+        if mute:
+            for _ in range(rng.choice([0, 1, 1, 1, 2])):
+                tag = rng.choice(["div", "div", "section"])
+                body = f"<{tag}{_mute(rng)}>{body}</{tag}>"
+            return body
+        tag = holder
         if tag == "body":
             return body
         attr = _cls(rng, CONTENT) if tag in ("div", "section") or rng.random() < 0.3 else ""
@@ -302,12 +391,17 @@ def labelled_page(rng: Random) -> tuple[str, list[int]]:
 
     before = [boiler(k) for k in rng.sample(["nav", "header", "ad", "notice", "form", "aside",
                                              "nav"], rng.randint(0, 5))]
+    inside[0] = 1
     middle = article()
+    inside[0] = 0
     after = [boiler(k) for k in rng.sample(["aside", "comments", "ad", "form", "notice", "nav"],
                                            rng.randint(0, 4))]
     if rng.random() < 0.85:
         after.append(boiler("footer"))
-    page = "".join(["<html><head><title>x</title></head><body>", *before, middle, *after])
+    body = "".join([*before, middle, *after])
+    if rng.random() < 0.3:
+        body = f"<div{_mute(rng)}>{body}</div>"
+    page = f"<html><head><title>x</title></head><body>{body}"
     return page + ("</body></html>" if rng.random() < 0.9 else ""), labels
 
 
@@ -322,7 +416,7 @@ def training_set(pages: int = TRAIN_PAGES, seed: int = TRAIN_SEED):
 
 
 def train(pages: int = TRAIN_PAGES, seed: int = TRAIN_SEED, steps: int = TRAIN_STEPS,
-          l2: float = 2e-3) -> dict[str, float]:
+          l2: float = 3e-4) -> dict[str, float]:
     """Weights of the field by maximum likelihood (forward-backward gradients, Adam). Label 0's
     emission is 0; 'T:ab' are the transition weights."""
     data = [(features(b), y) for b, y in training_set(pages, seed)]

@@ -133,12 +133,16 @@ def fit(docs: DataFrame) -> dict:
                         F.col("lang").cast("string").alias("lang"),
                         F.col("text").cast("string").alias("text")).filter(
         "k is not null and lang is not null").filter(~held_out(F.col("k")))
-    totals = known.groupBy("lang").agg(F.count("*").alias("n"))
-    # ids first: the texts of the sample alone are moved
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("k"), "k")
-    ids = (known.select("lang", "k").withColumn("nr", F.row_number().over(by_hash))
-           .filter(F.col("nr") <= FIT_DOCS).select(F.col("lang").alias("of"), F.col("k").alias("id")))
-    # FIT_DOCS rows a language at most
+    totals = materialize(known.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    # ids first: the texts of the sample alone are moved; of every language about twice the rows
+    # that are wanted reach the task that takes the first
+    draw = F.pmod(F.xxhash64("k"), F.lit(1 << 30))
+    some = (known.select("lang", "k").join(F.broadcast(totals), "lang")
+            .filter(draw * F.col("n") < 2 * FIT_DOCS * (1 << 30)))
+    by_hash = Window.partitionBy("lang").orderBy(draw, "k")
+    ids = (some.withColumn("nr", F.row_number().over(by_hash)).filter(F.col("nr") <= FIT_DOCS)
+           .select(F.col("lang").alias("of"), F.col("k").alias("id")))
+    # a row a language, and FIT_DOCS a language
     sample = materialize(known.join(F.broadcast(ids), (F.col("k") == F.col("id"))
                                     & (F.col("lang") == F.col("of")), "left_semi")
                          .select("lang", "text"), "language-sample")

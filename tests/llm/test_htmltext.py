@@ -52,6 +52,54 @@ def test_held_out_pages(weights):
     assert right / total > 0.985
 
 
+PARAGRAPHS = [
+    "The council met on Tuesday to talk about the new bridge and its cost for the town.",
+    "It was the third meeting of the year, and many people from the river side had come.",
+    "Work could begin in the spring if the money is found, a member of the board said.",
+    "Until then the old bridge stays open for cars that weigh less than three tons."]
+LAYOUTS = {
+    "unnamed": "<ul><li><a href=a>Home</a><li><a href=b>News</a><li><a href=c>Sport</a></ul>"
+               "<div>%s</div><div>&copy; 2020 All rights reserved</div>",
+    "foreign": "<div class=navigation><a href=a>Start</a> <a href=b>Sport</a></div>"
+               "<div id=inhalt>%s</div><div class=fusszeile>Impressum Datenschutz</div>",
+    "columns": "<div class=wrapper><div class=col-4><a href=a>Home</a> <a href=b>News</a></div>"
+               "<div class=col-8>%s</div></div>",
+    "plain": "%s", "article": "<nav><a href=a>Home</a></nav><article>%s</article>",
+    "main": "<p>We use cookies, accept our privacy notice.</p><main>%s</main>",
+    "nested": "<div id=x1><section><div class=box>%s</div></section></div>"
+              "<footer>Contact us</footer>",
+}
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_layouts_with_and_without_telling_names(weights, layout):
+    for n in (3, 4):
+        body = "<h1>Town talks about the bridge</h1>" + "".join(
+            f"<p>{p}</p>" for p in PARAGRAPHS[:n])
+        got = H.main_text(f"<html><body>{LAYOUTS[layout] % body}</body></html>", weights)
+        assert got.split("\n") == ["Town talks about the bridge", *PARAGRAPHS[:n]]
+
+
+def test_pages_with_names_never_trained_on(weights):
+    import random
+    rng, kept, content, wrong, boiler = random.Random(3), 0, 0, 0, 0
+    for k in range(200):
+        names = [f"{rng.choice('zxkwj')}{rng.choice('aeiou')}{rng.choice('zxkwj')}{i}"
+                 for i in range(4)]
+        prose = [" ".join(rng.sample(" ".join(PARAGRAPHS).split(), rng.randint(9, 50))) + "."
+                 for _ in range(rng.randint(2, 9))]
+        menu = [f"Item {rng.randint(1, 99)}" for _ in range(rng.randint(3, 8))]
+        page = (f"<body><div class={names[0]}><ul>" + "".join(f"<li><a href=x>{m}</a>" for m in menu)
+                + f"</ul></div><div id={names[1]}>" + "".join(f"<p>{p}</p>" for p in prose)
+                + f"</div><div class={names[2]}><p>&copy; 2021 All rights reserved</p></div>")
+        got = H.main_text(page, weights).split("\n")
+        content += len(prose)
+        kept += sum(p in got for p in prose)
+        boiler += len(menu) + 1
+        wrong += sum(g not in prose for g in got if g)
+    assert kept >= 0.98 * content and wrong <= 0.02 * boiler
+
+
 def test_viterbi_is_the_best_labelling(weights):
     from itertools import product
     for blocks, _ in H.training_set(30, seed=5):
