@@ -15,13 +15,14 @@ from concurrent.futures import ThreadPoolExecutor
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from carelens.operators import multilogit
 from carelens.operators.tune import fold_column
 from carelens.session import scratch_path, written
 
@@ -294,33 +295,29 @@ def per_population(df: DataFrame, population: str, label: str, trees: int = 10,
 
 
 def per_condition(features_df: DataFrame, labels: DataFrame, conditions: Sequence[tuple],
-                  key: str = "member_id", features: str = "features", max_iter: int = 20,
-                  parallelism: int = 1, folds: int = 2, seed: int = 17) -> DataFrame:
+                  key: str = "member_id", features: str = "features", max_iter: int = 40,
+                  folds: int = 2, seed: int = 17) -> DataFrame:
     """A logistic regression per (condition, class) (the conventional comparator), predicting
     out of fold. ``labels`` has (member_id, condition_name, chronic_flag) rows for members newly
-    coded; a condition without positives in a training part is predicted at its rate. Each
-    member's new conditions are one array, so features and labels are joined once for all fits.
+    coded; a condition without positives in a training part is predicted at its rate. All
+    regressions of all folds share the passes over the members (``multilogit``).
     Returns (member, condition, class, prob) for every member and condition."""
-    own = labels.groupBy(key).agg(F.collect_set(F.struct("condition_name", "chronic_flag"))
-                                  .alias("_new"))
-    base = written(features_df.select(key, features).join(own, key, "left").withColumn(
-        "_fold", fold_column([key], folds, 0, seed)), "condition-labels")
-
-    def fit_one(job):
-        (name, flag), f = job
-        hit = F.exists("_new", lambda x: (x["condition_name"] == name)
-                       & (x["chronic_flag"] == flag))
-        data = base.withColumn("_y", F.coalesce(hit, F.lit(False)).cast("double"))
-        train, rest = data.filter(F.col("_fold") != f), data.filter(F.col("_fold") == f)
-        rate = constant_rate(train, "_y")
-        if rate in (0.0, 1.0):
-            out = rest.withColumn("prob", F.lit(rate))
-        else:
-            m = LogisticRegression(featuresCol=features, labelCol="_y", maxIter=max_iter,
-                                   standardization=True).fit(train)
-            out = probability(m.transform(rest))
-        return out.select(key, F.lit(name).alias("condition_name"),
-                          F.lit(flag).alias("chronic_flag"), "prob")
-
-    return _union_all(_parallel_map(fit_one, [(c, f) for c in conditions for f in range(folds)],
-                                    parallelism))
+    spark = features_df.sparkSession
+    first = features_df.select(F.size(vector_to_array(features)).alias("w")).first()
+    if first is None or not conditions:
+        return features_df.select(key, F.lit("").alias("condition_name"),
+                                  F.lit("").alias("chronic_flag"),
+                                  F.lit(0.0).alias("prob")).limit(0)
+    listed = spark.createDataFrame([(n, c, i) for i, (n, c) in enumerate(conditions)],
+                                   "condition_name string, chronic_flag string, _at int")
+    own = labels.join(F.broadcast(listed), ["condition_name", "chronic_flag"]).groupBy(key).agg(
+        F.collect_set("_at").alias("y"))
+    rows = written(features_df.select(key, multilogit.sparse(features).alias("x")).join(
+        own, key, "left").select(
+            key, "x", F.coalesce("y", F.array().cast("array<int>")).alias("y"),
+            fold_column([key], folds, 0, seed).alias("fold")), "condition-labels")
+    names = F.array(*[F.struct(F.lit(n).alias("condition_name"), F.lit(c).alias("chronic_flag"))
+                      for n, c in conditions])
+    return multilogit.out_of_fold(rows, key, first["w"], len(conditions), folds, max_iter).select(
+        key, F.element_at(names, F.col("outcome") + 1).alias("_c"), "prob").select(
+        key, "_c.condition_name", "_c.chronic_flag", "prob")
