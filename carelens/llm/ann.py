@@ -2,9 +2,14 @@
 
 Each half of the (normalised) vectors has its own codebook; a vector's cell is the pair of its
 nearest centroids. A query walks the centroid pairs in order of summed distance, with a heap over
-the two sorted distance lists, until it has visited ``SHARE`` of the occupied cells and ``k`` vectors
+the two sorted distance lists, until it has visited its share of the occupied cells and ``k`` vectors
 besides itself, and the vectors of these cells are reranked by exact cosine in double precision.
 
+The share is measured, not set: ``PROBES`` of the queries (the first by hash order) are compared
+with every vector, and the share is the smallest that visits the cells of ``RECALL`` of their true
+neighbours. It falls with the structure of the vectors and, as neighbours draw nearer, with their
+number; a table without structure needs a large one.
+
 The codebooks are fitted on at most ``SAMPLE`` vectors (the first by hash order); every vector is
 indexed. The occupied cells (at most ``CENTROIDS``^2, whatever the input) are the only corpus
 statistic on the driver. Index rows meet queries in blocks: a first-half centroid's vectors are
@@ -31,8 +36,10 @@ from .common import materialize
 CENTROIDS = 64
 SAMPLE = 20_000
 ROUNDS = 15
-SHARE = 0.6
-BLOCK = 2_048
+SHARE = None                    # of the occupied cells; None: measured on the probes
+PROBES = 400
+RECALL = 0.95
+BLOCK = 8_192
 TIE = 1e-9                      # slack within which BLAS scores are recomputed row by row
 
 
@@ -99,8 +106,56 @@ def _cosines(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return (q * v).sum(1) / (np.sqrt((q * q).sum(1)) * np.sqrt((v * v).sum(1)))
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, share: float = SHARE) -> DataFrame:
-    """(query_id, rank, vec_id, score) of each query's ``k`` nearest vectors found."""
+def measured_share(index: DataFrame, is_query: Column, books, occupied: np.ndarray, half: int,
+                   k: int, recall: float = RECALL) -> float:
+    """The smallest share of the occupied cells, in the order of a walk, that holds ``recall`` of
+    the ``k`` true neighbours of the probes. A task keeps ``k`` vectors a probe."""
+    probes = (index.filter(is_query).orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id")
+              .limit(PROBES).select("vec_id", "embedding").collect())
+    if not probes:
+        return 1.0
+    ids = np.array([r["vec_id"] for r in probes])
+    unit = _unit(np.array([r["embedding"] for r in probes]))
+    sent = index.sparkSession.sparkContext.broadcast((ids, unit))
+
+    def best(batches):
+        own, x = sent.value
+        score = np.full((len(own), k), -np.inf)
+        cell = np.full((len(own), k), -1)
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            near = x @ _unit(np.stack(pdf["embedding"].to_numpy())).T
+            near[own[:, None] == pdf["vec_id"].to_numpy()[None]] = -np.inf
+            at = pdf["c1"].to_numpy().astype(np.int64) * occupied.shape[1] + pdf["c2"].to_numpy()
+            score = np.concatenate([score, near], 1)
+            cell = np.concatenate([cell, np.broadcast_to(at, near.shape)], 1)
+            top = np.argpartition(-score, k - 1, axis=1)[:, :k]
+            score, cell = np.take_along_axis(score, top, 1), np.take_along_axis(cell, top, 1)
+        probe, j = np.nonzero(np.isfinite(score))
+        yield pd.DataFrame({"probe": probe, "score": score[probe, j], "cell": cell[probe, j]})
+
+    order = Window.partitionBy("probe").orderBy(F.desc("score"), "cell")
+    true = (index.select("vec_id", "embedding", "c1", "c2")
+            .mapInPandas(best, "probe long, score double, cell long")
+            .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+            .select("probe", "cell").collect())                 # PROBES x k rows at most
+    if not true:
+        return 1.0
+    filled = np.flatnonzero(occupied.ravel())
+    d1, d2 = _distances(unit[:, :half], books[0]), _distances(unit[:, half:], books[1])
+    place = np.empty((len(probes), occupied.size), np.int64)
+    for i in range(len(probes)):
+        far = (d1[i][:, None] + d2[i][None]).ravel()[filled]
+        place[i, filled[np.argsort(far, kind="stable")]] = np.arange(len(filled))
+    met = np.sort([place[r["probe"], r["cell"]] + 1 for r in true])
+    return float(met[int(np.ceil(recall * len(met))) - 1] / len(filled))
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5,
+            share: float | None = SHARE) -> DataFrame:
+    """(query_id, rank, vec_id, score) of each query's ``k`` nearest vectors found, in ``share`` of
+    the occupied cells or, without it, in the measured share."""
     spark = vectors.sparkSession
     result = "query_id long, vec_id long, score double"
     v = clean(vectors)
@@ -131,6 +186,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, share: float = SHA
     occupied = np.zeros((len(books.value[0]), len(books.value[1])), np.int64)
     for r in cells:
         occupied[r["c1"], r["c2"]] = r["count"]
+    if share is None:
+        share = measured_share(index, is_query, books.value, occupied, half, k)
     need = max(1, int(np.ceil(share * len(cells))))
     blocks = np.maximum(1, -(-occupied.sum(1) // BLOCK))
     asked = index.filter(is_query)

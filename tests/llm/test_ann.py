@@ -73,6 +73,37 @@ def test_recall_on_the_supplied_table(spark):
     assert met / total >= 0.9
 
 
+def test_the_share_follows_the_structure_of_the_vectors(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 16)) * 4
+    near = [(i, (centres[i % 40] + rng.normal(size=16) * 0.2).tolist()) for i in range(2000)]
+    loose = [(i, rng.normal(size=16).tolist()) for i in range(2000)]
+    got = {}
+    for name, rows in (("near", near), ("loose", loose)):
+        x = ann._unit(np.array([r[1] for r in rows]))
+        books = ann.codebook(x[:, :8]), ann.codebook(x[:, 8:])
+        c1, c2 = (ann._distances(h, b).argmin(1) for h, b in zip((x[:, :8], x[:, 8:]), books))
+        occupied = np.zeros((len(books[0]), len(books[1])), np.int64)
+        np.add.at(occupied, (c1, c2), 1)
+        index = spark.createDataFrame(
+            [(i, v, int(a), int(b)) for (i, v), a, b in zip(rows, c1, c2)],
+            "vec_id long, embedding array<double>, c1 int, c2 int").repartition(3)
+        share = ann.measured_share(index, F.col("vec_id") % 10 == 0, books, occupied, 8, 5)
+        got[name] = share
+        need = int(np.ceil(share * (occupied > 0).sum()))
+        met = total = 0
+        d1, d2 = ann._distances(x[:, :8], books[0]), ann._distances(x[:, 8:], books[1])
+        for q in range(0, 2000, 10):
+            s = x @ x[q]
+            s[q] = -9
+            mask = ann.walk(d1[q], d2[q], occupied, need)
+            best = np.argsort(-s)[:5]
+            met += sum(int(mask[c1[j]]) >> int(c2[j]) & 1 for j in best)
+            total += 5
+        assert 0.95 <= met / total < 0.97
+    assert got["near"] < got["loose"], got
+
+
 def test_few_and_no_vectors(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert ann.nearest(none, F.col("vec_id") == 0).collect() == []
