@@ -132,30 +132,43 @@ def split_records(stream):
         raise ValueError("the archive ends inside a record")
 
 
-def inflate(data: bytes, piece: int = PIECE):
-    """The decompressed stream of a gzip file (one member or several), piece by piece."""
-    d = zlib.decompressobj(31)
-    for lo in range(0, len(data), piece):
-        part = data[lo:lo + piece]
+def inflate(stream, piece: int = PIECE):
+    """The decompressed bytes of a gzip file (one member or several) read from ``stream``, at most
+    ``piece`` bytes read and inflated at a time."""
+    d, inside = zlib.decompressobj(31), False
+    while part := stream.read(piece):
         while part:
-            yield d.decompress(part)
-            part = d.unused_data
+            yield d.decompress(part, piece)
+            part, inside = d.unconsumed_tail or d.unused_data, not d.eof
             if d.eof:
                 d = zlib.decompressobj(31)
+    while inside and (rest := d.decompress(d.unconsumed_tail, piece)):
+        yield rest
+        inside = not d.eof
+    if inside:
+        raise ValueError("the archive ends inside a member")
+
+
+def _file_system(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system and path of ``uri``; Spark writes local ones with a single slash."""
+    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
 
 
 def normalise(archives: DataFrame, path: str) -> DataFrame:
-    """Rewrite every archive of ``archives`` (path, content) under ``path``; the sidecar index
-    as rows (archive, offset, length, record_id)."""
+    """Rewrite every archive that ``archives`` (path) names under ``path``; the sidecar index as
+    rows (archive, offset, length, record_id). An archive is read as a stream: a task holds a piece
+    of it and one record, whatever its size."""
 
     def run(batches):
-        store, root = fs.FileSystem.from_uri(path)
+        store, root = _file_system(path)
         store.create_dir(root, recursive=True)
         for batch in batches:
-            for data in batch.column("content"):
+            for uri in batch.column("path").to_pylist():
                 name = f"{uuid.uuid4().hex}.warc.gz"
-                offset, rows, data = 0, [], data.as_py()
-                with store.open_output_stream(f"{root}/{name}", compression=None) as out:
+                offset, rows = 0, []
+                whole, place = _file_system(uri)
+                with whole.open_input_stream(place, compression=None) as data, \
+                        store.open_output_stream(f"{root}/{name}", compression=None) as out:
                     for record in split_records(inflate(data)):
                         coder = zlib.compressobj(6, zlib.DEFLATED, 31)
                         member = coder.compress(record) + coder.flush()
@@ -173,7 +186,7 @@ def normalise(archives: DataFrame, path: str) -> DataFrame:
                      pa.array([r[2] for r in rows], pa.string())],
                     ["archive", "offset", "length", "record_id"])
 
-    return materialize(archives.select("content").mapInArrow(
+    return materialize(archives.select("path").mapInArrow(
         run, "archive string, offset long, length long, record_id string"), "warc-index")
 
 
@@ -194,7 +207,7 @@ def read_records(index: DataFrame, path: str, payloads: bool = True) -> DataFram
     its payload, a revisit's are those it declares."""
 
     def run(batches):
-        store, root = fs.FileSystem.from_uri(path)
+        store, root = _file_system(path)
         opened, name = None, None
         for batch in batches:
             out = []

@@ -2,6 +2,7 @@
 import base64
 import gzip
 import hashlib
+import io
 import json
 import os
 
@@ -77,6 +78,13 @@ def test_streams_in_pieces():
     one = gzip.compress(b"".join(records))
     many = b"".join(gzip.compress(r) for r in records)
     for data in (one, many):
-        assert list(warc.split_records(warc.inflate(data, 7))) == records
+        assert list(warc.split_records(warc.inflate(io.BytesIO(data), 7))) == records
     with pytest.raises(ValueError):
         list(warc.split_records([records[1][:-6]]))
+    blank = gzip.compress(bytes(3_000_000))        # a piece inflates to far more than it holds
+    sizes = [len(x) for x in warc.inflate(io.BytesIO(blank + blank), 1000)]
+    assert sum(sizes) == 6_000_000 and max(sizes) <= 1000
+    assert list(warc.inflate(io.BytesIO(b""))) == []
+    for cut in (5, len(blank) // 2, len(blank) - 1, len(blank) + 4):
+        with pytest.raises(ValueError):
+            list(warc.inflate(io.BytesIO((blank + blank)[:cut]), 1000))
