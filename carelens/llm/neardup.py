@@ -7,8 +7,10 @@
    a large group of near copies costs one comparison a member.
 4. Links found join classes to components. Buckets that still hold several components are compared
    again, every member outside the bucket's main component with all members of other components,
-   in blocks of bounded size. So no link between different components is lost: links inside a
-   component cannot change it.
+   in blocks bounded in members and in shingles. A block holds the full sets, verifies what the
+   signatures let pass until two components are one, and tells only the links that joined some.
+   So no pair leaves a block without need, and no link between different components is lost: links
+   inside a component cannot change it.
 5. A comparison reads the signatures in batches and stops as soon as the posterior probability of
    a similarity at or over the threshold (uniform prior) falls below ``MISS``; what survives is
    verified on the full sets. Members of open buckets have longer signatures, so that the test
@@ -42,6 +44,7 @@ LONG = 1024                     # entries of the signatures compared inside buck
 BATCH = 16                      # signature entries read between two looks at the posterior
 MISS = 1e-6
 BLOCK = 512                     # members of a bucket that meet in one group
+SHINGLES = 1 << 20              # and shingles in all, unless one set has more
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -211,55 +214,84 @@ def _pass_pairs(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def _pass_blocks(rows: DataFrame, threshold: float) -> DataFrame:
-    """Rows (grp, left, rep, comp, sig, band, bands), sorted by group within partitions: the pairs
-    of a left and a right member of a group, of different components, that survive. A pair that
-    shares several buckets is told in the first of them only. A group has at most some BLOCK rows
-    of either side."""
-    steps = least_matches(threshold, LONG, 8)
-
-    def meet(rep, comp, left, band, sig, bands):
-        a, b = np.flatnonzero(left), np.flatnonzero(~left)
-        if not len(a) or not len(b):
-            return []
-        out = []
-        for lo in range(0, len(a), 128):
-            i, j = np.nonzero(comp[a[lo:lo + 128]][:, None] != comp[b][None])
-            i, j = a[lo + i], b[j]
-            live = survivors(sig, sig, i, j, steps)
-            i, j = i[live], j[live]
-            told = (bands[i] == bands[j]).argmax(1) == band[i]
-            out.append((rep[i[told]], rep[j[told]]))
-        return out
+def _similar(p: np.ndarray, q: np.ndarray, num: int, den: int) -> bool:
+    """den * |p and q| >= num * |p or q| for two sets without repeats."""
+    if num * max(len(p), len(q)) > den * min(len(p), len(q)):
+        return False
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return den * both >= num * (len(p) + len(q) - both)
+
+
+def _roots(comp: np.ndarray, parent: dict) -> np.ndarray:
+    """The component that each of ``comp`` has become part of."""
+    def root(c):
+        while c in parent:
+            c = parent[c]
+        return c
+    names, at = np.unique(comp, return_inverse=True)
+    return np.array([root(c) for c in names.tolist()], np.int64)[at]
+
+
+def _links_of_block(left, rep, comp, band, bands, sig, sets, steps, num, den):
+    """Links (a, b) between left and other members of a block that join components which no earlier
+    link of the block has joined. A pair that shares several buckets is looked at in the first of
+    them only."""
+    a, b = np.flatnonzero(left), np.flatnonzero(~left)
+    parent, found = {}, []
+    for lo in range(0, len(a) if len(b) else 0, 128):
+        comp = _roots(comp, parent)
+        i, j = np.nonzero(comp[a[lo:lo + 128]][:, None] != comp[b][None])
+        i, j = a[lo + i], b[j]
+        live = survivors(sig, sig, i, j, steps)
+        i, j = i[live], j[live]
+        told = (bands[i] == bands[j]).argmax(1) == band[i]
+        for x, y in zip(i[told].tolist(), j[told].tolist()):
+            u, v = int(comp[x]), int(comp[y])
+            while u in parent:
+                u = parent[u]
+            while v in parent:
+                v = parent[v]
+            if u != v and _similar(sets[x], sets[y], num, den):
+                parent[max(u, v)] = min(u, v)
+                found.append((max(rep[x], rep[y]), min(rep[x], rep[y])))
+    return found
+
+
+def _pass_blocks(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows (grp, left, rep, comp, band, bands, sig, members), sorted by group within partitions:
+    the links of each group, see ``_links_of_block``. A group has some BLOCK rows and SHINGLES
+    shingles of either side."""
+    steps = least_matches(num / den, LONG, 8)
 
     def run(batches):
         held = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cur = [batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2, 3, 1, 5)]
-            cur.append(_stack(batch.column(4), np.uint8, LONG))
-            cur.append(batch.column(6).flatten().to_numpy().reshape(-1, BANDS))
+            cur = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
+            cur.append(batch.column(5).flatten().to_numpy().reshape(-1, BANDS))
+            cur.append(_stack(batch.column(6), np.uint8, LONG))
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(7)]
             if held is not None:
-                cur = [np.concatenate(x) for x in zip(held, cur)]
-            cuts = np.flatnonzero(cur[0][1:] != cur[0][:-1]) + 1
-            cuts = np.concatenate(([0], cuts))
-            found = []
+                cur = [np.concatenate(x) for x in zip(held[0], cur)]
+                sets = held[1] + sets
+            cuts = np.concatenate(([0], np.flatnonzero(cur[0][1:] != cur[0][:-1]) + 1))
             for lo, hi in zip(cuts[:-1], cuts[1:]):
-                found += meet(*(x[lo:hi] for x in cur[1:]))
-            held = [x[cuts[-1]:] for x in cur]
-            yield from emit(found)
+                yield from tell([x[lo:hi] for x in cur], sets[lo:hi])
+            last = cuts[-1]
+            held = [x[last:] for x in cur], sets[last:]
         if held is not None:
-            yield from emit(meet(*held[1:]))
+            yield from tell(*held)
 
-    def emit(found):
+    def tell(cols, sets):
+        found = _links_of_block(*cols[1:], sets, steps, num, den)
         if found:
-            a, b = (np.concatenate(x) for x in zip(*found))
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)),
-                                              pa.array(np.minimum(a, b))], ["a", "b"])
+            a, b = zip(*found)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())],
+                                             ["a", "b"])
 
-    return rows.select("grp", "left", "rep", "comp", "sig", "band", "bands").mapInArrow(
-        run, "a long, b long")
+    return rows.select("grp", "left", "rep", "comp", "band", "bands", "sig",
+                       "members").mapInArrow(run, "a long, b long")
 
 
 def _full_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -282,7 +314,7 @@ def _full_sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _long_signatures(sets: DataFrame) -> DataFrame:
-    """(rep, sig): LONG entries of 8 bits of the documents in ``sets``."""
+    """(rep, sig, members): LONG entries of 8 bits of the documents in ``sets``, and their sets."""
 
     def run(batches):
         for batch in batches:
@@ -291,10 +323,11 @@ def _long_signatures(sets: DataFrame) -> DataFrame:
                 sig = signatures(raw[off[lo]:off[hi]].view(np.uint64),
                                  np.diff(off[lo:hi + 1]) // 8, LONG)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), _binary(sig.astype(np.uint8))],
-                    ["rep", "sig"])
+                    [batch.column(0).slice(lo, hi - lo), _binary(sig.astype(np.uint8)),
+                     batch.column(1).slice(lo, hi - lo)], ["rep", "sig", "members"])
 
-    return sets.select("doc_id", "members").mapInArrow(run, "rep long, sig binary")
+    return sets.select("doc_id", "members").mapInArrow(
+        run, "rep long, sig binary, members binary")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -305,16 +338,9 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                p = np.frombuffer(x.as_buffer(), np.uint64)
-                q = np.frombuffer(y.as_buffer(), np.uint64)
-                if num * max(len(p), len(q)) > den * min(len(p), len(q)):
-                    good.append(False)
-                    continue
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                good.append(den * both >= num * (len(p) + len(q) - both))
-            keep = pa.array(good, pa.bool_())
+            keep = pa.array([_similar(np.frombuffer(x.as_buffer(), np.uint64),
+                                      np.frombuffer(y.as_buffer(), np.uint64), num, den)
+                             for x, y in zip(batch.column(2), batch.column(3))], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep),
                                               batch.column(1).filter(keep)], ["a", "b"])
 
@@ -362,10 +388,10 @@ def _unique_ids(docs: DataFrame, width: int, num: int, den: int,
         usable.groupBy("set_a", "set_b", "n_shingles")
         .agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"),
              F.first("bands").alias("bands")), "classes")
-    buckets = classes.select("rep", F.posexplode("bands").alias("band", "key"))
+    buckets = classes.select("rep", "n_shingles", F.posexplode("bands").alias("band", "key"))
     shared = (buckets.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last"))
               .filter("hub < last").select("key", "hub"))
-    member = materialize(buckets.join(shared, "key"), "buckets")      # key, rep, band, hub
+    member = materialize(buckets.join(shared, "key"), "buckets")
 
     sigs = classes.select("rep", "sig")
     ids = materialize(member.select(F.col("rep").alias("doc_id")).distinct(), "candidates")
@@ -391,14 +417,21 @@ def _unique_ids(docs: DataFrame, width: int, num: int, den: int,
 
     # buckets with several components: members outside the main one against all others
     placed = (member.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
-              .select("key", "band", "rep", F.coalesce("component", "rep").alias("comp")))
-    parts = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    mixed = (parts.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("main"),
-                                      F.count("*").alias("k"), F.sum("n").alias("all_n"))
+              .select("key", "band", "rep", "n_shingles",
+                      F.coalesce("component", "rep").alias("comp")))
+    parts = placed.groupBy("key", "comp").agg(F.count("*").alias("n"),
+                                              F.sum("n_shingles").alias("size"))
+
+    def blocks(n, size):
+        return F.ceil(F.greatest(n / BLOCK, size / SHINGLES)).cast("int")
+
+    mixed = (parts.groupBy("key").agg(F.max(F.struct("n", "comp", "size")).alias("main"),
+                                      F.count("*").alias("k"), F.sum("n").alias("n"),
+                                      F.sum("size").alias("size"))
              .filter("k > 1")
              .select("key", F.col("main.comp").alias("main"),
-                     F.ceil(F.col("all_n") / BLOCK).cast("int").alias("rights"),
-                     F.ceil((F.col("all_n") - F.col("main.n")) / BLOCK).cast("int")
+                     blocks(F.col("n"), F.col("size")).alias("rights"),
+                     blocks(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size"))
                      .alias("lefts")))
     open_rows = materialize(placed.join(mixed, "key"), "open-rows")
     open_ids = materialize(open_rows.select(F.col("rep").alias("doc_id")).distinct(), "open-ids")
@@ -417,11 +450,10 @@ def _unique_ids(docs: DataFrame, width: int, num: int, den: int,
              F.col("l").cast("long")]
     rows = (left.select(*names).unionByName(right.select(*names))
             .join(longer, "rep").join(classes.select("rep", "bands"), "rep")
-            .select(F.xxhash64("key", "r", "l").alias("grp"), "left", "rep", "comp", "sig", "band",
-                    "bands"))
-    rows = rows.repartition("grp").sortWithinPartitions("grp")
-    more = materialize(_pass_blocks(rows, threshold).distinct(), "open-pairs")
-    more = _verify(more, sets, num, den)
+            .select(F.xxhash64("key", "r", "l").alias("grp"), "left", "rep", "comp", "band",
+                    "bands", "sig", "members"))
+    rows = rows.repartition("grp").sortWithinPartitions("grp", "rep", "left")
+    more = materialize(_pass_blocks(rows, num, den), "open-links")
     final = connected_components(
         comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
         .unionByName(more))

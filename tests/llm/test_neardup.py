@@ -69,3 +69,55 @@ def test_rows_that_share_an_id_but_not_the_text(spark):
         assert sorted((tuple(r) for r in got), key=repr) == brute(rows, 4)
     by = {(r["doc_id"], r["component_id"]) for r in got}
     assert {(1, 1), (2, 1), (5, 1), (7, 1), (8, 8), (9, 8)} <= by
+
+
+def test_links_of_a_block_join_what_all_its_pairs_join():
+    rng = np.random.default_rng(4)
+    base = rng.permutation(400).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    # sets around the threshold of 0.8, several components to begin with
+    sets = [np.sort(base[rng.random(400) < q]) for q in rng.choice([0.86, 0.89, 0.93], 60)]
+    sizes = np.array([len(x) for x in sets])
+    sig = neardup.signatures(np.concatenate(sets), sizes, neardup.LONG).astype(np.uint8)
+    rep = rng.permutation(1000)[:60]
+    comp = rep.copy()
+    comp[30:45] = 2000                      # the main component: right members only
+    left = np.arange(60) < 30
+    bands = np.zeros((60, neardup.BANDS), np.int64)
+    band = np.zeros(60, np.int64)
+    steps = neardup.least_matches(0.8, neardup.LONG, 8)
+    found = neardup._links_of_block(left, rep, comp, band, bands, sig, sets, steps, 80, 100)
+    ok = {(i, j): 100 * len(set(p.tolist()) & set(q.tolist()))
+          >= 80 * len(set(p.tolist()) | set(q.tolist()))
+          for i, p in enumerate(sets) for j, q in enumerate(sets)}
+    at = {int(r): k for k, r in enumerate(rep)}
+    assert found and all(ok[at[a], at[b]] for a, b in found)
+    all_pairs = [(int(comp[i]), int(comp[j])) for i in range(30) for j in range(30, 60) if ok[i, j]]
+    told = [(int(comp[at[a]]), int(comp[at[b]])) for a, b in found]
+    nodes = [(int(c), int(c)) for c in comp]
+    assert union_find(nodes + all_pairs) == union_find(nodes + told)
+    # a forest: no link more than joins
+    assert len(told) < len(set(comp.tolist())) <= len(all_pairs)
+    # pairs that met in an earlier bucket are left to it
+    assert not neardup._links_of_block(left, rep, comp, band + 1, bands, sig, sets, steps, 80, 100)
+
+
+def test_blocks_are_bounded_by_shingles(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SHINGLES", 300)
+    rows = documents()
+    got = neardup.near_duplicates(spark.createDataFrame(rows, DOC_SCHEMA), 4).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute(rows, 4)
+
+
+def test_templates_around_the_threshold(spark):
+    """A large group of filled-in templates, many pairs just over and many just below 0.8."""
+    rng = np.random.default_rng(12)
+    words = prose(77, 120).split()
+    rows = []
+    for i in range(150):
+        own = list(words)
+        for k in rng.choice(len(own), int(rng.integers(1, 5)), replace=False):
+            own[k] = f"w{rng.integers(1 << 30)}"
+        rows.append((int(rng.integers(1 << 40)), " ".join(own)))
+    got = neardup.near_duplicates(spark.createDataFrame(rows, DOC_SCHEMA), 4).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute(rows, 4)
+    assert 1 < sum(r["kept"] for r in got) < 150
