@@ -7,10 +7,11 @@
    a large group of near copies costs one comparison a member.
 4. Links found join classes to components. Buckets that still hold several components are compared
    again, every member outside the bucket's main component with all members of other components,
-   in blocks bounded in members and in shingles. A block holds the full sets, verifies what the
-   signatures let pass until two components are one, and tells only the links that joined some.
-   So no pair leaves a block without need, and no link between different components is lost: links
-   inside a component cannot change it.
+   in blocks bounded in members and in shingles. The signatures of a block tell its pairs; where
+   they would be more than ``PAIRS`` a member, the block's full sets are sent instead, and it
+   verifies its pairs itself, until two components are one, and tells only the links that joined
+   some. So pairs never leave a block all together, and no link between different components is
+   lost: links inside a component cannot change it.
 5. A comparison reads the signatures in batches and stops as soon as the posterior probability of
    a similarity at or over the threshold (uniform prior) falls below ``MISS``; what survives is
    verified on the full sets. Members of open buckets have longer signatures, so that the test
@@ -45,6 +46,7 @@ BATCH = 16                      # signature entries read between two looks at th
 MISS = 1e-6
 BLOCK = 512                     # members of a bucket that meet in one group
 SHINGLES = 1 << 20              # and shingles in all, unless one set has more
+PAIRS = 4                       # pairs a member that a block tells without verifying them
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -257,11 +259,31 @@ def _links_of_block(left, rep, comp, band, bands, sig, sets, steps, num, den):
     return found
 
 
-def _pass_blocks(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Rows (grp, left, rep, comp, band, bands, sig, members), sorted by group within partitions:
-    the links of each group, see ``_links_of_block``. A group has some BLOCK rows and SHINGLES
-    shingles of either side."""
-    steps = least_matches(num / den, LONG, 8)
+def _pairs_of_block(left, rep, comp, band, bands, sig, steps):
+    """Pairs (a, b) of left and other members of a block, of different components, that survive;
+    None where they are more than PAIRS a member. A pair that shares several buckets is told in
+    the first of them only."""
+    a, b = np.flatnonzero(left), np.flatnonzero(~left)
+    found, count = [], 0
+    for lo in range(0, len(a) if len(b) else 0, 128):
+        i, j = np.nonzero(comp[a[lo:lo + 128]][:, None] != comp[b][None])
+        i, j = a[lo + i], b[j]
+        live = survivors(sig, sig, i, j, steps)
+        i, j = i[live], j[live]
+        told = (bands[i] == bands[j]).argmax(1) == band[i]
+        found.append((rep[i[told]], rep[j[told]]))
+        count += int(told.sum())
+        if count > PAIRS * len(rep):
+            return None
+    if not count:
+        return rep[:0], rep[:0]
+    i, j = (np.concatenate(x) for x in zip(*found))
+    return np.maximum(i, j), np.minimum(i, j)
+
+
+def _per_block(rows: DataFrame, work, schema: str, *more: str) -> DataFrame:
+    """``work(grp, columns, sets)`` on the rows of each block (grp); columns are left, rep, comp,
+    band, bands and sig, sets the members where they are among the columns."""
 
     def run(batches):
         held = None
@@ -271,27 +293,53 @@ def _pass_blocks(rows: DataFrame, num: int, den: int) -> DataFrame:
             cur = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
             cur.append(batch.column(5).flatten().to_numpy().reshape(-1, BANDS))
             cur.append(_stack(batch.column(6), np.uint8, LONG))
-            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(7)]
+            sets = [np.frombuffer(x.as_buffer(), np.uint64)
+                    for c in batch.columns[7:] for x in c]
             if held is not None:
                 cur = [np.concatenate(x) for x in zip(held[0], cur)]
                 sets = held[1] + sets
             cuts = np.concatenate(([0], np.flatnonzero(cur[0][1:] != cur[0][:-1]) + 1))
             for lo, hi in zip(cuts[:-1], cuts[1:]):
-                yield from tell([x[lo:hi] for x in cur], sets[lo:hi])
+                yield from work(int(cur[0][lo]), [x[lo:hi] for x in cur[1:]], sets[lo:hi])
             last = cuts[-1]
             held = [x[last:] for x in cur], sets[last:]
         if held is not None:
-            yield from tell(*held)
+            yield from work(int(held[0][0][0]), held[0][1:], held[1])
+
+    return (rows.select("grp", "left", "rep", "comp", "band", "bands", "sig", *more)
+            .repartition("grp").sortWithinPartitions("grp", "rep", "left")
+            .mapInArrow(run, schema))
+
+
+def _pass_blocks(rows: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, full) of blocks: pairs that survive the sequential test, or the block (full) that has
+    too many to tell."""
+    steps = least_matches(threshold, LONG, 8)
+
+    def work(grp, cols, _):
+        found = _pairs_of_block(*cols, steps)
+        if found is None:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()),
+                                              pa.array([grp])], ["a", "b", "full"])
+        elif len(found[0]):
+            yield pa.RecordBatch.from_arrays(
+                [*map(pa.array, found), pa.nulls(len(found[0]), pa.int64())], ["a", "b", "full"])
+
+    return _per_block(rows, work, "a long, b long, full long")
+
+
+def _link_blocks(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) of blocks with their full sets (members): see ``_links_of_block``."""
+    steps = least_matches(num / den, LONG, 8)
 
-    def tell(cols, sets):
-        found = _links_of_block(*cols[1:], sets, steps, num, den)
+    def work(_, cols, sets):
+        found = _links_of_block(*cols, sets, steps, num, den)
         if found:
             a, b = zip(*found)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())],
                                              ["a", "b"])
 
-    return rows.select("grp", "left", "rep", "comp", "band", "bands", "sig",
-                       "members").mapInArrow(run, "a long, b long")
+    return _per_block(rows, work, "a long, b long", "members")
 
 
 def _full_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -314,7 +362,7 @@ def _full_sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _long_signatures(sets: DataFrame) -> DataFrame:
-    """(rep, sig, members): LONG entries of 8 bits of the documents in ``sets``, and their sets."""
+    """(rep, sig): LONG entries of 8 bits of the documents in ``sets``."""
 
     def run(batches):
         for batch in batches:
@@ -323,11 +371,10 @@ def _long_signatures(sets: DataFrame) -> DataFrame:
                 sig = signatures(raw[off[lo]:off[hi]].view(np.uint64),
                                  np.diff(off[lo:hi + 1]) // 8, LONG)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), _binary(sig.astype(np.uint8)),
-                     batch.column(1).slice(lo, hi - lo)], ["rep", "sig", "members"])
+                    [batch.column(0).slice(lo, hi - lo), _binary(sig.astype(np.uint8))],
+                    ["rep", "sig"])
 
-    return sets.select("doc_id", "members").mapInArrow(
-        run, "rep long, sig binary, members binary")
+    return sets.select("doc_id", "members").mapInArrow(run, "rep long, sig binary")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -448,12 +495,17 @@ def _unique_ids(docs: DataFrame, width: int, num: int, den: int,
         F.pmod(salt, F.col("lefts")).alias("l"))
     names = ["key", "band", "rep", "comp", "left", F.col("r").cast("long"),
              F.col("l").cast("long")]
-    rows = (left.select(*names).unionByName(right.select(*names))
-            .join(longer, "rep").join(classes.select("rep", "bands"), "rep")
-            .select(F.xxhash64("key", "r", "l").alias("grp"), "left", "rep", "comp", "band",
-                    "bands", "sig", "members"))
-    rows = rows.repartition("grp").sortWithinPartitions("grp", "rep", "left")
-    more = materialize(_pass_blocks(rows, num, den), "open-links")
+    dealt = left.select(*names).unionByName(right.select(*names)).select(
+        F.xxhash64("key", "r", "l").alias("grp"), "left", "rep", "comp", "band")
+    told = materialize(_pass_blocks(
+        dealt.join(longer, "rep").join(classes.select("rep", "bands"), "rep"), threshold),
+        "open-pairs")
+    full = hint_small(told.filter("full is not null").select(F.col("full").alias("grp")), 16)
+    dense = (dealt.join(full, "grp", "left_semi").join(longer, "rep")
+             .join(classes.select("rep", "bands"), "rep")
+             .join(sets.select(F.col("doc_id").alias("rep"), "members"), "rep"))
+    more = materialize(_verify(told.filter("full is null").select("a", "b").distinct(), sets, num,
+                               den).unionByName(_link_blocks(dense, num, den)), "open-links")
     final = connected_components(
         comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
         .unionByName(more))

@@ -101,8 +101,24 @@ def test_links_of_a_block_join_what_all_its_pairs_join():
     assert not neardup._links_of_block(left, rep, comp, band + 1, bands, sig, sets, steps, 80, 100)
 
 
-def test_blocks_are_bounded_by_shingles(spark, monkeypatch):
+def test_pairs_of_a_block_unless_they_are_many(monkeypatch):
+    sig = np.zeros((6, neardup.LONG), np.uint8)
+    sig[5] = 1
+    left, rep = np.arange(6) < 3, np.array([7, 3, 9, 1, 8, 2])
+    bands, band = np.zeros((6, neardup.BANDS), np.int64), np.zeros(6, np.int64)
+    steps = neardup.least_matches(0.8, neardup.LONG, 8)
+    comp = np.array([7, 3, 9, 1, 9, 2])
+    a, b = neardup._pairs_of_block(left, rep, comp, band, bands, sig, steps)
+    assert sorted(zip(a.tolist(), b.tolist())) == [(3, 1), (7, 1), (8, 3), (8, 7), (9, 1)]
+    monkeypatch.setattr(neardup, "PAIRS", 0.5)
+    assert neardup._pairs_of_block(left, rep, comp, band, bands, sig, steps) is None
+    a, b = neardup._pairs_of_block(left, rep, comp, band + 1, bands, sig, steps)
+    assert not len(a) and not len(b)
+
+
+def test_blocks_are_bounded_by_shingles_and_verify_themselves(spark, monkeypatch):
     monkeypatch.setattr(neardup, "SHINGLES", 300)
+    monkeypatch.setattr(neardup, "PAIRS", 0)
     rows = documents()
     got = neardup.near_duplicates(spark.createDataFrame(rows, DOC_SCHEMA), 4).collect()
     assert sorted((tuple(r) for r in got), key=repr) == brute(rows, 4)
