@@ -378,7 +378,7 @@ def als_sample_explanations(src: Source) -> DataFrame:
     targets = explain.sample_members(users, 10).select("user_id",
                                                        F.explode(products).alias("product_id"))
     found = explain.contributions(inputs.model(src, "pred", params), inputs.ratings(src, "pred"),
-                                  targets, params).filter("product_a <> product_b")
+                                  targets, params, users).filter("product_a <> product_b")
     path = scratch_path(src.spark, "sample-explanations")
     export_explanations(explain.named_contributions(found, users, pm), path, params.rank,
                         params.alpha, params.reg)
@@ -928,7 +928,8 @@ def benchmark_model_actuals(src: Source) -> DataFrame:
 def recommendation_rules(src: Source) -> DataFrame:
     """Of the exported recommendations, how many break a rule: ranks that are
     not 1..n, conditions already coded, conditions of the other gender, fewer than ten."""
-    recs = inputs.predictions(src).withColumnRenamed("feature_value", "condition_name")
+    recs = written(inputs.predictions(src).withColumnRenamed("feature_value", "condition_name"),
+                   "recommendations")
     known = inputs.pred_features(src).select("member_id", "condition_name").distinct()
     allowed = candidates.gender_filter(recs, src.members, inputs.gender_labels(src))
     per = recs.groupBy("member_id").agg(F.count("*").alias("n"), F.max("pred_rank").alias("top"),

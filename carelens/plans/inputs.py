@@ -151,5 +151,6 @@ def explanations(src: Source, params: factor.Params = DEFAULT_PARAMS) -> DataFra
     targets = (top1.join(user_map(src, "pred"), "member_id")
                .join(pm, ["feature_name", "feature_value", "chronic_flag"])
                .select("user_id", "product_id"))
-    c = explain.contributions(model(src, "pred", params), ratings(src, "pred"), targets, params)
+    c = explain.contributions(model(src, "pred", params), ratings(src, "pred"), targets, params,
+                              user_map(src, "pred"))
     return explain.named_contributions(c, user_map(src, "pred"), pm)

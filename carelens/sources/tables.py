@@ -130,9 +130,11 @@ def export_explanations(df: DataFrame, path: str, rank: int, alpha: float, reg:
 
 def export_small_tables(tables: dict[str, DataFrame], out_dir: str) -> None:
     """Case-study tables as one header CSV each. Only meant for small extracts (a handful of
-    members): ``coalesce(1)`` funnels the table through one task."""
+    members): their rows meet in one task, which writes them; what the extract is taken from is
+    read and filtered by as many tasks as it has partitions (``coalesce(1)`` would run those in
+    the one task too)."""
     for name, df in tables.items():
-        (df.coalesce(1).write.mode("overwrite").option("header", True)
+        (df.repartition(1).write.mode("overwrite").option("header", True)
            .csv(f"{out_dir.rstrip('/')}/{name}"))
 
 
