@@ -18,6 +18,10 @@ member, the others with a cosine of at least ``least``, exactly.
   * Classes that share one are dealt by blocks of at most ``BLOCK`` per side, so a common condition
     is spread over many tasks; tasks compare a block pair as one matrix product and emit the pairs
     over the threshold, each under the rarest condition of both prefixes.
+  * Where the conditions are few and common the prefixes leave nothing out: more pairs meet under
+    them than there are. Then blocks of classes meet all classes instead (``nearest_classes``): a
+    task holds a block, streams the others past it and keeps the nearest of each only, so that
+    neither the pairs nor a copy of a class per prefix condition is ever written.
 The k nearest then vote with their cosine for conditions the member lacks.
 """
 
@@ -35,6 +39,7 @@ from carelens.session import written
 ITEM_KEYS = ["condition_name", "chronic_flag"]
 DENSE_ITEMS = 2_000           # conditions whose table is sent to every task (32 MB of doubles)
 BLOCK = 512                   # classes of one side that meet under a condition
+HELD = (1_024, 16_384)        # classes of a block that all classes are streamed past
 
 
 def _indexed(known: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -163,14 +168,122 @@ def _classes(known: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return of, classes, items
 
 
+def _prefixes(classes: DataFrame, least: float) -> DataFrame:
+    length = F.col("size") - F.ceil(F.col("size") * (least * least) - 1e-9) + 1
+    return classes.withColumn("prefix", F.slice("items", 1, length.cast("int")))
+
+
+def _prefixes_help(classes: DataFrame, items: DataFrame, least: float) -> bool:
+    """Whether fewer pairs meet under prefix conditions than there are pairs of classes."""
+    if items.count() > DENSE_ITEMS:
+        return True
+    n = classes.count()
+    meet = (_prefixes(classes, least).select(F.explode("prefix").alias("token"))
+            .groupBy("token").agg(F.count("*").alias("n"))
+            .agg(F.sum(F.col("n").cast("double") * F.col("n")))).first()[0]
+    return n < 2 or meet < float(n) * n
+
+
+def nearest_classes(classes: DataFrame, width: int, least: float, neighbours: int) -> DataFrame:
+    """(a, b, cosine): of every class a its ``neighbours`` nearest other classes b of a cosine of at
+    least ``least``, ties (at nine places) to the smaller b; ``width`` is the largest item. All
+    pairs are compared: a block of classes stays in its task, all classes pass it in rising order,
+    and only the best so far are kept."""
+    n = classes.count()
+    block = min(max(HELD[0], -(-n // 64)), HELD[1])
+    blocks = max(1, -(-n // block))
+    own = F.pmod(F.xxhash64("class"), F.lit(blocks)).cast("int")
+    rows = classes.select(F.col("class").cast("long").alias("class"), "items", own.alias("own"))
+    left = rows.select(F.col("own").alias("grp"), F.lit(0).alias("side"), "class", "items")
+    right = rows.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("grp"),
+                        F.lit(1).alias("side"), "class", "items")
+
+    def sets(batch):
+        off = batch.column(3).offsets.to_numpy()
+        size = np.diff(off)
+        held = np.zeros((batch.num_rows, width + 1), np.float32)
+        held[np.repeat(np.arange(batch.num_rows), size), batch.column(3).flatten().to_numpy()] = 1
+        return batch.column(2).to_numpy(), held, size.astype(float)
+
+    def run(batches):
+        state = {}
+
+        def close():
+            if not state:
+                return
+            at, place = np.nonzero(state["key"] > -1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(state["name"][at]), pa.array(state["b"][at, place]),
+                 pa.array(state["cos"][at, place])], ["a", "b", "cosine"])
+            state.clear()
+
+        def begin(parts):
+            name, held, size = (np.concatenate(x) for x in zip(*parts))
+            best = (len(name), neighbours)
+            state.update(name=name, held=held, size=size, key=np.full(best, -2.0),
+                         b=np.zeros(best, np.int64), cos=np.zeros(best), step=64)
+
+        def meet(name, held, size):
+            lowest = np.maximum(state["key"][:, -1], least) - 1e-6
+            near = state["held"] @ held.T
+            near *= (1 / np.sqrt(state["size"])).astype(np.float32)[:, None]
+            near *= (1 / np.sqrt(size)).astype(np.float32)[None]
+            i, j = np.nonzero(near >= lowest.astype(np.float32)[:, None])
+            keep = state["name"][i] != name[j]
+            i, j = i[keep], j[keep]
+            scale = np.sqrt(state["size"][i] * size[j])
+            both = np.rint(near[i, j] * scale)
+            keep = both * both >= least * least * state["size"][i] * size[j] - 1e-9
+            cos = both / scale
+            keep &= np.round(cos, 9) > state["key"][i, -1]      # ties stay with the smaller b
+            i, j, cos = i[keep], j[keep], cos[keep]
+            if not len(i):
+                return
+            rows, old = np.unique(i), state["key"]
+            every = np.concatenate([np.repeat(rows, neighbours), i])
+            key = np.concatenate([old[rows].ravel(), np.round(cos, 9)])
+            b = np.concatenate([state["b"][rows].ravel(), name[j]])
+            full = np.concatenate([state["cos"][rows].ravel(), cos])
+            order = np.lexsort((b, -key, every))
+            first = np.searchsorted(every[order], rows)
+            pick = order[first[:, None] + np.arange(neighbours)]
+            state["key"][rows], state["b"][rows], state["cos"][rows] = key[pick], b[pick], full[pick]
+
+        grp, lefts = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            groups, side = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.flatnonzero((groups[1:] != groups[:-1]) | (side[1:] != side[:-1])) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows]):
+                if groups[lo] != grp:
+                    yield from close()
+                    grp, lefts = groups[lo], []
+                if side[lo] == 0:
+                    lefts.append(sets(batch.slice(lo, hi - lo)))
+                    continue
+                if not state:
+                    if not lefts:
+                        continue
+                    begin(lefts)
+                    lefts = []
+                while lo < hi:
+                    step = min(state["step"], hi - lo)
+                    meet(*sets(batch.slice(lo, step)))
+                    lo, state["step"] = lo + step, min(BLOCK, 2 * state["step"])
+        yield from close()
+
+    return (left.unionByName(right).repartition(blocks, "grp")
+            .sortWithinPartitions("grp", "side", "class")
+            .mapInArrow(run, "a long, b long, cosine double"))
+
+
 def similar_classes(classes: DataFrame, least: float) -> DataFrame:
     """(a, b, cosine) of all ordered pairs of different sets with a cosine of at least ``least``,
     by prefix filter and block pairs."""
     share = least * least
-    length = F.col("size") - F.ceil(F.col("size") * share - 1e-9) + 1
-    rows = (classes.withColumn("prefix", F.slice("items", 1, length.cast("int")))
-            .select("class", "items", "prefix", F.explode("prefix").alias("token")))
-    rows = written(rows, "prefixes")
+    rows = written(_prefixes(classes, least).select(
+        "class", "items", "prefix", F.explode("prefix").alias("token")), "prefixes")
     blocks = (rows.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"),
                                         F.count("*").alias("n")).filter("n > 1").drop("n"))
     own = F.pmod(F.xxhash64("class", "token"), F.col("blocks"))
@@ -260,7 +373,11 @@ def nearest_based(known: DataFrame, least: float = 0.5, neighbours: int = 10, k:
     member lacks, ties by condition and class. Members of equal sets have equal results: the others
     of their set come first and vote for nothing new."""
     of, classes, items = _classes(known)
-    pairs = written(similar_classes(classes, least), "similar-classes")
+    if _prefixes_help(classes, items, least):
+        pairs = written(similar_classes(classes, least), "similar-classes")
+    else:
+        width = items.agg(F.max("_item")).first()[0]
+        pairs = written(nearest_classes(classes, width, least, neighbours), "similar-classes")
     size = classes.select("class", "members")
     # of equal cosines the smaller ids come first, so the first classes hold the nearest members
     close = rank_top(pairs.withColumn("_c", F.round("cosine", 9)), ["a"],

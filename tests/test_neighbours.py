@@ -67,3 +67,24 @@ def test_dense_and_joined_scores_are_equal(spark, monkeypatch):
             dense = found()
             monkeypatch.setattr(neighbours, "DENSE_ITEMS", 0)
             assert found() == dense and dense
+
+
+def test_dense_sets_are_streamed_and_give_the_same_neighbours(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = [(m, f"c{c:02d}", "1") for m in range(150) for c in rng.sample(range(14), rng.randint(3, 9))]
+    rows += [(m + 1000, c, f) for m, c, f in rows if m < 20] + [(5000, "c00", "1"), (5001, "z", "1")]
+    known = spark.createDataFrame(rows, "member_id long, condition_name string, chronic_flag string")
+    _, classes, items = neighbours._classes(known)
+    assert not neighbours._prefixes_help(classes, items, 0.5)
+    monkeypatch.setattr(neighbours, "HELD", (40, 50))
+
+    def run():
+        return sorted(map(tuple, neighbours.nearest_based(known, 0.5, 4, 5).collect()))
+
+    monkeypatch.setattr(neighbours, "similar_classes", None)         # all pairs are not written
+    streamed = run()
+    kept = neighbours.nearest_classes(classes, 20, 0.5, 4).groupBy("a").count()
+    assert kept.filter("count > 4").count() == 0 and kept.count() > 100
+    monkeypatch.undo()
+    monkeypatch.setattr(neighbours, "_prefixes_help", lambda *a: True)
+    assert streamed == run()
