@@ -179,3 +179,29 @@ def test_suspicious_codings_threshold_brute_force(spark):
         k = next(i for i, v in enumerate(vs) if (i + 1) / len(vs) >= 0.05)
         want += [(c, v) for v in vs if v <= vs[k]]
     assert got == sorted(want)
+
+
+def test_known_ratings_join_condition_factors_last(spark):
+    fdf, _, mdf = _planted(spark, members=40)
+    feats = features.munge_features(features.demographic_features(mdf), fdf)
+    users = ids.contiguous_ids(feats, "member_id", "user_id")
+    products = ids.contiguous_ids(feats, ["feature_name", "feature_value", "chronic_flag"],
+                                  "product_id")
+    model = factor.fit(ids.ratings(feats, users, products), factor.Params(rank=4), max_iter=2)
+    rated = factor.known_ratings(model, users, products, fdf)
+    u = {r[0]: r[1] for r in model.userFactors.join(users, model.userFactors.id == users.user_id)
+         .select("member_id", "features").collect()}
+    v = {(r[0], r[1]): r[2] for r in model.itemFactors.join(
+        products, model.itemFactors.id == products.product_id)
+        .select("feature_value", "chronic_flag", "features").collect()}
+    want = sorted((r[0], r[1], round(sum(a * b for a, b in zip(u[r[0]], v[r[1], r[2]])), 5))
+                  for r in fdf.collect())
+    assert sorted((r[0], r[1], round(r[3], 5)) for r in rated.collect()) == want
+    # what lies under the last join holds the members' factors only: no row carries both
+    last = rated._jdf.queryExecution().analyzed()
+    while last.nodeName() != "Join":
+        last = last.children().apply(0)
+    def arrays(side):
+        return [c for c in side.output().mkString("|").split("|") if c.split("#")[0] in ("u", "v")]
+    assert len(arrays(last.left())) == 1 and arrays(last.left())[0].startswith("u#")
+    assert arrays(last.right())[0].startswith("v#")
