@@ -119,3 +119,24 @@ def test_condition_models_take_the_whole_popular_list(spark, monkeypatch):
     assert len(asked) == len(set(asked)) == 60
     assert {f: sum(x == f for _, x in asked) for _, f in asked} == \
         dict.fromkeys({f for _, f in asked}, POPULAR_TOP)
+
+
+def test_populations_group_known_conditions_once(spark, monkeypatch):
+    grouped, shared = [], []
+    real, recommend = factor.known_lists, factor.recommend
+    monkeypatch.setattr(factor, "known_lists", lambda *a: grouped.append(1) or real(*a))
+    monkeypatch.setattr(factor, "recommend", lambda *a, **kw: shared.append(
+        "known" in a[3].columns) or recommend(*a, **kw))
+    got = catalog.QUERIES["population_calibration"](spark, "/root/testdata/sf0.001").collect()
+    populations = {r["eligibility_status"] for r in got}
+    assert len(got) == len(shared) == 4 * len(populations) and all(shared)
+    assert len(grouped) == len(populations)
+
+
+def test_known_lists_stand_for_known_rows(spark):
+    known = spark.createDataFrame([(1, "a", "0"), (1, "b", "1"), (2, "a", "0"), (2, "a", "1")],
+                                  "member_id long, condition_name string, chronic_flag string")
+    got = {r[0]: sorted(r[1]) for r in factor.known_lists(known).collect()}
+    assert got == {1: ["a", "b"], 2: ["a"]}
+    by_class = {r[0]: sorted(r[1]) for r in factor.known_lists(known, True).collect()}
+    assert by_class == {1: ["a\u00010", "b\u00011"], 2: ["a\u00010", "a\u00011"]}
