@@ -209,7 +209,7 @@ class QuantileForest:
             places.append((F.col(f"_leaf{t}") + t * LEAVES).cast("long"))
         out = out.withColumn("_table", table)
         points = F.flatten(F.array(*[F.element_at("_table", p) for p in places]))
-        return out.withColumn(name, F.array_sort(points)).drop(
+        return out.withColumn(name, F.sort_array(points)).drop(
             "_table", *[f"_leaf{t}" for t in range(len(self.trees))])
 
     @staticmethod
@@ -303,19 +303,22 @@ def per_condition(features_df: DataFrame, labels: DataFrame, conditions: Sequenc
     regressions of all folds share the passes over the members (``multilogit``).
     Returns (member, condition, class, prob) for every member and condition."""
     spark = features_df.sparkSession
-    first = features_df.select(F.size(vector_to_array(features)).alias("w")).first()
-    if first is None or not conditions:
-        return features_df.select(key, F.lit("").alias("condition_name"),
-                                  F.lit("").alias("chronic_flag"),
-                                  F.lit(0.0).alias("prob")).limit(0)
+    none = features_df.select(key, F.lit("").alias("condition_name"),
+                              F.lit("").alias("chronic_flag"), F.lit(0.0).alias("prob")).limit(0)
+    if not conditions:
+        return none
     listed = spark.createDataFrame([(n, c, i) for i, (n, c) in enumerate(conditions)],
                                    "condition_name string, chronic_flag string, _at int")
     own = labels.join(F.broadcast(listed), ["condition_name", "chronic_flag"]).groupBy(key).agg(
         F.collect_set("_at").alias("y"))
-    rows = written(features_df.select(key, multilogit.sparse(features).alias("x")).join(
-        own, key, "left").select(
-            key, "x", F.coalesce("y", F.array().cast("array<int>")).alias("y"),
+    rows = written(features_df.select(
+        key, multilogit.sparse(features).alias("x"),
+        F.size(vector_to_array(features)).alias("w")).join(own, key, "left").select(
+            key, "x", "w", F.coalesce("y", F.array().cast("array<int>")).alias("y"),
             fold_column([key], folds, 0, seed).alias("fold")), "condition-labels")
+    first = rows.select("w").first()       # of the written rows: the features are computed once
+    if first is None:
+        return none
     names = F.array(*[F.struct(F.lit(n).alias("condition_name"), F.lit(c).alias("chronic_flag"))
                       for n, c in conditions])
     return multilogit.out_of_fold(rows, key, first["w"], len(conditions), folds, max_iter).select(

@@ -447,14 +447,14 @@ def drug_gaps(src: Source) -> DataFrame:
 
 # ---- six-month cost and utilization (T13-T15, T20-T24) --------------------------------------
 def _claims_net(src: Source) -> DataFrame:
-    return cost.with_network(src.claims, src.providers)
+    return cost.with_network(inputs.claims(src).drop("gender"), src.providers)
 
 
 def _profile(src: Source) -> DataFrame:
     """Per-member claims profile (conditions, prior year, next six months): one pass over the
     claims."""
     return inputs._memo(src, "profile", lambda: cost.member_profile(
-        src.claims, src.outcome_cut, 12, 6))
+        inputs.claims(src), src.outcome_cut, 12, 6))
 
 
 def _profiled(src: Source) -> None:
@@ -465,6 +465,13 @@ def _profiled(src: Source) -> None:
         src.__dict__["_written_profile"] = True
 
 
+def _model_inputs(src: Source) -> None:
+    """Write the claims and the profile: the models' features read the claims three times more.
+    Called before anything is built from them, or the unwritten forms would be read again."""
+    inputs.written_claims(src)
+    _profiled(src)
+
+
 def _member_features(src: Source) -> DataFrame:
     return inputs._memo(src, "member_features", lambda: cost.member_features(
         src.members, _profile(src), src.measurements, src.measures))
@@ -577,6 +584,7 @@ def capture_curve(src: Source) -> DataFrame:
 @query
 def capture_curve_model(src: Source) -> DataFrame:
     """T21 with the boosted model's out-of-fold ranking next to the baselines."""
+    _model_inputs(src)
     scored = _member_features(src).select("member_id", *BASELINES).join(
         _expected(src, "cost_avoidable").withColumnRenamed("pred", "model"), "member_id")
     return cost.capture_curves(_outcomes(src), scored, "cost_avoidable", [*BASELINES, "model"],
@@ -667,7 +675,7 @@ MODEL_COLUMNS = ["age", "male", "gender_missing", "risk_score", "n_conditions",
 def _model_frame(src: Source) -> DataFrame:
     """Member features + six-month outcomes as a model frame with a feature vector, written once
     for the passes of the fits."""
-    _profiled(src)
+    _model_inputs(src)
     return inputs._memo(src, "model_frame", lambda: written(_assembled(
         src, _member_features(src).join(_outcomes(src), "member_id")), "model-frame"))
 
@@ -677,7 +685,7 @@ def _assembled(src: Source, members: DataFrame) -> DataFrame:
     of service, and condition flags as a sparse vector over the vocabulary of the data."""
     types = _service_types(src)
     wide = cost.history_columns(types)
-    flags = written(cost.condition_flags(src.claims, src.outcome_cut), "condition-flags")
+    flags = written(cost.condition_flags(inputs.claims(src), src.outcome_cut), "condition-flags")
     history = cost.history_wide(_claims_net(src), src.outcome_cut, types)
     rows = members.join(history, "member_id", "left").fillna(0.0, wide).join(
         flags, "member_id", "left")
@@ -761,6 +769,7 @@ def population_models(src: Source) -> DataFrame:
 def condition_models(src: Source) -> DataFrame:
     """A logistic regression per (condition, class) of the whole popular list, predicting a
     new coding in the hold-out (the conventional comparator of the recommender), out of fold."""
+    inputs.written_claims(src)
     feats = _assembled(src, _member_features(src).fillna(0.0))
     conds = [(r["condition_name"], r["chronic_flag"]) for r in inputs.popular(src)
              .orderBy("chronic_flag", "pred_rank").collect()]
@@ -814,7 +823,7 @@ def provider_benchmark_model(src: Source) -> DataFrame:
     """T24 with a model: actual six-month cost vs out-of-fold boosted-tree expected cost per
     attributed provider."""
     pred = _expected(src, "cost_total")
-    hist = src.claims.filter(F.col("service_date") <= F.to_date(F.lit(src.outcome_cut)))
+    hist = inputs.claims(src).filter(F.col("service_date") <= F.to_date(F.lit(src.outcome_cut)))
     return cost.provider_benchmark(_outcomes(src), pred, cost.attributed_provider(hist),
                                    "cost_total", "pred")
 

@@ -30,12 +30,28 @@ def _memo(src: Source, key: str, build):
         return cache[key]
 
 
+CLAIM_COLS = ["member_id", "gender", "providerid", "condition_name", "chronic_flag", "setting",
+              "service_date", "service_type", "avoidable", "paid"]
+
+
+def claims(src: Source) -> DataFrame:
+    """The grouped claims with gender, as written by ``written_claims`` where that was called."""
+    return src.__dict__.get("_memo", {}).get("claims", src.claims_with_gender)
+
+
+def written_claims(src: Source) -> DataFrame:
+    """The grouped claims, joined from their tables and written once: for queries with several
+    passes over them (profile, flags, history, attribution), called before any of these."""
+    return _memo(src, "claims", lambda: written(
+        src.claims_with_gender.select(*CLAIM_COLS), "claims"))
+
+
 def history(src: Source) -> DataFrame:
     """Credibility before the hold-out cut and coding after it, one pass over the claims, written
     once because several recommender steps read columns of it. Queries that need one part only
     use the direct forms (``features.condition_credibility``, ``features.holdout_responses``)."""
     return _memo(src, "history", lambda: written(features.condition_history(
-        src.claims_with_gender, src.holdout_cut, src.last_service, carry=["gender"]),
+        claims(src), src.holdout_cut, src.last_service, carry=["gender"]),
         "history"))
 
 

@@ -1,11 +1,13 @@
 """Results stay whole whatever the sizes: populations, classes, conditions, items, members."""
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from carelens.constants import POPULAR_TOP
-from carelens.operators import boosting, candidates, cost, factor, neighbours
-from carelens.plans import catalog
+from carelens import session
+from carelens.operators import boosting, candidates, cost, factor, multilogit, neighbours
+from carelens.plans import catalog, inputs
 
 
 def frame(spark, n=120):
@@ -121,6 +123,38 @@ def test_condition_models_take_the_whole_popular_list(spark, monkeypatch):
         dict.fromkeys({f for _, f in asked}, POPULAR_TOP)
 
 
+@pytest.mark.parametrize("name", ["capture_curve_model", "condition_models", "cost_distribution",
+                                  "provider_benchmark_model"])
+def test_models_join_the_claims_once(spark, monkeypatch, name):
+    reads = []
+
+    def scans(df):
+        reads.append("l_partkey" in df._jdf.queryExecution().optimizedPlan().toString())
+
+    real = session.written
+
+    def spy(df, label):
+        scans(df)
+        return real(df, label)
+
+    for module in (catalog, inputs, boosting):
+        monkeypatch.setattr(module, "written", spy)
+    monkeypatch.setattr(boosting, "out_of_fold", lambda df, predict, **kw: df.select(
+        "member_id", F.lit(0.0).alias("pred")))
+    monkeypatch.setattr(multilogit, "out_of_fold", lambda rows, key, *a: rows.select(
+        key, F.lit(0).alias("outcome"), F.lit(0.5).alias("prob")))
+    scans(catalog.QUERIES[name](spark, "/root/testdata/sf0.001"))
+    assert sum(reads) == 1
+
+
+def test_no_members_no_condition_models(spark):
+    feats = boosting.assemble(spark.createDataFrame([], "member_id long, a double"), ["a"])
+    labels = spark.createDataFrame([], "member_id long, condition_name string, "
+                                       "chronic_flag string")
+    assert boosting.per_condition(feats, labels, [("x", "1")]).count() == 0
+    assert boosting.per_condition(feats, labels, []).count() == 0
+
+
 def test_populations_group_known_conditions_once(spark, monkeypatch):
     grouped, shared = [], []
     real, recommend = factor.known_lists, factor.recommend
