@@ -119,14 +119,18 @@ def prefix_probability(model, df: DataFrame, n: int, features: str = "features")
         *[f"_t{t}" for t in range(n)])
 
 
-def out_of_fold(df: DataFrame, predict, k: int = 2, seed: int = 17, key: str = "member_id"
-                ) -> DataFrame:
+def out_of_fold(df: DataFrame, predict, k: int = 2, seed: int = 17, key: str = "member_id",
+                parallelism: int = 1) -> DataFrame:
     """Predictions of every row by a model that did not see it: ``predict(train, rest)`` fits on
-    k - 1 hash folds of ``key`` and returns predictions of the rows of the other."""
+    k - 1 hash folds of ``key`` and returns predictions of the rows of the other. The k fits are
+    independent and run ``parallelism`` at a time."""
     data = written(df.withColumn("_fold", fold_column([key], k, 0, seed)), "oof")
-    return _union_all([predict(data.filter(F.col("_fold") != f).drop("_fold"),
-                               data.filter(F.col("_fold") == f).drop("_fold"))
-                       for f in range(k)])
+
+    def predict_one(f):
+        return predict(data.filter(F.col("_fold") != f).drop("_fold"),
+                       data.filter(F.col("_fold") == f).drop("_fold"))
+
+    return _union_all(_parallel_map(predict_one, range(k), parallelism))
 
 
 @dataclass

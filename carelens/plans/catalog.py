@@ -700,7 +700,8 @@ def _expected(src: Source, label: str) -> DataFrame:
         m = boosting.cost_model(label, trees=20, depth=4).fit(train)
         return m.transform(rest).select("member_id", F.col("prediction").alias("pred"))
 
-    return boosting.out_of_fold(_model_frame(src).select("member_id", label, "features"), predict)
+    return boosting.out_of_fold(_model_frame(src).select("member_id", label, "features"), predict,
+                                parallelism=2)
 
 
 def _outlier_size(src: Source) -> DataFrame:
@@ -755,7 +756,7 @@ def cost_distribution(src: Source) -> DataFrame:
                             for t in taus])
 
     return boosting.out_of_fold(_model_frame(src).select("member_id", "cost_total", "features"),
-                                predict)
+                                predict, parallelism=2)
 
 
 @query

@@ -1,5 +1,6 @@
 """Results stay whole whatever the sizes: populations, classes, conditions, items, members."""
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -174,3 +175,29 @@ def test_known_lists_stand_for_known_rows(spark):
     assert got == {1: ["a", "b"], 2: ["a"]}
     by_class = {r[0]: sorted(r[1]) for r in factor.known_lists(known, True).collect()}
     assert by_class == {1: ["a\u00010", "b\u00011"], 2: ["a\u00010", "a\u00011"]}
+
+
+@pytest.mark.parametrize("name", ["capture_curve_model", "cost_distribution",
+                                  "provider_benchmark_model"])
+def test_cost_models_fit_their_folds_side_by_side(spark, monkeypatch, name):
+    asked, real = [], boosting._parallel_map
+    monkeypatch.setattr(boosting, "_parallel_map", lambda fn, items, n: asked.append(
+        (len(list(items)), n)) or real(lambda f: spark.range(1).select(
+            F.col("id").alias("member_id"), F.lit(0.0).alias("pred")), items, n))
+    catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert asked == [(2, 2)]
+
+
+def test_folds_side_by_side_give_the_rows_of_folds_in_turn(spark):
+    frame = spark.createDataFrame([(i, float(i % 7)) for i in range(60)], "member_id long, y double")
+    both = threading.Barrier(2, timeout=60)
+
+    def mean(train, rest):
+        return rest.withColumn("prob", F.lit(train.agg(F.avg("y")).first()[0]))
+
+    def meet(train, rest):
+        both.wait()                              # broken unless both folds are being fitted
+        return mean(train, rest)
+
+    got = sorted(boosting.out_of_fold(frame, meet, parallelism=2).collect())
+    assert got == sorted(boosting.out_of_fold(frame, mean).collect()) and len(got) == 60
