@@ -21,8 +21,11 @@ member, the others with a cosine of at least ``least``, exactly.
   * Where the conditions are few and common the prefixes leave nothing out: more pairs meet under
     them than there are. Then blocks of classes meet all classes instead (``nearest_classes``): a
     task holds a block, streams the others past it and keeps the nearest of each only, so that
-    neither the pairs nor a copy of a class per prefix condition is ever written.
-The k nearest then vote with their cosine for conditions the member lacks.
+    neither the pairs nor a copy of a class per prefix condition is ever written. Sets travel as
+    packed bits, a blob of ``PACKED`` classes a row, and are compared as matrix products of
+    normalised floats; the few that reach the worst place kept so far are counted again from bits.
+The k nearest then vote with their cosine for conditions the member lacks; up to ``DENSE_ITEMS``
+conditions the votes of a class are added in one task from its neighbours' sets.
 """
 
 from __future__ import annotations
@@ -39,7 +42,10 @@ from carelens.session import written
 ITEM_KEYS = ["condition_name", "chronic_flag"]
 DENSE_ITEMS = 2_000           # conditions whose table is sent to every task (32 MB of doubles)
 BLOCK = 512                   # classes of one side that meet under a condition
-HELD = (1_024, 16_384)        # classes of a block that all classes are streamed past
+HELD = (1_024, 131_072)       # classes of a block that all classes are streamed past
+BLOCKS = 96                   # of them (more where they would be too large): tasks and copies
+PACKED = 4_096                # classes of a blob
+TILE = 1_024                  # classes of a block that are compared together
 
 
 def _indexed(known: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -184,98 +190,132 @@ def _prefixes_help(classes: DataFrame, items: DataFrame, least: float) -> bool:
     return n < 2 or meet < float(n) * n
 
 
+def _packed(classes: DataFrame, width: int, blocks: int) -> DataFrame:
+    """(own, name, bits): the classes dealt to ``blocks`` blocks, a row for up to ``PACKED`` of one;
+    the sets follow each other as bits of items up to ``width``."""
+    own = F.pmod(F.xxhash64("class"), F.lit(blocks)).cast("int")
+    rows = classes.select(own.alias("own"), F.col("class").cast("long").alias("class"), "items"
+                          ).filter("class is not null")
+
+    def run(batches):
+        for batch in batches:
+            own = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1), batch.num_rows]
+            for start, end in zip(cuts[:-1], cuts[1:]):
+                for lo in range(start, end, PACKED):
+                    part = batch.slice(lo, min(PACKED, end - lo))
+                    size = np.diff(part.column(2).offsets.to_numpy())
+                    held = np.zeros((part.num_rows, width + 1), bool)
+                    held[np.repeat(np.arange(part.num_rows), size),
+                         part.column(2).flatten().to_numpy()] = True
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0).slice(0, 1),
+                         pa.array([part.column(1).to_numpy()], pa.list_(pa.int64())),
+                         pa.array([np.packbits(held, axis=1).tobytes()], pa.binary())],
+                        ["own", "name", "bits"])
+
+    return (rows.repartitionById(blocks, "own").sortWithinPartitions("own", "class")
+            .mapInArrow(run, "own int, name array<long>, bits binary"))
+
+
 def nearest_classes(classes: DataFrame, width: int, least: float, neighbours: int) -> DataFrame:
     """(a, b, cosine): of every class a its ``neighbours`` nearest other classes b of a cosine of at
     least ``least``, ties (at nine places) to the smaller b; ``width`` is the largest item. All
-    pairs are compared: a block of classes stays in its task, all classes pass it in rising order,
-    and only the best so far are kept."""
+    pairs are compared: a block of classes stays in its task, all classes pass it, and only the
+    best so far are kept."""
     n = classes.count()
-    block = min(max(HELD[0], -(-n // 64)), HELD[1])
+    block = min(max(HELD[0], -(-n // BLOCKS)), HELD[1])
     blocks = max(1, -(-n // block))
-    own = F.pmod(F.xxhash64("class"), F.lit(blocks)).cast("int")
-    rows = classes.select(F.col("class").cast("long").alias("class"), "items", own.alias("own"))
-    left = rows.select(F.col("own").alias("grp"), F.lit(0).alias("side"), "class", "items")
-    right = rows.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("grp"),
-                        F.lit(1).alias("side"), "class", "items")
-
-    def sets(batch):
-        off = batch.column(3).offsets.to_numpy()
-        size = np.diff(off)
-        held = np.zeros((batch.num_rows, width + 1), np.float32)
-        held[np.repeat(np.arange(batch.num_rows), size), batch.column(3).flatten().to_numpy()] = 1
-        return batch.column(2).to_numpy(), held, size.astype(float)
-
-    def run(batches):
-        state = {}
-
-        def close():
-            if not state:
-                return
-            at, place = np.nonzero(state["key"] > -1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(state["name"][at]), pa.array(state["b"][at, place]),
-                 pa.array(state["cos"][at, place])], ["a", "b", "cosine"])
-            state.clear()
-
-        def begin(parts):
-            name, held, size = (np.concatenate(x) for x in zip(*parts))
-            best = (len(name), neighbours)
-            state.update(name=name, held=held, size=size, key=np.full(best, -2.0),
-                         b=np.zeros(best, np.int64), cos=np.zeros(best), step=64)
-
-        def meet(name, held, size):
-            lowest = np.maximum(state["key"][:, -1], least) - 1e-6
-            near = state["held"] @ held.T
-            near *= (1 / np.sqrt(state["size"])).astype(np.float32)[:, None]
-            near *= (1 / np.sqrt(size)).astype(np.float32)[None]
-            i, j = np.nonzero(near >= lowest.astype(np.float32)[:, None])
-            keep = state["name"][i] != name[j]
-            i, j = i[keep], j[keep]
-            scale = np.sqrt(state["size"][i] * size[j])
-            both = np.rint(near[i, j] * scale)
-            keep = both * both >= least * least * state["size"][i] * size[j] - 1e-9
-            cos = both / scale
-            keep &= np.round(cos, 9) > state["key"][i, -1]      # ties stay with the smaller b
-            i, j, cos = i[keep], j[keep], cos[keep]
+    packed = written(_packed(classes, width, blocks), "packed-classes")
+    # a blob comes to its own block first, where it is the block, and to all others
+    dealt = packed.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("grp"), "own",
+                          "name", "bits").withColumn("side", (F.col("grp") != F.col("own")).cast("int"))
+    slack = 1e-6 + 1.2e-7 * (width + 8)          # what sums of ``width`` floats may be off
+
+    def floats(bits, size):
+        held = np.unpackbits(bits, axis=1, count=width + 1).astype(np.float32)
+        held /= np.sqrt(size).astype(np.float32)[:, None]
+        return held
+
+    class Block:
+        def __init__(self, blobs):
+            self.name, self.bits, self.size = (np.concatenate(x) for x in zip(*blobs))
+            best = (len(self.name), neighbours)
+            self.key, self.cos = np.full(best, -2.0), np.zeros(best)
+            self.b, self.step = np.zeros(best, np.int64), 64
+
+        def meet(self, name, bits, size):
+            """All classes of a blob pass the block."""
+            right = floats(bits, size)
+            cuts = [0]
+            while cuts[-1] < len(name):
+                cuts.append(min(cuts[-1] + self.step, len(name)))
+                self.step = min(BLOCK, 2 * self.step)
+            for lo in range(0, len(self.name), TILE):
+                tile = slice(lo, lo + TILE)
+                left = floats(self.bits[tile], self.size[tile])
+                for at, to in zip(cuts[:-1], cuts[1:]):
+                    near = left @ right[at:to].T
+                    low = np.maximum(self.key[tile, -1], least) - slack
+                    found = np.flatnonzero(near >= low.astype(np.float32)[:, None])
+                    if len(found):
+                        i, j = np.divmod(found, to - at)
+                        self.take(i + lo, name, bits, size, j + at)
+
+        def take(self, i, name, bits, size, j):
+            both = np.bitwise_count(self.bits[i] & bits[j]).sum(axis=1, dtype=np.int64).astype(float)
+            full = self.size[i] * size[j]
+            cos = both / np.sqrt(full)
+            key, worst = np.round(cos, 9), self.key[i, -1]
+            keep = (self.name[i] != name[j]) & (both * both >= least * least * full - 1e-9) & (
+                (key > worst) | ((key == worst) & (name[j] < self.b[i, -1])))
+            i, j, cos, key = i[keep], j[keep], cos[keep], key[keep]
             if not len(i):
                 return
-            rows, old = np.unique(i), state["key"]
+            rows = np.unique(i)
             every = np.concatenate([np.repeat(rows, neighbours), i])
-            key = np.concatenate([old[rows].ravel(), np.round(cos, 9)])
-            b = np.concatenate([state["b"][rows].ravel(), name[j]])
-            full = np.concatenate([state["cos"][rows].ravel(), cos])
+            key = np.concatenate([self.key[rows].ravel(), key])
+            b = np.concatenate([self.b[rows].ravel(), name[j]])
+            full = np.concatenate([self.cos[rows].ravel(), cos])
             order = np.lexsort((b, -key, every))
             first = np.searchsorted(every[order], rows)
             pick = order[first[:, None] + np.arange(neighbours)]
-            state["key"][rows], state["b"][rows], state["cos"][rows] = key[pick], b[pick], full[pick]
+            self.key[rows], self.b[rows], self.cos[rows] = key[pick], b[pick], full[pick]
+
+        def told(self):
+            at, place = np.nonzero(self.key > -1)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(self.name[at]), pa.array(self.b[at, place]),
+                 pa.array(self.cos[at, place])], ["a", "b", "cosine"])
 
-        grp, lefts = None, []
+    def run(batches):
+        block, blobs = None, []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            groups, side = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            cuts = np.flatnonzero((groups[1:] != groups[:-1]) | (side[1:] != side[:-1])) + 1
-            for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows]):
-                if groups[lo] != grp:
-                    yield from close()
-                    grp, lefts = groups[lo], []
-                if side[lo] == 0:
-                    lefts.append(sets(batch.slice(lo, hi - lo)))
+            for r in range(batch.num_rows):
+                name = batch.column(2).slice(r, 1).flatten().to_numpy()
+                bits = np.frombuffer(batch.column(3)[r].as_buffer(), np.uint8).reshape(len(name), -1)
+                size = np.bitwise_count(bits).sum(axis=1, dtype=np.int64).astype(float)
+                if batch.column(1)[r].as_py() == 0:
+                    if block is not None:                 # a task may hold several blocks
+                        yield block.told()
+                        block = None
+                    blobs.append((name, bits, size))
                     continue
-                if not state:
-                    if not lefts:
-                        continue
-                    begin(lefts)
-                    lefts = []
-                while lo < hi:
-                    step = min(state["step"], hi - lo)
-                    meet(*sets(batch.slice(lo, step)))
-                    lo, state["step"] = lo + step, min(BLOCK, 2 * state["step"])
-        yield from close()
-
-    return (left.unionByName(right).repartition(blocks, "grp")
-            .sortWithinPartitions("grp", "side", "class")
-            .mapInArrow(run, "a long, b long, cosine double"))
+                if block is None:
+                    block, own = Block(blobs), blobs
+                    blobs = []
+                    for blob in own:
+                        block.meet(*blob)
+                block.meet(name, bits, size)
+        if block is None and blobs:                       # the only block
+            block, own = Block(blobs), blobs
+            for blob in own:
+                block.meet(*blob)
+        if block is not None:
+            yield block.told()
+
+    return (dealt.repartitionById(blocks, "grp").sortWithinPartitions("grp", "side")
+            .select("grp", "side", "name", "bits").mapInArrow(run, "a long, b long, cosine double"))
 
 
 def similar_classes(classes: DataFrame, least: float) -> DataFrame:
@@ -366,6 +406,56 @@ def similar_classes(classes: DataFrame, least: float) -> DataFrame:
             "p.a", "p.b", "cosine")
 
 
+def _dense_votes(votes: DataFrame, classes: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """(a, _item, score, pred_rank): the ``k`` best voted items that class a lacks, from (a, b, v,
+    items of b), a row a neighbour; a batch of classes times items is added at once."""
+    order = np.array([r[0] for r in items.orderBy(*ITEM_KEYS).select("_item").collect()], np.int64)
+    n = int(order.max(initial=0)) + 1
+    per_class = votes.groupBy("a").agg(F.sort_array(F.collect_list(F.struct("b", "v", "items")))
+                                       .alias("votes"))
+    rows = per_class.join(classes.select(F.col("class").alias("a"), "items"), "a").select(
+        "a", "items", "votes")
+
+    def run(batches):
+        step = max(1, MAX_CELLS // n)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, step):
+                part = batch.slice(lo, step)
+                rows = np.arange(part.num_rows)
+                own, each = part.column(1), part.column(2)
+                given = each.flatten()
+                v, sets = given.field(1).to_numpy(), given.field(2)
+                size = np.diff(sets.offsets.to_numpy())
+                cell = np.repeat(np.repeat(rows, np.diff(each.offsets.to_numpy())), size) * n \
+                    + sets.flatten().to_numpy()
+                shape = (len(rows), n)
+                score = np.bincount(cell, np.repeat(v, size), len(rows) * n).reshape(shape)
+                voted = np.bincount(cell, minlength=len(rows) * n).reshape(shape) > 0
+                voted[np.repeat(rows, np.diff(own.offsets.to_numpy())),
+                      own.flatten().to_numpy()] = False
+                key = np.where(voted, np.round(score, 9), -np.inf)[:, order]
+                top = np.argsort(-key, axis=1, kind="stable")[:, :k]
+                r, c = np.nonzero(np.take_along_axis(key, top, 1) > -np.inf)
+                item = order[top[r, c]]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(r)), pa.array(item.astype(np.int32)),
+                     pa.array(score[r, item]), pa.array((c + 1).astype(np.int32))],
+                    ["a", "_item", "score", "pred_rank"])
+
+    kind = rows.schema["a"].dataType.simpleString()
+    return rows.mapInArrow(run, f"a {kind}, _item int, score double, pred_rank int")
+
+
+def _joined_votes(votes: DataFrame, classes: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """The same by joins, for any number of items."""
+    every = (votes.select("a", "v", F.explode("items").alias("_item"))
+             .groupBy("a", "_item").agg(F.sum("v").alias("score")))
+    own = classes.select(F.col("class").alias("a"), F.explode("items").alias("_item"))
+    fresh = every.join(own, ["a", "_item"], "left_anti").join(items, "_item")
+    return rank_top(fresh.withColumn("_key", F.round("score", 9)), ["a"],
+                    [F.desc("_key"), *map(F.asc, ITEM_KEYS)], k)
+
+
 def nearest_based(known: DataFrame, least: float = 0.5, neighbours: int = 10, k: int = 10,
                   digits: int = 6) -> DataFrame:
     """T9 with a neighbour cut: every member's ``neighbours`` nearest members (cosine of at least
@@ -390,13 +480,11 @@ def nearest_based(known: DataFrame, least: float = 0.5, neighbours: int = 10, k:
     # the other members of the own set take the first places
     near = near.filter(F.col("_place") <= neighbours + 1 - F.col("members"))
     votes = (near.groupBy("a", "b").agg(F.sum("cosine").alias("v"))
-             .join(classes.select(F.col("class").alias("b"), "items"), "b")
-             .select("a", "v", F.explode("items").alias("_item"))
-             .groupBy("a", "_item").agg(F.sum("v").alias("score")))
-    own = classes.select(F.col("class").alias("a"), F.explode("items").alias("_item"))
-    fresh = votes.join(own, ["a", "_item"], "left_anti").join(items, "_item")
-    best = rank_top(fresh.withColumn("_key", F.round("score", 9)), ["a"],
-                    [F.desc("_key"), *map(F.asc, ITEM_KEYS)], k)
+             .join(classes.select(F.col("class").alias("b"), "items"), "b"))
+    if items.count() <= DENSE_ITEMS:
+        best = _dense_votes(votes, classes, items, k).join(items, "_item")
+    else:
+        best = _joined_votes(votes, classes, items, k)
     return (of.join(best.withColumnRenamed("a", "class"), "class")
             .select("member_id", *ITEM_KEYS, F.round("score", digits).alias("score"),
                     "pred_rank"))

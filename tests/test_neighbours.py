@@ -3,6 +3,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from carelens.operators import neighbours
 
@@ -88,3 +89,39 @@ def test_dense_sets_are_streamed_and_give_the_same_neighbours(spark, monkeypatch
     monkeypatch.undo()
     monkeypatch.setattr(neighbours, "_prefixes_help", lambda *a: True)
     assert streamed == run()
+
+
+def test_blocks_are_dealt_evenly_and_votes_are_added_by_class(spark, monkeypatch):
+    rng = random.Random(7)
+    held = {m: {(f"c{c:02d}", "1") for c in rng.sample(range(15), rng.randint(4, 9))}
+            for m in rng.sample(range(10_000), 160)}                 # ids in no order, many ties
+    known = spark.createDataFrame(rows(held), SCHEMA).repartition(3)
+    _, classes, items = neighbours._classes(known)
+    width = items.count()
+    monkeypatch.setattr(neighbours, "HELD", (10, 10))
+    monkeypatch.setattr(neighbours, "PACKED", 4)
+    monkeypatch.setattr(neighbours, "TILE", 3)
+    near = neighbours.nearest_classes(classes, width, 0.5, 4)
+    part = near.select("a", F.spark_partition_id().alias("p")).distinct().groupBy("p").count()
+    blocks = -(-classes.count() // 10)
+    assert blocks > 12 and part.count() == blocks         # a task a block, none with two
+    sets = {r["class"]: set(r["items"]) for r in classes.collect()}
+    want = set()
+    for a, x in sets.items():
+        found = sorted((-round(len(x & y) / math.sqrt(len(x) * len(y)), 9), b)
+                       for b, y in sets.items() if a != b and
+                       len(x & y) ** 2 >= 0.25 * len(x) * len(y) - 1e-9)
+        want |= {(a, b, -c) for c, b in found[:4]}
+    assert {(r.a, r.b, round(r.cosine, 9)) for r in near.collect()} == want
+
+    def run():
+        return {(r.member_id, r.condition_name, r.chronic_flag, round(r.score, 6), r.pred_rank)
+                for r in neighbours.nearest_based(known, 0.5, 4, 5).collect()}
+
+    expected = brute(held, 0.5, 4, 5)
+    monkeypatch.setattr(neighbours, "MAX_CELLS", 7 * (width + 1))
+    monkeypatch.setattr(neighbours, "_joined_votes", None)           # votes are not exploded
+    assert run() == expected and expected
+    monkeypatch.undo()
+    monkeypatch.setattr(neighbours, "DENSE_ITEMS", 0)
+    assert run() == expected
